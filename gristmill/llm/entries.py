@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm.bpe import op7_bpe_encode_decode
 from gristmill.llm.langid import op1_language_id
+from gristmill.llm.quality import op9_quality_classifier
 from gristmill.llm.simhash import op4_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
