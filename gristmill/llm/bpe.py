@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES = 200_000
-MAX_MEMO = 150_000
+MAX_STATES = 400_000
+MAX_MEMO = 300_000
 MAX_PAIRS = 500_000
 #: Pretokens of one text that are handled at once, so that a text of any length needs bounded memory.
 SLICE = 200_000
