@@ -16,15 +16,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import hashed_share
+
 PARTS = 3
 #: Cells of the table in a fingerprint, and of the largest table before the difference is taken from the sets themselves.
 BASE_CELLS = 24
@@ -37,7 +40,10 @@ LONGEST_RUN = 16
 RUN = re.compile(rf"(?:\S+\s+){{0,{LONGEST_RUN - 1}}}?\S*[{LAST}](?!\S)|(?:\S+\s+){{0,{LONGEST_RUN - 1}}}\S+")
 #: Texts of up to so many characters are cut at every word, for they have few sentences.
 SHORT = 400
-ROWS_PER_RANGE = 20_000
+#: Rows of a range of keys if ids are even, ranges at most, and keys sampled for each.
+ROWS_PER_RANGE = 5_000
+MOST_RANGES = 8192
+KEYS_PER_RANGE = 25
 
 
 def paragraphs(text: str) -> list[str]:
@@ -217,31 +223,38 @@ def _fingerprint_rows(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     )
 
 
+def _range_number(key: Column, cuts: list) -> tuple[Column, Column]:
+    """Number of ``cuts`` (sorted) at or below ``key``, and the greatest of them, by a search in two steps."""
+    group = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + group] for i in range(0, len(cuts), group)]
+    coarse = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda c: c <= key)) - 1
+    mine = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), coarse)
+    fine = F.size(F.filter(mine, lambda c: c <= key))
+    return F.when(coarse < 0, 0).otherwise(coarse * group + fine), F.get(mine, fine - 1)
+
+
 def with_next(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> DataFrame:
     """``(key, text, _next)``: each row with the text of the next row by (key, text), the last with that of the first.
 
-    Rows go to ranges of keys; a range also gets the first key's rows of the range behind
-    it, so one shuffle of the texts gives every row its successor. Only the ranges' first
-    keys come to the driver. Null keys come first. A key's own repeats share one range.
+    Rows go to ranges of keys, cut at keys of a bounded sample. The rows of a range's first
+    key, which is its cut, are shown to the range before it too, so one shuffle of the
+    texts gives every row its successor. Null keys come first. A key's repeats share a range.
     """
     plain = rows.select(F.col(key), F.col(text).alias("text"))
-    total = plain.count()
-    ranges = max(1, -(-total // range_rows))
+    total, nulls = plain.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+    ranges = min(MOST_RANGES, max(1, -(-total // range_rows)))
     cuts: list = []
     if ranges > 1:
-        found = plain.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
-        cuts = sorted(set(found or []))
-    number = F.lit(0)
-    for lo in range(0, len(cuts), 500):
-        number = number + F.size(F.filter(F.array(*[F.lit(c) for c in cuts[lo : lo + 500]]), lambda c: c <= F.col(key)))
+        keys = plain.select(key).where(F.col(key).isNotNull())
+        sample = sorted(r[0] for r in hashed_share(keys, F.col(key), ranges * KEYS_PER_RANGE).collect())
+        cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    number, cut = _range_number(F.col(key), cuts) if cuts else (F.lit(0), F.lit(None))
     number = F.when(F.col(key).isNull(), 0).otherwise(number)
-    firsts = plain.select(key).groupBy(number.alias("r")).agg(F.min(F.struct(key)).alias("m"), F.count("*").alias("n")).orderBy("r").collect()
-    firsts = [(row["r"], row["m"][0]) for row in firsts]
-    # a range's first key is also shown to the range before it, the very first to the last
-    shown = F.lit(None).cast("int")
-    for (before, _), (_, least) in zip([firsts[-1], *firsts[:-1]] if firsts else [], firsts):
-        shown = F.when(F.col(key).eqNullSafe(F.lit(least)), F.lit(before)).otherwise(shown)
-    homes = F.array(F.struct(number.alias("r"), F.lit(0).alias("guest")), F.struct(shown.alias("r"), F.lit(1).alias("guest")))
+    # the first key of all goes to the last range once more; a cut to the range before it
+    least = None if nulls else plain.agg(F.min(key)).first()[0]
+    first = F.col(key).eqNullSafe(F.lit(least)) if total else F.lit(False)
+    shown = F.when(first, len(cuts)).when(F.col(key) == cut, number - 1)
+    homes = F.array(F.struct(number.cast("int").alias("r"), F.lit(0).alias("guest")), F.struct(shown.cast("int").alias("r"), F.lit(1).alias("guest")))
     dealt = plain.select(key, "text", F.explode(F.filter(homes, lambda h: h["r"].isNotNull())).alias("home")).select(key, "text", "home.r", "home.guest")
     order = Window.partitionBy("r").orderBy("guest", F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first())
     return dealt.withColumn("_next", F.lead("text").over(order)).where("guest = 0").select(key, "text", "_next")
