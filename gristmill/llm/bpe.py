@@ -21,10 +21,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gristmill.llm.common import map_columns
 
 MAX_STATES = 400_000
 MAX_MEMO = 300_000
@@ -263,30 +264,27 @@ def encode_and_decode(rows: DataFrame, path: str, pattern: str, text: str = "tex
     Null counts as empty: no ids, hashes of nothing. No shuffle; repeated rows and
     other columns are of no consequence.
     """
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tool = codec(path, pattern)
-        for pdf in batches:
-            results = [tool.round_trip(t if isinstance(t, str) else None) for t in pdf[text]]
-            out = pdf[list(keep)].copy()
-            for k, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256")):
-                out[name] = [r[k] for r in results]
-            yield out
 
-    return rows.select(*keep, text).mapInPandas(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def work(texts):
+            results = [tool.round_trip(t) for t in texts]
+            return {name: [r[k] for r in results] for k, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+
+        return work
+
+    return map_columns(rows, [text], keep, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, start)
 
 
 def token_ids(rows: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """``keep`` with the ids themselves as an array of int; null counts as empty."""
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tool = codec(path, pattern)
-        for pdf in batches:
-            yield pdf[list(keep)].assign(**{ids: [tool.encode(t) if isinstance(t, str) else [] for t in pdf[text]]})
+        return lambda texts: {ids: [tool.encode(t or "") for t in texts]}
 
-    return rows.select(*keep, text).mapInPandas(run, f"{schema}, `{ids}` array<int>")
+    return map_columns(rows, [text], keep, {ids: pa.list_(pa.int32())}, start)
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -41,3 +45,28 @@ def hashed_share(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     if n <= bound:
         return rows
     return rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
+
+
+def map_columns(rows: DataFrame, inputs: Sequence[str], keep: Sequence[str], added: dict[str, pa.DataType], start: Callable[[], Callable[..., dict[str, object]]]) -> DataFrame:
+    """Columns ``keep`` of ``rows`` as they are, and the columns ``added`` computed from ``inputs``.
+
+    ``start`` runs once a task and returns a function from the lists of the inputs'
+    values (None for null) to the added columns. Kept columns pass through in Arrow,
+    whatever their types and nulls; no shuffle.
+    """
+    clash = set(keep) & set(added)
+    if clash:
+        raise ValueError(f"columns would clash: {sorted(clash)}")
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(n, from_arrow_type(t)) for n, t in added.items()])
+    wanted = list(dict.fromkeys([*keep, *inputs]))
+    keep, inputs = list(keep), list(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            place = {name: i for i, name in enumerate(wanted)}
+            found = work(*[batch.column(place[c]).to_pylist() for c in inputs])
+            arrays = [batch.column(place[c]) for c in keep] + [pa.array(found[n], type=t) for n, t in added.items()]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
+
+    return rows.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)

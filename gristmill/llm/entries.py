@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm.ann import op3_nearest_neighbours
 from gristmill.llm.bpe import op7_bpe_encode_decode
 from gristmill.llm.iblt import op10_document_fingerprints
 from gristmill.llm.langid import op1_language_id
+from gristmill.llm.packing import op6_lexical_packing
 from gristmill.llm.quality import op9_quality_classifier
 from gristmill.llm.secrets import op8_secret_scan
 from gristmill.llm.sharding import op5_consistent_hash_sharding
@@ -16,8 +18,10 @@ from gristmill.llm.simhash import op4_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_consistent_hash_sharding": op5_consistent_hash_sharding,
+    "op6_lexical_packing": op6_lexical_packing,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,

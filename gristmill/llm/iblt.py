@@ -18,15 +18,14 @@ import base64
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import hashed_share
+from gristmill.llm.common import hashed_share, map_columns
 
 PARTS = 3
 #: Cells of the table in a fingerprint, and of the largest table before the difference is taken from the sets themselves.
@@ -40,6 +39,8 @@ LONGEST_RUN = 16
 RUN = re.compile(rf"(?:\S+\s+){{0,{LONGEST_RUN - 1}}}?\S*[{LAST}](?!\S)|(?:\S+\s+){{0,{LONGEST_RUN - 1}}}\S+")
 #: Texts of up to so many characters are cut at every word, for they have few sentences.
 SHORT = 400
+#: Texts whose tables are built side by side.
+GROUP = 500
 #: Rows of a range of keys if ids are even, ranges at most, and keys sampled for each.
 ROWS_PER_RANGE = 5_000
 MOST_RANGES = 8192
@@ -195,9 +196,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _fingerprint_rows(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
-    texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-    following = [t if isinstance(t, str) else "" for t in pdf["_next"]]
+def _fingerprint_rows(texts: list[str | None], following: list[str | None]) -> dict[str, list]:
+    texts, following = [t or "" for t in texts], [t or "" for t in following]
     changed = [edited(t, n) for t, n in zip(texts, following)]
     known: dict[str, np.ndarray] = {}
 
@@ -210,17 +210,14 @@ def _fingerprint_rows(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     own, new, after = [items(t) for t in texts], [digests(t) for t in changed], [items(t) for t in following]
     own_tables, new_tables, after_tables = build(own, BASE_CELLS), build(new, BASE_CELLS), build(after, BASE_CELLS)
     to_new, to_after = differences(own, new, own_tables, new_tables), differences(own, after, own_tables, after_tables)
-    return pd.DataFrame(
-        {
-            key: pdf[key],
-            "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed],
-            "fingerprint": render(own_tables, [len(s) for s in own]),
-            "edited_fingerprint": render(new_tables, [len(s) for s in new]),
-            "near_edited": [likeness(len(a), len(b), d) for a, b, d in zip(own, new, to_new)],
-            "near_next": [likeness(len(a), len(b), d) for a, b, d in zip(own, after, to_after)],
-        }
-    )
+    return {
+        "n_chars": [len(t) for t in texts],
+        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed],
+        "fingerprint": render(own_tables, [len(s) for s in own]),
+        "edited_fingerprint": render(new_tables, [len(s) for s in new]),
+        "near_edited": [likeness(len(a), len(b), d) for a, b, d in zip(own, new, to_new)],
+        "near_next": [likeness(len(a), len(b), d) for a, b, d in zip(own, after, to_after)],
+    }
 
 
 def _range_number(key: Column, cuts: list) -> tuple[Column, Column]:
@@ -266,14 +263,16 @@ def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text")
     Null texts count as empty, with the fingerprint of no paragraphs; two empty texts are
     alike. A table of one row has itself as its next.
     """
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                yield _fingerprint_rows(pdf.iloc[lo : lo + 500].reset_index(drop=True), key)
+    def start():
+        def work(texts, following):
+            parts = [_fingerprint_rows(texts[lo : lo + GROUP], following[lo : lo + GROUP]) for lo in range(0, len(texts), GROUP)]
+            return {name: [v for part in parts for v in part[name]] for name in added}
 
-    return with_next(rows, key, text).mapInPandas(run, schema)
+        return work
+
+    added = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    return map_columns(with_next(rows, key, text), ["text", "_next"], [key], added, start)
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,15 +12,14 @@ neighbouring bytes are added in advance, so that a width of 4 takes two look-ups
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import hashed_share, id_crc
+from gristmill.llm.common import hashed_share, id_crc, map_columns
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -210,23 +209,18 @@ def identify(rows: DataFrame, net: Network, text: str = "text", keep: list[str]
     Null, empty and letterless texts get ``und`` and 0. Texts of any length are read
     whole. The network is a few hundred kilobytes whatever the input; no shuffle.
     """
-    kept = rows.columns if keep is None else keep
-    if pred in kept or score in kept:
-        raise ValueError(f"columns {pred} and {score} would clash")
-    source = rows if text in kept else rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in kept)
-    tables = net.tables()
-    bound = rows.sparkSession.sparkContext.broadcast((net, tables))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bound = rows.sparkSession.sparkContext.broadcast((net, net.tables()))
+
+    def start():
         model, steps = bound.value
-        for pdf in batches:
-            labels, scores = predict(model, steps, [None if not isinstance(t, str) else t for t in pdf[text]])
-            out = pdf[kept].copy()
-            out[pred], out[score] = labels, scores
-            yield out
 
-    return source.mapInPandas(run, f"{schema}, `{pred}` string, `{score}` double")
+        def work(texts):
+            labels, scores = predict(model, steps, texts)
+            return {pred: labels, score: scores}
+
+        return work
+
+    return map_columns(rows, [text], rows.columns if keep is None else keep, {pred: pa.string(), score: pa.float64()}, start)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gristmill.llm.bpe import read_ranks
+from gristmill.llm.common import map_columns
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -103,46 +104,43 @@ def mask(text: str, spans: list[tuple[int, int, int]], with_: str = "[SECRET]")
 
 def find_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with counts and spans of each whole text; null counts as empty. No shuffle."""
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tokens = encoding(path, pattern)
-        for pdf in batches:
-            found = [scan(t if isinstance(t, str) else None, tokens) for t in pdf[text]]
-            out = pdf[list(keep)].copy()
-            for kind in range(3):
-                out[f"n_{KINDS[kind]}"] = [sum(s[1] == kind for s in base) for base, _ in found]
-            out["base_sha256"] = [hashlib.sha256(render(base).encode()).hexdigest() for base, _ in found]
-            out["spans"] = [render(spans) for _, spans in found]
-            yield out
 
-    return rows.select(*keep, text).mapInPandas(run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+        def work(texts):
+            found = [scan(t, tokens) for t in texts]
+            counts = {f"n_{KINDS[kind]}": [sum(s[1] == kind for s in base) for base, _ in found] for kind in range(3)}
+            return counts | {"base_sha256": [hashlib.sha256(render(base).encode()).hexdigest() for base, _ in found], "spans": [render(spans) for _, spans in found]}
+
+        return work
+
+    added = {f"n_{k}": pa.int64() for k in KINDS[:3]} | {"base_sha256": pa.string(), "spans": pa.string()}
+    return map_columns(rows, [text], keep, added, start)
 
 
 def mask_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``rows`` with every span of ``text`` masked; ``length``, if such a column is there,
     becomes the new number of code points of each changed text. Nulls stay null."""
-    columns = rows.columns
+    sized = length in rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tokens = encoding(path, pattern)
-        for pdf in batches:
-            spans = [scan(t if isinstance(t, str) else None, tokens)[1] for t in pdf[text]]
-            hit = [i for i, s in enumerate(spans) if s]
-            if hit:
-                pdf = pdf.copy()
-                new = pdf[text].tolist()
-                for i in hit:
-                    new[i] = mask(new[i], spans[i])
-                pdf[text] = new
-                if length in columns:
-                    sizes = pdf[length].tolist()
-                    for i in hit:
-                        sizes[i] = len(new[i])
-                    pdf[length] = pd.array(sizes, dtype="Int64")
-            yield pdf
-
-    return rows.mapInPandas(run, rows.schema)
+
+        def work(texts, sizes=None):
+            spans = [scan(t, tokens)[1] for t in texts]
+            new = [mask(t, s) if s else t for t, s in zip(texts, spans)]
+            out = {"_masked": new}
+            if sized:
+                out["_size"] = [len(t) if s else n for t, s, n in zip(new, spans, sizes)]
+            return out
+
+        return work
+
+    added = {"_masked": pa.string()} | ({"_size": pa.int64()} if sized else {})
+    done = map_columns(rows, [text, length] if sized else [text], rows.columns, added, start)
+    kind = {text: F.col("_masked")} | ({length: F.col("_size").cast(rows.schema[length].dataType)} if sized else {})
+    return done.select(*[kind.get(c, F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,13 @@ number cost one row there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gristmill.llm.common import settle
+from gristmill.llm.common import map_columns, settle
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -44,14 +41,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = SHINGLE_WORDS) -> DataFrame:
     """Columns ``keep`` and ``fp``, the fingerprint as a signed 64-bit integer. No shuffle."""
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = [fingerprint(t if isinstance(t, str) else None, words) for t in pdf[text]]
-            yield pdf[list(keep)].assign(fp=np.array(values, dtype=np.uint64).view(np.int64))
+    def start():
+        return lambda texts: {"fp": np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)}
 
-    return rows.select(*keep, text).mapInPandas(run, schema)
+    return map_columns(rows, [text], keep, {"fp": pa.int64()}, start)
 
 
 def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
