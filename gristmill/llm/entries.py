@@ -10,6 +10,7 @@ from gristmill.llm.ann import op3_nearest_neighbours
 from gristmill.llm.bpe import op7_bpe_encode_decode
 from gristmill.llm.iblt import op10_document_fingerprints
 from gristmill.llm.langid import op1_language_id
+from gristmill.llm.licenses import op2_license_scan, oracle
 from gristmill.llm.packing import op6_lexical_packing
 from gristmill.llm.quality import op9_quality_classifier
 from gristmill.llm.secrets import op8_secret_scan
@@ -18,6 +19,7 @@ from gristmill.llm.simhash import op4_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_consistent_hash_sharding": op5_consistent_hash_sharding,
@@ -28,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": oracle()}
