@@ -26,6 +26,8 @@ SHARD_BYTES = 1_500_000
 ROW_BYTES = 1024
 #: Shards have numbers below SHARD_STEP windows apart.
 SHARD_STEP = 1 << 32
+#: Shards that a task works through, one by one, so that tasks stay even as the table grows.
+SHARDS_PER_TASK = 32
 K1, B = 1.2, 0.75
 END = 1
 
@@ -164,7 +166,8 @@ def pack_documents(rows: DataFrame, path: str, pattern: str, key: str = "doc_id"
             }
         )
 
-    out = dealt.groupBy("shard").applyInPandas(run, schema)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_PER_TASK))
+    out = dealt.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, schema)
     return out.select(F.col("key").cast(rows.schema[key].dataType).alias(key), *[c for c in out.columns if c != "key"])
 
 
