@@ -1 +1 @@
-
+"""Column functions and registered user functions."""

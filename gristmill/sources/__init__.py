@@ -1 +1 @@
-
+"""Readers and writers: workbooks, page grids, files, text tables, persisted catalogues."""

@@ -1 +1 @@
-
+"""Folder watching, incremental upserts and event-time windows."""
