@@ -257,7 +257,7 @@ def with_next(rows: DataFrame, key: str = "doc_id", text: str = "text", range_ro
     return dealt.withColumn("_next", F.lead("text").over(order)).where("guest = 0").select(key, "text", "_next")
 
 
-def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses.
 
     Null texts count as empty, with the fingerprint of no paragraphs; two empty texts are
@@ -272,7 +272,7 @@ def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text")
         return work
 
     added = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-    return map_columns(with_next(rows, key, text), ["text", "_next"], [key], added, start)
+    return map_columns(with_next(rows, key, text, range_rows), ["text", "_next"], [key], added, start)
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

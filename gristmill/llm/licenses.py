@@ -128,7 +128,7 @@ def find_licenses(rows: DataFrame, text: str = "text", templates: dict[str, str]
     # Null for texts that cannot match, so that nothing more is computed for them.
     seen = rows.withColumn("_units", F.when(maybe, F.transform(anchored, pairs_of)))
     table = F.array(*[F.struct(F.lit(name).alias("name"), _text_array(p).alias("pairs"), F.lit(len(p)).alias("size")) for name, p in pairs.items()])
-    factor = (2 - threshold) / threshold
+    factor = (2 - threshold) / threshold + 1e-9  # sizes just within the bound stay
 
     def compared(unit: Column) -> Column:
         fits = F.filter(table, lambda t: (F.size(unit) * factor >= t["size"]) & (F.size(unit) <= t["size"] * factor))
