@@ -178,7 +178,8 @@ class Catalog:
 
     def index(self) -> DataFrame:
         if self._index is None:
-            frames = {n: t.df.select(*[qcol(c) for c in t.columns]) for n, t in self.tables.items() if t.long_of is None and any(is_text(f.dataType) for f in t.df.schema)}
+            # the labels of total rows are no values that a question could mean
+            frames = {n: t.df.where(~F.col(IS_SUMMARY)).select(*[qcol(c) for c in t.columns]) for n, t in self.tables.items() if t.long_of is None and any(is_text(f.dataType) for f in t.df.schema)}
             self._index = V.value_index(frames)
         return self._index
 

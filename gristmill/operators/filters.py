@@ -21,31 +21,42 @@ from gristmill.columns import any_of, is_text, number, qcol, stripped
 COMPARE = {"eq": eq, "gt": gt, "ge": ge, "lt": lt, "le": le}
 
 
-def text_in(column: Column, values: Sequence[str]) -> Column:
-    return F.coalesce(stripped(column).isin(*[v.strip() for v in values]), F.lit(False))
+# Conditions are null where a value is missing, which a filter drops; a ``coalesce`` to
+# false would say the same but keep them from the scan.
 
 
-def text_not_in(column: Column, values: Sequence[str]) -> Column:
-    return ~text_in(column, values)
+def text_in(column: Column, values: Sequence[str], exact: bool = False) -> Column:
+    """``exact``: the values are stored spellings, so that the scan can look for them."""
+    return column.isin(*values) if exact else stripped(column).isin(*[v.strip() for v in values])
+
+
+def text_not_in(column: Column, values: Sequence[str], exact: bool = False) -> Column:
+    return ~F.coalesce(text_in(column, values, exact), F.lit(False))
 
 
 def contains(column: Column, needle: str) -> Column:
     """Case-insensitive and literal."""
-    return F.coalesce(F.contains(F.lower(column.cast("string")), F.lower(F.lit(needle))), F.lit(False))
+    return F.contains(F.lower(column.cast("string")), F.lower(F.lit(needle)))
 
 
-def compare_number(column: Column, op: str, value: float) -> Column:
-    if op == "ne":
-        return ~number(column).eqNullSafe(F.lit(float(value)))
-    return F.coalesce(COMPARE[op](number(column), F.lit(float(value))), F.lit(False))
+def _literal(value: float) -> Column:
+    """A whole number as such, so that a comparison with a whole-number column needs no cast of it."""
+    value = float(value)
+    return F.lit(int(value)) if value.is_integer() and abs(value) < 2**53 else F.lit(value)
+
+
+def compare_number(column: Column, op: str, value: float, text: bool = True) -> Column:
+    """``text``: the column may hold text, of which what is no number counts as missing."""
+    v = number(column) if text else column
+    return ~v.eqNullSafe(_literal(value)) if op == "ne" else COMPARE[op](v, _literal(value))
 
 
-def number_in(column: Column, values: Sequence[float]) -> Column:
-    return F.coalesce(number(column).isin(*[float(v) for v in values]), F.lit(False))
+def number_in(column: Column, values: Sequence[float], text: bool = True) -> Column:
+    return (number(column) if text else column).isin(*[_literal(v) for v in values])
 
 
-def number_between(column: Column, low: float, high: float) -> Column:
-    return F.coalesce(number(column).between(float(low), float(high)), F.lit(False))
+def number_between(column: Column, low: float, high: float, text: bool = True) -> Column:
+    return (number(column) if text else column).between(_literal(low), _literal(high))
 
 
 def moment(value: date | datetime | str) -> Column:
@@ -55,31 +66,30 @@ def moment(value: date | datetime | str) -> Column:
 
 
 def as_moment(column: Column, text: bool = False) -> Column:
-    return F.try_to_timestamp(column).cast("timestamp_ntz") if text else column.cast("timestamp_ntz")
+    return F.try_to_timestamp(column).cast("timestamp_ntz") if text else column
 
 
 def in_year(column: Column, year: int, text: bool = False) -> Column:
     """A half-open range rather than ``year(column)``, so that a scan can skip by it."""
-    at = column if not text else as_moment(column, text)
-    return F.coalesce((at >= moment(date(year, 1, 1))) & (at < moment(date(year + 1, 1, 1))), F.lit(False))
+    at = as_moment(column, text)
+    return (at >= moment(date(year, 1, 1))) & (at < moment(date(year + 1, 1, 1)))
 
 
 def compare_date(column: Column, op: str, value: date | datetime | str, or_null: bool = False, text: bool = False) -> Column:
-    at = as_moment(column, True) if text else column
+    at = as_moment(column, text)
     if op == "ne":
         return ~at.eqNullSafe(moment(value))
-    found = F.coalesce(COMPARE[op](at, moment(value)), F.lit(False))
+    found = COMPARE[op](at, moment(value))
     return found | at.isNull() if or_null else found
 
 
 def date_between(column: Column, low: date | datetime | str, high: date | datetime | str, text: bool = False) -> Column:
-    at = as_moment(column, True) if text else column
-    return F.coalesce(at.between(moment(low), moment(high)), F.lit(False))
+    return as_moment(column, text).between(moment(low), moment(high))
 
 
 def as_at(start: Column, end: Column, day: date | datetime | str) -> Column:
     """Valid on a day: begun by then, and not ended before it (no end means still valid)."""
-    return F.coalesce(start <= moment(day), F.lit(False)) & F.coalesce(end >= moment(day), F.lit(True))
+    return (start <= moment(day)) & ((end >= moment(day)) | end.isNull())
 
 
 def filter_as_at(df: DataFrame, day: date | datetime | str, start: str = "Start_date", end: str = "End_date") -> DataFrame:
@@ -106,22 +116,23 @@ class BoundFilter:
     values: list = field(default_factory=list)
     op: str = "eq"
     or_null: bool = False
-    text: bool = False  # a date column held as text
+    text: bool = False  # a date or number held as text
+    exact: bool = False  # text values are stored spellings
 
     def condition(self) -> Column:
         c, v = qcol(self.column), self.values
         if self.kind == "text_in":
-            return text_in(c, v)
+            return text_in(c, v, self.exact)
         if self.kind == "text_not_in":
-            return text_not_in(c, v)
+            return text_not_in(c, v, self.exact)
         if self.kind == "contains":
             return contains(c, v[0])
         if self.kind == "number":
-            return compare_number(c, self.op, v[0])
+            return compare_number(c, self.op, v[0], self.text)
         if self.kind == "number_in":
-            return number_in(c, v)
+            return number_in(c, v, self.text)
         if self.kind == "number_between":
-            return number_between(c, v[0], v[1])
+            return number_between(c, v[0], v[1], self.text)
         if self.kind == "year":
             return in_year(c, int(v[0]), self.text)
         if self.kind == "date":

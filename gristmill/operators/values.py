@@ -41,8 +41,9 @@ def value_index(tables: dict[str, DataFrame], most: int = CARDINALITY) -> DataFr
 
 
 def column_domain(df: DataFrame, column: str) -> DataFrame:
-    """``(norm, spellings)``: the stored spellings of each normal form of a column."""
-    shown = df.select(stripped(qcol(column)).alias("display")).where("display is not null and display <> ''").distinct()
+    """``(norm, spellings)``: the spellings of each normal form of a column, exactly as stored,
+    so that a filter on them needs no function of the column."""
+    shown = df.select(qcol(column).cast("string").alias("display")).where("display is not null and trim(display) <> ''").distinct()
     return shown.select("display", norm_text("display").alias("norm")).groupBy("norm").agg(F.sort_array(F.collect_list("display")).alias("spellings"))
 
 

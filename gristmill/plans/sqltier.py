@@ -95,7 +95,7 @@ def run_sql(catalog: Catalog, text: str) -> DataFrame:
     _check(parsed, set(views), set())
     for name in _mentioned(parsed) & set(views):
         table = views[name]
-        table.df.select(*[qcol(c) for c in table.columns]).createOrReplaceTempView(name)
+        table.df.select(*[qcol(c) for c in table.columns]).createOrReplaceTempView("`" + name.replace("`", "``") + "`")
     return spark.sql(text)
 
 
