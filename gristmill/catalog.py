@@ -104,9 +104,9 @@ class Table:
 
     @cached_property
     def profile(self) -> dict[str, ColumnProfile]:
-        """Profiles by column, computed once by one aggregate over the table."""
+        """Profiles by column, computed once by one aggregate over the table, distinct counts sketched."""
         out = {}
-        for row in profile_columns(self.df.select(*[qcol(c) for c in self.columns])).collect():
+        for row in profile_columns(self.df.select(*[qcol(c) for c in self.columns]), exact=False).collect():
             held = row["kind"] == "text" and row["distinct"] > 0 and (row["numeric_rate"] or 0) >= NUMERIC_TEXT
             kind = "empty" if row["distinct"] == 0 else "number" if held else row["kind"]
             out[row["column"]] = ColumnProfile(

@@ -116,23 +116,27 @@ def pivot_sum(df: DataFrame, x: str, hue: str, y: str, values: Sequence[str] | N
 def describe_numeric(df: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric column, two places, exact quartiles.
 
-    Two columns may describe themselves in one pass: their values are unpivoted first.
+    One pass over the table for all columns together.
     """
     names = [f.name for f in df.schema if is_number(f.dataType) and f.name in visible(df)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, q25 double, median double, q75 double, max double")
-    long = df.select(*[qcol(c).cast("double").alias(c) for c in names]).unpivot([], names, "column", "value")
+    parts = []
+    for i, name in enumerate(names):
+        c = qcol(name).cast("double")
+        stats = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "lo": F.min(c), "hi": F.max(c), "q": F.percentile(c, [0.25, 0.5, 0.75])}
+        parts += [e.alias(f"{k}{i}") for k, e in stats.items()]
     two = lambda c: F.bround(c, 2)
-    return long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        two(F.avg("value")).alias("mean"),
-        two(F.stddev_samp("value")).alias("std"),
-        two(F.min("value")).alias("min"),
-        two(F.percentile("value", 0.25)).alias("q25"),
-        two(F.percentile("value", 0.5)).alias("median"),
-        two(F.percentile("value", 0.75)).alias("q75"),
-        two(F.max("value")).alias("max"),
-    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("column"), F.col(f"n{i}").alias("count"), two(F.col(f"mean{i}")).alias("mean"), two(F.col(f"std{i}")).alias("std"), two(F.col(f"lo{i}")).alias("min"),
+                *[two(F.get(F.col(f"q{i}"), F.lit(k))).alias(q) for k, q in enumerate(("q25", "median", "q75"))], two(F.col(f"hi{i}")).alias("max"),
+            )
+            for i, name in enumerate(names)
+        ]
+    )
+    return df.agg(*parts).select(F.explode(rows).alias("d")).select("d.*")
 
 
 def sum_by_type(df: DataFrame, group: str, value: str, company: str | None = None, company_column: str = "COMPANY_CODE") -> DataFrame:

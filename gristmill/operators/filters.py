@@ -156,19 +156,17 @@ SUMMARY_WORDS = ("total", "subtotal", "grand total", "sum", "totals", "συνο
 SUMMARY_COLUMNS, SUMMARY_LENGTH = 8, 40
 
 
-def plain_label(column: Column) -> Column:
-    """Lower case, Greek without accents and with one sigma, single spaces."""
-    text = F.translate(F.lower(stripped(column)), "άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ")
-    return F.regexp_replace(text, r"\s+", " ")
-
-
 def summary_label(column: Column) -> Column:
-    """Whether a cell is a total's label: a summary word, alone or first or last in a short text."""
-    text = plain_label(column)
-    hit = F.lit(False)
-    for word in SUMMARY_WORDS:
-        hit = hit | (text == word) | F.startswith(text, F.lit(f"{word} ")) | F.endswith(text, F.lit(f" {word}"))
-    return F.coalesce(hit & (F.length(text) <= SUMMARY_LENGTH), F.lit(False))
+    """Whether a cell is a total's label: a summary word, alone or first or last in a short text.
+
+    Case, Greek accents and the amount of white space do not matter. One pattern looks
+    for all words, and long cells are passed over before it.
+    """
+    words = "|".join(w.replace(" ", r"\s+") for w in sorted(SUMMARY_WORDS, key=len, reverse=True))
+    text = F.translate(F.lower(column.cast("string")), "άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ")
+    found = text.rlike(rf"(?s)^\s*(?:{words})(?:\s.*)?$|^.*\s(?:{words})\s*$")
+    short = F.length(F.regexp_replace(stripped(column), r"\s+", " ")) <= SUMMARY_LENGTH
+    return F.coalesce((F.length(column.cast("string")) <= 4 * SUMMARY_LENGTH) & found & short, F.lit(False))
 
 
 def is_summary_row(df: DataFrame) -> Column:
