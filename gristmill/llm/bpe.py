@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -32,6 +33,19 @@ MAX_MEMO = 300_000
 MAX_PAIRS = 500_000
 #: Pretokens of one text that are handled at once, so that a text of any length needs bounded memory.
 SLICE = 200_000
+# Characters that ``regex`` takes for letters or digits and the splitter of
+# tiktoken 0.14 does not, for it follows an earlier version of Unicode.
+NEWER = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    "\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: Quick test for whether a text can have any of them, and a character of neither kind to stand in.
+MAYBE_NEWER = re.compile("[\u0558-\U0003fc3f]")
+NEITHER = "\ue000"
 #: White space of the pattern, as Unicode's White_Space property has it.
 SPACE = r"\p{White_Space}"
 
@@ -181,15 +195,22 @@ class Codec:
         self.memo = _Memo(self.transducer)
         self.bytes_of_text = {str(rank): token for token, rank in ranks.items()}
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """Pretokens of a text, split as the tiktoken library does."""
+        shown = text
+        if not text.isascii() and MAYBE_NEWER.search(text):
+            shown = NEWER.sub(NEITHER, text)
+        return (text[m.start() : m.end()] for m in self.pattern.finditer(shown))
+
     def encode_text(self, text: str) -> Iterator[str]:
         """Decimal ids joined by single spaces, in slices of the text's pretokens."""
         lookup = self.memo.__getitem__
-        if len(text) <= SLICE:
+        if len(text) <= SLICE and (text.isascii() or not MAYBE_NEWER.search(text)):
             pieces = self.pattern.findall(text)
             if pieces:
                 yield " ".join(map(lookup, pieces))
             return
-        found = (m.group() for m in self.pattern.finditer(text))
+        found = self.pieces(text)
         while pieces := list(islice(found, SLICE)):
             yield " ".join(map(lookup, pieces))
 

@@ -110,6 +110,19 @@ def test_transducer_equals_merging_any_bytes(piece):
     assert CODEC.transducer.encode(piece) == bpe.merge(piece, RANKS)
 
 
+def test_splits_like_tiktoken_at_every_code_point():
+    """A vocabulary that joins a letter, digit or mark with the next byte shows who takes part in a pretoken."""
+    ranks = {bytes([i]): i for i in range(256)}
+    for lead in b"a1!":
+        for byte in range(128, 256):
+            ranks[bytes([lead, byte])] = len(ranks)
+    probe = tiktoken.Encoding("p", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tool = bpe.Codec(ranks, P.PATTERN)
+    points = [c for c in range(128, 0x40000) if not 0xD800 <= c < 0xE000]
+    bad = [c for c in points for lead in "a1!" if (probe.encode_ordinary(lead + chr(c))[0] >= 256) != (len(list(tool.pieces(lead + chr(c)))) == 1)]
+    assert bad == []
+
+
 def test_transducer_begins_anew_when_full():
     small = bpe.Transducer(RANKS, max_states=50)
     rng = random.Random(6)
