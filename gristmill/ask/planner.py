@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from datetime import date
 
 from gristmill.ask.grounding import STOP, Evidence, ground, likeness, missing_conditions, readings
+from gristmill.ask.routing import names_for_codes, tables_for, without_column
 from gristmill.catalog import Catalog
 from gristmill.functions.text import first_object, plain, tokens_of
 from gristmill.plans.compiler import Compiled, compile_plan
@@ -142,7 +143,7 @@ GRAMMAR = (
 
 def model_plan(question: str, evidence: Evidence, catalog: Catalog, model: Model, day: date | None) -> tuple[Plan, Compiled | None]:
     """A plan from the model, compiled; told of its errors once, it may mend them. PlanError beyond that."""
-    tables = [n for n, _ in evidence.ranking[:6]]
+    tables = tables_for(question, evidence, catalog)
     found = ", ".join(f"{h.table}.{h.column} = {h.display!r}" for h in evidence.hits)
     messages = [{"role": "system", "content": GRAMMAR}, {"role": "user", "content": f"{schema_text(catalog, tables)}\nVerified values: {found or 'none'}\nQuestion: {question}"}]
     for attempt in range(2):
@@ -199,6 +200,7 @@ class Conversation:
         plan = follow_up(question, self.last, self.catalog)
         if plan is not None:
             return self._run(plan, "follow-up", None, question)
+        question = names_for_codes(question, self.catalog)
         evidence = ground(question, self.catalog)
         cached = self.plans.get(self.catalog.version(), {}).get(plain(question))
         if cached:
@@ -235,7 +237,9 @@ class Conversation:
             evidence.hits = [h for h in evidence.hits if h.display != picked["value"]]
             table = next(n for n, t in self.catalog.tables.items() if picked["column"] in t.columns)
             fns = {AGGREGATIONS[w] for w in tokens_of(question) if w in AGGREGATIONS} or {"sum"}
-            return self._run(Plan(table=table, aggregations=[Aggregation(sorted(fns)[0], picked["column"])]), "choice", evidence.day, question)
+            plan = Plan(table=table, aggregations=[Aggregation(sorted(fns)[0], picked["column"])])
+            forbidden = next((w["column"] for w in ways if w["kind"] == "filter"), "")
+            return self._run(without_column(plan, forbidden), "choice", evidence.day, question)
         plan = simple_plan(evidence, self.catalog)
         return self._run(plan, "choice", evidence.day, question) if plan else Answer("none", text="The question is not plain enough to plan without a model.")
 

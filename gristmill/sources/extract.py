@@ -47,3 +47,29 @@ def table_in(text: str) -> tuple[list[str], list[list[str]]] | None:
             return rows[0], rows[1:]
     items = [(m[1].strip(), m[2]) for m in re.finditer(ITEM, text)]
     return (["label", "value"], [list(x) for x in items]) if len(items) >= 2 else None
+
+
+def code_name_list(df: DataFrame) -> DataFrame | None:
+    """Distinct (code, name) rows of a result of two columns of which one is codes for the most part; else None."""
+    from gristmill.functions.text import looks_like_code
+
+    if len(df.columns) != 2:
+        return None
+    shares = df.agg(*[F.avg(looks_like_code(qcol(c).cast("string")).cast("int")).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    best = max((0, 1), key=lambda i: shares[i] or 0.0)
+    if (shares[best] or 0.0) < 0.5:
+        return None
+    return df.select(qcol(df.columns[best]).alias("code"), qcol(df.columns[1 - best]).alias("name")).distinct()
+
+
+def badge(name: str) -> str | None:
+    """The short code that a table's name begins with, such as CY05."""
+    found = re.search(r"\b([A-Z]{2,4}\d{1,3})\b", name)
+    return found[1] if found else None
+
+
+def chartable(df: DataFrame) -> bool:
+    """Whether a result has a number column and two rows at least."""
+    from gristmill.columns import is_number
+
+    return any(is_number(f.dataType) for f in df.schema) and len(df.limit(2).collect()) == 2
