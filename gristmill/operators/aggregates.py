@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from gristmill.columns import is_date, is_number, is_text, number, qcol, visible
 from gristmill.operators.filters import COMPARE
+from gristmill.operators.quantiles import exact_quantiles
+
+#: Rows up to which exact quartiles come from one aggregation buffer a column.
+ONE_PASS_ROWS = 5_000_000
 
 FUNCTIONS = ("sum", "mean", "median", "min", "max", "count", "nunique")
 
@@ -113,18 +117,23 @@ def pivot_sum(df: DataFrame, x: str, hue: str, y: str, values: Sequence[str] | N
     return wide.na.fill(0.0, subset=[c for c in wide.columns if c != x])
 
 
-def describe_numeric(df: DataFrame) -> DataFrame:
+def describe_numeric(df: DataFrame, one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric column, two places, exact quartiles.
 
-    One pass over the table for all columns together.
+    One pass over the table for all columns together. Beyond ``one_pass_rows`` rows the
+    quartiles are searched for in passes of bounded memory (``quantiles``), just as exact.
     """
     names = [f.name for f in df.schema if is_number(f.dataType) and f.name in visible(df)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, q25 double, median double, q75 double, max double")
+    shares = [0.25, 0.5, 0.75]
+    large = df.count() > one_pass_rows  # from file statistics, where the table is as stored
+    known = exact_quantiles(df, names, shares) if large else {}
     parts = []
     for i, name in enumerate(names):
         c = qcol(name).cast("double")
-        stats = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "lo": F.min(c), "hi": F.max(c), "q": F.percentile(c, [0.25, 0.5, 0.75])}
+        quartiles = F.array(*[F.lit(v).cast("double") for v in known[name]]) if large else F.percentile(c, shares)
+        stats = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "lo": F.min(c), "hi": F.max(c), "q": quartiles}
         parts += [e.alias(f"{k}{i}") for k, e in stats.items()]
     two = lambda c: F.bround(c, 2)
     rows = F.array(
