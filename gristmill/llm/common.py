@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,13 +16,16 @@ from pyspark.sql.pandas.types import from_arrow_type
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it with its lineage cut.
 
-    The folder is the one ``spark.checkpoint.dir`` names. Only a session without
-    that setting (tests, one machine) gets a temporary folder of its own.
+    The folder is the one ``spark.checkpoint.dir`` names. Without that setting a session
+    on one machine gets a temporary folder of its own; on a cluster that is an error, for
+    other machines could not read it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
