@@ -18,7 +18,7 @@ from gristmill.operators import retrieval as H
 from gristmill.operators.joins import upsert_by_source
 from gristmill.plans.compiler import Compiled, compile_plan
 from gristmill.plans.ir import Plan
-from gristmill.plans.sqltier import TimeLimit, run_sql
+from gristmill.plans.sqltier import TimeLimit, run_sql, spell_literals
 from gristmill.sources import files
 from gristmill.functions.dates import filename_asof
 
@@ -63,8 +63,17 @@ class Engine:
     def ask(self, question: str) -> Answer:
         return self.conversation.ask(question)
 
-    def sql(self, text: str) -> DataFrame:
-        return run_sql(self.catalog, text)
+    def sql(self, text: str, spell: bool = True) -> DataFrame:
+        """A guarded query; with ``spell``, text literals take the spelling that the tables have."""
+        return run_sql(self.catalog, spell_literals(self.catalog, text)[0] if spell and "'" in text else text)
+
+    def chart(self, plan: dict | Plan, most: int = 15) -> dict:
+        """A chart of a plan with one group and one measure: its kind and its (label, value) rows,
+        the smaller ones beyond ``most`` together as Other."""
+        compiled = self.compile(plan)
+        label, value = compiled.df.columns[0], compiled.df.columns[-1]
+        data = A.topn_other(compiled.df.withColumn(label, qcol(label).cast("string")), label, value, most)
+        return {"kind": "bar" if data.count() <= 8 else "barh", "x": label, "y": value, "data": data}
 
     def limit(self, seconds: float | None = None) -> TimeLimit:
         """A context in which Spark jobs are cancelled after the engine's time limit."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.columns import qcol
 from gristmill.functions.text import chunk_text, cosine, tokenize, tokens_of
@@ -20,6 +22,28 @@ def build_chunks(rows: DataFrame, text: str = "text", keep: Sequence[str] = ("do
     return rows.select(*[qcol(c) for c in keep], F.posexplode(chunk_text(qcol(text))).alias("position", "chunk"))
 
 
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "chunk", tag: str | None = "source", batch: int = 64, vector: str = "embedding") -> DataFrame:
+    """``rows`` with a unit vector of each text, which is led by its source's name if ``tag`` is given.
+
+    ``embedder`` maps texts to vectors and runs in the executors, ``batch`` texts at a time.
+    """
+    shown = F.concat_ws(" ", F.concat(F.lit("["), qcol(tag), F.lit("]")), qcol(text)) if tag else qcol(text)
+    schema = T.StructType([*rows.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            found: list[list[float]] = []
+            for lo in range(0, len(texts), batch):
+                for v in embedder(texts[lo : lo + batch]):
+                    size = sum(x * x for x in v) ** 0.5 or 1.0
+                    found.append([x / size for x in v])
+            arrays = [*b.columns[:-1], pa.array(found, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.withColumn("__shown", shown).mapInArrow(run, schema)
+
+
 def dense_topk(vectors: DataFrame, query: Sequence[float], k: int = FETCH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows of the greatest cosine, ties to the smaller key; planned as a top-k."""
     asked = F.array(*[F.lit(float(v)) for v in query])

@@ -11,9 +11,11 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gristmill.catalog import Catalog
 from gristmill.columns import qcol
+from gristmill.functions.text import plain
 from gristmill.plans.ir import PlanError
 
 # Logical plan nodes of a query, as the parser names them.
@@ -72,6 +74,31 @@ def _check_expression(e, names: set[str], defined: set[str]) -> None:
         _check_expression(child, names, defined)
 
 
+def spell_literals(catalog: Catalog, text: str) -> tuple[str, list[str]]:
+    """The query with its text literals in the spelling that the tables have, and what was changed.
+
+    A literal changes only if it is a stored value in another spelling, and only into the
+    one such value; literals of no value stay, for they may be patterns.
+    """
+    wanted = {plain(m) for m in re.findall(r"'([^']+)'", text)}
+    if not wanted:
+        return text, []
+    stored: dict[str, set[str]] = {}
+    for r in catalog.index().where(F.col("norm").isin(*sorted(wanted))).select("norm", "display").distinct().collect():
+        stored.setdefault(r["norm"], set()).add(r["display"])
+    notes: list[str] = []
+
+    def spell(m: re.Match) -> str:
+        known = stored.get(plain(m[1]), set())
+        if len(known) != 1 or m[1] in known:
+            return m[0]
+        (value,) = known
+        notes.append(f"{m[1]!r} was read as {value!r}")
+        return "'" + value.replace("'", "''") + "'"
+
+    return re.sub(r"'([^']+)'", spell, text), notes
+
+
 def view_name(table: str) -> str:
     """A name that needs no quotes: letters, digits and underscores."""
     plain = re.sub(r"\W+", "_", table).strip("_")

@@ -8,11 +8,12 @@ import pytest
 
 from gristmill.ask.grounding import as_at_day
 from gristmill.ask.planner import Conversation
-from gristmill.catalog import Catalog
+from gristmill.catalog import Card, Catalog
 from gristmill.engine import Engine, as_html, as_text, condensed
 from gristmill.plans.compiler import compile_plan
 from gristmill.plans.ir import Plan, PlanError
-from gristmill.plans.sqltier import SqlRefused, run_sql, view_name
+from gristmill.operators.retrieval import embed
+from gristmill.plans.sqltier import SqlRefused, run_sql, spell_literals, view_name
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +196,35 @@ def test_results_are_condensed(spark):
     shown, constants = condensed(df)
     assert constants == {"unit": "EUR", "count": "15"} or constants == {"unit": "EUR"}
     assert shown.count() == 2
+
+
+def test_snapshots_need_no_filter_on_their_day(spark):
+    tables = Catalog(spark)
+    rows_ = spark.createDataFrame([("a", datetime(2023, 12, 31)), ("b", datetime(2023, 12, 31))], "NAME string, CALC_DATE timestamp_ntz")
+    tables.add("s", rows_, Card(as_of="2023-12-31"))
+    plan = {"table": "s", "filters": [{"column": "CALC_DATE", "op": "eq", "value": "31.12.2023"}], "select": ["NAME"]}
+    compiled = compile_plan(plan, tables)
+    assert compiled.df.count() == 2 and any("dropped" in n for n in compiled.notes)
+    other = compile_plan(plan, tables, datetime(2022, 12, 31))
+    assert any("not on 2022-12-31" in n for n in other.notes)
+
+
+def test_codes_join_groups_only_one_to_one(catalog):
+    grouped = compile_plan({"table": "CY05", "group_by": ["COMPANY_NAME"], "aggregations": [{"fn": "count"}]}, catalog)
+    assert grouped.df.columns[:2] == ["COMPANY_CODE", "COMPANY_NAME"]
+
+
+def test_sql_literals_are_spelled_as_stored(catalog):
+    text, notes = spell_literals(catalog, "SELECT * FROM book_xlsx_MATRIX WHERE COMPANY = 'nordic trade' AND CURRENCY LIKE 'e%'")
+    assert "'NORDIC TRADE'" in text and "'e%'" in text and len(notes) == 1
+    assert run_sql(catalog, text.replace("LIKE 'e%'", "IS NOT NULL")).count() == 2
+
+
+def test_charts_and_embeddings(spark, catalog):
+    engine = Engine(spark)
+    engine.catalog = catalog
+    made = engine.chart({"table": "MATRIX", "group_by": ["COMPANY"], "aggregations": [{"fn": "sum", "column": "AMOUNT EURO", "alias": "s"}]}, most=1)
+    assert sorted(map(tuple, made["data"].collect())) == [("NORDIC TRADE", 150.0), ("Other", 25.0)] and made["kind"] == "bar"
+    chunks = spark.createDataFrame([("f", "abc"), ("g", None)], "source string, chunk string")
+    got = embed(chunks, lambda texts: [[3.0, 4.0 * len(t)] for t in texts], batch=1).collect()
+    assert got[0]["embedding"][0] == pytest.approx(3 / (9 + 28**2) ** 0.5)
