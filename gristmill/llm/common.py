@@ -30,6 +30,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores added until no column has it; case does not tell columns apart."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -56,21 +64,25 @@ def map_columns(rows: DataFrame, inputs: Sequence[str], keep: Sequence[str], add
 
     ``start`` runs once a task and returns a function from the lists of the inputs'
     values (None for null) to the added columns. Kept columns pass through in Arrow,
-    whatever their types and nulls; no shuffle.
+    whatever their types and nulls; no shuffle. A kept column gives way to an added one
+    of the same name.
     """
-    clash = set(keep) & set(added)
-    if clash:
-        raise ValueError(f"columns would clash: {sorted(clash)}")
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(n, from_arrow_type(t)) for n, t in added.items()])
+    new = {n.lower() for n in added}
+    keep = [c for c in keep if c.lower() not in new]
     wanted = list(dict.fromkeys([*keep, *inputs]))
-    keep, inputs = list(keep), list(inputs)
+    place = {name: i for i, name in enumerate(wanted)}
+    kinds = list(added.items())
+    # plain names inside, for Arrow functions take no names with dots
+    fields = [T.StructField(f"k{i}", rows.schema[c].dataType) for i, c in enumerate(keep)]
+    schema = T.StructType(fields + [T.StructField(f"a{i}", from_arrow_type(t)) for i, (_, t) in enumerate(kinds)])
+    names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            place = {name: i for i, name in enumerate(wanted)}
             found = work(*[batch.column(place[c]).to_pylist() for c in inputs])
-            arrays = [batch.column(place[c]) for c in keep] + [pa.array(found[n], type=t) for n, t in added.items()]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
+            arrays = [batch.column(place[c]) for c in keep] + [pa.array(found[n], type=t) for n, t in kinds]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
+    plain = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(wanted)])
+    return plain.mapInArrow(run, schema).toDF(*keep, *added)

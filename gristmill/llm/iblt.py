@@ -231,13 +231,14 @@ def _range_number(key: Column, cuts: list) -> tuple[Column, Column]:
 
 
 def with_next(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> DataFrame:
-    """``(key, text, _next)``: each row with the text of the next row by (key, text), the last with that of the first.
+    """``(key, _text, _next)``: each row with the text of the next row by (key, text), the last with that of the first.
 
     Rows go to ranges of keys, cut at keys of a bounded sample. The rows of a range's first
     key, which is its cut, are shown to the range before it too, so one shuffle of the
     texts gives every row its successor. Null keys come first. A key's repeats share a range.
     """
-    plain = rows.select(F.col(key), F.col(text).alias("text"))
+    name, key = key, "_key"
+    plain = rows.select(F.col(f"`{name}`").alias(key), F.col(f"`{text}`").alias("text"))
     total, nulls = plain.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
     ranges = min(MOST_RANGES, max(1, -(-total // range_rows)))
     cuts: list = []
@@ -254,7 +255,7 @@ def with_next(rows: DataFrame, key: str = "doc_id", text: str = "text", range_ro
     homes = F.array(F.struct(number.cast("int").alias("r"), F.lit(0).alias("guest")), F.struct(shown.cast("int").alias("r"), F.lit(1).alias("guest")))
     dealt = plain.select(key, "text", F.explode(F.filter(homes, lambda h: h["r"].isNotNull())).alias("home")).select(key, "text", "home.r", "home.guest")
     order = Window.partitionBy("r").orderBy("guest", F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first())
-    return dealt.withColumn("_next", F.lead("text").over(order)).where("guest = 0").select(key, "text", "_next")
+    return dealt.withColumn("_next", F.lead("text").over(order)).where("guest = 0").select(F.col(key).alias(name), F.col("text").alias("_text"), "_next")
 
 
 def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> DataFrame:
@@ -272,7 +273,7 @@ def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text",
         return work
 
     added = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-    return map_columns(with_next(rows, key, text, range_rows), ["text", "_next"], [key], added, start)
+    return map_columns(with_next(rows, key, text, range_rows), ["_text", "_next"], [key], added, start)
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 def identify(rows: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``rows`` (columns ``keep``, default all) with the predicted language and its probability.
 
-    Null, empty and letterless texts get ``und`` and 0. Texts of any length are read
+    Null, empty and letterless texts get ``und`` and 0. Columns of the new names give way. Texts of any length are read
     whole. The network is a few hundred kilobytes whatever the input; no shuffle.
     """
     bound = rows.sparkSession.sparkContext.broadcast((net, net.tables()))

@@ -17,6 +17,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import fresh
+
 THRESHOLD = 0.8
 
 # Licence notices and short licence texts, as published.
@@ -94,13 +96,16 @@ def find_licenses(rows: DataFrame, text: str = "text", templates: dict[str, str]
     """``rows`` with ``n_license_units`` (distinct normalised units that match), ``license`` and
     ``license_dice`` (the best match, ties to the first name) and ``licenses`` (all names, comma-joined).
 
+    Columns of these names give way.
     Null, empty and unmatched texts have 0, null, null and the empty string. Work stays
     inside each row: no shuffle, no join, no limit on a text's length.
     """
     templates = TEMPLATES if templates is None else templates
-    clash = {"n_license_units", "license", "license_dice", "licenses"} & set(rows.columns)
-    if clash:
-        raise ValueError(f"columns would clash: {sorted(clash)}")
+    new = ("n_license_units", "license", "license_dice", "licenses")
+    if text in new:
+        raise ValueError(f"the text column cannot be called {text}")
+    rows = rows.drop(*new)
+    units_, found_, best_ = (fresh(n, rows.columns) for n in ("_units", "_found", "_best"))
     pairs = {name: bigrams(body) for name, body in sorted(templates.items())}
     pairs = {name: p for name, p in pairs.items() if p}
     words = sorted({w for p in pairs.values() for w in anchors(p, threshold)})
@@ -126,7 +131,7 @@ def find_licenses(rows: DataFrame, text: str = "text", templates: dict[str, str]
         return F.array_distinct(F.zip_with(head, tail, lambda a, b: F.concat_ws(" ", a, b)))
 
     # Null for texts that cannot match, so that nothing more is computed for them.
-    seen = rows.withColumn("_units", F.when(maybe, F.transform(anchored, pairs_of)))
+    seen = rows.withColumn(units_, F.when(maybe, F.transform(anchored, pairs_of)))
     table = F.array(*[F.struct(F.lit(name).alias("name"), _text_array(p).alias("pairs"), F.lit(len(p)).alias("size")) for name, p in pairs.items()])
     factor = (2 - threshold) / threshold + 1e-9  # sizes just within the bound stay
 
@@ -135,16 +140,15 @@ def find_licenses(rows: DataFrame, text: str = "text", templates: dict[str, str]
         dice = F.transform(fits, lambda t: F.struct((F.lit(-2.0) * F.size(F.array_intersect(unit, t["pairs"])) / (F.size(unit) + t["size"])).alias("minus"), t["name"].alias("name")))
         return F.filter(dice, lambda d: d["minus"] <= -threshold)
 
-    found = seen.withColumn("_found", F.filter(F.transform("_units", compared), lambda d: F.size(d) > 0))
-    flat = F.array_sort(F.flatten("_found"))
-    best = found.withColumn("_best", flat)
-    some = F.size("_best") > 0
+    found = seen.withColumn(found_, F.filter(F.transform(units_, compared), lambda d: F.size(d) > 0))
+    best = found.withColumn(best_, F.array_sort(F.flatten(found_)))
+    some = F.size(best_) > 0
     return best.select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        F.when(some, F.size("_found")).otherwise(0).cast("long").alias("n_license_units"),
-        F.when(some, F.get("_best", F.lit(0))["name"]).alias("license"),
-        F.when(some, -F.get("_best", F.lit(0))["minus"]).alias("license_dice"),
-        F.when(some, F.array_join(F.array_sort(F.array_distinct(F.transform("_best", lambda d: d["name"]))), ",")).otherwise("").alias("licenses"),
+        F.when(some, F.size(found_)).otherwise(0).cast("long").alias("n_license_units"),
+        F.when(some, F.get(best_, F.lit(0))["name"]).alias("license"),
+        F.when(some, -F.get(best_, F.lit(0))["minus"]).alias("license_dice"),
+        F.when(some, F.array_join(F.array_sort(F.array_distinct(F.transform(best_, lambda d: d["name"]))), ",")).otherwise("").alias("licenses"),
     )
 
 

@@ -142,11 +142,11 @@ def pack_documents(rows: DataFrame, path: str, pattern: str, key: str = "doc_id"
     One shuffle, by a hash of key and text; the number of shards follows the bytes of the
     table, so a shard's work is the same at any size. An empty table gives no rows.
     """
-    plain = rows.select(F.col(key), F.col(text).alias("text"))
+    plain = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     weight = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
     shards = max(1, -(-weight // shard_bytes))
     # the key travels as text, which keeps large integers next to nulls exact
-    dealt = plain.select(F.col(key).cast("string").alias("key"), "text", F.pmod(F.xxhash64(key, "text"), F.lit(shards)).alias("shard"))
+    dealt = plain.select(F.col("key").cast("string").alias("key"), "text", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).alias("shard"))
     schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.bpe import read_ranks
-from gristmill.llm.common import map_columns
+from gristmill.llm.common import fresh, map_columns
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -123,6 +123,7 @@ def mask_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", l
     """``rows`` with every span of ``text`` masked; ``length``, if such a column is there,
     becomes the new number of code points of each changed text. Nulls stay null."""
     sized = length in rows.columns
+    masked, size = fresh("_masked", rows.columns), fresh("_size", rows.columns)
 
     def start():
         tokens = encoding(path, pattern)
@@ -130,16 +131,16 @@ def mask_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", l
         def work(texts, sizes=None):
             spans = [scan(t, tokens)[1] for t in texts]
             new = [mask(t, s) if s else t for t, s in zip(texts, spans)]
-            out = {"_masked": new}
+            out = {masked: new}
             if sized:
-                out["_size"] = [len(t) if s else n for t, s, n in zip(new, spans, sizes)]
+                out[size] = [len(t) if s else n for t, s, n in zip(new, spans, sizes)]
             return out
 
         return work
 
-    added = {"_masked": pa.string()} | ({"_size": pa.int64()} if sized else {})
+    added = {masked: pa.string()} | ({size: pa.int64()} if sized else {})
     done = map_columns(rows, [text, length] if sized else [text], rows.columns, added, start)
-    kind = {text: F.col("_masked")} | ({length: F.col("_size").cast(rows.schema[length].dataType)} if sized else {})
+    kind = {text: F.col(masked)} | ({length: F.col(size).cast(rows.schema[length].dataType)} if sized else {})
     return done.select(*[kind.get(c, F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 

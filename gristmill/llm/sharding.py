@@ -115,10 +115,15 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, nodes: in
 
     Rows of a cell are ranked by ring position, key and the columns ``order``; rows that
     agree in all of these can be told apart by nobody and take any of their slots. Pass
-    no payload: all columns of ``rows`` are sorted within cells. An empty table gives none.
+    no payload: all columns of ``rows`` are sorted within cells. Columns of the new names give way. An empty table gives none.
     """
-    if {"shard", "slot"} & set(rows.columns):
-        raise ValueError("columns shard and slot would clash")
+    if key in ("shard", "slot"):
+        raise ValueError(f"the key column cannot be called {key}")
+    rows = rows.drop("shard", "slot")
+    payload = rows.columns
+    # plain names inside, whatever the columns are called
+    rows = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(payload)])
+    key, order = f"c{payload.index(key)}", tuple(f"c{payload.index(c)}" for c in order)
     spark = rows.sparkSession
     ring = Ring.of(shards, nodes)
     total = rows.count()
@@ -139,7 +144,7 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, nodes: in
     joined = ranked.join(per_cell, "_cell")
     mine = F.filter("_ranges", lambda r: (r["_first"] <= F.col("_rank")) & (F.col("_rank") < r["_end"]))[0]
     return joined.withColumn("_mine", mine).select(
-        *[F.col(f"`{c}`") for c in rows.columns],
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(payload)],
         F.col("_mine._shard").cast("int").alias("shard"),
         (F.col("_mine._slot") + F.col("_rank") - F.col("_mine._first")).alias("slot"),
     )

@@ -121,13 +121,14 @@ def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", wo
     like others; null texts count as empty. Rows with a null key take part but never
     name a component unless all its keys are null. An empty table gives no rows.
     """
-    prints = settle(fingerprints(rows, text, (key,), words))
-    classes = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    plain = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    prints = settle(fingerprints(plain, "text", ("key",), words))
+    classes = prints.groupBy("fp").agg(F.min("key").alias("least"))
     found = components(links(classes.select("fp"), distance))
     reached = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     member = reached.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select(key, "fp", "component_id")
+    return prints.join(member, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_run_equals_the_stages(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_stages_bear_extra_columns_and_nothing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.selectExpr("*", "1 AS _row", "2 AS _score", "3 AS _pred", "4 AS fp", "5 AS _masked", "6 AS key", "7 AS `a.b`")
+    for rows in (more, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, folder)
+            assert out.columns == rows.columns, name
+            assert (out.count() > 0) == (rows is more), name
+        assert (corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() > 0) == (rows is more)

@@ -56,8 +56,8 @@ def test_language_of_odd_rows(tables, net, odd):
     und = sorted((r["doc_id"] or 0) for r in rows if r["lang_pred"] == "und")
     assert und == sorted((d or 0) for d, t in odd if t is None or not any(map(str.isalpha, t)))
     assert langid.identify(tables([]), net).count() == 0
-    with pytest.raises(ValueError):
-        langid.identify(tables(odd).withColumnRenamed("doc_id", "score"), net)
+    clash = tables(odd).selectExpr("doc_id AS Score", "text", "'x' AS lang_pred", "1 AS cell")
+    assert langid.identify(clash, net).columns == ["text", "cell", "lang_pred", "score"]
 
 
 def test_language_training_without_rows(tables):
@@ -203,3 +203,5 @@ def test_secrets_of_odd_rows(tables, odd):
     assert masked.columns == docs.columns
     assert [tuple(r) for r in masked.orderBy("doc_id").collect()] == [(1, "[SECRET]", 8), (2, None, None), (3, "fine", 99)]
     assert secrets.mask_secrets(tables([]), path, P.PATTERN).count() == 0
+    clash = docs.selectExpr("*", "1 AS _masked", "2 AS _SIZE", "3 AS `p.q`")
+    assert secrets.mask_secrets(clash, path, P.PATTERN).where("text = '[SECRET]' AND n_chars = 8 AND _masked = 1 AND _SIZE = 2").count() == 1
