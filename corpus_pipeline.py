@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import langid, packing, quality, secrets, simhash
-from gristmill.llm.common import documents, id_crc, settle
+from gristmill.llm.common import documents, fresh, id_crc, settle
 
 #: A text goes if no language reaches this probability, or if it has no letter.
 LANGUAGE_SCORE = 0.4
@@ -23,14 +23,16 @@ LANGUAGE_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language is recognised: not ``und``, and LANGUAGE_SCORE or more."""
     net = langid.fit(documents(spark, sf_dir).where(F.pmod(id_crc(F.col("doc_id")), F.lit(3)) != 1))
-    rated = langid.identify(docs, net, pred="_pred", score="_score")
-    return rated.where((F.col("_pred") != langid.UNDETERMINED) & (F.col("_score") >= LANGUAGE_SCORE)).drop("_pred", "_score")
+    pred, score = fresh("_pred", docs.columns), fresh("_score", docs.columns)
+    rated = langid.identify(docs, net, pred=pred, score=score)
+    return rated.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LANGUAGE_SCORE)).drop(pred, score)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose quality score reaches the acceptance mark."""
     ranker = quality.fit(quality.labelled(spark, sf_dir))
-    return quality.rate(docs, ranker, score="_score").where(F.col("_score") >= quality.ACCEPT).drop("_score")
+    score = fresh("_score", docs.columns)
+    return quality.rate(docs, ranker, score=score).where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are groups of their fingerprint's component like all others, and
     repeated rows of the kept id are told apart by a number, so exactly one row stays.
     """
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-    keyed = numbered.select("_row", "text", "doc_id")
-    groups = simhash.near_duplicates(keyed, key="_row").select("_row", F.col("component_id").alias("_group"))
-    first = groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("_group").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    return numbered.join(first.select("_row"), "_row", "left_semi").drop("_row")
+    row = fresh("_row", docs.columns)
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    keyed = numbered.select(F.col(row).alias("row"), "text", "doc_id")
+    groups = simhash.near_duplicates(keyed, key="row")
+    first = groups.join(keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row))
+    return numbered.join(first.select(row), row, "left_semi").drop(row)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
