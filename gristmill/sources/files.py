@@ -41,7 +41,7 @@ def read_file(spark: SparkSession, path: str, split: bool = False) -> dict[str,
     if low.endswith(WORKBOOKS):
         return workbook.tables_of(workbook.read_grids(spark, path).cache(), split)
     if low.endswith(".csv"):
-        return {name: spark.read.csv(path, header=True)}
+        return {name: workbook.typed(spark.read.csv(path, header=True))}
     if low.endswith((".parquet", ".json", ".orc")):
         return {name: spark.read.format(low.rsplit(".", 1)[-1]).load(path)}
     if low.endswith(TEXTS):

@@ -206,6 +206,12 @@ def table_from(rows: DataFrame, top: list[list[str | None]], first: int = 0) ->
     if not names or is_degenerate(names):
         return None
     cells = rows.where(F.col("row") >= first + body).orderBy("row").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return typed(cells)
+
+
+def typed(cells: DataFrame) -> DataFrame:
+    """A table of text cells with blanks at the ends gone, empty rows and columns left out, and
+    numbers and dates read where whole columns hold them."""
     clean = dropna_all(strip_cells(cells))
     return coerce(read_numbers(clean, [f.name for f in clean.schema if is_text(f.dataType)]))
 

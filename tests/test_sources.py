@@ -61,6 +61,13 @@ def test_workbook_round_trip(spark, tmp_path):
         files.read_file(spark, "x.doc")
 
 
+def test_csv_is_typed(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('Name,Net,When\n a ,"1.234,50",31.12.2023\nb,"7,5",01.02.2024\n')
+    (df,) = files.read_file(spark, str(path)).values()
+    assert dict(df.dtypes) == {"Name": "string", "Net": "double", "When": "timestamp_ntz"} and df.first()["Net"] == 1234.5
+
+
 def test_merged_cells_dates_and_shared_strings():
     main = workbook.MAIN[1:-1]
     sheet = (
