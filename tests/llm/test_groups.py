@@ -205,6 +205,34 @@ def test_packing_puts_related_texts_together():
     assert sum(len(s) == 1 for s in seen.values()) >= 7
 
 
+def test_packing_finds_related_texts_across_the_table(tables):
+    rng = random.Random(9)
+    words = [[f"{t}{w}" for w in rng.sample(["stone", "river", "cloud", "engine", "violin", "harvest", "lantern", "copper", "meadow", "signal"], 10)] for t in "bcdfghjklm"]
+    rows = [(i, " ".join(rng.choice(words[i % 10]) for _ in range(120))) for i in range(400)]
+    got = packing.pack_documents(tables(rows), P.path("byte_bpe_50k.json"), P.PATTERN, shard_bytes=60_000).collect()
+    shards, whole = defaultdict(Counter), len({r["sequence_id"] >> 32 for r in got})
+    for r in got:
+        if r["start"] == 0:
+            shards[r["sequence_id"] >> 32][r["doc_id"] % 10] += 1
+    # dealt by hash, a shard would hold all ten topics
+    assert whole > 5 and np.mean([len(c) for c in shards.values()]) < 4
+
+
+def test_packing_counts_over_the_whole_table(tables):
+    rng = np.random.default_rng(14)
+    parts = [rng.integers(0, 60, size=n).astype("<u4") for n in (5, 40, 80, 1, 30, 22, 9, 16)]
+    rows = [(str(i), bytearray(p.tobytes())) for i, p in enumerate(parts)]
+    corpus = packing.count_corpus(tables(rows, "key string, ids binary").repartition(3), 16)
+    left = [p[len(p) // 16 * 16 :] for p in parts if len(p) % 16]
+    assert corpus.size == len(left) and np.isclose(corpus.mean, np.mean([len(p) for p in left]))
+    assert all(corpus.have[t] == sum(t in p for p in left) for t in range(len(corpus.have)))
+    index, idf = packing.Index(left[:3], corpus), corpus.idf()
+    for d, p in enumerate(left[:3]):
+        tf = Counter(p.tolist())
+        want = sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(p) / corpus.mean)) for t, n in tf.items() if idf[t] > 0)
+        assert np.isclose(index.scores(d)[d], want)
+
+
 def test_peeling_recovers_the_difference():
     rng = random.Random(10)
     a = prose(rng, "en", 900)
