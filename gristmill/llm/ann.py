@@ -3,7 +3,8 @@
 Coarse centroids and the codebooks of the residuals are fitted in numpy on a bounded
 sample; every vector is indexed under its centroid's cell with the codes of its
 residual. A query probes the cells whose centroids are nearest, ranks their vectors by
-asymmetric distance tables, and takes the exact inner product of the best. How many cells
+asymmetric distance tables, and takes the exact inner product of the best and of all that
+the quantisation error leaves in reach, so nothing in a probed cell is lost. How many cells
 it probes is set on the sample, so that the true neighbours there are found as often
 as asked.
 
@@ -34,7 +35,7 @@ ROUNDS = 8
 #: Share of a sample's true neighbours that the probed cells must hold, and the sample's queries.
 TARGET = 0.98
 TRIAL_QUERIES = 200
-#: Candidates of a cell whose exact product is taken.
+#: Candidates of a cell whose exact product is taken first; all others that the quantisation error leaves in reach follow.
 RERANK = 48
 #: Vectors and queries that one search task gets at most, up to the evenness of a hash.
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
@@ -53,6 +54,13 @@ class Quantiser:
         rest = _split(x - self.centroids[cells])
         return np.stack([_nearest(rest[:, m], self.codebooks[m]) for m in range(SUBSPACES)], axis=1).astype(np.uint8)
 
+    def error(self, x: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes leave of each vector."""
+        rest = _split(x - self.centroids[cells])
+        for m in range(SUBSPACES):
+            rest[:, m] -= self.codebooks[m][codes[:, m]]
+        return np.sqrt((rest**2).sum(axis=(1, 2)))
+
     def order(self, queries: np.ndarray) -> np.ndarray:
         """Cells of each query to probe, nearest centroid first."""
         return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
@@ -121,10 +129,16 @@ def fit(sample: np.ndarray, rows: int, nearest: int = NEAREST, target: float = T
     return quantiser
 
 
+def slack(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each query, more than rounding can change a product with any of ``vectors``."""
+    return 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+
+
 def search(quantiser: Quantiser, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, exact score) of up to ``nearest`` found for each query among these vectors."""
     order = np.argsort(cells, kind="stable")
     ids, cells, codes, vectors = ids[order], cells[order], codes[order], vectors[order]
+    error = quantiser.error(vectors, cells, codes)
     starts = np.searchsorted(cells, np.arange(len(quantiser.centroids) + 1))
     probed = quantiser.order(queries)
     found_q, found_v, found_s = [], [], []
@@ -140,13 +154,22 @@ def search(quantiser: Quantiser, ids: np.ndarray, cells: np.ndarray, codes: np.n
             approx = np.zeros((len(part), hi - lo))
             for m in range(SUBSPACES):
                 approx += tables[part, m][:, codes[lo:hi, m]]
-            if hi - lo > RERANK:
-                best = np.argpartition(-approx, RERANK, axis=1)[:, :RERANK]
-                # all that tie with the last one taken, so that equal vectors stay together
-                limit = np.take_along_axis(approx, best, axis=1).min(axis=1)
-                q, v = np.nonzero(approx >= limit[:, None])
-            else:
-                q, v = np.nonzero(np.ones_like(approx, dtype=bool))
+            mine, these = queries[part], vectors[lo:hi]
+            close = np.ones_like(approx, dtype=bool)
+            first = max(RERANK, nearest)
+            if hi - lo > first:
+                # by Cauchy-Schwarz, no product exceeds its approximation by more than both lengths allow
+                best = np.argpartition(-approx, first, axis=1)[:, :first]
+                sure = np.einsum("qd,qvd->qv", mine, these[best])
+                limit = np.partition(sure, first - nearest, axis=1)[:, first - nearest]
+                reach = approx + (mine @ quantiser.centroids[cell])[:, None] + np.linalg.norm(mine, axis=1)[:, None] * error[lo:hi]
+                close = reach >= (limit - slack(mine, these))[:, None]
+            if hi - lo > nearest:
+                # equal vectors must tie, so products by blocks only say which ones are taken singly
+                near = np.where(close, mine @ these.T, -np.inf)
+                limit = np.partition(near, hi - lo - nearest, axis=1)[:, hi - lo - nearest]
+                close &= near >= (limit - slack(mine, these))[:, None]
+            q, v = np.nonzero(close)
             exact = np.empty(len(q))
             for a in range(0, len(q), 1 << 15):
                 exact[a : a + (1 << 15)] = (vectors[lo:hi][v[a : a + (1 << 15)]] * queries[part][q[a : a + (1 << 15)]]).sum(axis=1)

@@ -146,6 +146,18 @@ def test_sharding_of_odd_rows(tables, odd):
     assert sharding.assign(clash).columns == ["doc_id", "_cell", "c0", "a.b", "shard", "slot"] and sharding.assign(clash).count() == len(odd)
 
 
+def test_nearest_search_is_exact_among_near_copies():
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=(3000, 64)), rng.normal(size=64) + 0.05 * rng.normal(size=(600, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = ann.fit(x, len(x))
+    found.probes = len(found.centroids)
+    ids, cells, asked = np.arange(len(x)), found.cells(x), np.arange(3000, 3600, 20)
+    q, v, s = ann.search(found, ids, cells, found.codes(x, cells), x, asked, x[asked], 20)
+    want = np.argsort(-(x[asked] @ x.T), axis=1)[:, :20]
+    assert all(set(v[q == k]) == set(w.tolist()) for k, w in zip(asked.tolist(), want))
+
+
 def test_packing_covers_every_id(tables, corpus, odd):
     path = P.path("byte_bpe_50k.json")
     hf = Tokenizer.from_file(path)
