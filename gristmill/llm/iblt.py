@@ -33,12 +33,10 @@ BASE_CELLS = 24
 MOST_CELLS = 1 << 22
 #: A paragraph ends at a line break; within a line, runs end behind a word with one of
 #: these last characters (a rule on the word alone, so cuts survive edits elsewhere), or
-#: after so many words.
-LAST = ".,;:!?|dsgxzuy0-9#$%&*"
+#: after so many words. Of the characters beyond ASCII every third ends a run.
+LAST = ".,;:!?|dsgxzuy0-9#$%&*" + "".join(map(chr, range(0x80, 0x3000, 3)))
 LONGEST_RUN = 16
 RUN = re.compile(rf"(?:\S+\s+){{0,{LONGEST_RUN - 1}}}?\S*[{LAST}](?!\S)|(?:\S+\s+){{0,{LONGEST_RUN - 1}}}\S+")
-#: Texts of up to so many characters are cut at every word, for they have few sentences.
-SHORT = 400
 #: Texts whose tables are built side by side.
 GROUP = 500
 #: Rows of a range of keys if ids are even, ranges at most, and keys sampled for each.
@@ -48,9 +46,7 @@ KEYS_PER_RANGE = 25
 
 
 def paragraphs(text: str) -> list[str]:
-    """Pieces of the whole text, without blank ends."""
-    if len(text) <= SHORT:
-        return text.split()
+    """Pieces of the whole text, without blank ends; the rule is the same at any length."""
     return [run for line in text.split("\n") for run in RUN.findall(line)]
 
 

@@ -315,3 +315,15 @@ def test_licence_anchors_lose_no_match():
 def test_no_python_in_the_licence_scan(tables, corpus):
     plan = licenses.find_licenses(tables([(d, t) for d, t, _ in corpus]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_likeness_does_not_jump_with_the_length_of_a_text():
+    rng = random.Random(31)
+    words = prose(rng, "en", 200).split()
+    while len(" ".join(words)) > 408:
+        words.pop()
+    text, less = " ".join(words), " ".join(words[:-2])
+    cyrillic = " ".join("".join(rng.choice("абвгдежзиклмнопрстуя") for _ in range(6)) for _ in range(50))
+    for a, b in ((text, less), (cyrillic, "ещё одно " + cyrillic)):
+        mine, theirs = iblt.digests(a), iblt.digests(b)
+        assert iblt.likeness(len(mine), len(theirs), len(np.setxor1d(mine, theirs))) > 0.8
