@@ -2,9 +2,10 @@
 
 Ordinary words and identifiers cost few tokens under a vocabulary learnt from text;
 random strings cost nearly one token for two characters. A run of key characters
-with a low number of characters per token is reported, after known digests
-(hexadecimal of a usual digest length), UUIDs, plain numbers and dictionary-like
-identifiers are excluded, and unless a fixed pattern has found it already.
+with a low number of characters per token is reported, or, if words around them hide
+it in the run's ratio, those neighbouring parts of it that each have a low number.
+Known digests (hexadecimal of a usual digest length), UUIDs and plain numbers are
+excluded, and what a fixed pattern has found already.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = (16, 32, 40, 56, 64, 96, 128)
 _HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Parts of a run, UUIDs whole; parts and groups of them are tested from these lengths on.
+PART = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+LEAST_PART, LEAST_RUN = 4, 16
 PIECE = 1 << 12
 
 
@@ -51,24 +54,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers, and identifiers made of words: not secrets by themselves."""
+    """Digests, UUIDs and numbers: not secrets by themselves."""
     if _UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(run):
         return True
-    if not any(c.isdigit() for c in run):
-        parts = re.split(r"[-_/+=]+", run)
-        return all(not p or p.islower() or p.isupper() or p[0].isupper() and p[1:].islower() for p in parts)
     return not any(c.isalpha() for c in run)
 
 
+def plain_case(run: str) -> bool:
+    """Letters only, each part in one case or capitalised: short parts say nothing, so its whole ratio does not count."""
+    parts = re.split(r"[-_/+=]+", run)
+    return not any(c.isdigit() for c in run) and all(not p or p.islower() or p.isupper() or p[0].isupper() and p[1:].islower() for p in parts)
+
+
+def dense(run: str, tokens: tiktoken.Encoding) -> bool:
+    """Few characters per token, and nothing known."""
+    return not known(run) and len(run) < CHARS_PER_TOKEN * sum(len(tokens.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+
+def dense_groups(run: str, tokens: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """(start, end) of the longest groups of neighbouring dense parts."""
+    groups: list[tuple[int, int]] = []
+    joined = False
+    for m in PART.finditer(run):
+        if m.end() - m.start() >= LEAST_PART and dense(m.group(), tokens):
+            groups[-1:] = [(groups[-1][0], m.end())] if joined else groups[-1:] + [m.span()]
+            joined = True
+        else:
+            joined = False
+    return [(a, b) for a, b in groups if b - a >= LEAST_RUN and not known(run[a:b])]
+
+
 def random_spans(text: str, tokens: tiktoken.Encoding) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if known(run):
             continue
-        count = sum(len(tokens.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
-        if len(run) < CHARS_PER_TOKEN * count:
+        if not plain_case(run) and dense(run, tokens):
             found.append((m.start(), 3, m.end()))
+        else:
+            found += [(m.start() + a, 3, m.start() + b) for a, b in dense_groups(run, tokens)]
     return found
 
 

@@ -205,3 +205,15 @@ def test_secrets_of_odd_rows(tables, odd):
     assert secrets.mask_secrets(tables([]), path, P.PATTERN).count() == 0
     clash = docs.selectExpr("*", "1 AS _masked", "2 AS _SIZE", "3 AS `p.q`")
     assert secrets.mask_secrets(clash, path, P.PATTERN).where("text = '[SECRET]' AND n_chars = 8 AND _masked = 1 AND _SIZE = 2").count() == 1
+
+
+def test_secrets_behind_words_and_of_one_case():
+    tokens = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(8)
+    lower, upper, letters = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for before, alphabet in (("", lower), ("", upper), ("/var/lib/application/credentials/production/", letters), ("internal-service-account-production-", letters)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(50)]
+        assert sum(any(s <= len(before) and e >= len(before) + 24 for s, _, e in secrets.random_spans(before + k, tokens)) for k in keys) >= 44
+    assert not secrets.random_spans("internal_service_account_production x_i_j_k_l_m_n_o_p_q", tokens)
+    for harmless in ("/var/lib/550e8400-e29b-41d4-a716-446655440000/data", "/archive/2024/01/02/12345678/index", "/var/lib/d41d8cd98f00b204e9800998ecf8427e"):
+        assert not secrets.dense_groups(harmless, tokens)
