@@ -39,6 +39,8 @@ SHARD_STEP = 1 << 32
 SHARDS_PER_TASK = 32
 K1, B = 1.2, 0.75
 END = 1
+#: Columns of a piece, besides its document's key.
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Dimensions of a document's projected vector, vectors that topics are fitted on at most (in expectation), topics for a shard and topics at most.
 DIMENSIONS = 128
 TRAIN_DOCUMENTS = 32_000
@@ -57,20 +59,23 @@ def byte_alphabet() -> dict[str, int]:
 def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
     """The encoder of a byte-level BPE ``tokenizer.json`` whose ids are its merge ranks.
 
-    Its ids are those of the ``tokenizers`` library without special tokens (tests hold
-    them against it), at a quarter of the time.
+    Its ids are those of the ``tokenizers`` library with its defaults and without tokens
+    around a text (tests hold them against it), at a quarter of the time. Strings of added
+    tokens within a text get their own ids, as there.
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    if any(t[flag] for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
     to_byte = byte_alphabet()
-    ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def encode(texts: list[str | None], tokens: tiktoken.Encoding) -> list[np.ndarray]:
     """Ids of each whole text, then the end id."""
-    return [np.array([*tokens.encode_ordinary(t), END] if t else [END], dtype="<u4") for t in texts]
+    return [np.array([*tokens.encode(t, allowed_special="all"), END] if t else [END], dtype="<u4") for t in texts]
 
 
 @dataclass
@@ -245,7 +250,10 @@ def count_corpus(encoded: DataFrame, window: int = WINDOW, kind: str = "<u4") ->
 
 
 def deal(encoded: DataFrame, corpus: Corpus, shard_bytes: int = SHARD_BYTES, window: int = WINDOW, kind: str = "<u4") -> tuple[DataFrame, int]:
-    """``encoded`` with a ``shard``, and the number of shards: adjacent leaves of the topic tree together, large leaves over several."""
+    """``encoded`` with a ``shard``, and the number of shards: adjacent leaves of the topic tree together, large leaves over several.
+
+    Which of a large leaf's shards takes a row follows the row's number, so repeated rows are spread too.
+    """
     spark = encoded.sparkSession
     width = np.dtype(kind).itemsize
     weigh = (F.octet_length("ids") / width * 2 + ROW_BYTES).cast("long")
@@ -260,7 +268,7 @@ def deal(encoded: DataFrame, corpus: Corpus, shard_bytes: int = SHARD_BYTES, win
 
     # documents without a remainder are in no pool and need no topic
     pooled = encoded.where(F.octet_length("ids") % (width * window) != 0)
-    sample = map_columns(hashed_share(pooled, F.xxhash64("key", "ids"), TRAIN_DOCUMENTS), ["ids"], ["ids"], {"x": pa.binary()}, project).select("x", F.xxhash64("ids").alias("h")).toPandas().sort_values(["h", "x"])["x"]
+    sample = map_columns(hashed_share(pooled, F.col("row"), TRAIN_DOCUMENTS), ["ids"], ["ids"], {"x": pa.binary()}, project).select("x", F.xxhash64("ids").alias("h")).toPandas().sort_values(["h", "x"])["x"]
     if len(sample):
         topics.fit(np.stack([np.frombuffer(x, dtype="<f4") for x in sample]).astype(np.float64), SHARD_TOPICS * -(-weight // shard_bytes))
     fitted = spark.sparkContext.broadcast(topics)
@@ -268,7 +276,7 @@ def deal(encoded: DataFrame, corpus: Corpus, shard_bytes: int = SHARD_BYTES, win
     def place():
         return lambda ids: {"leaf": fitted.value.leaves(parts_of(ids, window, kind))}
 
-    leaved = map_columns(encoded, ["ids"], ["key", "ids"], {"leaf": pa.int64()}, place)
+    leaved = map_columns(encoded, ["ids"], ["key", "ids", "row"], {"leaf": pa.int64()}, place)
     sizes = {r["leaf"]: r["n"] for r in leaved.groupBy("leaf").agg(F.sum(weigh).alias("n")).collect()}
     homes, shards, room = [], 0, 0
     for leaf in sorted(sizes):
@@ -278,16 +286,22 @@ def deal(encoded: DataFrame, corpus: Corpus, shard_bytes: int = SHARD_BYTES, win
         room = 0 if n > 1 else room - sizes[leaf]
         homes.append((leaf, shards - 1, n))
     at = F.broadcast(spark.createDataFrame(homes, "leaf long, last long, parts long"))
-    return leaved.join(at, "leaf").select("key", "ids", (F.col("last") - F.pmod(F.xxhash64("key", "ids"), F.col("parts"))).alias("shard")), shards
+    return leaved.join(at, "leaf").select("key", "ids", (F.col("last") - F.pmod(F.xxhash64("row"), F.col("parts"))).alias("shard")), shards
 
 
 def pack_documents(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each piece of each document.
-
-    Null and empty texts are the end id alone. Repeated rows are documents of their own.
-    Texts are encoded once; one shuffle, by topic. The number of shards follows the bytes
-    of the table, so a shard's work is the same at any size. An empty table gives no rows.
+    """One row for each piece of each document: ``key`` and the columns of ``PIECE``.
+
+    Null and empty texts are the end id alone. Repeated rows and rows without a key are
+    documents of their own. A text of any length is encoded whole; its whole windows stand
+    alone, and its task holds its ids once. Documents of equal rank take turns by key, then
+    ids. Other columns of ``rows`` are not read; a key column called like one of ``PIECE``
+    is an error. Texts are encoded once; one shuffle, by topic. The number of shards follows
+    the bytes of the table, so a shard's work is the same at any size. An empty table gives
+    no rows.
     """
+    if key.lower() in PIECE:
+        raise ValueError(f"the key column cannot be called {key}")
     # the key travels as text, which keeps large integers next to nulls exact
     plain = rows.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
 
@@ -297,11 +311,12 @@ def pack_documents(rows: DataFrame, path: str, pattern: str, key: str = "doc_id"
         tokens = tokenizer(path, pattern)
         return lambda texts: {"ids": [p.astype(kind).tobytes() for p in encode(texts, tokens)]}
 
-    encoded = settle(map_columns(plain, ["text"], ["key"], {"ids": pa.binary()}, start))
+    # the row's number is taken from the settled table, whose partitions stay as they are
+    encoded = settle(map_columns(plain, ["text"], ["key"], {"ids": pa.binary()}, start)).withColumn("row", F.monotonically_increasing_id())
     corpus = count_corpus(encoded, window, kind)
     shared = rows.sparkSession.sparkContext.broadcast(corpus)
     dealt, shards = deal(encoded, corpus, shard_bytes, window, kind)
-    schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = "key string, " + ", ".join(f"{c} long" for c in PIECE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "ids"], na_position="first", kind="stable")

@@ -161,8 +161,8 @@ def test_nearest_search_is_exact_among_near_copies():
 def test_packing_covers_every_id(tables, corpus, odd):
     path = P.path("byte_bpe_50k.json")
     hf = Tokenizer.from_file(path)
-    hf.encode_special_tokens = True
-    rows = [(d, t) for d, t, _ in corpus if d >= 10] + odd + [(9000, "ends <|endoftext|> here")]
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n", "<|endoftext |> <|endoftex"]
+    rows = [(d, t) for d, t, _ in corpus if d >= 10] + odd + [(9000 + k, t) for k, t in enumerate(special)]
     ids = [np.array([*hf.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for _, t in rows]
     got = packing.pack_documents(tables(rows), path, P.PATTERN, shard_bytes=60_000).collect()
     pieces, sequences, copies = defaultdict(list), defaultdict(list), Counter(d for d, _ in rows)
@@ -189,6 +189,47 @@ def test_packing_covers_every_id(tables, corpus, odd):
     assert packing.pack_documents(tables([]), path, P.PATTERN).count() == 0
 
 
+def test_repeated_rows_are_packed_in_many_shards(tables):
+    """A third of the table is one document; its copies fill as many shards as their bytes ask for."""
+    rows = [(7, "the same text over and over again")] * 400 + [(i, prose(random.Random(i), "en", 40)) for i in range(1000, 1300)] + [(None, None)] * 100
+    got = packing.pack_documents(tables(rows).repartition(3), P.path("byte_bpe_50k.json"), P.PATTERN, shard_bytes=60_000).collect()
+    copies = Counter(r["sequence_id"] >> 32 for r in got if r["doc_id"] == 7 and r["start"] == 0)
+    assert sum(copies.values()) == 400 and len(copies) >= 5 and max(copies.values()) < 120
+    assert sum(r["start"] == 0 for r in got) == 800
+    with pytest.raises(ValueError, match="cannot be called"):
+        packing.pack_documents(tables([(1, "a")], "start long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN, key="start")
+
+
+def plain_pack(parts, window):
+    """The greedy fill word for word: seeds by size, then the best-scored unused part, cut where it overflows."""
+    pieces, sequence = [], 0
+    for d, p in enumerate(parts):
+        for start in range(0, len(p) - window + 1, window):
+            pieces.append((d, start, window, sequence, 0))
+            sequence += 1
+    left = {d: len(p) % window for d, p in enumerate(parts) if len(p) % window}
+    pool, size = sorted(left), dict(left)
+    index = packing.Index([packing.remainder(parts[d], window) for d in pool])
+    for seed in sorted(pool, key=lambda d: (-size[d], d)):
+        while left[seed]:
+            scores, filled, turn = index.scores(pool.index(seed)), 0, [seed]
+            turn += sorted((d for d in pool if left[d] and d != seed), key=lambda d: (-scores[pool.index(d)], d))
+            for d in turn:
+                n = min(left[d], window - filled)
+                if n:
+                    pieces.append((d, len(parts[d]) - left[d], n, sequence, filled))
+                    left[d] -= n
+                    filled += n
+            sequence += 1
+    return pieces
+
+
+def test_packing_fills_greedily_by_score():
+    rng = np.random.default_rng(30)
+    parts = [rng.integers(0, 90, size=n).astype("<u4") for n in rng.integers(1, 150, size=60)]
+    assert packing.pack(parts, 64) == plain_pack(parts, 64)
+
+
 def test_bm25_index_equals_formula():
     rng = np.random.default_rng(4)
     parts = [rng.integers(0, 60, size=n).astype("<u4") for n in (5, 40, 80, 1, 30, 22, 9)]
