@@ -1,12 +1,15 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
-A text is cut into paragraphs (lines, and sentences within them). Each paragraph's
-digest goes into one cell of every part of a table; a cell keeps a count, the xor of its
-digests and the xor of their checks. Tables of two versions are subtracted cell by
-cell, which cancels what they share; peeling cells that hold a single digest then
-recovers the paragraphs that differ. If peeling stalls, both tables are rebuilt with
-twice the cells. The likeness of two texts is the Dice coefficient of their
-paragraphs, from the sizes of the two sets and of the recovered difference.
+A text is cut into paragraphs by one rule at any length: a paragraph is a run of words
+within a line that ends behind a word whose last character is one of ``LAST``, or after
+LONGEST_RUN words. Each paragraph's digest goes into one cell of every part of a table; a
+cell keeps a count, the xor of its digests and the xor of their checks. Tables of two
+versions are subtracted cell by cell, which cancels what they share; peeling cells that
+hold a single digest then recovers the paragraphs that differ. If peeling stalls, both
+tables are rebuilt with twice the cells; items of more than MOST_CELLS cells' worth are
+split by a hash over several tables, so no table outgrows memory. The likeness of two
+texts is the Dice coefficient of their paragraphs, from the sizes of the two sets and of
+the recovered difference.
 
 A repeated paragraph enters as its digest mixed with its number of occurrence, so
 that the items of a table form a set and repeats are compared too.
@@ -24,25 +27,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.llm.common import hashed_share, map_columns
+from gristmill.llm.common import map_columns
 
 PARTS = 3
-#: Cells of the table in a fingerprint, and of the largest table before the difference is taken from the sets themselves.
+#: Cells of the table in a fingerprint, and of the largest table; items beyond it go to SPLIT tables, by a hash.
 BASE_CELLS = 24
 MOST_CELLS = 1 << 22
-#: A paragraph ends at a line break; within a line, runs end behind a word with one of
-#: these last characters (a rule on the word alone, so cuts survive edits elsewhere), or
-#: after so many words. Of the characters beyond ASCII every third ends a run.
+SPLIT = 4
+#: Last characters of words that end a run: a rule on the word alone, so cuts survive
+#: edits elsewhere. Of the characters beyond ASCII every third ends a run.
 LAST = ".,;:!?|dsgxzuy0-9#$%&*" + "".join(map(chr, range(0x80, 0x3000, 3)))
 LONGEST_RUN = 16
 RUN = re.compile(rf"(?:\S+\s+){{0,{LONGEST_RUN - 1}}}?\S*[{LAST}](?!\S)|(?:\S+\s+){{0,{LONGEST_RUN - 1}}}\S+")
 #: Texts whose tables are built side by side.
 GROUP = 500
-#: Rows of a range of keys if ids are even, ranges at most, and keys sampled for each.
+#: Rows of a range of keys, ranges at most, and keys sampled for each. Beyond 327 million
+#: rows ranges grow; they are sorted with spilling and read in a stream, so only tasks' times do.
 ROWS_PER_RANGE = 5_000
-MOST_RANGES = 8192
-KEYS_PER_RANGE = 25
+MOST_RANGES = 1 << 16
+KEYS_PER_RANGE = 16
+#: Copies of a repeated row that are put out together.
+COPIES = 1_000
 
 
 def paragraphs(text: str) -> list[str]:
@@ -133,11 +140,12 @@ def build(sets: list[np.ndarray], cells: int) -> Tables:
     return tables
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray], base_left: Tables | None = None, base_right: Tables | None = None) -> list[int]:
+def differences(left: list[np.ndarray], right: list[np.ndarray], base_left: Tables | None = None, base_right: Tables | None = None, depth: int = 0) -> list[int]:
     """Size of the symmetric difference of each pair of sets, by subtraction and peeling.
 
     Pairs that stall are tried again with larger tables: at least twice the cells, and
-    as many as the spread of the counts in the subtracted table asks for.
+    as many as the spread of the counts in the subtracted table asks for. Where that is
+    more than MOST_CELLS, both sets are split by a hash, and the parts' differences add up.
     """
     sizes, levels = [0] * len(left), {0: list(range(len(left)))}
     while levels:
@@ -146,7 +154,8 @@ def differences(left: list[np.ndarray], right: list[np.ndarray], base_left: Tabl
         cells = BASE_CELLS << level
         if cells > MOST_CELLS:
             for i in todo:
-                sizes[i] = len(np.setxor1d(left[i], right[i], assume_unique=True))
+                a, b = (_mix(s[i], 60 + depth) % np.uint64(SPLIT) for s in (left, right))
+                sizes[i] = sum(differences([left[i][a == k] for k in range(SPLIT)], [right[i][b == k] for k in range(SPLIT)], depth=depth + 1))
             continue
         a = base_left if base_left and not level else build([left[i] for i in todo], cells)
         b = base_right if base_right and not level else build([right[i] for i in todo], cells)
@@ -216,49 +225,79 @@ def _fingerprint_rows(texts: list[str | None], following: list[str | None]) -> d
     }
 
 
-def _range_number(key: Column, cuts: list) -> tuple[Column, Column]:
-    """Number of ``cuts`` (sorted) at or below ``key``, and the greatest of them, by a search in two steps."""
+def _range_number(at: Column, cuts: list[str], kind: str) -> tuple[Column, Column]:
+    """Number of ``cuts`` (sorted, each in JSON) at or below ``at``, and the greatest of them, by a search in two steps."""
     group = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + group] for i in range(0, len(cuts), group)]
-    coarse = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda c: c <= key)) - 1
-    mine = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), coarse)
-    fine = F.size(F.filter(mine, lambda c: c <= key))
+    groups = ["[" + ",".join(cuts[i : i + group]) + "]" for i in range(0, len(cuts), group)]
+    known = F.from_json(F.lit("[" + ",".join(groups) + "]"), f"array<array<{kind}>>")  # a constant, which the optimiser computes once
+    coarse = F.size(F.filter(F.transform(known, lambda g: F.get(g, F.lit(0))), lambda c: c <= at)) - 1
+    mine = F.get(known, coarse)
+    fine = F.size(F.filter(mine, lambda c: c <= at))
     return F.when(coarse < 0, 0).otherwise(coarse * group + fine), F.get(mine, fine - 1)
 
 
-def with_next(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> DataFrame:
-    """``(key, _text, _next)``: each row with the text of the next row by (key, text), the last with that of the first.
+def with_next(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame | None]:
+    """``(key, _text, _next)``: each row with the text of the next row by key, the last with that of the first.
 
-    Rows go to ranges of keys, cut at keys of a bounded sample. The rows of a range's first
-    key, which is its cut, are shown to the range before it too, so one shuffle of the
-    texts gives every row its successor. Null keys come first. A key's repeats share a range.
+    Null keys come first; rows of one key are ordered by a hash of their texts. Rows go to
+    ranges cut at rows of a bounded sample. The rows at a range's cut are shown to the
+    range before it too, so one shuffle of the texts gives every row its successor.
+
+    The successor of all but the last of equal rows is their own text. Where equal rows
+    are more than a range holds, one of them stays in the ranges; the second frame has the
+    others, once, with their number in ``_copies``. It is None where there are none.
     """
-    name, key = key, "_key"
-    plain = rows.select(F.col(f"`{name}`").alias(key), F.col(f"`{text}`").alias("text"))
-    total, nulls = plain.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
-    ranges = min(MOST_RANGES, max(1, -(-total // range_rows)))
-    cuts: list = []
+    if not isinstance(rows.schema[key].dataType, (T.IntegralType, T.StringType)):
+        raise ValueError("the key must be a whole number or text")
+    plain = rows.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
+    total = plain.count()
+    range_rows = max(range_rows, -(-total // MOST_RANGES))
+    crowds: list = []
+    if total > range_rows:  # at most MOST_RANGES groups of more rows than a range's
+        crowds = plain.groupBy("_key", "_hash").count().where(F.col("count") > range_rows).select("_key", "_hash").collect()
+    repeated = None
+    if crowds:
+        listed = F.broadcast(plain.sparkSession.createDataFrame([tuple(r) for r in crowds], plain.select("_key", "_hash").schema))
+        same = plain["_key"].eqNullSafe(listed["_key"]) & (plain["_hash"] == listed["_hash"])
+        copies = plain.join(listed, same, "left_semi").groupBy("_key", "text", "_hash").agg(F.count(F.lit(1)).alias("n"))
+        plain = plain.join(listed, same, "left_anti").unionByName(copies.drop("n"))
+        repeated = copies.where("n > 1").select(F.col("_key").alias(key), F.col("text").alias("_text"), F.col("text").alias("_next"), (F.col("n") - 1).alias("_copies"))
+    at = F.struct(F.col("_key").isNotNull().alias("has"), F.col("_key").alias("key"), F.col("_hash").alias("hash"))
+    as_json = {"ignoreNullFields": "false"}
+    ranges = max(1, -(-total // range_rows))
+    cuts: list[str] = []
     if ranges > 1:
-        keys = plain.select(key).where(F.col(key).isNotNull())
-        sample = sorted(r[0] for r in hashed_share(keys, F.col(key), ranges * KEYS_PER_RANGE).collect())
-        cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    number, cut = _range_number(F.col(key), cuts) if cuts else (F.lit(0), F.lit(None))
-    number = F.when(F.col(key).isNull(), 0).otherwise(number)
-    # the first key of all goes to the last range once more; a cut to the range before it
-    least = None if nulls else plain.agg(F.min(key)).first()[0]
-    first = F.col(key).eqNullSafe(F.lit(least)) if total else F.lit(False)
-    shown = F.when(first, len(cuts)).when(F.col(key) == cut, number - 1)
+        share = F.lit(int((1 << 30) * min(1.0, ranges * KEYS_PER_RANGE / total)))
+        near = plain.select("_key", "_hash").where(F.pmod(F.xxhash64("_key", "_hash", F.lit(7)), F.lit(1 << 30)) < share)
+        sample = [r[0] for r in near.select(at.alias("at")).distinct().orderBy("at").select(F.to_json("at", as_json)).collect()]
+        cuts = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
+    kind = plain.select(at.alias("at")).schema["at"].dataType.simpleString()
+    number, cut = _range_number(at, cuts, kind) if cuts else (F.lit(0), F.lit(None).cast(kind))
+    # the first rows of all go to the last range once more; those at a cut to the range before it
+    least = plain.agg(F.to_json(F.min(at), as_json)).first()[0] or "null"
+    shown = F.when(at == F.from_json(F.lit(least), kind), len(cuts)).when(at == cut, number - 1)
     homes = F.array(F.struct(number.cast("int").alias("r"), F.lit(0).alias("guest")), F.struct(shown.cast("int").alias("r"), F.lit(1).alias("guest")))
-    dealt = plain.select(key, "text", F.explode(F.filter(homes, lambda h: h["r"].isNotNull())).alias("home")).select(key, "text", "home.r", "home.guest")
-    order = Window.partitionBy("r").orderBy("guest", F.col(key).asc_nulls_first(), F.col("text").asc_nulls_first())
-    return dealt.withColumn("_next", F.lead("text").over(order)).where("guest = 0").select(F.col(key).alias(name), F.col("text").alias("_text"), "_next")
+    dealt = plain.select("_key", "text", "_hash", F.explode(F.filter(homes, lambda h: h["r"].isNotNull())).alias("home")).select("_key", "text", "_hash", "home.r", "home.guest")
+    order = Window.partitionBy("r").orderBy("guest", F.col("_key").asc_nulls_first(), "_hash", F.col("text").asc_nulls_first())
+    single = dealt.withColumn("_next", F.lead("text").over(order)).where("guest = 0")
+    return single.select(F.col("_key").alias(key), F.col("text").alias("_text"), "_next"), repeated
+
+
+def _copied(rows: DataFrame, copies: str) -> DataFrame:
+    """``rows``, each as often as its column ``copies`` says, in lots of COPIES that are dealt out."""
+    size = F.lit(COPIES).cast("long")
+    lots = rows.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, size))).repartition("_lot", rows.columns[0])
+    return lots.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(size, F.col(copies) - F.col("_lot"))))).drop("_lot", "_one", copies)
 
 
 def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = ROWS_PER_RANGE) -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likenesses.
+    """``key``, and the fingerprints of each text, of its edited text, and their likenesses.
 
     Null texts count as empty, with the fingerprint of no paragraphs; two empty texts are
-    alike. A table of one row has itself as its next.
+    alike. A table of one row has itself as its next. Rows of one key follow each other in
+    the order of a hash of their texts, equal rows as they come; rows without a key come
+    first. Texts of any length are taken whole. Other columns of ``rows`` are not read; a
+    key column called like a column of the result is an error. An empty table gives none.
     """
 
     def start():
@@ -269,7 +308,13 @@ def fingerprint_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text",
         return work
 
     added = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-    return map_columns(with_next(rows, key, text, range_rows), ["_text", "_next"], [key], added, start)
+    if key.lower() in (*added, "_text", "_next", "_copies"):
+        raise ValueError(f"the key column cannot be called {key}")
+    single, repeated = with_next(rows, key, text, range_rows)
+    done = map_columns(single, ["_text", "_next"], [key], added, start)
+    if repeated is None:
+        return done
+    return done.unionByName(_copied(map_columns(repeated, ["_text", "_next"], [key, "_copies"], added, start), "_copies"))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

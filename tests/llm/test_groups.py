@@ -318,6 +318,49 @@ def test_fingerprints_follow_the_next_document(tables, odd):
                 assert r[name] == pytest.approx(1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b)))
 
 
+def test_differences_split_where_a_table_would_be_too_large(monkeypatch):
+    monkeypatch.setattr(iblt, "MOST_CELLS", 96)
+    rng = np.random.default_rng(16)
+    left = [np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64)) for n in (3, 700, 4000)]
+    right = [np.unique(np.concatenate([s[: len(s) // 3], rng.integers(0, 1 << 63, size=40, dtype=np.uint64)])) for s in left]
+    assert iblt.differences(left, right) == [len(np.setxor1d(a, b)) for a, b in zip(left, right)]
+
+
+def test_fingerprints_of_crowded_keys(tables):
+    """Many rows without a key and many copies of one row; each is followed as in one sorted list, ties aside."""
+    rng = random.Random(17)
+    rows = [(None, prose(rng, "en", 12)) for _ in range(150)] + [(5, "one text again and again")] * 140 + [(None, "b c")] * 90 + [(i, prose(rng, "fr", 12)) for i in range(4, 60)]
+    rng.shuffle(rows)
+    got = iblt.fingerprint_pairs(tables(rows).repartition(4), range_rows=20).collect()
+    assert len(got) == len(rows) and Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+    sha = lambda a, b: hashlib.sha256(iblt.edited(a, b).encode()).hexdigest()
+    followed = Counter(r["edited_sha256"] for r in got)
+    # of equal rows, all but one are followed by their own text
+    assert followed[sha("one text again and again", "one text again and again")] >= 139 and followed[sha("b c", "b c")] >= 89
+    texts = {d: [t for e, t in rows if e == d] for d, _ in rows}
+    for r in got:
+        assert any(r["edited_sha256"] == sha(t, n) for t in set(texts[r["doc_id"]]) for e in texts for n in set(texts[e])) or r["doc_id"] is None
+    one = {r["doc_id"]: r for r in got}
+    for d in range(6, 59):
+        assert one[d]["edited_sha256"] == sha(texts[d][0], texts[d + 1][0])
+    assert one[59]["edited_sha256"] in {sha(texts[59][0], t) for t in texts[None]}
+    with pytest.raises(ValueError, match="cannot be called"):
+        iblt.fingerprint_pairs(tables([(1, "a")], "n_chars long, text string"), key="n_chars")
+
+
+def test_likeness_of_every_length():
+    """The recovered difference gives the Dice coefficient of the paragraphs at each length of a text."""
+    rng = random.Random(18)
+    text = prose(rng, "en", 400)
+    for size in [*range(1, 60, 7), *range(380, 430, 3), 900, 1500, 2000]:
+        a, b = text[:size], iblt.edited(text[:size], prose(rng, "fr", 40))
+        x, y = iblt.digests(a), iblt.digests(b)
+        (differing,) = iblt.differences([x], [y])
+        plain_a, plain_b = Counter(iblt.paragraphs(a)), Counter(iblt.paragraphs(b))
+        both, all_ = sum((plain_a & plain_b).values()), sum(plain_a.values()) + sum(plain_b.values())
+        assert iblt.likeness(len(x), len(y), differing) == pytest.approx(2 * both / all_)
+
+
 def test_fingerprints_of_odd_rows(tables):
     same = tables([(1, "one text here"), (2, "one text here"), (2, None), (None, "x")])
     got = iblt.fingerprint_pairs(same)
