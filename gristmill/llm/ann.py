@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by inner product: inverted file, product quantisation, exact reranking.
 
-Coarse centroids and the codebooks of the residuals are fitted in numpy on a bounded
-sample; every vector is indexed under its centroid's cell with the codes of its
-residual. A query probes the cells whose centroids are nearest, ranks their vectors by
-asymmetric distance tables, and takes the exact inner product of the best and of all that
-the quantisation error leaves in reach, so nothing in a probed cell is lost. How many cells
-it probes is set on the sample, so that the true neighbours there are found as often
-as asked.
-
+Cells have centroids that are sums: a coarse centroid and, in large tables, a fine one that
+all coarse cells share, so their number grows with the table while what is fitted stays
+small. Centroids and the codebooks of the residuals are fitted in numpy on a bounded sample;
+every vector is indexed under its cell with the codes of its residual. A query probes the
+cells whose centroids are nearest, ranks their vectors by asymmetric distance tables, and
+takes the exact inner product of the best and of all that the quantisation error leaves in
+reach, so nothing in a probed cell is lost. How many cells are probed is measured: some
+sampled queries are held against every vector by brute force, and the share TARGET of their
+true neighbours must lie in the probed cells.
+
+Vectors stay where they are indexed; queries travel to the shards that they probe.
 Of equal vectors only as many as a result has places can be among the nearest, those
 with the least ids; the others are left out of the search beforehand, which keeps groups
 of copies small. Equal queries are searched once.
@@ -15,6 +18,7 @@ of copies small. Equal queries are searched once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,44 +30,79 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import hashed_share, map_columns, settle
 
 NEAREST = 20
-#: Vectors that the index is fitted on at most (in expectation), and cells at most.
+#: Vectors that the index is fitted on at most (in expectation); coarse and fine centroids
+#: at most, which make two million cells; rows of a cell up to there.
 TRAIN_VECTORS = 30_000
-MOST_CELLS = 2048
+MOST_COARSE, MOST_FINE = 2048, 1024
 CELL_ROWS = 400
 SUBSPACES, CODES = 16, 256
 ROUNDS = 8
-#: Share of a sample's true neighbours that the probed cells must hold, and the sample's queries.
+#: Share of true neighbours that the probed cells must hold, and the queries that it is measured by.
 TARGET = 0.98
 TRIAL_QUERIES = 200
 #: Candidates of a cell whose exact product is taken first; all others that the quantisation error leaves in reach follow.
 RERANK = 48
-#: Vectors and queries that one search task gets at most, up to the evenness of a hash.
-SHARD_ROWS, QUERY_ROWS = 8192, 4096
+#: Vectors of a shard, up to the evenness of a hash; queries of a shard that one task takes, and queries searched at once.
+SHARD_ROWS, TASK_QUERIES, BLOCK = 8192, 32_768, 1024
 
 
 @dataclass
 class Quantiser:
-    centroids: np.ndarray  # cells x dim
+    """Cell ``i * len(fine) + j`` has the centroid ``coarse[i] + fine[j]``."""
+
+    coarse: np.ndarray  # I x dim
+    fine: np.ndarray  # J x dim
     codebooks: np.ndarray  # SUBSPACES x CODES x (dim / SUBSPACES)
     probes: int
 
+    @property
+    def size(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centroids(self, cells: np.ndarray) -> np.ndarray:
+        return self.coarse[cells // len(self.fine)] + self.fine[cells % len(self.fine)]
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.centroids)
+        at = _nearest(x, self.coarse)
+        return at * len(self.fine) + _nearest(x - self.coarse[at], self.fine)
 
     def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        rest = _split(x - self.centroids[cells])
+        rest = _split(x - self.centroids(cells))
         return np.stack([_nearest(rest[:, m], self.codebooks[m]) for m in range(SUBSPACES)], axis=1).astype(np.uint8)
 
     def error(self, x: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Length of what the codes leave of each vector."""
-        rest = _split(x - self.centroids[cells])
+        rest = _split(x - self.centroids(cells))
         for m in range(SUBSPACES):
             rest[:, m] -= self.codebooks[m][codes[:, m]]
         return np.sqrt((rest**2).sum(axis=(1, 2)))
 
-    def order(self, queries: np.ndarray) -> np.ndarray:
-        """Cells of each query to probe, nearest centroid first."""
-        return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def order(self, queries: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Cells of each query to probe, the nearest centroids, in the order of their numbers.
+
+        The product with a sum is the sum of two products, and a cell among the best ``most``
+        has its parts at places of the two orders whose numbers multiply to ``most`` or less.
+        """
+        most = min(self.probes if most is None else most, self.size)
+        first, second = queries @ self.coarse.T, queries @ self.fine.T
+        if most == self.size:
+            return np.tile(np.arange(self.size), (len(queries), 1))
+        a, b = np.argsort(-first, axis=1, kind="stable"), np.argsort(-second, axis=1, kind="stable")
+        i, j = np.divmod(np.arange(min(most, a.shape[1]) * min(most, b.shape[1])), min(most, b.shape[1]))
+        near = (i + 1) * (j + 1) <= most
+        i, j = i[near], j[near]
+        out = np.empty((len(queries), most), dtype=np.int64)
+        for q in range(len(queries)):
+            score = first[q, a[q, i]] + second[q, b[q, j]]
+            best = np.argpartition(-score, most - 1)[:most]
+            out[q] = np.sort(a[q, i[best]] * len(self.fine) + b[q, j[best]])
+        return out
+
+    def places(self, query: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to ``query`` than each of ``cells``."""
+        every = np.sort(((query @ self.coarse.T)[:, None] + (query @ self.fine.T)[None]).ravel())
+        mine = (query @ self.coarse.T)[cells // len(self.fine)] + (query @ self.fine.T)[cells % len(self.fine)]
+        return len(every) - np.searchsorted(every, mine, side="right")
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries x SUBSPACES x CODES: inner product with every code."""
@@ -101,32 +140,28 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, rows: int, nearest: int = NEAREST, target: float = TARGET, seed: int = 0) -> Quantiser:
-    """Fit centroids, codebooks and the number of probes for an index of ``rows`` vectors."""
+def fit(sample: np.ndarray, rows: int, seed: int = 0) -> Quantiser:
+    """Fit centroids and codebooks for an index of ``rows`` vectors. All cells are probed until ``probes`` is set."""
     rng = np.random.default_rng(seed)
-    cells = int(min(MOST_CELLS, max(1, rows // CELL_ROWS), max(1, len(sample) // 8)))
-    centroids = kmeans(sample, cells, rng)
-    at = _nearest(sample, centroids)
-    rest = _split(sample - centroids[at])
+    wanted = max(1, rows // CELL_ROWS)
+    coarse = kmeans(sample, int(min(MOST_COARSE, wanted, max(1, len(sample) // 8))), rng)
+    rest = sample - coarse[_nearest(sample, coarse)]
+    fine = int(min(MOST_FINE, wanted // len(coarse), max(1, len(sample) // 8)))
+    fine = kmeans(rest, fine, rng) if fine > 1 else np.zeros((1, sample.shape[1]))
+    rest = _split(rest - fine[_nearest(rest, fine)])
     some = rng.permutation(len(rest))[:8192]
     books = np.zeros((SUBSPACES, CODES, rest.shape[2]))
     for m in range(SUBSPACES):
         found = kmeans(rest[some, m], min(CODES, len(some)), rng)
         books[m, : len(found)] = found
         books[m, len(found) :] = found[:1]
-    quantiser = Quantiser(centroids, books, cells)
-    trial = rng.permutation(len(sample))[:TRIAL_QUERIES]
-    queries = sample[trial]
-    score = queries @ sample.T
-    score[np.arange(len(trial)), trial] = -np.inf
-    wanted = min(nearest, len(sample) - 1)
-    if wanted > 0:
-        top = np.argsort(-score, axis=1)[:, :wanted]
-        place = np.empty((len(trial), cells), dtype=np.int64)
-        np.put_along_axis(place, quantiser.order(queries), np.arange(cells)[None].repeat(len(trial), 0), axis=1)
-        depth = np.sort(np.take_along_axis(place, at[top], axis=1).ravel())
-        quantiser.probes = int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1
-    return quantiser
+    return Quantiser(coarse, fine, books, len(coarse) * len(fine))
+
+
+def probes_for(quantiser: Quantiser, queries: np.ndarray, found: list[np.ndarray], target: float = TARGET) -> int:
+    """Cells to probe so that the share ``target`` of the cells ``found`` (of each query's true neighbours) is among them."""
+    depth = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *[quantiser.places(q, cells) for q, cells in zip(queries, found)]]))
+    return quantiser.size if not len(depth) else int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1
 
 
 def slack(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -139,14 +174,19 @@ def search(quantiser: Quantiser, ids: np.ndarray, cells: np.ndarray, codes: np.n
     order = np.argsort(cells, kind="stable")
     ids, cells, codes, vectors = ids[order], cells[order], codes[order], vectors[order]
     error = quantiser.error(vectors, cells, codes)
-    starts = np.searchsorted(cells, np.arange(len(quantiser.centroids) + 1))
+    here, starts = np.unique(cells, return_index=True)
+    starts = np.append(starts, len(cells))
     probed = quantiser.order(queries)
+    place = np.searchsorted(here, probed)
+    mine = (place < len(here)) & (here[np.minimum(place, len(here) - 1)] == probed)
+    asks, asked = np.nonzero(mine)[0], place[mine]
+    by_cell = np.argsort(asked, kind="stable")
+    asks = asks[by_cell]
+    edges = np.searchsorted(asked[by_cell], np.arange(len(here) + 1))
     found_q, found_v, found_s = [], [], []
-    by_cell = np.argsort(probed, axis=None, kind="stable")
-    asks, asked = by_cell // probed.shape[1], probed.ravel()[by_cell]
-    edges = np.searchsorted(asked, np.arange(len(quantiser.centroids) + 1))
     tables = quantiser.tables(queries)
-    for cell in np.flatnonzero(np.diff(starts)).tolist():
+    centres = quantiser.centroids(here)
+    for cell in range(len(here)):
         lo, hi = starts[cell], starts[cell + 1]
         who = asks[edges[cell] : edges[cell + 1]]
         for at in range(0, len(who), 256):
@@ -162,7 +202,7 @@ def search(quantiser: Quantiser, ids: np.ndarray, cells: np.ndarray, codes: np.n
                 best = np.argpartition(-approx, first, axis=1)[:, :first]
                 sure = np.einsum("qd,qvd->qv", mine, these[best])
                 limit = np.partition(sure, first - nearest, axis=1)[:, first - nearest]
-                reach = approx + (mine @ quantiser.centroids[cell])[:, None] + np.linalg.norm(mine, axis=1)[:, None] * error[lo:hi]
+                reach = approx + (mine @ centres[cell])[:, None] + np.linalg.norm(mine, axis=1)[:, None] * error[lo:hi]
                 close = reach >= (limit - slack(mine, these))[:, None]
             if hi - lo > nearest:
                 # equal vectors must tie, so products by blocks only say which ones are taken singly
@@ -191,78 +231,145 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & F.forall(vector, number) & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+def exact_neighbours(vectors: DataFrame, keys: np.ndarray, queries: np.ndarray, nearest: int) -> list[np.ndarray]:
+    """The cells of the ``nearest`` vectors of each query among all rows of ``vectors`` (v, x, cell), by brute force.
+
+    A task keeps the best of what it reads, so it gives ``nearest`` rows a query at most.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((keys, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = shared.value
+        none = np.zeros((len(asked), 0))
+        score, key, cell = none, none.astype(np.int64), none.astype(np.int64)
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, asked.shape[1])
+            v = batch.column(0).to_numpy()
+            new = np.where(v[None] == own[:, None], -np.inf, asked @ x.T)
+            score = np.concatenate([score, new], axis=1)
+            key = np.concatenate([key, np.broadcast_to(v, new.shape)], axis=1)
+            cell = np.concatenate([cell, np.broadcast_to(batch.column(2).to_numpy(), new.shape)], axis=1)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
+            score, key, cell = (np.take_along_axis(a, best, axis=1) for a in (score, key, cell))
+        q, at = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key[q, at]), pa.array(score[q, at]), pa.array(cell[q, at])], names=["q", "v", "s", "cell"])
+
+    each = vectors.select("v", "x", "cell").mapInArrow(run, "q long, v long, s double, cell long")
+    best = each.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).where(F.col("_r") <= nearest)
+    found = best.select("q", "cell").toPandas()
+    cells = found["cell"].to_numpy()
+    return [cells[found["q"].to_numpy() == q] for q in range(len(queries))]
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for each of ``queries``, rows of the same shape as ``vectors``.
 
     Rows without a key or a usable vector, or of another than the most common length,
     take no part. A vector is no neighbour of the query of its own key. If fewer are
     found than asked, all are returned; none for an empty table. Ties go to smaller keys.
+    Rows equal in key and vector count once, as candidates and as queries; different
+    vectors of one key are candidates and queries of their own. Other columns are not read.
     """
     spark = vectors.sparkSession
-    good = vectors.select(F.col(key).cast("long").alias("v"), F.col(vector).cast("array<double>").alias("x")).where(F.col("v").isNotNull() & usable(F.col("x")))
+    good = vectors.select(F.col(f"`{key}`").cast("long").alias("v"), F.col(f"`{vector}`").alias("x")).where(F.col("v").isNotNull() & usable(F.col("x")))
     lengths = good.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows = lengths["d"], lengths["count"]
     good = good.where(F.size("x") == dim)
-    asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("x")).where(F.col("q").isNotNull() & usable(F.col("x")) & (F.size("x") == dim))
-    taken = hashed_share(good, F.col("v"), TRAIN_VECTORS).orderBy("v").select("x").toPandas()["x"]
-    quantiser = fit(np.stack(taken.to_numpy()), rows, nearest)
-    shared = spark.sparkContext.broadcast(quantiser)
+    asked = queries.select(F.col(f"`{key}`").cast("long").alias("q"), F.col(f"`{vector}`").cast(vectors.schema[vector].dataType).alias("x")).where(F.col("q").isNotNull() & usable(F.col("x")) & (F.size("x") == dim)).distinct()
+
+    def matrix(values: list) -> np.ndarray:
+        return np.array(values, dtype=np.float64).reshape(-1, dim)
+
+    taken = hashed_share(good, F.xxhash64("v", "x"), TRAIN_VECTORS).orderBy("v", "x").toPandas()
+    sample = matrix(taken["x"].to_list())
+    quantiser = fit(sample, rows)
+    unprobed = spark.sparkContext.broadcast(quantiser)
 
     one_more = nearest + 1
     ranked = F.row_number().over(Window.partitionBy("x").orderBy("v"))
-    once = good.withColumn("_r", ranked).where(F.col("_r") <= one_more).select("v", "x")
+    once = good.distinct().withColumn("_r", ranked).where(F.col("_r") <= one_more).select("v", "x")
 
     def start():
-        q = shared.value
+        q = unprobed.value
 
         def work(values):
-            x = np.array(values, dtype=np.float64).reshape(-1, dim)
+            x = matrix(values)
             cells = q.cells(x)
             return {"cell": cells, "codes": [c.tobytes() for c in q.codes(x, cells)]}
 
         return work
 
     indexed = settle(map_columns(once, ["x"], ["v", "x"], {"cell": pa.int64(), "codes": pa.binary()}, start))
-    # cells go to search tasks of even size; large ones are split by a hash of the key
-    counts = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}
-    slot, shards, room = {}, 0, 0
-    for cell in sorted(counts):
-        if counts[cell] > room:
-            shards, room = shards + -(-counts[cell] // SHARD_ROWS), SHARD_ROWS
-        slot[cell] = (shards - 1, max(1, -(-counts[cell] // SHARD_ROWS)))
-        room -= min(room, counts[cell])
-    homes = F.broadcast(spark.createDataFrame([(c, last, n) for c, (last, n) in slot.items()], "cell long, last long, parts long"))
-    placed = indexed.join(homes, "cell").withColumn("shard", F.col("last") - F.pmod(F.xxhash64("v"), F.col("parts"))).drop("last", "parts")
-
-    classes = settle(asked.groupBy("x").agg(F.min("q").alias("k")))
-    blocks = max(1, -(-classes.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64("k"), F.lit(blocks))
-    where = {}
-    for cell, (last, parts) in slot.items():
-        where.setdefault(cell, []).extend(last - p for p in range(parts))
-
-    def begin():
+    trial = np.random.default_rng(1).permutation(len(sample))[:TRIAL_QUERIES]
+    quantiser.probes = probes_for(quantiser, sample[trial], exact_neighbours(indexed, taken["v"].to_numpy()[trial], sample[trial], nearest))
+    shared = spark.sparkContext.broadcast(quantiser)
+
+    # cells go to shards of even size; large ones are split by a hash. There are at most MOST_COARSE * MOST_FINE cells
+    counts = indexed.groupBy("cell").count().toPandas().sort_values("cell")
+    cells, last, parts = counts["cell"].to_numpy(), [], []
+    shards, room = 0, 0
+    for n in counts["count"].tolist():
+        whole = -(-n // SHARD_ROWS)
+        if n > room:
+            shards, room = shards + whole, SHARD_ROWS
+        last.append(shards - 1)
+        parts.append(whole)
+        room -= min(room, n)
+    slots = spark.sparkContext.broadcast((cells, np.array(last, dtype=np.int64), np.array(parts, dtype=np.int64)))
+
+    def begin_place():
+        known, end, split = slots.value
+
+        def work(ids, at):
+            i = np.searchsorted(known, np.array(at, dtype=np.int64))
+            mixed = np.array(ids, dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            return {"shard": end[i] - (mixed % split[i].astype(np.uint64)).astype(np.int64)}
+
+        return work
+
+    placed = map_columns(indexed, ["v", "cell"], ["v", "x", "cell", "codes"], {"shard": pa.int64()}, begin_place)
+
+    classes = settle(asked.select("x").distinct()).withColumn("k", F.monotonically_increasing_id())
+
+    def begin_probe():
         q = shared.value
+        known, end, split = slots.value
+
+        def shards_of(probed: np.ndarray) -> list[int]:
+            i = np.searchsorted(known, probed)
+            i = i[(i < len(known)) & (known[np.minimum(i, len(known) - 1)] == probed)]
+            n = split[i]
+            return np.unique(np.repeat(end[i] - n + 1, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).tolist()
 
         def work(values):
-            x = np.array(values, dtype=np.float64).reshape(-1, dim)
-            return {"shards": [sorted({s for c in row for s in where.get(c, ())}) for row in q.order(x).tolist()]}
+            x = matrix(values)
+            return {"shards": [shards_of(row) for lo in range(0, len(x), BLOCK) for row in q.order(x[lo : lo + BLOCK])]}
 
         return work
 
-    probing = map_columns(classes, ["x"], ["k", "x"], {"shards": pa.list_(pa.int64())}, begin).select("k", F.col("x"), F.explode("shards").alias("shard"), block.alias("block"))
-    spread = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    probing = map_columns(classes, ["x"], ["k", "x"], {"shards": pa.list_(pa.int64())}, begin_probe).select("k", "x", F.explode("shards").alias("shard"))
+    # a shard is copied only where its queries are too many for a task
+    tasks = probing.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).alias("tasks"))
+    many = spark.createDataFrame([(r["shard"], r["tasks"]) for r in tasks.where("tasks > 1").collect()], "shard long, tasks long")
+    left = placed.join(many, "shard", "left").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1).cast("long")) - 1))).drop("tasks")
+    right = probing.join(many, "shard", "left").withColumn("task", F.pmod(F.xxhash64("k"), F.coalesce("tasks", F.lit(1).cast("long")))).drop("tasks")
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"k": [], "v": [], "s": []}).astype({"k": "int64", "v": "int64"})
         if not len(left) or not len(right):
-            return pd.DataFrame({"k": [], "v": [], "s": []}).astype({"k": "int64", "v": "int64"})
+            return none
         codes = np.frombuffer(b"".join(left["codes"]), dtype=np.uint8).reshape(-1, SUBSPACES)
-        k, v, s = search(shared.value, left["v"].to_numpy(), left["cell"].to_numpy(), codes, np.stack(left["x"].to_numpy()), right["k"].to_numpy(), np.stack(right["x"].to_numpy()), one_more)
-        return pd.DataFrame({"k": k, "v": v, "s": s})
-
-    found = spread.groupBy("shard", "block").cogroup(probing.groupBy("shard", "block")).applyInPandas(find, "k long, v long, s double")
+        ids, at, x = left["v"].to_numpy(), left["cell"].to_numpy(), matrix(left["x"].to_list())
+        out = [none]
+        for lo in range(0, len(right), BLOCK):
+            some = right.iloc[lo : lo + BLOCK]
+            k, v, s = search(shared.value, ids, at, codes, x, some["k"].to_numpy(), matrix(some["x"].to_list()), one_more)
+            out.append(pd.DataFrame({"k": k, "v": v, "s": s}))
+        return pd.concat(out)
+
+    found = left.groupBy("shard", "task").cogroup(right.groupBy("shard", "task")).applyInPandas(find, "k long, v long, s double")
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "v"))).where(F.col("_r") <= one_more)
     lists = best.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("_r", "v", "s"))).alias("found"))  # nearest + 1 of them at most
     members = asked.join(classes, "x").select("q", "k")

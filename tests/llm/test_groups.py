@@ -150,14 +150,52 @@ def test_nearest_search_is_exact_among_near_copies():
     rng = np.random.default_rng(21)
     x = np.concatenate([rng.normal(size=(3000, 64)), rng.normal(size=64) + 0.05 * rng.normal(size=(600, 64))])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    found = ann.fit(x, len(x))
-    found.probes = len(found.centroids)
+    found = ann.fit(x, len(x))  # all cells are probed
     ids, cells, asked = np.arange(len(x)), found.cells(x), np.arange(3000, 3600, 20)
     q, v, s = ann.search(found, ids, cells, found.codes(x, cells), x, asked, x[asked], 20)
     want = np.argsort(-(x[asked] @ x.T), axis=1)[:, :20]
     assert all(set(v[q == k]) == set(w.tolist()) for k, w in zip(asked.tolist(), want))
 
 
+def test_cells_of_two_centroids_are_ordered_like_all_sums(monkeypatch):
+    monkeypatch.setattr(ann, "MOST_COARSE", 8)
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(6000, 16))
+    found = ann.fit(x, 40_000)
+    assert len(found.coarse) == 8 and len(found.fine) == 12 and found.size == 96
+    sums = (found.coarse[:, None] + found.fine[None]).reshape(96, 16)
+    assert np.allclose(found.centroids(np.arange(96)), sums)
+    for most in (1, 7, 40, 96):
+        for q, got in zip(x[:30], found.order(x[:30], most)):
+            assert got.tolist() == sorted(np.argsort(-(sums @ q), kind="stable")[:most].tolist())
+    score = sums @ x[0]
+    assert found.places(x[0], np.arange(96)).tolist() == [int((score > s + 1e-9).sum()) for s in score]
+
+
+@pytest.mark.parametrize("spread", [0.4, 5.0])
+def test_neighbours_with_fine_cells_and_crowded_shards(spark, monkeypatch, spread):
+    """Recall over clusters and without any, with two kinds of centroids, small shards and split queries."""
+    for name, value in (("MOST_COARSE", 12), ("CELL_ROWS", 40), ("SHARD_ROWS", 200), ("TASK_QUERIES", 30), ("BLOCK", 16)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(23)
+    x = (rng.normal(size=(20, 16))[rng.integers(20, size=3000)] + spread * rng.normal(size=(3000, 16))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    exact = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(exact, -np.inf)
+    hits = [len(got[q] & set(np.argsort(-exact[q])[:20].tolist())) for q in range(0, 3000, 20)]
+    assert all(len(v) == 20 for v in got.values()) and np.mean(hits) >= 0.93 * 20
+
+
+def test_neighbours_of_repeated_keys(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (2, [2.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rank", "2 AS `a.b`")
+    got = ann.nearest_neighbours(vectors, vectors.where("vec_id = 0"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 2.0), (0, 3, 2, 1.0), (0, 3, 2, 1.0)]
+
+
 def test_packing_covers_every_id(tables, corpus, odd):
     path = P.path("byte_bpe_50k.json")
     hf = Tokenizer.from_file(path)
