@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 
+#: Rows of an Arrow batch that are worked on at once.
+SLICE_ROWS = 1000
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it with its lineage cut.
 
@@ -59,6 +63,12 @@ def hashed_share(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows``, so that only one part's values are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_columns(rows: DataFrame, inputs: Sequence[str], keep: Sequence[str], added: dict[str, pa.DataType], start: Callable[[], Callable[..., dict[str, object]]]) -> DataFrame:
     """Columns ``keep`` of ``rows`` as they are, and the columns ``added`` computed from ``inputs``.
 
@@ -79,10 +89,11 @@ def map_columns(rows: DataFrame, inputs: Sequence[str], keep: Sequence[str], add
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            found = work(*[batch.column(place[c]).to_pylist() for c in inputs])
-            arrays = [batch.column(place[c]) for c in keep] + [pa.array(found[n], type=t) for n, t in kinds]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for batch in slices(whole):
+                found = work(*[batch.column(place[c]).to_pylist() for c in inputs])
+                arrays = [batch.column(place[c]) for c in keep] + [pa.array(found[n], type=t) for n, t in kinds]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     plain = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(wanted)])
     return plain.mapInArrow(run, schema).toDF(*keep, *added)
