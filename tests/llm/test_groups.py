@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -407,23 +408,60 @@ def test_fingerprints_of_odd_rows(tables):
     assert iblt.fingerprint_pairs(tables([])).count() == 0
 
 
-LINES = ["plain prose of no licence at all", "Released under the MIT License.", "released  under the MIT license!", "Licensed under CC BY-NC-4.0", "All rights reserved", "Licensed under the Apache License, Version 2.0", licenses.TEMPLATES["mit"], licenses.TEMPLATES["isc"].replace("fee", "payment"), "under the license"]
+LINES = ["plain prose of no licence at all", "Released under the MIT License.", "and so it was  released  under the MIT\nlicense! as all else", "Licensed under CC BY-NC-4.0", "All rights reserved", "Licensed under the Apache License, Version 2.0", licenses.TEMPLATES["mit"], licenses.TEMPLATES["isc"].replace("fee", "payment"), "under the license", "// SPDX-License-Identifier: BSD-3-Clause"]
+MIT = licenses.TEMPLATES["mit"]
+CODE = "def area(r):\n    return 3.14159 * r * r\n\n\nclass Shape:\n    pass\n" * 20
+
+
+def in_paragraphs(mark=""):
+    """The MIT text as published: a title, a copyright line and three paragraphs of short lines."""
+    parts, lines = re.split(r"(?<=conditions: )|(?<=Software\. )(?=THE)", MIT), []
+    for part in ["MIT License", "Copyright (c) 2020 A. Writer", *parts]:
+        words = part.split()
+        lines += [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)] + [""]
+    return "\n".join(f"{mark} {line}".strip() for line in lines) + "\n"
+
+
+def scan_with_sql(rows):
+    con = duckdb.connect(config={"memory_limit": "3GB"})
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return con.execute(licenses.oracle() + " ORDER BY doc_id").fetchall()
 
 
 def test_licences_equal_all_comparisons(tables, odd):
     rng = random.Random(12)
-    rows = [(i, "\n".join(rng.choice(LINES) for _ in range(rng.randrange(1, 4)))) for i in range(60)] + [(100, licenses.TEMPLATES["mit"].replace(". ", ".\n").replace("any person", "anyone"))]
-    rows += [(1000 + k, t) for k, (_, t) in enumerate(odd)]
+    rows = [(i, "\n".join(rng.choice(LINES) for _ in range(rng.randrange(1, 4)))) for i in range(60)] + [(100, MIT.replace(". ", ".\n").replace("any person", "anyone"))]
+    odds = list(dict.fromkeys(t for _, t in odd))
+    rows += [(1000 + k, t) for k, t in enumerate(odds)]
     got = licenses.find_licenses(tables(rows).repartition(2)).drop("text").orderBy("doc_id").collect()
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    want = con.execute(licenses.oracle() + " ORDER BY doc_id").fetchall()
-    assert [tuple(r) for r in got] == [tuple(r) for r in want]
-    assert sum(r["n_license_units"] > 0 for r in got) > 30 and got[60]["license"] == "mit"
+    assert [tuple(r) for r in got] == scan_with_sql(rows)
+    assert sum(r["n_licenses"] > 0 for r in got) > 30 and got[60]["license"] == "mit"
     assert licenses.find_licenses(tables([])).count() == 0
-    clash = tables(rows).selectExpr("doc_id AS license", "text", "1 AS _units", "2 AS `x.y`")
+    clash = tables(rows).selectExpr("doc_id AS license", "text", "1 AS _pairs", "2 AS `x.y`")
     assert licenses.find_licenses(clash).where("license IS NOT NULL").count() == sum(r["license"] is not None for r in got)
+    assert licenses.find_licenses(tables([(1, MIT), (1, MIT), (None, MIT)])).where("license = 'mit'").count() == 3
+
+
+def test_licences_within_other_text(tables):
+    """Headers above code, commented or not, published in paragraphs, and lines within prose or broken over two."""
+    cases = {
+        1: (in_paragraphs() + CODE, "mit"),
+        2: (in_paragraphs("#") + CODE, "mit"),
+        3: (CODE + in_paragraphs(" *") + CODE, "mit"),
+        4: ("Words before it. Released under the MIT License. Words behind it.", "mit-line"),
+        5: ("some words, released under\nthe MIT License, some more", "mit-line"),
+        6: (f"/* {licenses.TEMPLATES['gpl-3.0-notice'].replace('. See', '.\n\n * See')} */\n{CODE}", "gpl-3.0-notice"),
+        7: (f"{CODE}{licenses.TEMPLATES['bsd-3-clause']}", "bsd-3-clause"),
+        8: ("# SPDX-License-Identifier: MPL-2.0\n" + CODE, "spdx-mpl-2.0"),
+        9: (CODE * 30, None),
+        10: ("The license of the software is granted to any person who has a copy of this notice. " * 50, None),
+    }
+    rows = [(d, t) for d, (t, _) in cases.items()]
+    got = licenses.find_licenses(tables(rows)).drop("text").orderBy("doc_id").collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {d: name for d, (_, name) in cases.items()}
+    assert [tuple(r) for r in got] == scan_with_sql(rows)
+    assert got[1]["licenses"].startswith("mit:") and got[0]["license_dice"] > 0.95
 
 
 def test_licence_anchors_lose_no_match():
