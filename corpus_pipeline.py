@@ -38,13 +38,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document of the least id.
 
-    Rows without an id are groups of their fingerprint's component like all others, and
-    repeated rows of the kept id are told apart by a number, so exactly one row stays.
+    Near-duplicates share 0.8 or more of their shingles of five words, found by variants of
+    SimHash fingerprints and verified. Texts that are null, empty or without words are one
+    group; texts of any length are compared whole. Rows without an id belong to groups
+    like all others, and repeated rows of the kept id are told apart by a number, so exactly
+    one row of a group stays.
     """
     row = fresh("_row", docs.columns)
     numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     keyed = numbered.select(F.col(row).alias("row"), "text", "doc_id")
-    groups = simhash.near_duplicates(keyed, key="row")
+    groups = simhash.similar_texts(keyed, key="row")
     first = groups.join(keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row))
     return numbered.join(first.select(row), row, "left_semi").drop(row)
 

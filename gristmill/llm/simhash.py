@@ -6,14 +6,21 @@ indexed under each segment with each one of its bits wiped (a one-wildcard varia
 so such a pair meets in an equality join; the join condition verifies the distance.
 Texts with the same fingerprint are one class before any join, so copies of any
 number cost one row there.
+
+Few bits apart is close to a copy. For texts that share a given part of their shingles,
+``similar_texts`` takes the same variants of a longer fingerprint, so that some segment
+differs in one bit at most with high probability, and verifies the shingles themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import map_columns, settle
@@ -22,6 +29,18 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 BITS = 64
 SEED = 42
+#: Similar texts: Jaccard coefficient of the sets of shingles of so many words.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Their fingerprints: segments and bits of each, over the set of shingles of PRINT_WORDS words,
+#: which fewer edits reach. Texts of the wanted similarity are about a tenth of the bits
+#: apart, which leaves a segment one bit apart at most in 97 cases of 100; REACH bits bound the rest.
+SEGMENTS, SEGMENT_BITS, PRINT_WORDS = 8, 24, 2
+#: Bits of the first 64 and of all that candidates may be apart (unrelated texts: about half).
+CHECK_REACH, REACH = 18, 44
+#: Centres that texts of an equal segment are compared with before what is left is compared pair by pair.
+CENTRES = 4
+#: A node with more than one in HUBS of all links (and HUB_LINKS, or HUB_TEXTS pairs, at least) is spread over SPREAD tasks.
+HUBS, HUB_LINKS, HUB_TEXTS, SPREAD = 1000, 50_000, 1_000, 64
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -89,25 +108,42 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def spread(links_: DataFrame, stars: DataFrame, total: int, least: int = HUB_LINKS) -> DataFrame:
+    """``links_`` (u, v) JOIN ``stars`` (u, m, n) on u, where n is the number of links of u.
+
+    A node's links go to one task unless they are more than one in HUBS of all; those nodes
+    are HUBS at most and come to the driver, and their links are dealt over SPREAD tasks.
+    """
+    most = max(least, total // HUBS)
+    hubs = [r["u"] for r in stars.where(F.col("n") > most).select("u").collect()] if total > most else []
+    if not hubs:
+        return links_.join(stars, "u")
+    hub = F.col("u").isin(*hubs)
+    salted = links_.withColumn("salt", F.when(hub, F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))
+    return salted.join(stars.withColumn("salt", F.explode(F.when(hub, every).otherwise(F.array(F.lit(0).cast("long"))))), ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of an edge, root being the least node it reaches.
 
     Alternating large-star and small-star rounds; each round is written to the shared
-    checkpoint folder, and only a count and a sum come to the driver. A node's
+    checkpoint folder, and only counts, a sum and the hubs come to the driver. A node's
     neighbours are never gathered: the stars need their minimum only.
     """
     pairs = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
+    before, total = None, 2 * pairs.count()
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large-star: larger neighbours of u point to the least node of its star
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = spread(both, low, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         # small-star: u's smaller neighbours and u itself point to the least of them
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = spread(large, least, total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         pairs = settle(small)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        total = 2 * now[0]
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
@@ -119,16 +155,172 @@ def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", wo
     ``component_id`` is the least ``key`` among all rows reachable over fingerprints at
     most ``distance`` bits apart. Texts without words have fingerprint 0 and are linked
     like others; null texts count as empty. Rows with a null key take part but never
-    name a component unless all its keys are null. An empty table gives no rows.
+    name a component unless all its keys are null. Texts of any length are read whole;
+    repeated rows each get a row. Other columns are not read; a key column called like a
+    result column is an error. An empty table gives no rows.
     """
+    if key.lower() in ("fp", "component_id"):
+        raise ValueError(f"the key column cannot be called {key}")
     plain = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     prints = settle(fingerprints(plain, "text", ("key",), words))
     classes = prints.groupBy("fp").agg(F.min("key").alias("least"))
     found = components(links(classes.select("fp"), distance))
-    reached = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = reached.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = reached.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return _members(prints, classes, found, "fp", key)
+
+
+def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text; the whole sequence if it has fewer words."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    runs = zip(*(tokens[i:] for i in range(words))) if len(tokens) > words else [tokens]
+    return np.unique(np.fromiter((digest(b" ".join(run), SEED) for run in runs), dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of two sets' union that both have; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+def long_print(text: str | None) -> np.ndarray:
+    """SimHash of SEGMENTS * SEGMENT_BITS bits over the set of shingles, as 64-bit words."""
+    hashed, words = shingles(text, PRINT_WORDS), []
+    for _ in range(SEGMENTS * SEGMENT_BITS // 64):
+        ones = np.zeros(64, dtype=np.int64)
+        big = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
+        for lo in range(0, len(big), 1 << 16):
+            ones += np.unpackbits(big[lo : lo + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+        words.append(np.packbits(2 * ones > len(hashed)).view(">u8")[0])
+        # the next word's bits: another hash of the same shingles
+        hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        hashed = (hashed ^ (hashed >> np.uint64(35))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashed ^= hashed >> np.uint64(28)
+    return np.array(words, dtype=np.uint64)
+
+
+def segments_of(print_: np.ndarray) -> np.ndarray:
+    """The segments of a long fingerprint as numbers."""
+    bits = np.unpackbits(print_.astype(">u8").view(np.uint8)).reshape(SEGMENTS, SEGMENT_BITS)
+    return bits @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
+
+
+def whole_segments(print_: np.ndarray) -> np.ndarray:
+    """Keys of the segments as they are: the segment's place and its bits in one number."""
+    return np.arange(SEGMENTS) << SEGMENT_BITS | segments_of(print_)
+
+
+def variants(print_: np.ndarray) -> np.ndarray:
+    """Keys of all one-wildcard variants: the segment's place, its wiped bit and its other bits in one number."""
+    bit = np.arange(SEGMENT_BITS, dtype=np.int64)
+    rest = segments_of(print_)[:, None] & ~(1 << bit)[None]
+    return ((np.arange(SEGMENTS)[:, None] * SEGMENT_BITS + bit[None]) << SEGMENT_BITS | rest).ravel()
+
+
+def _apart(a: str, b: str, words: list[str]) -> Column:
+    out = F.lit(0)
+    for w in words:
+        out = out + F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of ids of ``texts`` (h, text) whose texts share enough shingles.
+
+    Only texts of some pair travel, and one of equal ones; a text of many pairs is spread.
+    """
+
+    def start():
+        known = lru_cache(maxsize=64)(lambda t: shingles(t, words))
+        return lambda left, right: {"alike": [jaccard(known(x), known(y)) >= similarity for x, y in zip(left, right)]}
+
+    total = pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    some = texts.join(ends, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+
+    def with_text(rows: DataFrame, end: str, as_: str) -> DataFrame:
+        often = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        stars = often.join(some, often[end] == some["h"]).select(F.col(end).alias("u"), F.col("text").alias(as_), "n")
+        other = "b" if end == "a" else "a"
+        return spread(rows.withColumnsRenamed({end: "u", other: "v"}), stars, total, HUB_TEXTS).drop("n").withColumnsRenamed({"u": end, "v": other})
+
+    full = with_text(with_text(pairs, "a", "x"), "b", "y")
+    return map_columns(full, ["x", "y"], ["a", "b"], {"alike": pa.bool_()}, start).where("alike").select("a", "b")
+
+
+def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(key, h, component_id)``: one row per row of ``rows``; ``h`` is a hash of its text.
+
+    ``component_id`` is the least ``key`` among all rows reachable over texts whose sets of
+    shingles of ``words`` words have a Jaccard coefficient of ``similarity`` or more, as far
+    as the variants of their long fingerprints bring them together. Equal texts are one
+    class from the start (told by a 64-bit hash). Texts of fewer words are one shingle; null,
+    empty and wordless texts are alike. Rows with a null key take part but never name a
+    component unless all its keys are null. Texts of any length are read whole. Other
+    columns are not read; a key column called like a result column is an error. An empty
+    table gives no rows.
+
+    Texts with an equal segment are first compared with a few centres among them, which
+    joins most of a group of near copies at the price of a few comparisons each. Then pairs
+    that share a variant and still lie in different components are compared one by one, so
+    the first step loses no link, and no group of near copies is expanded into all its pairs.
+    """
+    if key.lower() in ("h", "component_id"):
+        raise ValueError(f"the key column cannot be called {key}")
+    body = F.col(f"`{text}`")
+    plain = rows.select(F.col(f"`{key}`").alias("key"), F.when(body.rlike(r"[^\x20\x09-\x0D]"), body).alias("text")).withColumn("h", F.xxhash64("text"))
+    ps = [f"p{i}" for i in range(SEGMENTS * SEGMENT_BITS // 64)]
+
+    def start():
+        def work(texts):
+            prints = np.array([long_print(t) for t in texts], dtype=np.uint64).reshape(-1, len(ps)).view(np.int64)
+            return {p: prints[:, i] for i, p in enumerate(ps)}
+
+        return work
+
+    def keyed(rows: DataFrame, keep: list[str], keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        def start():
+            return lambda *columns: {"keys": [keys_of(p) for p in np.array(columns, dtype=np.int64).T.copy().view(np.uint64)]}
+
+        return map_columns(rows, ps, keep, {"keys": pa.list_(pa.int64())}, start).select(*keep, F.explode("keys").alias("k"))
+
+    prints = settle(map_columns(plain, ["text"], ["key", "h"], {p: pa.int64() for p in ps}, start))
+    texts = plain.select("h", "text")
+    classes = settle(prints.groupBy("h").agg(F.min("key").alias("least"), *[F.first(p).alias(p) for p in ps]))
+    one, two = classes.select("h", *ps).alias("one"), classes.select("h", *ps).alias("two")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(one, F.col("a") == F.col("one.h")).join(two, F.col("b") == F.col("two.h"))
+        return joined.where(_apart("one", "two", ps) <= REACH).select("a", "b")
+
+    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    # the first word of a fingerprint travels with its keys to sort out chance meetings
+    bucket = Window.partitionBy("k")
+    centres = F.array(*[F.min_by(F.struct("h", "p0"), F.xxhash64("h", F.lit(c))).over(bucket) for c in range(CENTRES)])
+    met = keyed(classes, ["h", "p0"], whole_segments).withColumn("cs", centres).select("h", "p0", F.explode("cs").alias("c"))
+    met = met.where((F.bit_count(F.col("p0").bitwiseXOR(F.col("c.p0"))) <= CHECK_REACH) & (F.col("h") != F.col("c.h")))
+    tried = settle(close(met.select(*ordered("h", "c.h")).distinct()))
+    links_ = settle(_verified(tried, texts, words, similarity))
+    found = components(links_)
+    placed = classes.join(found, classes["h"] == found["node"], "left").select("h", *ps, F.coalesce("root", "h").alias("root"))
+    keys = keyed(settle(placed), ["h", "p0", "root"], variants)
+    # pairs that the centres left apart: a shared variant, different components
+    meet = (F.col("x.k") == F.col("y.k")) & (F.col("x.root") < F.col("y.root")) & (_apart("x", "y", ["p0"]) <= CHECK_REACH)
+    rest = keys.alias("x").join(keys.alias("y"), meet).select(*ordered("x.h", "y.h")).distinct()
+    rest = settle(close(rest).join(tried, ["a", "b"], "left_anti"))
+    found = components(links_.unionByName(_verified(rest, texts, words, similarity)))
+    return _members(prints, classes, found, "h", key)
+
+
+def _members(prints: DataFrame, classes: DataFrame, found: DataFrame, code: str, key: str) -> DataFrame:
+    """``(key, code, component_id)`` of all ``prints``, from the classes' least keys and the components ``found``."""
+    reached = settle(classes.join(found, classes[code] == found["node"], "left").select(code, "least", F.coalesce("root", code).alias("u")))
+    named = reached.groupBy("u").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    member = spread(reached.select("u", F.col(code).alias("v")), named, reached.count()).select(F.col("v").alias(code), "component_id")
+    return prints.join(member, code).select(F.col("key").alias(key), code, "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,83 @@ def test_near_duplicates_equal_all_pairs(tables, corpus, odd):
     assert simhash.fingerprint(long) == plain_fingerprint(long[:1800])  # every shingle of the loop, in even shares
 
 
+def plain_similar(rows, words=5, similarity=0.8):
+    """(key, component) by comparing the shingle sets of all pairs of texts, and the pairs that are alike."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    parent, alike = list(range(len(rows))), []
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                alike.append((i, j))
+                parent[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] += [d] if d is not None else []
+    return [(rows[i][0], min(least[find(i)], default=None)) for i in range(len(rows))], alike
+
+
+def copies_of(rng, text, count, edits):
+    """Copies with so many words changed, and some with a block taken out."""
+    out = []
+    for k in range(count):
+        words = text.split()
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = "w" + str(rng.randrange(10_000))
+        at = rng.randrange(len(words))
+        out.append(" ".join(words if k % 3 else words[:at] + words[at + len(words) // 20 :]))
+    return out
+
+
+def test_similar_texts_against_all_pairs(tables, corpus, odd):
+    rng = random.Random(41)
+    rows = [(d, t) for d, t, _ in corpus if d < 60] + [(None if d is None else d + 1000, t) for d, t in odd if len(t or "") < 1000]
+    for g in range(8):
+        base = prose(rng, "en", 300)
+        rows += [(2000 + 100 * g + k, t) for k, t in enumerate(copies_of(rng, base, 24, 3))] + [(2090 + 100 * g, base), (2091 + 100 * g, base)]
+    rng.shuffle(rows)
+    want, alike = plain_similar(rows)
+    got = simhash.similar_texts(tables(rows).repartition(3)).collect()
+    assert len(got) == len(rows)
+    # no text joins a group that it is not alike, equal texts are together, and next to no pair that is alike is apart
+    exact, seen, text_of = dict(want), {r["doc_id"]: r["component_id"] for r in got}, dict(rows)
+    assert all(exact[d] == exact[c] for d, c in seen.items() if d is not None)
+    assert all(seen[rows[i][0]] == seen[rows[j][0]] for i, j in alike if rows[i][1] == rows[j][1] and None not in (rows[i][0], rows[j][0]))
+    linked = [seen[rows[i][0]] == seen[rows[j][0]] for i, j in alike if None not in (rows[i][0], rows[j][0])]
+    assert np.mean(linked) > 0.99 and len({c for c in seen.values()}) < len(set(text_of.values()))
+    assert len(alike) > 500 and simhash.similar_texts(tables([])).count() == 0
+
+
+def test_variants_meet_where_a_segment_is_one_bit_apart():
+    rng = np.random.default_rng(42)
+    a = rng.integers(0, 1 << 63, size=3, dtype=np.uint64)
+    for flips in ([5], [5, 30], list(range(0, 192, 24)), [0, 1, 24, 25, 48, 49, 72, 73, 96, 97, 120, 121, 144, 145, 168, 169]):
+        bits = np.unpackbits(a.astype(">u8").view(np.uint8))
+        bits[flips] ^= 1
+        b = np.packbits(bits).view(">u8").astype(np.uint64)
+        apart = np.bincount(np.array(flips) // 24, minlength=8)
+        assert bool(set(simhash.variants(a)) & set(simhash.variants(b))) == bool((apart <= 1).any())
+        assert bool(set(simhash.whole_segments(a)) & set(simhash.whole_segments(b))) == bool((apart == 0).any())
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    """A star of many links, a chain and a clique, with every node a hub and with none."""
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(30)] + [(a, b) for a in range(2000, 2012) for b in range(2000, a)]
+    want = {i: 0 for i in range(300)} | {1000 + i: 1000 for i in range(31)} | {a: 2000 for a in range(2000, 2012)}
+    monkeypatch.setattr(simhash, "HUBS", 1 << 40)
+    monkeypatch.setattr(simhash.spread, "__defaults__", (1,))
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("distance", [1, 3, 5])
 def test_links_equal_all_pairs(spark, distance):
     rng = random.Random(distance)

@@ -12,7 +12,7 @@ import corpus_pipeline
 from gristmill.llm import langid, secrets
 
 from tests.llm.conftest import WORDS, prose
-from tests.llm.test_groups import plain_components
+from tests.llm.test_groups import copies_of, plain_similar
 from tests.llm.test_texts import junk
 
 
@@ -25,6 +25,7 @@ def folder(spark, tmp_path_factory):
         rows.append((i, junk(rng) if i % 6 == 0 else prose(rng, lang, 120), lang, f"src{i % 3}"))
     rows += [(300 + k, rows[1][1], rows[1][2], "src0") for k in range(30)]
     rows += [(400, rows[2][1] + " password=hunter2hunter2 end", "en", "src1"), (401, None, None, None), (402, "12 34", "en", "src1"), (None, prose(rng, "de", 90), "de", None)]
+    rows += [(500 + k, t, "en", "src2") for k, t in enumerate(copies_of(rng, prose(rng, "en", 250), 40, 2))]
     where = str(tmp_path_factory.mktemp("sf"))
     docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(2).write.parquet(f"{where}/documents.parquet")
@@ -45,9 +46,13 @@ def test_stages_in_order(spark, folder):
     language, good, single, masked = kept
     assert {401, 402} & {r["doc_id"] for r in language} == set() and len(language) > 260
     assert len({r["doc_id"] for r in good} & set(range(0, 240, 6))) <= 4 and len(good) > 200
-    groups = {d: c for d, _, c in plain_components([(r["doc_id"], r["text"]) for r in good])}
-    assert Counter(groups[r["doc_id"]] for r in single) == Counter(set(groups.values()))
-    assert all(r["doc_id"] == groups[r["doc_id"]] for r in single)
+    pairs = [(r["doc_id"], r["text"]) for r in good]
+    groups, alike = plain_similar(pairs)
+    groups = dict(groups)
+    kept = {r["doc_id"] for r in single}
+    # one of each group stays, the first; a text that is alike to no other is never dropped
+    assert {groups[d] for d in kept} == set(groups.values()) and set(groups.values()) <= kept
+    assert len(kept) <= len(set(groups.values())) + 1 and len({groups[d] for d in groups if 500 <= (d or 0) < 540}) <= 2
     assert len(masked) == len(single)
     tokens = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for r in masked:
