@@ -116,24 +116,28 @@ def window_probabilities(net: Network, tables: list[list[np.ndarray]], symbols:
     return out
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 0) -> Network:
-    """Fit a network by Adam on windows drawn evenly over the labels.
+def cut(text: bytes) -> list[bytes]:
+    """The windows of a text that training takes: symbols of WINDOW bytes and of the few behind
+    them that filters reach; the last one only if it is a quarter full, or alone."""
+    symbols, _, filled = windows_of([text])
+    width, small = WINDOW + max(WIDTHS), symbols.astype(np.uint8)
+    return [small[w * WINDOW : w * WINDOW + width].tobytes() for w in range(len(filled)) if not w or filled[w] >= WINDOW // 4]
 
-    Equal windows of equal labels are kept once. With no usable text the network has
-    the single label ``und``.
+
+def train(windows: list[bytes], labels: list[str], seed: int = 0) -> Network:
+    """Fit a network by Adam on windows (see ``cut``) drawn evenly over the labels.
+
+    Equal windows of equal labels are kept once. With no window the network has the single
+    label ``und``.
     """
     rng = np.random.default_rng(seed)
-    names = sorted({label for label, text in zip(labels, texts) if text}) or [UNDETERMINED]
+    names = sorted(set(labels)) or [UNDETERMINED]
     index = {name: i for i, name in enumerate(names)}
-    symbols, owner, filled = windows_of(texts)
-    take = np.flatnonzero(filled >= min(WINDOW // 4, int(filled.max(initial=0))))
     width = max(WIDTHS)
-    grid = np.stack([symbols[w * WINDOW : (w + 1) * WINDOW + width] for w in take]) if len(take) else np.zeros((0, WINDOW + width), np.int32)
-    target = np.array([index[labels[owner[w]]] for w in take], dtype=np.int64)
-    if len(grid):
-        _, once = np.unique(np.column_stack([grid, target]), axis=0, return_index=True)
-        once = rng.permutation(once)[:TRAIN_WINDOWS]
-        grid, target = grid[once], target[once]
+    kept = sorted({(w, index[label]) for w, label in zip(windows, labels)})
+    kept = [kept[i] for i in rng.permutation(len(kept))[:TRAIN_WINDOWS]]
+    grid = np.frombuffer(b"".join(w for w, _ in kept), dtype=np.uint8).reshape(-1, WINDOW + width).astype(np.int32)
+    target = np.array([label for _, label in kept], dtype=np.int64)
     filters = {w: rng.normal(0, 0.3, (w, SYMBOLS, FILTERS)) for w in WIDTHS}
     bias = {w: np.zeros(FILTERS) for w in WIDTHS}
     head = rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(names)))
@@ -178,7 +182,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 0) -> Network:
 
 
 def predict(net: Network, tables: list[list[np.ndarray]], texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Label and probability of every text; ``und`` and 0 without a letter."""
+    """Label and probability of every text; ``und`` and 0 without a letter. Of equally likely
+    labels the first in order is taken."""
     raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
     symbols, owner, filled = windows_of(raw)
     probability = window_probabilities(net, tables, symbols, len(owner)) * filled[:, None]
@@ -197,10 +202,21 @@ def predict(net: Network, tables: list[list[np.ndarray]], texts: list[str | None
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", bound: int = TRAIN_ROWS) -> Network:
-    """Train on at most about ``bound`` rows with a text and a label, chosen by hash of ``key``."""
+    """Train on windows of about ``bound`` rows at most with a text and a label.
+
+    Rows are chosen by a hash of ``key`` and text and cut where they are; of their windows
+    about TRAIN_WINDOWS at most, chosen by a hash too, come to the driver, whatever the
+    texts' lengths. Repeated windows count once.
+    """
     usable = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, text, label)
-    sample = hashed_share(usable, F.col(key), bound).orderBy(key, text, label).toPandas()
-    return train([t.encode("utf-8", "replace") for t in sample[text]], list(sample[label]))
+    sample = hashed_share(usable, F.xxhash64(key, text), bound).select(F.col(text).alias("text"), F.col(label).alias("label"))
+
+    def start():
+        return lambda texts: {"windows": [cut(t.encode("utf-8", "replace")) for t in texts]}
+
+    windows = map_columns(sample, ["text"], ["label"], {"windows": pa.list_(pa.binary())}, start).select("label", F.explode("windows").alias("window")).distinct()
+    seen = hashed_share(windows, F.xxhash64("window", "label"), TRAIN_WINDOWS).orderBy("window", "label").toPandas()
+    return train([bytes(w) for w in seen["window"]], list(seen["label"]))
 
 
 def identify(rows: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
