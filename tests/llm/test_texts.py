@@ -22,7 +22,8 @@ from tests.llm.conftest import WORDS, prose
 def net():
     rng = random.Random(1)
     labels = [lang for lang in WORDS for _ in range(60)]
-    return langid.train([prose(rng, lang, 80).encode() for lang in labels], labels)
+    cuts = [(w, lang) for lang in labels for w in langid.cut(prose(rng, lang, 80).encode())]
+    return langid.train([w for w, _ in cuts], [lang for _, lang in cuts])
 
 
 def test_language_of_unseen_text(net):
@@ -75,20 +76,50 @@ def test_quality_orders_unseen_text():
     rng = random.Random(4)
     make = lambda n: [(prose(rng, "en", 80), True) for _ in range(n)] + [(junk(rng), False) for _ in range(n)]
     seen, unseen = make(120), make(60)
-    ranker = quality.train(np.array([quality.features(t) for t, _ in seen]), np.array([g for _, g in seen]))
-    score = ranker.score(np.array([quality.features(t) for t, _ in unseen]))
+    ranker = quality.train(quality.matrix([t for t, _ in seen]), np.array([g for _, g in seen]))
+    score = ranker.score(quality.matrix([t for t, _ in unseen]))
     good = np.array([g for _, g in unseen])
     assert (score[good][:, None] > score[~good][None]).mean() > 0.98
     assert ((score >= quality.ACCEPT) == good).mean() > 0.95
 
 
 def test_quality_of_odd_rows(tables, odd):
-    ranker = quality.train(np.zeros((0, len(quality.FEATURES))), np.zeros(0, dtype=bool))
+    ranker = quality.train(quality.matrix([]), np.zeros(0, dtype=bool))
     rows = quality.rate(tables(odd), ranker, keep=["doc_id"]).collect()
     assert len(rows) == len(odd) and all(0 <= r["score"] <= 1 for r in rows)
-    one = quality.train(np.array([quality.features("a b c")]), np.array([True]))
-    assert one.score(np.array([quality.features("a b c")]))[0] >= quality.ACCEPT
+    one = quality.train(quality.matrix(["a b c"]), np.array([True]))
+    assert one.score(quality.matrix(["a b c"]))[0] >= quality.ACCEPT
     assert quality.rate(tables([]), ranker).count() == 0
+    clash = tables(odd).selectExpr("doc_id AS Score", "text", "1 AS x", "2 AS `a.b`")
+    assert quality.rate(clash, ranker).columns == ["text", "x", "a.b", "score"]
+
+
+def test_quality_gradient_and_mark_by_definition():
+    rng = np.random.default_rng(11)
+    gap, weights = rng.normal(size=(40, 6)), rng.normal(size=6)
+    loss = lambda w: float(np.mean([np.log1p(np.exp(-g @ w)) for g in gap]) + quality.DECAY / 2 * w @ w)
+    step = 1e-6 * np.eye(6)
+    numeric = [(loss(weights + d) - loss(weights - d)) / 2e-6 for d in step]
+    assert np.allclose(quality.gradient(gap, weights), numeric, atol=1e-6)
+    rnd = random.Random(12)
+    texts = [prose(rnd, "en", 60) for _ in range(70)] + [junk(rnd) for _ in range(30)]
+    x, good = quality.matrix(texts), np.array([True] * 70 + [False] * 30)
+    ranker = quality.train(x, good)
+    # the mark is the quantile of the training scores at the share of poor texts
+    assert (ranker.score(x) >= quality.ACCEPT).sum() == 70
+    pairs = [(a, b) for a in ranker.strength(x)[:70] for b in ranker.strength(x)[70:]]
+    assert np.mean([a > b for a, b in pairs]) > 0.99
+
+
+def test_quality_tells_texts_apart_by_their_words():
+    """Texts of one shape, good or poor by the words they use."""
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    make = lambda poor: " ".join(rnd.choice(words[100:] if poor and rnd.random() < 0.5 else words[:100]) for _ in range(80))
+    seen, unseen = [(make(i % 2), i % 2 == 0) for i in range(600)], [(make(i % 2), i % 2 == 0) for i in range(200)]
+    ranker = quality.train(quality.matrix([t for t, _ in seen]), np.array([g for _, g in seen]))
+    score = ranker.score(quality.matrix([t for t, _ in unseen]))
+    assert ((score >= quality.ACCEPT) == np.array([g for _, g in unseen])).mean() > 0.95
 
 
 RANKS = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
