@@ -75,7 +75,8 @@ def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
 
 def encode(texts: list[str | None], tokens: tiktoken.Encoding) -> list[np.ndarray]:
     """Ids of each whole text, then the end id."""
-    return [np.array([*tokens.encode(t, allowed_special="all"), END] if t else [END], dtype="<u4") for t in texts]
+    end = np.array([END], dtype="<u4")
+    return [np.concatenate([tokens.encode_to_numpy(t, allowed_special="all"), end]) if t else end for t in texts]
 
 
 @dataclass
