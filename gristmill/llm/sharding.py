@@ -8,7 +8,8 @@ rows exactly, so every shard ends full and counts differ by one at most.
 The ring is cut into cells, each inside one arc. Only the cells' counts come to the
 driver, where the overflow is settled as ranges of ranks within a cell; the rows then
 find their shard and slot by their rank in their cell. Cells are made fine enough
-that none holds many rows, so no task sorts more than a cell at a time.
+that none holds many rows, and one that still does, because many rows have one key, is
+dealt over parts, so no task sorts more than about a cell's worth at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm.common import settle
+
 SHARDS = 24
 VIRTUAL_NODES = 64
 RING = 1 << 32
@@ -114,8 +117,11 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, nodes: in
     """``rows`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Rows of a cell are ranked by ring position, key and the columns ``order``; rows that
-    agree in all of these can be told apart by nobody and take any of their slots. Pass
-    no payload: all columns of ``rows`` are sorted within cells. Columns of the new names give way. An empty table gives none.
+    agree in all of these can be told apart by nobody and take any of their slots. A cell
+    of many rows of one key is ranked part by part, rows dealt by their number. Pass no
+    payload: all columns of ``rows`` are written once and sorted within cells. Rows
+    without a key are spread by ``order``. Columns of the new names give way. An empty
+    table gives none.
     """
     if key in ("shard", "slot"):
         raise ValueError(f"the key column cannot be called {key}")
@@ -129,19 +135,22 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, nodes: in
     total = rows.count()
     finer = max(0, (-(-total // cell_rows) - 1).bit_length() - GRID_BITS)
     placed = rows.withColumn("_at", key_position(key, order))
-    placed = placed.withColumn("_cell", F.shiftright("_at", 32 - GRID_BITS - finer))
-    counts = placed.groupBy("_cell").count().orderBy("_cell").collect()
-    cells = [(r["_cell"], ring.node[r["_cell"] >> finer], r["count"]) for r in counts]
-    ranges = settle_overflow(ring, cells, bounds(total, shards))
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_cell", "_first", "_end", "_shard", "_slot")])
-    per_cell = (
-        spark.createDataFrame(ranges, schema)
-        .groupBy("_cell")
-        .agg(F.sort_array(F.collect_list(F.struct("_first", "_end", "_shard", "_slot"))).alias("_ranges"))
-    )
-    window = Window.partitionBy("_cell").orderBy("_at", key, *order)
+    # written once, so that a row keeps its number
+    placed = settle(placed.withColumn("_cell", F.shiftright("_at", 32 - GRID_BITS - finer))).withColumn("_row", F.monotonically_increasing_id())
+    per_cell = placed.groupBy("_cell").count()
+    # at most total / (2 * cell_rows) cells are full
+    full = [(r["_cell"], -(-r["count"] // cell_rows)) for r in per_cell.where(F.col("count") > 2 * cell_rows).collect()]
+    split = spark.createDataFrame(full, "_cell long, _parts long")
+    part = F.pmod(F.xxhash64("_row"), F.coalesce("_parts", F.lit(1).cast("long")))
+    placed = placed.join(split, "_cell", "left").withColumn("_part", part).drop("_row", "_parts")
+    counts = placed.groupBy("_cell", "_part").count().orderBy("_cell", "_part").collect()
+    cells = [(k, ring.node[r["_cell"] >> finer], r["count"]) for k, r in enumerate(counts)]
+    ranges = [(counts[k]["_cell"], counts[k]["_part"], *rest) for k, *rest in settle_overflow(ring, cells, bounds(total, shards))]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_cell", "_part", "_first", "_end", "_shard", "_slot")])
+    by_cell = spark.createDataFrame(ranges, schema).groupBy("_cell", "_part").agg(F.sort_array(F.collect_list(F.struct("_first", "_end", "_shard", "_slot"))).alias("_ranges"))
+    window = Window.partitionBy("_cell", "_part").orderBy("_at", key, *order)
     ranked = placed.withColumn("_rank", F.row_number().over(window) - 1)
-    joined = ranked.join(per_cell, "_cell")
+    joined = ranked.join(by_cell, ["_cell", "_part"])
     mine = F.filter("_ranges", lambda r: (r["_first"] <= F.col("_rank")) & (F.col("_rank") < r["_end"]))[0]
     return joined.withColumn("_mine", mine).select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(payload)],
