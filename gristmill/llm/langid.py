@@ -74,19 +74,22 @@ class Network:
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, each padded to whole windows, and for every window the
-    index of its text and its number of bytes. An empty text has no window."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    """Windows of all texts, each a row of the symbols of its bytes and of the few behind them
+    that its filters reach; and for every window the index of its text and its number of bytes.
+
+    Behind a text's end is padding, never another text. An empty text has no window.
+    """
+    sizes, width = np.array([len(t) for t in texts], dtype=np.int64), max(WIDTHS)
     counts = -(-sizes // WINDOW)
-    symbols = np.zeros(int(counts.sum()) * WINDOW + max(WIDTHS), dtype=np.int32)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) * WINDOW
-    for text, at in zip(texts, starts.tolist()):
+    symbols = np.zeros(int(counts.sum() + 1) * WINDOW + width, dtype=np.int32)
+    starts = np.cumsum(counts) - counts
+    for text, at in zip(texts, (starts * WINDOW).tolist()):
         symbols[at : at + len(text)] = SYMBOL[np.frombuffer(text, dtype=np.uint8)]
     owner = np.repeat(np.arange(len(texts)), counts)
-    filled = np.full(len(owner), WINDOW, dtype=np.int64)
-    ends = np.cumsum(counts)[counts > 0] - 1
-    filled[ends] = (sizes - (counts - 1) * WINDOW)[counts > 0]
-    return symbols, owner, filled
+    grid = np.lib.stride_tricks.sliding_window_view(symbols, WINDOW + width)[::WINDOW][: len(owner)].copy()
+    grid[(np.cumsum(counts) - 1)[counts > 0], WINDOW:] = 0
+    filled = np.minimum(sizes[owner] - (np.arange(len(owner)) - starts[owner]) * WINDOW, WINDOW)
+    return grid, owner, filled
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -94,34 +97,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def window_probabilities(net: Network, tables: list[list[np.ndarray]], symbols: np.ndarray, count: int) -> np.ndarray:
-    """Probabilities (count x labels) of consecutive windows. A filter that starts in a
-    window may read up to three bytes of the next, so no byte sequence is missed."""
-    out = np.empty((count, len(net.labels)), dtype=np.float64)
+def window_probabilities(net: Network, tables: list[list[np.ndarray]], grid: np.ndarray) -> np.ndarray:
+    """Probabilities (windows x labels). A filter that starts in a window may read the few
+    bytes behind it, so no byte sequence of a text is missed."""
+    out = np.empty((len(grid), len(net.labels)), dtype=np.float64)
     block = max(1, BLOCK // WINDOW)
-    for lo in range(0, count, block):
-        n = min(block, count - lo)
-        part = symbols[lo * WINDOW : (lo + n) * WINDOW + max(WIDTHS)]
-        size = n * WINDOW
-        pairs = part[:-1] * SYMBOLS + part[1:]
+    for lo in range(0, len(grid), block):
+        part = grid[lo : lo + block]
+        pairs = part[:, :-1] * SYMBOLS + part[:, 1:]
         pooled = []
         for steps in tables:
-            total = steps[0].take(pairs[:size], axis=0)
+            total = steps[0].take(pairs[:, :WINDOW], axis=0)
             for k, table in enumerate(steps[1:], start=1):
                 at = 2 * k
-                total += table.take((pairs if len(table) > SYMBOLS else part)[at : at + size], axis=0)
-            pooled.append(total.reshape(n, WINDOW, FILTERS).max(axis=1))
+                total += table.take((pairs if len(table) > SYMBOLS else part)[:, at : at + WINDOW], axis=0)
+            pooled.append(total.max(axis=1))
         hidden = np.maximum(np.concatenate(pooled, axis=1), 0)
-        out[lo : lo + n] = _softmax(hidden @ net.head + net.head_bias)
+        out[lo : lo + block] = _softmax(hidden @ net.head + net.head_bias)
     return out
 
 
 def cut(text: bytes) -> list[bytes]:
     """The windows of a text that training takes: symbols of WINDOW bytes and of the few behind
     them that filters reach; the last one only if it is a quarter full, or alone."""
-    symbols, _, filled = windows_of([text])
-    width, small = WINDOW + max(WIDTHS), symbols.astype(np.uint8)
-    return [small[w * WINDOW : w * WINDOW + width].tobytes() for w in range(len(filled)) if not w or filled[w] >= WINDOW // 4]
+    grid, _, filled = windows_of([text])
+    return [row.astype(np.uint8).tobytes() for w, row in enumerate(grid) if not w or filled[w] >= WINDOW // 4]
 
 
 def train(windows: list[bytes], labels: list[str], seed: int = 0) -> Network:
@@ -175,6 +175,7 @@ def train(windows: list[bytes], labels: list[str], seed: int = 0) -> Network:
         grads += [back[:, i * FILTERS : (i + 1) * FILTERS].sum(axis=0) for i in range(len(WIDTHS))]
         grads += [hidden.T @ delta + 1e-4 * head, delta.sum(axis=0)]
         for p, g, m, v in zip(params, grads, first, second):
+            g = g.astype(np.float32)  # sums differ in their last digits from run to run; networks should not
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -185,8 +186,8 @@ def predict(net: Network, tables: list[list[np.ndarray]], texts: list[str | None
     """Label and probability of every text; ``und`` and 0 without a letter. Of equally likely
     labels the first in order is taken."""
     raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-    symbols, owner, filled = windows_of(raw)
-    probability = window_probabilities(net, tables, symbols, len(owner)) * filled[:, None]
+    grid, owner, filled = windows_of(raw)
+    probability = window_probabilities(net, tables, grid) * filled[:, None]
     total = np.zeros((len(raw), len(net.labels)))
     np.add.at(total, owner, probability)
     labels, scores = [], []

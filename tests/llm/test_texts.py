@@ -37,8 +37,9 @@ def test_language_of_unseen_text(net):
 def test_language_tables_equal_plain_convolution(net):
     """The added tables give what every filter of every width gives by definition."""
     text = prose(random.Random(3), "de", 100).encode()
-    symbols, owner, _ = langid.windows_of([text])
-    got = langid.window_probabilities(net, net.tables(), symbols, len(owner))
+    grid, owner, _ = langid.windows_of([text])
+    got = langid.window_probabilities(net, net.tables(), grid)
+    symbols = np.concatenate([langid.SYMBOL[np.frombuffer(text, dtype=np.uint8)], np.zeros(2 * langid.WINDOW, dtype=np.int32)])
     for w in range(len(owner)):
         pooled = []
         for width in langid.WIDTHS:
@@ -51,6 +52,16 @@ def test_language_tables_equal_plain_convolution(net):
         assert np.allclose(got[w], z / z.sum(), atol=1e-4)
 
 
+def test_language_does_not_depend_on_other_rows(net):
+    """Texts of every length around a window's, alone and between others."""
+    text = prose(random.Random(14), "fr", 90)
+    for size in [*range(120, 136), *range(250, 260)]:
+        part = "".join(c for c in text if c.isascii())[:size]
+        alone = langid.predict(net, net.tables(), [part])
+        among = langid.predict(net, net.tables(), ["der die das und", part, "the of and to"])
+        assert alone[0][0] == among[0][1] and alone[1][0] == pytest.approx(among[1][1], abs=1e-9)
+
+
 def test_language_of_odd_rows(tables, net, odd):
     rows = langid.identify(tables(odd), net, keep=["doc_id"]).collect()
     assert len(rows) == len(odd)
