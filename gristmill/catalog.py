@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 from gristmill.columns import IS_SUMMARY, ROW_ID, is_text, nan_to_null, qcol, visible, with_row_id
 from gristmill.functions.text import plain
 from gristmill.operators import values as V
-from gristmill.operators.filters import is_summary_row
+from gristmill.operators.filters import BoundFilter, apply, is_summary_row
 from gristmill.operators.ordering import plain_name, unpivot_years, year_columns
 from gristmill.operators.profiling import profile_columns, relationships
+from gristmill.session import stored
 
 DIMENSION_VALUES, DIMENSION_RATIO = 200, 0.1
 NUMERIC_TEXT, UNIQUE, UNIQUE_LEAST = 0.9, 0.95, 5
-# Units read off a column's name.
-UNITS = ("EUR", "EURO", "USD", "GBP", "CHF", "JPY", "SEK", "NOK", "DKK")
+# Units read off a column's name, and words for a percentage.
+UNITS = ("eur", "usd", "gbp", "chf", "ron", "huf", "pln", "czk", "bgn")
+PERCENT = ("percent", "ποσοστο")
 
 
 @dataclass
@@ -66,11 +69,12 @@ class Card:
 
 
 def unit_of(name: str) -> str | None:
-    words = name.upper().replace("%", " % ").split()
+    """The currency that is a word or the end of a column's name, else a percentage if it is named."""
+    text = plain(name)
     for unit in UNITS:
-        if unit in words:
-            return "EUR" if unit == "EURO" else unit
-    return "%" if "%" in words else None
+        if unit in text.split() or text.endswith(unit):
+            return unit.upper()
+    return "%" if "%" in name or any(w in text for w in PERCENT) else None
 
 
 def role_of(row, kind: str) -> str:
@@ -101,6 +105,23 @@ class Table:
     df: DataFrame
     card: Card = field(default_factory=Card)
     long_of: str | None = None
+    raw: DataFrame | None = None  # as it was read
+
+    def frame(self, filters: Sequence[BoundFilter] = ()) -> DataFrame:
+        """The rows that pass the filters, which come before anything else, so that they reach the scan."""
+        if not filters:
+            return self.df
+        if self.raw is None:
+            return apply(self.df, filters)
+        rows = self.raw
+        for f in filters:
+            rows = f.on(rows)
+        return prepared(rows)
+
+    @cached_property
+    def has_totals(self) -> bool:
+        """Whether any row is marked as a total; looked up once, so that plans over tables without leave the mark out."""
+        return not self.df.where(F.col(IS_SUMMARY)).select(F.lit(1)).isEmpty()
 
     @cached_property
     def profile(self) -> dict[str, ColumnProfile]:
@@ -120,6 +141,17 @@ class Table:
         return visible(self.df)
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """A table as plans see it: missing values null, rows numbered, totals marked. What was
+    stored by an engine is all that already."""
+    if IS_SUMMARY in df.columns and ROW_ID in df.columns:
+        return df
+    clean = with_row_id(nan_to_null(df))
+    if IS_SUMMARY not in clean.columns:
+        clean = clean.withColumn(IS_SUMMARY, is_summary_row(clean.select(*[qcol(c) for c in visible(clean)])))
+    return clean
+
+
 class Catalog:
     """Tables by name. Names are kept as given, whatever marks they have."""
 
@@ -128,21 +160,21 @@ class Catalog:
         self.tables: dict[str, Table] = {}
         self.links: list[Relationship] = []
         self._domains: dict[tuple[str, str], dict[str, list[str]]] = {}
-        self._index: DataFrame | None = None
+        self._values: dict[str, DataFrame] = {}
 
     def add(self, name: str, df: DataFrame, card: Card | None = None) -> Table:
-        """Register a table: missing values made null, rows numbered, totals marked. A table
-        with years in its column names also gets its long view ``name#long``."""
-        clean = with_row_id(nan_to_null(df))
-        if IS_SUMMARY not in clean.columns:
-            clean = clean.withColumn(IS_SUMMARY, is_summary_row(clean.select(*[qcol(c) for c in visible(clean)])))
-        self.tables[name] = Table(name, clean, card or Card())
+        """Register a table. A table with years in its column names also gets its long view ``name#long``."""
+        clean = prepared(df)
+        self.tables[name] = Table(name, clean, card or Card(), raw=df)
         if year_columns(visible(clean)):
             self.tables[f"{name}#long"] = Table(f"{name}#long", self._long(clean), card or Card(), long_of=name)
-        self._domains = {k: v for k, v in self._domains.items() if k[0] != name}
-        self._index = None
+        self._forget(name)
         return self.tables[name]
 
+    def _forget(self, name: str) -> None:
+        self._domains = {k: v for k, v in self._domains.items() if k[0] != name}
+        self._values.pop(name, None)
+
     @staticmethod
     def _long(df: DataFrame) -> DataFrame:
         marked = df.select(*[qcol(c) for c in visible(df)], F.col(IS_SUMMARY).alias("__total"), F.col(ROW_ID).alias("__row"))
@@ -151,7 +183,7 @@ class Catalog:
     def remove(self, name: str) -> None:
         for key in (name, f"{name}#long"):
             self.tables.pop(key, None)
-        self._index = None
+        self._forget(name)
 
     def resolve_table(self, name: str) -> str | None:
         """A table by its name, its plain name, or the part behind its last colon."""
@@ -177,11 +209,20 @@ class Catalog:
         return self._domains[key]
 
     def index(self) -> DataFrame:
-        if self._index is None:
-            # the labels of total rows are no values that a question could mean
-            frames = {n: t.df.where(~F.col(IS_SUMMARY)).select(*[qcol(c) for c in t.columns]) for n, t in self.tables.items() if t.long_of is None and any(is_text(f.dataType) for f in t.df.schema)}
-            self._index = V.value_index(frames)
-        return self._index
+        """The value index of all tables. A table's part is counted once and written to the
+        checkpoint folder; it is counted again only when the table is replaced."""
+        for name, t in self.tables.items():
+            if name not in self._values and t.long_of is None and any(is_text(f.dataType) for f in t.df.schema):
+                # the labels of total rows are no values that a question could mean
+                self._values[name] = stored(V.value_index({name: t.df.where(~F.col(IS_SUMMARY)).select(*[qcol(c) for c in t.columns])}))
+        if not self._values:
+            return self.spark.createDataFrame([], V.INDEX_SCHEMA)
+        return reduce(DataFrame.unionByName, self._values.values())
+
+    def take_index(self, index: DataFrame) -> None:
+        """Take up a saved value index for the tables that it has, replaced when these are."""
+        names = [r["table"] for r in index.select("table").distinct().collect()]
+        self._values |= {n: index.where(F.col("table") == n) for n in names if n in self.tables}
 
     def columns_holding(self, table: str, value: str) -> list[tuple[str, int]]:
         return [(r["column"], r["count"]) for r in V.value_rebind(self.index(), table, plain(value)).collect()]
@@ -211,6 +252,7 @@ class Catalog:
             "profiles": {n: {c: asdict(p) for c, p in t.profile.items()} for n, t in self.tables.items() if "profile" in t.__dict__},
             "cards": {n: asdict(t.card) for n, t in self.tables.items()},
             "links": [asdict(k) for k in self.links],
+            "totals": {n: t.has_totals for n, t in self.tables.items() if "has_totals" in t.__dict__},
         }
         Path(path).write_text(json.dumps(body, ensure_ascii=False, default=str), encoding="utf-8")
 
@@ -224,6 +266,9 @@ class Catalog:
             for n, card in body["cards"].items():
                 if n in self.tables:
                     self.tables[n].card = Card(**{**card, "validity": tuple(card["validity"]) if card["validity"] else None})
+            for n, totals in body.get("totals", {}).items():
+                if n in self.tables:
+                    self.tables[n].__dict__["has_totals"] = totals
             self.links = [Relationship(**k) for k in body["links"]]
         except (OSError, ValueError, KeyError, TypeError):
             return False

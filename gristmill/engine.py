@@ -125,8 +125,10 @@ class Engine:
         return out
 
     def save(self, folder: str) -> None:
-        """Tables, chunks and metadata; whatever is there is replaced."""
-        files.save_tables({n: t.df.select(*[qcol(c) for c in t.columns]) for n, t in self.catalog.tables.items() if t.long_of is None}, f"{folder}/tables")
+        """Tables with their row numbers and marks of totals, the value index, chunks and metadata;
+        whatever is there is replaced."""
+        files.save_tables({n: t.df for n, t in self.catalog.tables.items() if t.long_of is None}, f"{folder}/tables")
+        self.catalog.index().write.mode("overwrite").parquet(f"{folder}/values")
         if self.chunks is not None:
             self.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         if "://" not in folder:
@@ -138,9 +140,10 @@ class Engine:
         for name, df in files.load_tables(self.spark, f"{folder}/tables").items():
             self.catalog.add(name, df)
             names.append(name)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunks")
-        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if files.exists(self.spark, f"{folder}/chunks"):
             self.chunks = self.spark.read.parquet(f"{folder}/chunks")
+        if files.exists(self.spark, f"{folder}/values"):
+            self.catalog.take_index(self.spark.read.parquet(f"{folder}/values"))
         self.catalog.load_metadata(f"{folder}/metadata.json")
         return names
 

@@ -124,15 +124,22 @@ def echoes(answer: str, source: str) -> bool:
     return all(any(abs(a - b) <= 1e-6 * max(abs(a), abs(b), 1e-12) or round(a, 2) == round(b, 2) for b in have) for a in numbers_in(answer))
 
 
+# Fixed value: a free-standing number of four whole digits or more, apart from dates, codes and grouped numbers.
+_BARE = re.compile(r"(?<![\w.,])(-?\d{4,}(?:\.\d+)?)(?![\d,])(?!\.\d)(?!\w)")
+
+
 def reformat(text: str, style: str = "US") -> str:
-    """Bare numbers of a text regrouped for display."""
+    """Bare numbers of a text regrouped for display. Rates, codes, dates and years stay as they are,
+    and everything does in the plain style."""
+    if style == "plain":
+        return text
 
     def show(m: re.Match) -> str:
-        value = float(m[0].replace(",", ""))
+        value = float(m[0])
         if value == int(value):
-            shown = str(int(value)) if 1900 <= value <= 2100 else f"{int(value):,}"
+            shown = m[0] if "." not in m[0] and 1900 <= value <= 2100 else str(int(value)) if 1900 <= value <= 2100 else f"{int(value):,}"
         else:
             shown = f"{value:,.2f}"
-        return shown.translate(str.maketrans(",.", ".,")) if style == "EU" else shown if style == "US" else shown.replace(",", "")
+        return shown.translate(str.maketrans(",.", ".,")) if style == "EU" else shown
 
-    return _NUMBER.sub(show, text)
+    return _BARE.sub(show, text)

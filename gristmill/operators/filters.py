@@ -15,6 +15,7 @@ from operator import eq, ge, gt, le, lt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.columns import any_of, is_text, number, qcol, stripped
 
@@ -119,6 +120,18 @@ class BoundFilter:
     text: bool = False  # a date or number held as text
     exact: bool = False  # text values are stored spellings
 
+    def on(self, df: DataFrame) -> DataFrame:
+        """Rows of a table as it was read, in which a missing number may be a NaN, that pass. The
+        column is compared bare, so that the scan can skip by it."""
+        kind = next(f.dataType for f in df.schema if f.name == self.column)
+        if not isinstance(kind, (T.DoubleType, T.FloatType)):
+            return df.where(self.condition())
+        nan = F.isnan(qcol(self.column))
+        if self.kind == "isnull" or self.or_null:
+            return df.where(self.condition() | nan)
+        # a NaN is greater than every number and equal to none
+        return df.where(self.condition()).where(~nan) if self.kind == "notnull" or self.op in ("gt", "ge") else df.where(self.condition())
+
     def condition(self) -> Column:
         c, v = qcol(self.column), self.values
         if self.kind == "text_in":

@@ -14,6 +14,7 @@ from gristmill.functions.text import acronym, norm_text, plain, similarity_ratio
 CARDINALITY, BUCKET = 50_000, 4
 HITS, HITS_PER_COLUMN = 12, 3
 CONTAINED, FUZZY = 0.6, 0.6
+INDEX_SCHEMA = "table string, column string, norm string, display string, count long"
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -57,20 +58,46 @@ def token_index(index: DataFrame, least: int = 4, bucket: int = BUCKET) -> DataF
     return each.withColumn("_r", place).where(F.col("_r") <= bucket).drop("_r")
 
 
-def value_hits(index: DataFrame, question: str, most: int = HITS, per_column: int = HITS_PER_COLUMN) -> DataFrame:
-    """``(table, column, norm, display, count, score)`` of the values that a question names.
+def value_hits(index: DataFrame, question: str, most: int = HITS, per_column: int = HITS_PER_COLUMN, typos: bool = True) -> DataFrame:
+    """``(table, column, norm, display, count, score, kind)`` of the values that a question names.
 
-    A value that stands in it whole scores 10 and its length's hundredth; one of which CONTAINED of
-    the tokens (of three letters or more) do, 5 and that share. At most ``per_column`` of a
-    column and ``most`` in all, best first.
+    A value of three letters or more counts by the best of these: ``whole``, it stands in the
+    question between word bounds (10 and a tenth of its length, to 13); ``contained``, a word
+    of three letters or more is part of it or has it as a part, to CONTAINED of the longer one
+    (5 and that share, for the first such word); ``token``, it is in the token index under a
+    word of the question (4 and a twentieth of the word's length, to 5); ``typo``, it is there
+    under a token with the first letter of a word and similar to FUZZY (6 and the similarity).
+    At most ``per_column`` of a column and ``most`` in all, best first.
     """
-    asked, words = f" {plain(question)} ", tokens_of(question)
-    norm, tokens = F.col("norm"), F.filter(tokenize(F.col("norm")), lambda t: F.length(t) >= 3)
-    whole = F.contains(F.lit(asked), F.concat(F.lit(" "), norm, F.lit(" "))) & (F.length(norm) >= 2)
-    shared = F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words]).cast("array<string>")))
-    share = F.try_divide(shared, F.size(F.array_distinct(tokens)))
-    score = F.when(whole, 10 + F.length(norm) / 100).when((F.size(tokens) >= 2) & (share >= CONTAINED), 5 + share)
-    found = index.withColumn("score", F.round(score, 4)).where("score is not null")
+    asked, words = f" {plain(question)} ", [w for w in tokens_of(question) if len(w) >= 3]
+    norm, size = F.col("norm"), F.length("norm")
+    if not words:
+        return index.where(F.lit(False)).withColumns({"score": F.lit(0.0), "kind": F.lit("")})
+
+    def share(word: str) -> Column:
+        inside = F.contains(norm, F.lit(word)) | F.contains(F.lit(word), norm)
+        ratio = F.least(size, F.lit(len(word))) / F.greatest(size, F.lit(len(word)))
+        return F.when(inside & (ratio >= CONTAINED), ratio)
+
+    whole = F.when(F.contains(F.lit(asked), F.concat(F.lit(" "), norm, F.lit(" "))), F.struct((10 + F.least(size, F.lit(30)) / 10).alias("score"), F.lit("whole").alias("kind")))
+    part = F.coalesce(*[share(w) for w in words])
+    contained = F.when(part.isNotNull(), F.struct((5 + part).alias("score"), F.lit("contained").alias("kind")))
+    direct = index.where(size >= 3).withColumn("hit", F.coalesce(whole, contained)).where("hit is not null").select("table", "column", "norm", "display", "count", "hit")
+    long = [w for w in dict.fromkeys(words) if len(w) >= 4]
+    near = index.where(F.lit(False)).select("norm").withColumn("hit", F.struct(F.lit(0.0).alias("score"), F.lit("").alias("kind")))
+    if long or typos:
+        # only tokens that begin like a word are looked at; the index is by token, so this filter goes below it
+        tokens = token_index(index).where(F.col("token").isin(*long) if not typos else F.substring("token", 1, 1).isin(*sorted({w[0] for w in words})))
+        pairs = tokens.select("norm", "token", F.explode(F.array(*[F.lit(w) for w in dict.fromkeys(words)])).alias("word")).where(F.substring("token", 1, 1) == F.substring("word", 1, 1))
+        exact = pairs.where((F.col("token") == F.col("word")) & (F.length("word") >= 4)).select("norm", F.struct((4 + F.least(F.length("word"), F.lit(20)) / 20).alias("score"), F.lit("token").alias("kind")).alias("hit"))
+        near = exact
+        if typos:
+            alike = pairs.select("norm", similarity_ratio("token", "word").alias("ratio")).where(F.col("ratio") >= FUZZY)
+            near = exact.unionByName(alike.select("norm", F.struct((6 + F.col("ratio")).alias("score"), F.lit("typo").alias("kind")).alias("hit")))
+    near = near.groupBy("norm").agg(F.max("hit").alias("hit"))
+    both = direct.unionByName(index.join(near, "norm").select(*direct.columns))
+    found = both.groupBy("table", "column", "norm", "display", "count").agg(F.max("hit").alias("hit"))
+    found = found.select("table", "column", "norm", "display", "count", F.round("hit.score", 4).alias("score"), F.col("hit.kind").alias("kind"))
     place = Window.partitionBy("table", "column").orderBy(F.desc("score"), F.desc("count"), "norm", "display")
     return found.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= per_column).drop("_r").orderBy(F.desc("score"), F.desc("count"), "table", "column", "norm").limit(most)
 

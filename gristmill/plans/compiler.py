@@ -43,23 +43,36 @@ def compile_plan(plan: Plan | dict, catalog: Catalog, as_at: date | None = None)
     out = Compiled(catalog.spark.range(0), tables_used=[bound.table], notes=list(bound.notes))
     df = _source(bound, catalog, out)
     _step(out, "source", df)
-    if bound.measures:
-        df = df.where(~F.col(IS_SUMMARY))
+    tables = [catalog.tables[n] for n in (bound.table, *bound.union)]
+    totals = bool(bound.measures) and any(t.has_totals for t in tables)
+    kept = lambda rows: rows.where(~F.col(IS_SUMMARY)) if totals else rows
+    if totals:
+        df = kept(df)
         _step(out, "without totals", df)
+    # filters on the table's own columns come before the join, at the scan
+    own = [f for f in bound.filters if not bound.union and f.column in tables[0].columns]
+    for i, f in enumerate(own):
+        df = kept(tables[0].frame(own[: i + 1]))
+        _step(out, _name(f), df)
     if bound.join:
         right, left_key, right_key = bound.join
         df = J.left_join(df, catalog.tables[right].df, left_key, right_key)
         out.tables_used.append(right)
         _step(out, f"joined {right}", df)
     for f in bound.filters:
-        df = df.where(f.condition())
-        _step(out, f"{f.column} {f.op if f.kind in ('number', 'date') else f.kind} {f.values}", df)
+        if f not in own:
+            df = df.where(f.condition())
+            _step(out, _name(f), df)
     df = _summarise(df, bound) if bound.measures else _list(df, bound)
     _step(out, "result", df)
     out.df = df
     return out
 
 
+def _name(f: P.BoundFilter) -> str:
+    return f"{f.column} {f.op if f.kind in ('number', 'date') else f.kind} {f.values}"
+
+
 def _step(out: Compiled, name: str, df: DataFrame) -> None:
     out.explain.append(name)
     out.steps.append((name, df))
@@ -122,7 +135,8 @@ def _compare(c: Compare, catalog: Catalog, binder: Binder) -> Compiled:
         bound = [binder.filter(table, t.profile, f) for f in filters]
         if binder.issues:
             raise PlanError(binder.issues)
-        rows = P.apply(t.df.where(~F.col(IS_SUMMARY)), bound)
+        rows = t.frame(bound)
+        rows = rows.where(~F.col(IS_SUMMARY)) if t.has_totals else rows
         sides.append((table, rows.select(qcol(key).alias(c.key), *[qcol(m).alias(w) for m, w in zip(measures, c.measures)])))
     (left, a), (right, b) = sides
     labels = (c.left_label, c.right_label) if c.left_label != c.right_label else (f"{c.left_label}_1", f"{c.right_label}_2")

@@ -45,21 +45,38 @@ def token_index(spark, sf):
     return V.token_index(index(spark, sf))
 
 
-QUESTION = "total price of Brand#12 parts for the building segment in NATION_3"
+QUESTION = "total price of Brand#12 parts for the building segment in NATION_3, buildings and machiner of nation_21"
 
 
 @query(
     f"""
-WITH i AS ({INDEX}), q AS (SELECT ' {QUESTION.lower()} ' AS q, regexp_extract_all('{QUESTION.lower()}', '[\\p{{L}}\\p{{N}}]+') AS w),
-t AS (SELECT i.*, list_filter(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3) AS tokens, q, w FROM i, q),
-s AS (SELECT *, CASE WHEN contains(q, ' ' || norm || ' ') AND length(norm) >= 2 THEN 10 + length(norm) / 100
-  WHEN len(tokens) >= 2 AND len(list_intersect(tokens, w)) / len(list_distinct(tokens)) >= 0.6 THEN 5 + len(list_intersect(tokens, w)) / len(list_distinct(tokens)) END AS score FROM t),
-c AS (SELECT * FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY score DESC, count DESC, norm, display) <= 3)
-SELECT "table", "column", norm, display, count, round(score, 4) AS score FROM c ORDER BY score DESC, count DESC, "table", "column", norm LIMIT 12
+WITH i AS ({INDEX}), q AS (SELECT ' {QUESTION.lower()} ' AS q),
+w AS (SELECT unnest(words) AS word, unnest(range(len(words))) AS place FROM (SELECT list_filter(regexp_extract_all('{QUESTION.lower()}', '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3) AS words)),
+part AS (
+  SELECT "table", "column", norm, display, count, arg_min(least(length(norm), length(word)) / greatest(length(norm), length(word)), place) AS share
+  FROM i, w WHERE (contains(norm, word) OR contains(word, norm)) AND least(length(norm), length(word)) / greatest(length(norm), length(word)) >= 0.6 GROUP BY ALL
+),
+v AS (SELECT norm, sum(count)::BIGINT AS count, list_distinct(list_filter(regexp_extract_all(norm, '[a-z0-9]+'), lambda x: length(x) >= 4)) AS tokens FROM i GROUP BY norm),
+t AS (SELECT token, norm FROM (SELECT unnest(tokens) AS token, norm, count FROM v WHERE len(tokens) >= 2) QUALIFY row_number() OVER (PARTITION BY token ORDER BY count DESC, norm) <= 4),
+hit AS (
+  SELECT i.*, 10 + least(length(norm), 30) / 10 AS score, 'whole' AS kind FROM i, q WHERE contains(q, ' ' || norm || ' ') AND length(norm) >= 3
+  UNION ALL SELECT "table", "column", norm, display, count, 5 + share, 'contained' FROM part WHERE length(norm) >= 3
+  UNION ALL SELECT i.*, 4 + least(length(token), 20) / 20, 'token' FROM i JOIN t USING (norm) JOIN w ON token = word WHERE length(word) >= 4
+),
+best AS (SELECT "table", "column", norm, display, count, max(round(score, 4)) AS score, arg_max(kind, score) AS kind FROM hit GROUP BY ALL),
+c AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY score DESC, count DESC, norm, display) <= 3)
+SELECT "table", "column", norm, display, count, score, kind FROM c ORDER BY score DESC, count DESC, "table", "column", norm LIMIT 12
 """
 )
 def value_hits(spark, sf):
-    return V.value_hits(index(spark, sf), QUESTION)
+    """Values that a question names whole, by a part, or by a token."""
+    return V.value_hits(index(spark, sf), QUESTION, typos=False)
+
+
+@query()
+def value_typos(spark, sf):
+    """Values that a question misspells; similarity by matching blocks has no SQL."""
+    return V.value_hits(index(spark, sf), "all the bulding parts, larg brushd stel")
 
 
 @query("SELECT 'p_brand' AS \"column\", count(*) AS count, 'Brand#12' AS spellings FROM part WHERE p_brand = 'Brand#12'")

@@ -66,12 +66,18 @@ def decode_name(folder: str) -> str:
     return re.sub(r"%([0-9a-f]+)%", lambda m: chr(int(m[1], 16)), folder)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Tables that ``save_tables`` wrote; a folder that is not there has none."""
+    if not exists(spark, folder):
+        return {}
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return {}
     names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
     return {decode_name(n): spark.read.parquet(f"{folder}/{n}") for n in names}
 

@@ -8,7 +8,7 @@ import pytest
 
 from gristmill.ask.grounding import as_at_day
 from gristmill.ask.planner import Conversation
-from gristmill.catalog import Card, Catalog
+from gristmill.catalog import Card, Catalog, unit_of
 from gristmill.engine import Engine, as_html, as_text, condensed
 from gristmill.plans.compiler import compile_plan
 from gristmill.plans.ir import Plan, PlanError
@@ -136,6 +136,12 @@ def test_other_statements_do_not(catalog, text):
         run_sql(catalog, text)
 
 
+def test_units_of_column_names():
+    units = {f"AMOUNT {u}": u for u in ("EUR", "USD", "GBP", "CHF", "RON", "HUF", "PLN", "CZK", "BGN")}
+    units |= {"AMOUNTEUR": "EUR", "total_usd": "USD", "Percent paid": "%", "RATE %": "%", "Ποσοστό": "%", "EUR total": "EUR", "AMOUNT JPY": None, "NAME": None, "European": None}
+    assert {name: unit_of(name) for name in units} == units
+
+
 def test_view_names():
     assert view_name("a b.xlsx:S#2") == "a_b_xlsx_S_2" and view_name("2023") == "t_2023"
 

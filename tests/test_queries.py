@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import __spark_entry__
 from gristmill.functions.text import chunks_of, plain, tokens_of
+from gristmill.operators import values as V
 
 SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.queries()
@@ -42,3 +43,33 @@ def test_fuzzy_names(spark):
     near = lambda w, t: w == t or w[0] == t[0] and SequenceMatcher(None, t, w).ratio() >= 0.6
     want = {plain(n) for n in all_ if all(any(near(w, t) for t in tokens_of(n)) for w in asked)}
     assert {r["norm"] for r in QUERIES["resolve_fuzzy"](spark, SF).collect()} == want
+
+
+def test_value_hits_by_definition(spark):
+    """Every kind of hit over a small index, worked out value by value."""
+    stored = [("t", "country", "Croatia", 5), ("t", "name", "Karanikolaos,Panagiotis", 2), ("t", "name", "Spyrou,Spiros", 3), ("t", "bank", "Alpha Bank", 9), ("u", "bank", "Beta Bank", 4), ("t", "ccy", "EUR", 7), ("t", "ccy", "US", 1)]
+    index = spark.createDataFrame([(t, c, plain(v), v, n) for t, c, v, n in stored], V.INDEX_SCHEMA)
+
+    def want(question):
+        asked, words, best = f" {plain(question)} ", [w for w in tokens_of(question) if len(w) >= 3], {}
+        for t, c, v, n in stored:
+            norm, tokens, scores = plain(v), [x for x in tokens_of(v) if len(x) >= 4], []
+            if len(norm) >= 3:
+                shares = [min(len(w), len(norm)) / max(len(w), len(norm)) for w in words if w in norm or norm in w]
+                if f" {norm} " in asked:
+                    scores.append((10 + min(len(norm), 30) / 10, "whole"))
+                elif [s for s in shares if s >= 0.6]:
+                    scores.append((5 + next(s for s in shares if s >= 0.6), "contained"))
+            if len(tokens) >= 2:
+                scores += [(4 + min(len(w), 20) / 20, "token") for w in words if len(w) >= 4 and w in tokens]
+                ratios = [SequenceMatcher(None, x, w).ratio() for w in words for x in tokens if x[0] == w[0]]
+                scores += [(6 + r, "typo") for r in ratios if r >= 0.6]
+            if scores:
+                best[t, c, norm] = max((round(s, 4), k) for s, k in scores)
+        return best
+
+    for question in ("loans of Alpha Bank", "croatian firms", "directorships of karanikolaos", "shares of Spuros Spirou in eur", "bank", "what is it", ""):
+        got = {(r["table"], r["column"], r["norm"]): (r["score"], r["kind"]) for r in V.value_hits(index, question).collect()}
+        assert got == want(question), question
+    one = spark.createDataFrame([("t", "c", f"value {i:02}", f"Value {i:02}", 100 - i) for i in range(9)], V.INDEX_SCHEMA)
+    assert V.value_hits(one, "value 00 value 01 value 02 value 03").count() == 3  # no more of one column
