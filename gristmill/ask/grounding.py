@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import re
+from collections.abc import Collection
 from dataclasses import dataclass, field
 from datetime import date
 from difflib import SequenceMatcher
@@ -27,6 +28,7 @@ class Hit:
     display: str
     count: int
     score: float
+    kind: str = "whole"
 
 
 @dataclass
@@ -76,7 +78,8 @@ def likeness(word: str, column: str) -> float:
 def ground(question: str, catalog: Catalog) -> Evidence:
     out = Evidence(question, day=as_at_day(question))
     out.years = sorted({int(y) for y in re.findall(r"(?<![\d.])((?:19|20)\d{2})(?!\d)", question)})
-    out.hits = [Hit(*(r[c] for c in ("table", "column", "norm", "display", "count", "score"))) for r in V.value_hits(catalog.index(), question).collect()]
+    out.hits = [Hit(*(r[c] for c in ("table", "column", "norm", "display", "count", "score", "kind"))) for r in V.value_hits(catalog.index(), question).collect()]
+    out.hits = without_noise(out.hits)
     words = [w for w in tokens_of(question) if w not in STOP and len(w) >= 3]
     scores = dict.fromkeys(catalog.tables, 0.0)
     for name, table in catalog.tables.items():
@@ -93,23 +96,35 @@ def ground(question: str, catalog: Catalog) -> Evidence:
     return out
 
 
+def without_noise(hits: list[Hit]) -> list[Hit]:
+    """Hits without words that merely describe: where a value is named whole, another column in
+    which a part of the question fits several values says nothing."""
+    named = {(h.table, h.column) for h in hits if h.kind == "whole"}
+    if not named:
+        return hits
+    loose = [(h.table, h.column) for h in hits if h.kind != "whole"]
+    return [h for h in hits if h.kind == "whole" or (h.table, h.column) in named or loose.count((h.table, h.column)) < 2]
+
+
 def missing_conditions(evidence: Evidence, filters: list) -> list[str]:
     """Values named whole in the question that no filter of a plan has."""
     used = {plain(str(v)) for f in filters for v in (f.value if isinstance(f.value, list) else [f.value])}
     return [h.display for h in evidence.hits if h.score >= 10 and h.norm not in used]
 
 
-def did_you_mean(question: str, catalog: Catalog, most: int = 3) -> list[tuple[str, str]]:
+def did_you_mean(question: str, catalog: Catalog, most: int = 3, ignored: Collection[str] = ()) -> list[tuple[str, str]]:
     """(typed word, stored value) for words of no column or value that resemble a value."""
     known = {t for table in catalog.tables.values() for c in table.columns for t in tokens_of(c)}
     found = []
     for word in tokens_of(question):
-        if len(word) < 4 or word in known or word in STOP:
+        if len(word) < 4 or word in known or word in STOP or word in ignored:
             continue
         for table in catalog.tables.values():
             for column, p in table.profile.items():
                 if p.kind == "text" and p.role in ("dimension", "identifier"):
                     for norm, shown in catalog.domain(table.name, column).items():
+                        if word in tokens_of(norm):
+                            break
                         if any(t[0] == word[0] and t != word and SequenceMatcher(None, word, t).ratio() >= 0.75 for t in tokens_of(norm)):
                             found.append((word, shown[0]))
     return list(dict.fromkeys(found))[:most]
@@ -131,3 +146,39 @@ def readings(evidence: Evidence, catalog: Catalog) -> list[dict]:
                     return [{"kind": "measure", "column": column, "value": hit.display}]
                 out = [{"kind": "filter", "column": hit.column, "value": hit.display}, {"kind": "measure", "column": column, "value": hit.display}]
     return out
+
+
+def places_of(evidence: Evidence) -> list[dict]:
+    """Columns to choose from where a value that is named whole stands in several and the question names none of them."""
+    whole = [h for h in evidence.hits if h.score >= 10]
+    norms = {h.norm for h in whole}
+    named = {(t, c) for t, c, like in evidence.columns if like == 1.0}
+    if len(norms) != 1 or len(whole) < 2 or named & {(h.table, h.column) for h in whole}:
+        return []
+    return [{"kind": "place", "table": h.table, "column": h.column, "value": h.display, "label": f"{h.display} as {h.column} of {h.table}"} for h in sorted(whole, key=lambda h: (-h.count, h.table, h.column))]
+
+
+# Words of a currency's column; words that ask for amounts converted.
+CURRENCY, CONVERTED = ("currency", "ccy", "νομισμα"), re.compile(r"\b(equivalent|converted|in total in)\b")
+
+
+def own_or_converted(evidence: Evidence, catalog: Catalog, group: str | None) -> list[dict]:
+    """Ways to add up by a column of currencies: each one's own amounts, or those of the measure that
+    is named after one of its values. One way only if the question says that amounts are converted."""
+    out = []
+    for name, table in catalog.tables.items():
+        p = table.profile.get(group or "")
+        if p is None or p.role != "dimension" or not any(w in group.lower() for w in CURRENCY):
+            continue
+        domain = catalog.domain(name, group)
+        measures = [c for c, q in table.profile.items() if q.role == "measure"]
+        tokens = {c: tokens_of(re.sub(r"[_\W]+", " ", c)) for c in measures}
+        converted = [c for c in measures if any(len(v) >= 3 and any(t == v or t.startswith(v) for t in tokens[c]) for v in domain)]
+        own = [c for c in measures if c not in converted]
+        if 2 <= len(domain) <= 200 and converted and own:
+            both = {"kind": "by", "table": name, "group": group}
+            whole = both | {"column": converted[0], "label": f"{converted[0]}, converted, for each {group}"}
+            if CONVERTED.search(plain(evidence.question)):
+                return [whole]
+            out = [both | {"column": own[0], "label": f"each {group}'s own amounts ({own[0]})"}, whole]
+    return out

@@ -66,6 +66,7 @@ class Card:
     validity: tuple[str, str] | None = None
     measures: list[str] = field(default_factory=list)
     caveats: list[str] = field(default_factory=list)
+    schema: str = ""  # of the columns that the card was made for
 
 
 def unit_of(name: str) -> str | None:

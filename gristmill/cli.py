@@ -8,16 +8,18 @@ import time
 
 from gristmill.engine import Engine, as_text
 from gristmill.session import session
-from gristmill.sources.files import Audit
+from gristmill.sources.files import Audit, HouseRules, record_score
 
 
 def show(engine: Engine, audit: Audit, question: str) -> None:
     began = time.time()
     answer = engine.ask(question)
-    if answer.kind == "rows":
+    if answer.compiled is not None:
         with engine.limit():
-            print(as_text(answer.compiled.df))
-        print(f"[{answer.tier}] {' > '.join(answer.compiled.explain)}")
+            print(as_text(answer.chart["data"] if answer.chart else answer.compiled.df))
+        print("\n".join(x for x in (answer.text, answer.hint, f"[{answer.tier}] {' > '.join(answer.compiled.explain)}") if x))
+    elif answer.docs is not None:
+        print(answer.text or as_text(answer.docs.select("source", "chunk", "score")))
     else:
         print(answer.text)
         for i, option in enumerate(answer.options or [], start=1):
@@ -35,21 +37,26 @@ def main(argv: list[str] | None = None) -> int:
     commands.add_parser("status")
     commands.add_parser("check")
     commands.add_parser("serve").add_argument("--port", type=int, default=8080)
+    parser.add_argument("--rules", default="", help="text file of rules for the model, one a line")
     args = parser.parse_args(argv)
-    engine, audit = Engine(session()), Audit(f"{args.store}/audit")
+    rules, scores = HouseRules(args.rules) if args.rules else None, f"{args.store}/scores.json"
+    engine, audit = Engine(session(), rules=rules), Audit(f"{args.store}/audit")
     if args.command == "index":
-        print("\n".join(engine.load(args.paths)))
+        print("\n".join(engine.load(args.paths) + [f"warning: {w}" for w in engine.warnings]))
         engine.catalog.discover_links()
+        engine.describe()
         engine.save(args.store)
         return 0
     names = engine.open(args.store)
     if args.command in ("status", "check"):
         print(as_text(engine.reports()["inventory"]()) if names else "nothing is indexed")
+        if args.command == "check":
+            record_score(scores, "check", {"tables": len(names), "ok": bool(names)})
         return int(args.command == "check" and not names)
     if args.command == "serve":
         from gristmill.server import serve
 
-        serve(engine, audit, args.port)
+        serve(engine, audit, args.port, rules=rules, scores=scores)
     elif args.command == "ask":
         show(engine, audit, args.question)
     else:

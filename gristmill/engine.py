@@ -8,10 +8,15 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.ask.planner import Answer, Conversation, Model
+from gristmill import timing
+from gristmill.ask.cards import build_cards
+from gristmill.ask.planner import Answer, Conversation, Model, schema_text
+from gristmill.ask.routing import PLOT, empty_hint, route
 from gristmill.catalog import Card, Catalog
-from gristmill.columns import is_number, qcol
-from gristmill.functions.text import register
+from gristmill.columns import is_date, is_number, qcol
+from gristmill.functions.dates import content_date, filename_asof
+from gristmill.functions.numbers import clip_negative, echoes
+from gristmill.functions.text import plain, register, tokens_of
 from gristmill.operators import aggregates as A
 from gristmill.operators import ordering as O
 from gristmill.operators import retrieval as H
@@ -20,20 +25,27 @@ from gristmill.plans.compiler import Compiled, compile_plan
 from gristmill.plans.ir import Plan
 from gristmill.plans.sqltier import TimeLimit, run_sql, spell_literals
 from gristmill.sources import files
-from gristmill.functions.dates import filename_asof
 
 TEXT_ROWS, TABLE_ROWS = 100, 2000
 SECONDS = 20.0
+#: Rows up to which a result is put in words, and up to which it is without being asked.
+PHRASED_ROWS, SHORT_ROWS = 40, 3
+# Words that ask for words.
+PROSE_WORDS = frozenset("explain describe summarise summarize why tell".split())
 
 
 class Engine:
-    """One catalogue of tables and one store of text chunks over a Spark session."""
+    """One catalogue of tables and one store of text chunks over a Spark session.
 
-    def __init__(self, spark: SparkSession, model: Model | None = None, seconds: float = SECONDS):
-        self.spark, self.seconds = spark, seconds
+    ``warnings`` tells of files whose name and content have different days.
+    """
+
+    def __init__(self, spark: SparkSession, model: Model | None = None, seconds: float = SECONDS, rules: files.HouseRules | None = None):
+        self.spark, self.seconds, self.model = spark, seconds, model
         self.catalog = Catalog(spark)
         self.chunks: DataFrame | None = None
-        self.conversation = Conversation(self.catalog, model)
+        self.conversation = Conversation(self.catalog, model, rules)
+        self.warnings: list[str] = []
         register(spark)
 
     def load(self, paths: list[str] | str, split: bool = False) -> list[str]:
@@ -48,9 +60,21 @@ class Engine:
                 else:
                     day = self.spark.range(1).select(filename_asof(F.lit(name)).alias("d")).first()["d"]
                     self.catalog.add(name, df, Card(as_of=str(day) if day else None))
+                    self._compare_days(name, df, day)
                 added.append(name)
         return added
 
+    def _compare_days(self, name: str, df: DataFrame, named: date | None) -> None:
+        """Warn if a table's most constant date is another day than its file's name says."""
+        columns = [f.name for f in df.schema if is_date(f.dataType)]
+        found = content_date(df, columns).first() if named and columns else None
+        if found and found["day"] != named:
+            self.warnings.append(f"{name} is named after {named}, but {found['column']} says {found['day']}")
+
+    def describe(self) -> dict[str, Card]:
+        """Make a card for each table that has none for its columns."""
+        return build_cards(self.catalog, lambda names: schema_text(self.catalog, names, detail=True), self.model)
+
     def add(self, name: str, df: DataFrame, card: Card | None = None) -> None:
         self.catalog.add(name, df, card)
 
@@ -61,19 +85,85 @@ class Engine:
         return compile_plan(plan, self.catalog, as_at)
 
     def ask(self, question: str) -> Answer:
-        return self.conversation.ask(question)
+        """An answer in rows, as a chart, or from documents, or options to choose from; with the
+        seconds of each step, and a hint where nothing was found."""
+        timing.snapshot(clear=True)
+        way = "analyze" if self.conversation.pending else route(question, self.catalog, self.chunks is not None)
+        if way == "chat":
+            answer = Answer("chat", text="Ask about the tables or the documents that are loaded.")
+        elif way == "docs":
+            answer = self._from_documents(question)
+        else:
+            answer = self.conversation.ask(" ".join(w for w in question.split() if plain(w).strip("?.,!") not in PLOT) if way == "plot" else question)
+            if way == "plot" and answer.kind == "rows":
+                answer = self._as_chart(answer, question)
+        if answer.kind == "rows" and answer.plan is not None and answer.tier != "explained":
+            with timing.stage("hint"):
+                answer.hint = self._hint(answer)
+            with timing.stage("phrasing"):
+                answer.text = answer.text or self._phrased(question, answer)
+        answer.seconds = timing.snapshot(clear=True)
+        return answer
+
+    def _as_chart(self, answer: Answer, question: str) -> Answer:
+        if answer.plan is None or not answer.plan.group_by or not answer.compiled.df.columns:
+            return answer
+        words = set(tokens_of(question))
+        answer.chart = self._chart_of(answer.compiled.df, next((k for k in ("pie", "line") if k in words), ""))
+        answer.kind = "chart"
+        return answer
+
+    def _hint(self, answer: Answer) -> str:
+        """Why nothing was found, if the filters of a plan leave no row."""
+        steps = [df for name, df in answer.compiled.steps[:-1]]
+        if not answer.plan.filters or not steps or not steps[-1].isEmpty():
+            return ""
+        return empty_hint(answer.plan, self.catalog)
+
+    def _phrased(self, question: str, answer: Answer) -> str:
+        """A few rows in a model's words, if they are few or words are asked for, and only with their own numbers."""
+        if self.model is None:
+            return ""
+        rows = answer.compiled.df.limit(PHRASED_ROWS + 1).collect()
+        wanted = set(tokens_of(question)) & PROSE_WORDS
+        if len(rows) > PHRASED_ROWS or len(rows) > SHORT_ROWS and not wanted:
+            return ""
+        table = "\n".join([" | ".join(answer.compiled.df.columns), *(" | ".join("" if v is None else str(v) for v in r) for r in rows)])
+        said = self.model([{"role": "system", "content": "Put the result in one or two sentences. Use its numbers as they are and no others."}, {"role": "user", "content": f"{question}\n{table}"}])
+        return said if echoes(said, f"{table} {question}") else ""
+
+    def _from_documents(self, question: str) -> Answer:
+        """The chunks that fit a question best, how well they do on average, and a model's words on them."""
+        with timing.stage("retrieval"):
+            found = self.retrieve(question)
+            rows = found.select("source", "chunk", "score").collect()
+        sure = sum(r["score"] for r in rows) / len(rows) if rows else 0.0
+        text = "" if rows else "No document says anything on this."
+        if self.model is not None and rows:
+            context = "\n\n".join(f"[{r['source']}] {r['chunk']}" for r in rows)[: H.CONTEXT_CHARS]
+            with timing.stage("model answer"):
+                text = self.model([{"role": "system", "content": "Answer from these passages only, and name their sources."}, {"role": "user", "content": f"{context}\n\nQuestion: {question}"}])
+        return Answer("docs", text=text, docs=found, confidence=sure, tier="documents")
 
     def sql(self, text: str, spell: bool = True) -> DataFrame:
         """A guarded query; with ``spell``, text literals take the spelling that the tables have."""
         return run_sql(self.catalog, spell_literals(self.catalog, text)[0] if spell and "'" in text else text)
 
-    def chart(self, plan: dict | Plan, most: int = 15) -> dict:
+    def chart(self, plan: dict | Plan, most: int = 15, kind: str = "") -> dict:
         """A chart of a plan with one group and one measure: its kind and its (label, value) rows,
-        the smaller ones beyond ``most`` together as Other."""
-        compiled = self.compile(plan)
-        label, value = compiled.df.columns[0], compiled.df.columns[-1]
-        data = A.topn_other(compiled.df.withColumn(label, qcol(label).cast("string")), label, value, most)
-        return {"kind": "bar" if data.count() <= 8 else "barh", "x": label, "y": value, "data": data}
+        the smaller ones beyond ``most`` together as Other. The kind asked for (pie, line, bar,
+        barh, area, scatter) is taken; without one, few labels stand and many lie."""
+        return self._chart_of(self.compile(plan).df, kind, most)
+
+    @staticmethod
+    def _chart_of(df: DataFrame, kind: str = "", most: int = 15) -> dict:
+        label, value = df.columns[0], df.columns[-1]
+        if kind in ("line", "area", "scatter"):  # a series along its labels, each as it is
+            return {"kind": kind, "x": label, "y": value, "data": df.select(qcol(label), qcol(value)).orderBy(qcol(label).asc_nulls_last())}
+        data = A.topn_other(df.withColumn(label, qcol(label).cast("string")), label, value, most)
+        if kind == "pie":
+            data = data.withColumn(data.columns[-1], clip_negative(qcol(data.columns[-1])))
+        return {"kind": kind or ("bar" if data.count() <= 8 else "barh"), "x": label, "y": value, "data": data}
 
     def limit(self, seconds: float | None = None) -> TimeLimit:
         """A context in which Spark jobs are cancelled after the engine's time limit."""
@@ -133,6 +223,7 @@ class Engine:
             self.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         if "://" not in folder:
             self.catalog.save_metadata(f"{folder}/metadata.json")
+            self.conversation.keep_in(f"{folder}/plans.json")
 
     def open(self, folder: str) -> list[str]:
         """Take up what ``save`` wrote."""
@@ -145,6 +236,8 @@ class Engine:
         if files.exists(self.spark, f"{folder}/values"):
             self.catalog.take_index(self.spark.read.parquet(f"{folder}/values"))
         self.catalog.load_metadata(f"{folder}/metadata.json")
+        if "://" not in folder:
+            self.conversation.keep_in(f"{folder}/plans.json")
         return names
 
 

@@ -10,12 +10,14 @@ import re
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.catalog import Catalog
 from gristmill.columns import qcol
 from gristmill.functions.text import plain
+from gristmill.plans.binder import Binder
 from gristmill.plans.ir import PlanError
 
 # Logical plan nodes of a query, as the parser names them.
@@ -105,25 +107,49 @@ def view_name(table: str) -> str:
     return f"t_{plain}" if not plain or plain[0].isdigit() else plain
 
 
-def run_sql(catalog: Catalog, text: str) -> DataFrame:
+ATTEMPTS = 3
+
+
+def run_sql(catalog: Catalog, text: str, notes: list[str] | None = None) -> DataFrame:
     """The rows of a query over the catalogue's tables, by their names or ``view_name``.
 
-    SqlRefused for anything but one query. Column names that a query misspells are left
-    to Spark's own error, which suggests the nearest.
+    SqlRefused for anything but one query. A column that the query misspells is read as the
+    one column of its tables that it resembles, which is noted; Spark's own error, with the
+    nearest names, stands where there is none.
     """
     spark = catalog.spark
     views = {}
     for name, table in catalog.tables.items():
         views[name] = views[view_name(name)] = table
-    try:
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    except Exception as e:  # noqa: BLE001
-        raise SqlRefused(f"not readable as SQL: {str(e).splitlines()[0]}") from e
-    _check(parsed, set(views), set())
-    for name in _mentioned(parsed) & set(views):
-        table = views[name]
-        table.df.select(*[qcol(c) for c in table.columns]).createOrReplaceTempView("`" + name.replace("`", "``") + "`")
-    return spark.sql(text)
+    for attempt in range(ATTEMPTS):
+        try:
+            parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        except Exception as e:  # noqa: BLE001
+            raise SqlRefused(f"not readable as SQL: {str(e).splitlines()[0]}") from e
+        _check(parsed, set(views), set())
+        used = _mentioned(parsed) & set(views)
+        for name in used:
+            table = views[name]
+            table.df.select(*[qcol(c) for c in table.columns]).createOrReplaceTempView("`" + name.replace("`", "``") + "`")
+        try:
+            return spark.sql(text)
+        except AnalysisException as e:
+            wanted = (e.getMessageParameters() or {}).get("objectName", "") if "UNRESOLVED_COLUMN" in (e.getCondition() or "") else ""
+            asked = wanted.strip("`").split("`.`")[-1]
+            columns = list(dict.fromkeys(c for name in used for c in views[name].columns))
+            meant = Binder(catalog).column(columns, asked) if asked else None
+            if meant is None or meant == asked or attempt == ATTEMPTS - 1:
+                raise
+            text = re.sub(rf"`{re.escape(asked)}`|(?<![\w`']){re.escape(asked)}(?![\w`'])", lambda _: "`" + meant.replace("`", "``") + "`", text)
+            if notes is not None:
+                notes.append(f"{asked!r} was read as {meant!r}")
+    raise AssertionError("unreachable")
+
+
+def tables_of(catalog: Catalog, text: str) -> list[str]:
+    """The tables that a query reads, by their own names."""
+    names = _mentioned(catalog.spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    return [n for n in catalog.tables if n in names or view_name(n) in names]
 
 
 def _mentioned(plan) -> set[str]:

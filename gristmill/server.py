@@ -10,7 +10,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from gristmill.engine import Engine, as_html
 from gristmill.plans.ir import PlanError
-from gristmill.sources.files import Audit, HouseRules, report_payload
+from gristmill.sources.files import Audit, HouseRules, read_scores, report_payload
 
 BODY = 1 << 20
 
@@ -18,10 +18,11 @@ BODY = 1 << 20
 class Service:
     """What the server answers, apart from HTTP."""
 
-    def __init__(self, engine: Engine, audit: Audit, rules: HouseRules | None = None, token: str = ""):
-        self.engine, self.audit, self.rules, self.token = engine, audit, rules, token
+    def __init__(self, engine: Engine, audit: Audit, rules: HouseRules | None = None, token: str = "", scores: str = ""):
+        self.engine, self.audit, self.rules, self.token, self.scores = engine, audit, rules, token, scores
         self.lock = threading.Lock()
-        self.warnings: list[str] = []
+        if rules is not None:
+            engine.conversation.rules = rules
 
     def get(self, path: str) -> tuple[int, object]:
         if path in ("/", "/health"):
@@ -35,11 +36,11 @@ class Service:
         if path == "/rules":
             return 200, {"rules": self.rules.rules() if self.rules else []}
         if path == "/warnings":
-            return 200, self.warnings
+            return 200, self.engine.warnings[-50:]
         if path == "/audit":
             return 200, self.audit.recent()
         if path == "/scoreboard":
-            return 200, {}
+            return 200, read_scores(self.scores)
         return 404, {"error": "no such path"}
 
     def post(self, path: str, body: dict) -> tuple[int, object]:
@@ -62,7 +63,11 @@ class Service:
     def ask(self, question: str) -> tuple[int, object]:
         began = time.time()
         answer = self.engine.ask(question)
-        out = {"type": answer.kind, "text": answer.text, "options": answer.options or [], "tool": answer.tier}
+        out = {"type": answer.kind, "text": answer.text, "options": answer.options or [], "tool": answer.tier, "hint": answer.hint, "seconds": answer.seconds}
+        if answer.chart is not None:
+            out["chart"] = {k: v for k, v in answer.chart.items() if k != "data"} | report_payload(answer.chart["data"])
+        if answer.docs is not None:
+            out |= {"confidence": answer.confidence, "documents": report_payload(answer.docs.select("source", "location", "chunk", "score"))}
         if answer.compiled is not None:
             with self.engine.limit():
                 out |= {"table_html": as_html(answer.compiled.df), "provenance": answer.compiled.explain, "sources": answer.compiled.tables_used, "notes": answer.compiled.notes}
@@ -109,5 +114,5 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(engine: Engine, audit: Audit, port: int, host: str = "127.0.0.1", token: str = "") -> None:
-    ThreadingHTTPServer((host, port), handler(Service(engine, audit, token=token))).serve_forever()
+def serve(engine: Engine, audit: Audit, port: int, host: str = "127.0.0.1", token: str = "", rules: HouseRules | None = None, scores: str = "") -> None:
+    ThreadingHTTPServer((host, port), handler(Service(engine, audit, rules, token, scores))).serve_forever()

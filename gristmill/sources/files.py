@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gristmill.columns import qcol
 from gristmill.operators.joins import anti_join
+from gristmill.session import stored
 from gristmill.sources import workbook
 
 WORKBOOKS, TEXTS, TABLES = (".xlsx", ".xlsm"), (".txt", ".md"), (".parquet", ".csv", ".json", ".orc")
@@ -39,7 +40,7 @@ def read_file(spark: SparkSession, path: str, split: bool = False) -> dict[str,
     """The tables of a file by its ending; ValueError for kinds that are not read."""
     name, low = path.rstrip("/").rsplit("/", 1)[-1], path.lower()
     if low.endswith(WORKBOOKS):
-        return workbook.tables_of(workbook.read_grids(spark, path).cache(), split)
+        return workbook.tables_of(stored(workbook.read_grids(spark, path)), split)
     if low.endswith(".csv"):
         return {name: workbook.typed(spark.read.csv(path, header=True))}
     if low.endswith((".parquet", ".json", ".orc")):
@@ -143,13 +144,18 @@ class Audit:
         return out
 
 
-def record_score(path: str, kind: str, payload: dict) -> dict:
-    """Merge a score into a JSON file and return the whole."""
+def read_scores(path: str) -> dict:
+    """The scores of a JSON file; none if it is missing or damaged."""
     try:
         with open(path, encoding="utf-8") as file:
-            board = json.load(file)
+            return json.load(file)
     except (OSError, ValueError):
-        board = {}
+        return {}
+
+
+def record_score(path: str, kind: str, payload: dict) -> dict:
+    """Merge a score into a JSON file and return the whole."""
+    board = read_scores(path)
     board[kind] = {**payload, "at": datetime.now(UTC).isoformat(timespec="seconds")}
     with open(path, "w", encoding="utf-8") as file:
         json.dump(board, file, ensure_ascii=False, indent=1)

@@ -161,7 +161,9 @@ def test_plain_questions_and_follow_ups(catalog):
     by = talk.ask("now by company")
     assert by.tier == "follow-up" and by.compiled.df.columns[0] == "COMPANY"
     assert talk.ask("total amount euro for usd").tier == "cache"
-    assert talk.ask("total amount euro for nordic trade").kind == "none"  # the value stands in two tables
+    both = talk.ask("total amount euro for nordic trade")  # the value stands in two tables
+    assert both.kind == "clarify" and len(both.options) == 2
+    assert talk.ask(next(o for o in both.options if "MATRIX" in o)).compiled.df.first()[0] == 150.0
     assert talk.ask("compare the fortunes of nations").kind == "none"
 
 
