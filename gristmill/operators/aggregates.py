@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.columns import is_date, is_number, is_text, number, qcol, visible
+from gristmill.columns import all_of, is_date, is_number, is_text, number, qcol, visible
 from gristmill.operators.filters import COMPARE
 from gristmill.operators.quantiles import exact_quantiles
 
@@ -49,9 +49,48 @@ class Measure:
 
 
 def aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
-    """Group by ``keys`` (none: one row for the whole table); null is a group of its own."""
-    expressions = [m.expression() for m in measures]
-    return df.groupBy(*[qcol(k) for k in keys]).agg(*expressions) if keys else df.agg(*expressions)
+    """Group by ``keys`` (none: one row for the whole table); null is a group of its own.
+
+    Medians are exact and come apart from the rest, for a built-in one keeps all distinct
+    values of a group in one buffer.
+    """
+    medians = [m for m in measures if m.fn == "median" and m.column is not None]
+    expressions = [m.expression() for m in measures if m not in medians]
+    if not keys:
+        for m in medians:
+            column = (number(qcol(m.column)) if m.coerce else qcol(m.column)).cast("double")
+            value = exact_quantiles(df.select(column.alias("v")), ["v"], [0.5])["v"][0]
+            expressions.append(F.lit(value).cast("double").alias(m.alias))
+        out = df.agg(*expressions, F.count(F.lit(1)).alias("__n")).drop("__n")
+        return out.select(*[qcol(m.alias) for m in measures])
+    named = [f"__k{i}" for i in range(len(keys))]
+    if not medians:
+        return df.groupBy(*[qcol(k) for k in keys]).agg(*expressions)
+    out = df.groupBy(*[qcol(k).alias(n) for k, n in zip(keys, named)]).agg(*expressions, F.count(F.lit(1)).alias("__n"))
+    for i, m in enumerate(medians):
+        found = group_medians(df, keys, m, named)
+        same = [out[n].eqNullSafe(found[n]) for n in named]
+        out = out.join(found, all_of(same), "left").drop(*[found[n] for n in named])
+    return out.select(*[qcol(n).alias(k) for k, n in zip(keys, named)], *[qcol(m.alias) for m in measures])
+
+
+def group_medians(df: DataFrame, keys: Sequence[str], measure: Measure, named: Sequence[str]) -> DataFrame:
+    """The exact median of each group with a value, interpolated; its keys are called ``named``.
+
+    Values are counted, then ranked in a sorted stream within their group, so that memory is
+    bounded however many a group has.
+    """
+    column = (number(qcol(measure.column)) if measure.coerce else qcol(measure.column)).cast("double")
+    values = df.select(*[qcol(k).alias(n) for k, n in zip(keys, named)], column.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    counted = values.groupBy(*named, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = counted.groupBy(*named).agg(F.sum("__c").alias("__all"))
+    running = Window.partitionBy(*named).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("__upto", F.sum("__c").over(running))
+    same = [ranked[n].eqNullSafe(sizes[n]) for n in named]
+    ranked = ranked.join(sizes, all_of(same)).drop(*[sizes[n] for n in named])
+    at = lambda rank: F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__v")))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    return ranked.groupBy(*named).agg(((at(low) + at(high)) / 2).alias(measure.alias))
 
 
 def having(df: DataFrame, conditions: Sequence[tuple[str, str, object]]) -> DataFrame:

@@ -257,5 +257,5 @@ def regions(df: DataFrame, order: str, blank: Column, blanks: int = 2) -> DataFr
     starts = ends.withColumn("jump", F.coalesce((F.col("lo") - F.lag("hi").over(chain) > blanks).cast("long"), F.lit(0)))
     offset = starts.withColumn("prior", F.coalesce(F.lag("n").over(chain), F.lit(0))).select("_p", F.sum(F.col("jump") + F.col("prior")).over(chain).alias("_before"))
     inner = Window.partitionBy("_p").orderBy(qcol(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = marked.withColumn("_in", F.sum(F.coalesce("_gap", F.lit(0))).over(inner)).join(F.broadcast(offset), "_p")
+    numbered = marked.withColumn("_in", F.sum(F.coalesce("_gap", F.lit(0))).over(inner)).join(offset, "_p")
     return numbered.withColumn("region", F.col("_before") + F.col("_in")).drop("_p", "_gap", "_in", "_before")

@@ -110,11 +110,20 @@ def filename_asof(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", D.filename_asof(name("dd-MM-yyyy")).alias("eu"), D.filename_asof(name("yyyy-MM-dd")).alias("iso"))
 
 
-@query("SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS us, translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS eu, year(o_orderdate)::VARCHAR AS y FROM orders WHERE o_totalprice <> floor(o_totalprice)")
+@query(
+    """
+WITH p AS (SELECT o_orderkey, year(o_orderdate)::VARCHAR AS y, floor(o_totalprice)::BIGINT AS whole, o_totalprice = floor(o_totalprice) AS even, o_totalprice AS v FROM orders
+  UNION ALL SELECT -o_orderkey, year(o_orderdate)::VARCHAR, floor(o_totalprice)::BIGINT, true, floor(o_totalprice) FROM orders),
+s AS (SELECT o_orderkey, y, CASE WHEN even AND whole BETWEEN 1900 AND 2100 THEN whole::VARCHAR WHEN even THEN format('{:,}', whole) ELSE format('{:,.2f}', v) END AS us FROM p)
+SELECT o_orderkey, us, translate(us, ',.', '.,') AS eu, y FROM s
+"""
+)
 def fmt_number(spark, sf):
-    rows = table(spark, sf, "orders").where("o_totalprice <> floor(o_totalprice)")
+    """Prices as they are, and their whole parts."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    both = rows.unionByName(rows.select((-F.col("o_orderkey")).alias("o_orderkey"), "o_orderdate", F.floor("o_totalprice").cast("double").alias("o_totalprice")))
     price = F.col("o_totalprice")
-    return rows.select("o_orderkey", N.fmt_number(price).alias("us"), N.fmt_number(price, "EU").alias("eu"), N.fmt_number(F.year("o_orderdate")).alias("y"))
+    return both.select("o_orderkey", N.fmt_number(price).alias("us"), N.fmt_number(price, "EU").alias("eu"), N.fmt_number(F.year("o_orderdate")).alias("y"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS us, round(o_totalprice, 2) AS eu FROM orders")

@@ -27,3 +27,26 @@ def test_equal_numpy(spark, few):
 def test_describe_is_the_same_either_way(spark):
     df = spark.range(1000).select((F.col("id") % 97).alias("a"), F.sqrt("id").alias("b"), F.when(F.col("id") > 990, F.col("id")).alias("c"))
     assert sorted(map(tuple, describe_numeric(df).collect())) == sorted(map(tuple, describe_numeric(df, one_pass_rows=10).collect()))
+
+
+def test_medians_of_groups(spark):
+    """Odd and even groups, repeats, missing values, NaN, a null key, text numbers, and none at all."""
+    import statistics
+
+    from gristmill.operators.aggregates import Measure, aggregate
+
+    nan = float("nan")
+    rows = [("a", 1, v) for v in (3.0, 1.0, 2.0)] + [("b", 1, v) for v in (4.0, 4.0, 1.0, 7.0)] + [(None, 2, 5.0), (None, 2, None), ("c", 1, None), ("d", 1, nan), ("d", 1, 2.0), ("a", 2, 9.0), ("a", 2, 10.0)]
+    df = spark.createDataFrame([(*r, None if r[2] is None else str(r[2])) for r in rows], "k string, j int, v double, t string")
+    measures = [Measure("median", "v", "m"), Measure("count", None, "n"), Measure("median", "t", "mt", coerce=True)]
+    got = {(r["k"], r["j"]): (r["m"], r["n"], r["mt"]) for r in aggregate(df, ["k", "j"], measures).collect()}
+    want = {}
+    for k, j in {(r[0], r[1]) for r in rows}:
+        some = [r[2] for r in rows if r[:2] == (k, j) and r[2] is not None and r[2] == r[2]]
+        middle = statistics.median(some) if some else None
+        want[k, j] = (middle, sum(r[:2] == (k, j) for r in rows), middle)
+    assert got == want
+    assert aggregate(df, [], measures).first()["m"] == statistics.median(r[2] for r in rows if r[2] is not None and r[2] == r[2])
+    empty = aggregate(df.limit(0), [], [Measure("median", "v", "m"), Measure("count", None, "n")]).collect()
+    assert [tuple(r) for r in empty] == [(None, 0)] and aggregate(df.limit(0), ["k"], measures).count() == 0
+    assert aggregate(df, ["k"], [Measure("median", "v", "k")]).columns == ["k", "k"]

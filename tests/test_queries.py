@@ -30,6 +30,18 @@ def test_chunks_of_all_documents(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_chunks_word_for_word():
+    """Cases worked out by hand: packing, a long paragraph in steps, overlap, blanks."""
+    assert chunks_of(None) == [] and chunks_of(" \n\n \t") == [] and chunks_of("one") == ["one"]
+    assert chunks_of("aa\n\nbb\n\ncc", 5, 0) == ["aa\nbb", "cc"]
+    assert chunks_of("aa\n \nbb", 4, 0) == ["aa", "bb"]
+    assert chunks_of("abcdefghij", 4, 1) == ["abcd", "d\ndefg", "g\nghij", "j\nj"]
+    assert chunks_of("aaaa\n\nbbbb\n\ncc", 7, 2) == ["aaaa", "aa\nbbbb\ncc"]
+    long = "\n\n".join("x" * 400 for _ in range(5))
+    got = chunks_of(long, 1000, 0)
+    assert [len(c) for c in got] == [801, 801, 400] and "".join(got).replace("\n", "") == "x" * 2000
+
+
 def test_close_matches_of_a_misspelling(spark):
     types = {plain(r[0]) for r in spark.read.parquet(f"{SF}/part.parquet").select("p_type").distinct().collect()}
     scored = sorted(((SequenceMatcher(None, t, "standart").ratio(), t) for t in types), reverse=True)
