@@ -21,7 +21,11 @@ LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts whose language is recognised: not ``und``, and LANGUAGE_SCORE or more."""
+    """Keep texts whose language is recognised: not ``und``, and LANGUAGE_SCORE or more.
+
+    Null, empty and letterless texts go. Texts of any length are read whole; repeated rows
+    fare alike; rows without an id, language or source stay by their text.
+    """
     net = langid.fit(documents(spark, sf_dir).where(F.pmod(id_crc(F.col("doc_id")), F.lit(3)) != 1))
     pred, score = fresh("_pred", docs.columns), fresh("_score", docs.columns)
     rated = langid.identify(docs, net, pred=pred, score=score)
@@ -29,7 +33,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts whose quality score reaches the acceptance mark."""
+    """Keep texts whose quality score reaches the acceptance mark, at it included.
+
+    Null texts count as empty, and are scored like any. Texts of any length are read whole;
+    repeated rows fare alike; other columns play no part.
+    """
     ranker = quality.fit(quality.labelled(spark, sf_dir))
     score = fresh("_score", docs.columns)
     return quality.rate(docs, ranker, score=score).where(F.col(score) >= quality.ACCEPT).drop(score)
@@ -53,12 +61,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every secret; all documents stay, with ``n_chars`` of the changed texts counted anew."""
+    """Mask every secret; all documents stay, with ``n_chars`` of the changed texts counted anew.
+
+    Null and empty texts stay as they are; texts of any length are masked whole.
+    """
     return secrets.mask_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens.
+
+    Null and empty texts are the end id alone; repeated rows and rows without an id are
+    documents of their own; a text of any length is cut into whole sequences.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

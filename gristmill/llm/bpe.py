@@ -282,8 +282,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_and_decode(rows: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text.
 
-    Null counts as empty: no ids, hashes of nothing. No shuffle; repeated rows and
-    other columns are of no consequence.
+    Null and empty texts have no ids and hashes of nothing. Texts of any length are encoded
+    whole, slice by slice. No shuffle; repeated rows each get a row; a kept column called
+    like a column of the result gives way; other columns are not read.
     """
 
     def start():

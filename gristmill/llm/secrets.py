@@ -128,7 +128,12 @@ def mask(text: str, spans: list[tuple[int, int, int]], with_: str = "[SECRET]")
 
 
 def find_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` with counts and spans of each whole text; null counts as empty. No shuffle."""
+    """``keep`` with counts and spans of each whole text.
+
+    Null and empty texts have none. Texts of any length are scanned whole, their runs piece
+    by piece. Repeated rows are scanned each. A kept column called like a column of the
+    result gives way. An empty table gives none. No shuffle.
+    """
 
     def start():
         tokens = encoding(path, pattern)
@@ -146,7 +151,8 @@ def find_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", k
 
 def mask_secrets(rows: DataFrame, path: str, pattern: str, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``rows`` with every span of ``text`` masked; ``length``, if such a column is there,
-    becomes the new number of code points of each changed text. Nulls stay null."""
+    becomes the new number of code points of each changed text. Nulls stay null, empty texts
+    empty; texts of any length are masked whole, repeated rows alike. All columns stay."""
     sized = length in rows.columns
     masked, size = fresh("_masked", rows.columns), fresh("_size", rows.columns)
 

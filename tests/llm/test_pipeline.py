@@ -26,6 +26,7 @@ def folder(spark, tmp_path_factory):
     rows += [(300 + k, rows[1][1], rows[1][2], "src0") for k in range(30)]
     rows += [(400, rows[2][1] + " password=hunter2hunter2 end", "en", "src1"), (401, None, None, None), (402, "12 34", "en", "src1"), (None, prose(rng, "de", 90), "de", None)]
     rows += [(500 + k, t, "en", "src2") for k, t in enumerate(copies_of(rng, prose(rng, "en", 250), 40, 2))]
+    rows += [(600, prose(rng, "de", 40_000), "de", "src0")]  # a very long text
     where = str(tmp_path_factory.mktemp("sf"))
     docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(2).write.parquet(f"{where}/documents.parquet")
@@ -53,7 +54,7 @@ def test_stages_in_order(spark, folder):
     # one of each group stays, the first; a text that is alike to no other is never dropped
     assert {groups[d] for d in kept} == set(groups.values()) and set(groups.values()) <= kept
     assert len(kept) <= len(set(groups.values())) + 1 and len({groups[d] for d in groups if 500 <= (d or 0) < 540}) <= 2
-    assert len(masked) == len(single)
+    assert len(masked) == len(single) and {600} <= {r["doc_id"] for r in masked}
     tokens = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for r in masked:
         want = secrets.mask(texts[r["doc_id"]], secrets.scan(texts[r["doc_id"]], tokens)[1])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
+import uuid
 
 import numpy as np
 import public_tokenizers as P
@@ -249,6 +251,34 @@ def test_secrets_of_odd_rows(tables, odd):
     assert secrets.mask_secrets(clash, path, P.PATTERN).where("text = '[SECRET]' AND n_chars = 8 AND _masked = 1 AND _SIZE = 2").count() == 1
 
 
+ALPHABETS = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "letters": string.ascii_letters, "alphanumeric": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "base64": string.ascii_letters + string.digits + "+/", "url-safe": string.ascii_letters + string.digits + "-_"}
+NAMES = "account service manager configuration request response handler internal default session database connection factory provider interface result value update customer invoice payment report summary".split()
+
+
+def test_recall_of_random_strings_and_precision_on_identifiers():
+    tokens = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(9)
+    for name, alphabet in ALPHABETS.items():
+        found = [bool(secrets.scan(f"see {''.join(rng.choice(alphabet) for _ in range(size))} here", tokens)[1]) for size in (20, 24, 32, 44) for _ in range(60)]
+        assert np.mean(found) >= (0.9 if name == "lower" else 0.97), name
+    harmless = []
+    for _ in range(80):
+        w = [rng.choice(NAMES) for _ in range(rng.randrange(3, 6))]
+        harmless += ["_".join(w), "-".join(w), "".join(x.capitalize() for x in w), w[0] + "".join(x.capitalize() for x in w[1:]), "/" + "/".join(w) + "/v2/index", "_".join(w).upper(), "_".join(w) + f"_{rng.randrange(999)}"]
+    harmless += [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(60)] + [str(rng.getrandbits(60)) for _ in range(60)] + [hashlib.sha1(str(i).encode()).hexdigest().upper() for i in range(60)]
+    assert [x for x in harmless if secrets.random_spans(f"see {x} here", tokens)] == []
+
+
+def test_secrets_of_long_and_repeated_rows(tables):
+    path = P.path("byte_bpe_50k.tiktoken")
+    long = "plain words " * 40_000 + "password=abcdefgh12 " + "q7Zk2Lx9" * 900 + " end"
+    rows = [(1, long), (1, long), (None, "token: abcdefgh12")]
+    got = secrets.find_secrets(tables(rows, "spans long, text string"), path, P.PATTERN, keep=("text",)).collect()
+    assert [r["n_assign"] for r in got] == [1, 1, 1] and got[0]["spans"] == got[1]["spans"] and "random" in got[0]["spans"]
+    clash = secrets.find_secrets(tables(rows, "spans long, text string"), path, P.PATTERN, keep=("spans", "text"))
+    assert clash.columns == ["text", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
 def test_secrets_behind_words_and_of_one_case():
     tokens = secrets.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = random.Random(8)
