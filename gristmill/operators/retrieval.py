@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gristmill.columns import qcol
 from gristmill.functions.text import chunk_text, cosine, tokenize, tokens_of
+from gristmill.session import stored
 
 K1, B = 1.5, 0.75
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.8, 0.2
@@ -58,10 +59,10 @@ def _times(tokens: str, word: str) -> Column:
 def bm25_scores(rows: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, score)`` of every row, 0 without a token of the query.
 
-    Only the query's tokens are counted, inside each row, and the statistics come from
-    one aggregate: no text is exploded and nothing but those numbers is shuffled. A
-    repeated query token counts again. Rows are not filtered by their scores here, for such
-    a filter would be moved below the tokens and have them made once more per word.
+    Only the query's tokens are counted, inside each row, and written as a few numbers a
+    row, from which the statistics and the scores come: texts are read and cut into tokens
+    once, none is exploded, and nothing but those numbers is shuffled. A repeated query
+    token counts again.
     """
     terms = tokens_of(query)
     names = sorted(set(terms))
@@ -69,6 +70,7 @@ def bm25_scores(rows: DataFrame, query: str, key: str = "doc_id", text: str = "t
         return rows.select(qcol(key).alias("id"), F.lit(0.0).alias("score"))
     tokens = tokenize(F.coalesce(qcol(text), F.lit("")))
     counted = rows.select(qcol(key).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").alias("size"), *[_times("tokens", w).alias(f"tf{i}") for i, w in enumerate(names)])
+    counted = stored(counted)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))]).first()
     score = F.lit(0.0)
     for i, w in enumerate(names):

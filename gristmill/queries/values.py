@@ -8,6 +8,7 @@ from gristmill.functions import text as X
 from gristmill.operators import joins as J
 from gristmill.operators import values as V
 from gristmill.queries import query, table
+from gristmill.session import stored
 
 # On these tables all text is ASCII, where the normal form is lower case with single spaces.
 NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
@@ -70,13 +71,13 @@ SELECT "table", "column", norm, display, count, score, kind FROM c ORDER BY scor
 )
 def value_hits(spark, sf):
     """Values that a question names whole, by a part, or by a token."""
-    return V.value_hits(index(spark, sf), QUESTION, typos=False)
+    return V.value_hits(stored(index(spark, sf)), QUESTION, typos=False)
 
 
 @query()
 def value_typos(spark, sf):
     """Values that a question misspells; similarity by matching blocks has no SQL."""
-    return V.value_hits(index(spark, sf), "all the bulding parts, larg brushd stel")
+    return V.value_hits(stored(index(spark, sf)), "all the bulding parts, larg brushd stel")
 
 
 @query("SELECT 'p_brand' AS \"column\", count(*) AS count, 'Brand#12' AS spellings FROM part WHERE p_brand = 'Brand#12'")
