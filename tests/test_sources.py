@@ -104,7 +104,7 @@ def test_locales(spark):
     assert N.reformat("of 1234567.5 in 2023", "EU") == "of 1.234.567,50 in 2023"
     for same in ("rate 0.04236 and 3.14159", "on 31.12.2023 or 2023-12-31", "code C0011 and 4711A", "sum 1,234,567.50", "in 1999 and 2100", "999 of 123.45", "1234,5 and 1234.5.6"):
         assert N.reformat(same) == same
-    assert N.reformat("1234 and -98765.4321, 2023.5") == "1,234 and -98,765.43, 2,023.50" and N.reformat("12345", "plain") == "12345"
+    assert N.reformat("1234 and -98765.4321; 2023.5") == "1,234 and -98,765.43; 2,023.50" and N.reformat("12345", "plain") == "12345"
 
 
 def test_types_need_most_of_the_values(spark):
