@@ -35,10 +35,10 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: which fewer edits reach. Texts of the wanted similarity are about a tenth of the bits
 #: apart, which leaves a segment one bit apart at most in 97 cases of 100; REACH bits bound the rest.
 SEGMENTS, SEGMENT_BITS, PRINT_WORDS = 8, 24, 2
-#: Bits of the first 64 and of all that candidates may be apart (unrelated texts: about half).
-CHECK_REACH, REACH = 18, 44
-#: Centres that texts of an equal segment are compared with before what is left is compared pair by pair.
-CENTRES = 4
+#: Bits of the first CHECK_BITS and of all that candidates may be apart (unrelated texts: about half).
+CHECK_BITS, CHECK_REACH, REACH = 48, 14, 40
+#: Centres of a bucket of variants that its texts meet, and those of one component, the nearest, that a text is compared with.
+CENTRES, NEAREST = 3, 3
 #: A node with more than one in HUBS of all links (and HUB_LINKS, or HUB_TEXTS pairs, at least) is spread over SPREAD tasks.
 HUBS, HUB_LINKS, HUB_TEXTS, SPREAD = 1000, 50_000, 1_000, 64
 
@@ -263,10 +263,13 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     columns are not read; a key column called like a result column is an error. An empty
     table gives no rows.
 
-    Texts with an equal segment are first compared with a few centres among them, which
-    joins most of a group of near copies at the price of a few comparisons each. Then pairs
-    that share a variant and still lie in different components are compared one by one, so
-    the first step loses no link, and no group of near copies is expanded into all its pairs.
+    A text is compared with one text of each bucket that it is in, a centre, first over
+    buckets of equal segments, then with centres of those over all variants, chosen anew:
+    the NEAREST of every other component that it meets so. Two near copies are a bucket's
+    only texts as a rule, so they meet; in a group of many, each meets many centres, and a
+    chain of links suffices. So the comparisons of a text are bounded, and no group is
+    expanded into all its pairs. Two texts of crowded buckets that are alike to each other
+    but to none of those centres stay apart.
     """
     if key.lower() in ("h", "component_id"):
         raise ValueError(f"the key column cannot be called {key}")
@@ -290,27 +293,39 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     prints = settle(map_columns(plain, ["text"], ["key", "h"], {p: pa.int64() for p in ps}, start))
     texts = plain.select("h", "text")
     classes = settle(prints.groupBy("h").agg(F.min("key").alias("least"), *[F.first(p).alias(p) for p in ps]))
-    one, two = classes.select("h", *ps).alias("one"), classes.select("h", *ps).alias("two")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(one, F.col("a") == F.col("one.h")).join(two, F.col("b") == F.col("two.h"))
-        return joined.where(_apart("one", "two", ps) <= REACH).select("a", "b")
-
-    ordered = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    # the first word of a fingerprint travels with its keys to sort out chance meetings
-    bucket = Window.partitionBy("k")
-    centres = F.array(*[F.min_by(F.struct("h", "p0"), F.xxhash64("h", F.lit(c))).over(bucket) for c in range(CENTRES)])
-    met = keyed(classes, ["h", "p0"], whole_segments).withColumn("cs", centres).select("h", "p0", F.explode("cs").alias("c"))
-    met = met.where((F.bit_count(F.col("p0").bitwiseXOR(F.col("c.p0"))) <= CHECK_REACH) & (F.col("h") != F.col("c.h")))
-    tried = settle(close(met.select(*ordered("h", "c.h")).distinct()))
+
+    def met(rows: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], choices: range) -> DataFrame:
+        """``(mine, centre)``: a text and a centre of one of its buckets, of different components.
+
+        Beside its id, a text's rows have one number: some bits of its fingerprint, which
+        sort out chance meetings, and 16 bits of a hash of its component.
+        """
+        low = (1 << CHECK_BITS) - 1
+        mark = F.col("p0").bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(F.xxhash64("root"), CHECK_BITS))
+        marked = keyed(rows.withColumn("mark", mark), ["h", "mark"], keys_of)
+        bucket = Window.partitionBy("k")
+        centres = F.array(*[F.min_by(F.struct("h", "mark"), F.xxhash64("h", F.lit(c))).over(bucket) for c in choices])
+        pairs = marked.withColumn("cs", F.array_distinct(centres)).withColumn("c", F.explode("cs"))
+        apart = F.col("mark").bitwiseXOR(F.col("c.mark"))
+        near = (F.shiftright(apart, CHECK_BITS) != 0) & (F.bit_count(apart.bitwiseAND(F.lit(low))) <= CHECK_REACH)
+        return pairs.where(near).select(F.col("h").alias("mine"), F.col("c.h").alias("centre")).distinct()
+
+    def close(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The ``pairs`` near by their whole fingerprints; of a component's centres a text's NEAREST."""
+        one, two = roots.alias("one"), roots.alias("two")
+        joined = pairs.join(one, F.col("mine") == F.col("one.h")).join(two, F.col("centre") == F.col("two.h"))
+        joined = joined.select("mine", "centre", F.col("two.root").alias("root"), _apart("one", "two", ps).alias("apart")).where(F.col("apart") <= REACH)
+        # a text meets a bounded number of centres: CENTRES for each of its variants
+        best = joined.groupBy("mine", "root").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "centre"))), 1, NEAREST).alias("best"))
+        each = best.select("mine", F.explode("best.centre").alias("centre"))
+        return each.select(F.greatest("mine", "centre").alias("a"), F.least("mine", "centre").alias("b")).distinct()
+
+    alone = classes.select("h", *ps, F.col("h").alias("root"))
+    tried = settle(close(met(alone, whole_segments, range(1)), alone))
     links_ = settle(_verified(tried, texts, words, similarity))
     found = components(links_)
-    placed = classes.join(found, classes["h"] == found["node"], "left").select("h", *ps, F.coalesce("root", "h").alias("root"))
-    keys = keyed(settle(placed), ["h", "p0", "root"], variants)
-    # pairs that the centres left apart: a shared variant, different components
-    meet = (F.col("x.k") == F.col("y.k")) & (F.col("x.root") < F.col("y.root")) & (_apart("x", "y", ["p0"]) <= CHECK_REACH)
-    rest = keys.alias("x").join(keys.alias("y"), meet).select(*ordered("x.h", "y.h")).distinct()
-    rest = settle(close(rest).join(tried, ["a", "b"], "left_anti"))
+    placed = settle(classes.join(found, classes["h"] == found["node"], "left").select("h", *ps, F.coalesce("root", "h").alias("root")))
+    rest = settle(close(met(placed, variants, range(1, 1 + CENTRES)), placed).join(tried, ["a", "b"], "left_anti"))
     found = components(links_.unionByName(_verified(rest, texts, words, similarity)))
     return _members(prints, classes, found, "h", key)
 
