@@ -1,13 +1,14 @@
 """Phrase collocations from generalised suffix automata of shards.
 
-A phrase that occurs often enough consists of words and pairs that do. Two counting passes
-give fixed-size bitmaps of hashed words and pairs; a bit that is not set proves its word or
-pair too rare, so texts are cut there without loss, at any size of the table. Of the
-remaining runs each task builds suffix automata, shard by shard. A state of an automaton
-stands for substrings with the same end positions, so its count is theirs, and its suffix
-link tells how far a substring can grow to the left without losing an occurrence. Counts
-are summed over shards; a phrase is subsumed if all shards name the same word before it,
-or behind it.
+A phrase that occurs often enough consists of words, pairs and triples that do. Three
+counting passes add up hashed words, pairs and triples in tables of a fixed number of slots,
+which leave bitmaps of a fixed size; a bit that is not set proves its phrase too rare, so
+texts are cut there without loss, at any size of the table. Of the remaining runs each task
+builds suffix automata, shard by shard; pairs in no such run are counted apart. A state of an
+automaton stands for substrings with the same end positions, so its count is theirs, and its
+suffix link tells how far a substring can grow to the left without losing an occurrence.
+Counts are summed over shards; a phrase is subsumed if all shards name the same word before
+it, or behind it.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import documents, settle, slices
 
 LEAST, WORDS, TOP, UNKNOWN = 100, 5, 2000, "und"
-#: Bits of each bitmap, of a row that builds it, words of a shard, and distinct pairs or words a task counts before it sends them.
-FILTER_BITS, ROW_BITS = 1 << 27, 1 << 18
-SHARD_WORDS, HELD = 150_000, 1 << 20
+#: Slots are the first 32 bits of a hash; SLOTS_A_BIT of them share a bit of a bitmap, ROW_SLOTS are counted together.
+SLOTS_A_BIT, ROW_SLOTS = 32, 1 << 23
+#: Words of a shard, distinct words of a language that a task numbers, and counts it holds before it sends them.
+SHARD_WORDS, HELD, HELD_SLOTS = 150_000, 1 << 19, 1 << 22
 RESULT = ("rank", "phrase", "a", "l", "r", "n", "score")
 
 #: A-Z become small, what parts pieces becomes a line feed, a tab a space.
@@ -44,27 +46,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(TABLE).replace(b"\n", b" \n ").split(b" ")
 
 
-class Seen(dict):
-    """Word -> its 64-bit hash, 0 for the end of a piece and 1 for nothing; never above a bounded number of entries."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        code = self[word] = 1 if not word else 0 if word == BREAK else max(2, xxhash.xxh64_intdigest(word))
-        return code
-
-
-def codes_of(texts: list[str | None], seen: Seen) -> np.ndarray:
-    """Hashed words of all texts in one array, 0 behind every piece."""
-    parts = []
-    for text in texts:
-        words = tokens(text)
-        parts.append(np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words)))
-        parts.append(np.zeros(1, dtype=np.uint64))
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    return flat[flat != 1]
-
-
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two hashes, in this order."""
     h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))
@@ -72,31 +53,60 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def bit_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(20)) % np.uint64(FILTER_BITS)
-
-
 def passes(bits: bytes, h: np.ndarray) -> np.ndarray:
     """Whether the bitmap has the bits of the hashes."""
-    at = bit_of(h)
+    at = (h >> np.uint64(32)) // np.uint64(SLOTS_A_BIT)
     return (np.frombuffer(bits, dtype=np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(often: DataFrame) -> bytes:
-    """The bitmap of the hashes ``h``: FILTER_BITS bits whatever their number, put together in rows of ROW_BITS bits."""
+class Numbers(dict):
+    """Words of one language by number, with their hashes; 0 is nothing and 1 the end of a piece."""
 
-    def rows(keys: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros(ROW_BITS // 8, dtype=np.uint8)
-        at = np.asarray(table.column("at")).astype(np.int64)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pa.table({"row": [keys[0].as_py()], "bits": [bits.tobytes()]})
+    def __init__(self, lang: str, often: bytes | None):
+        super().__init__({b"": 0, BREAK: 1})
+        self.names = [b"", BREAK]
+        self.lang = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 3))
+        self.filter = often
+        self.code = np.zeros(2, dtype=np.uint64)
+        self.often = np.zeros(2, dtype=bool)
 
-    spot = F.pmod(F.shiftrightunsigned("h", 20), F.lit(FILTER_BITS))
-    spots = often.select(spot.alias("spot")).distinct().select(F.expr(f"spot div {ROW_BITS}").alias("row"), F.pmod("spot", F.lit(ROW_BITS)).alias("at"))
-    out = bytearray(FILTER_BITS // 8)
-    for r in spots.groupBy("row").applyInArrow(rows, "row long, bits binary").toLocalIterator():
-        out[r["row"] * ROW_BITS // 8 : (r["row"] + 1) * ROW_BITS // 8] = r["bits"]
-    return bytes(out)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.names)
+        self.names.append(word)
+        return n
+
+    def read(self, texts: list[str | None]) -> np.ndarray:
+        """Numbers of all words of some texts in one array, 1 behind every piece."""
+        parts = []
+        for text in texts:
+            words = tokens(text)
+            parts += [np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)), np.ones(1, dtype=np.int64)]
+        if len(self.names) > len(self.code):
+            new = np.array([xxhash.xxh64_intdigest(w) for w in self.names[len(self.code) :]], dtype=np.uint64)
+            new = mixed(np.full(len(new), self.lang), new)
+            self.code = np.concatenate([self.code, new])
+            self.often = np.concatenate([self.often, np.ones(len(new), dtype=bool) if self.filter is None else passes(self.filter, new)])
+        flat = np.concatenate(parts)
+        return flat[flat != 0]
+
+
+def frequent_pairs(words: Numbers, ids: np.ndarray, pairs: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each two neighbours whether they may be frequent, and their hash."""
+    ok, code = words.often[ids], words.code[ids]
+    both = ok[:-1] & ok[1:]
+    h = mixed(code[:-1], code[1:])
+    if pairs is not None:
+        both[both] = passes(pairs, h[both])
+    return both, h
+
+
+def frequent_triples(words: Numbers, ids: np.ndarray, both: np.ndarray, h: np.ndarray, triples: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same for each three neighbours, from what ``frequent_pairs`` gave."""
+    three = both[:-1] & both[1:]
+    h = mixed(h[:-1], words.code[ids[2:]])
+    if triples is not None:
+        three[three] = passes(triples, h[three])
+    return three, h
 
 
 class Automaton:
@@ -193,157 +203,199 @@ def direct(run: list[int], lo: int, hi: int, most: int) -> Iterator[tuple[tuple[
             yield words, n, before, behind
 
 
-def sums(rows: DataFrame, size: int, schema: str, of: type) -> DataFrame:
-    """Rows of ``schema`` from the batches of ``rows`` (lang, text), made by ``of(...)`` a task."""
+def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]]:
+    """The texts of a batch (lang, text), language by language, some at a time."""
+    for part in slices(batch, 200):
+        by: dict[str, list[str | None]] = {}
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            by.setdefault(lang, []).append(text)
+        yield from by.items()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = of()
-        for whole in batches:
-            for batch in slices(whole, size):
-                by: dict[str, list] = {}
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    by.setdefault(lang, []).append(text)
-                for lang, texts in by.items():
-                    yield from work.take(lang, texts)
-        yield from work.rest()
-
-    return rows.mapInArrow(run, schema)
-
-
-class _Counts:
-    """Counts of a task by key, sent when HELD keys are there and at the end."""
-
-    def __init__(self, names: list[str], kinds: list[pa.DataType]):
-        self.names, self.kinds, self.held = names, kinds, {}
-
-    def add(self, keys: Iterator[tuple], often: list[int]) -> Iterator[pa.RecordBatch]:
-        held = self.held
-        for key, n in zip(keys, often):
-            held[key] = held.get(key, 0) + n
-        if len(held) > HELD:
-            yield from self.rest()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            columns = [*zip(*self.held), tuple(self.held.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, self.kinds)], names=self.names)
-            self.held = {}
-
-
-def count_words(rows: DataFrame) -> DataFrame:
-    """``(lang, word, n)``: occurrences of every word of each language, as bytes."""
-
-    class Work(_Counts):
-        def __init__(self) -> None:
-            super().__init__(["lang", "word", "n"], [pa.string(), pa.binary(), pa.int64()])
-
-        def take(self, lang: str, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-            number: dict[bytes, int] = {}
-            have = np.zeros(0, dtype=np.int64)
-            for text in texts:
-                words = tokens(text)
-                ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
-                found = np.bincount(ids, minlength=len(number))
-                found[: len(have)] += have
-                have = found
-            for nothing in (b"", BREAK):
-                if nothing in number:
-                    have[number[nothing]] = 0
-            yield from self.add(((lang, w) for w, i in number.items() if have[i]), [n for n in have.tolist() if n])
-
-    return sums(rows, 200, "lang string, word binary, n long", Work).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def lang_code(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 3))
-
-
-def count_pairs(rows: DataFrame, words: object) -> DataFrame:
-    """``(h, n)``: hashes of pairs of words that the bitmap ``words`` lets pass, and their counts."""
-
-    class Work:
-        def __init__(self) -> None:
-            self.seen, self.h, self.n, self.size = Seen(), [], [], 0
-
-        def take(self, lang: str, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-            codes = codes_of(texts, self.seen)
-            code = np.full(len(codes), lang_code(lang))
-            ok = (codes != 0) & passes(words.value, mixed(code, codes))
-            both = ok[:-1] & ok[1:]
-            h, n = np.unique(mixed(code[:-1][both], mixed(codes[:-1][both], codes[1:][both])), return_counts=True)
-            self.h.append(h)
-            self.n.append(n)
-            self.size += len(h)
-            if self.size > 4 * HELD:
-                yield from self.rest()
 
-        def rest(self) -> Iterator[pa.RecordBatch]:
-            if self.size:
-                h, at = np.unique(np.concatenate(self.h), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate(self.n)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-            self.h, self.n, self.size = [], [], 0
+def packed(values: np.ndarray) -> bytes:
+    """Small numbers byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
 
-    return sums(rows, 200, "h long, n long", Work).groupBy("h").agg(F.sum("n").alias("n"))
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def count_phrases(rows: DataFrame, words: object, pairs: object, most: int) -> DataFrame:
-    """``(lang, phrase, n, before, behind)``: rows of the shards' automata, phrases of 2 to ``most`` words.
+def bitmap(rows: DataFrame, size: int, filters: list, least: int) -> bytes:
+    """Bits of the phrases of ``size`` words (1 to 3) that may occur ``least`` times, by the bitmaps of fewer words.
 
-    Runs end where a word or pair is too rare to be in any phrase of interest.
+    A task sends the slots that it met, sorted, as differences; rows of slots are added up one by one.
     """
 
-    class Work:
-        def __init__(self) -> None:
-            self.seen, self.shards, self.held = Seen(), {}, 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [f.value for f in filters] + [None] * (3 - len(filters))
+        known: dict[str, Numbers] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            slots, at = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+            return slots, np.minimum(np.bincount(at, weights=np.concatenate([n for _, n in held])), 1 << 31).astype(np.int64)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            slots, n = merged()
+            edges = np.searchsorted(slots, np.arange(0, (1 << 32) + 1, ROW_SLOTS, dtype=np.uint64)).tolist()
+            out = [(r, hi - lo, packed(np.diff(slots[lo:hi].astype(np.int64), prepend=r * ROW_SLOTS)), packed(n[lo:hi])) for r, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["row", "n", "steps", "counts"])
+
+        for batch in batches:
+            for lang, texts in by_language(batch):
+                words = known.get(lang)
+                if words is None or len(words) > HELD:
+                    words = known[lang] = Numbers(lang, bits[0])
+                ids = words.read(texts)
+                if size == 1:
+                    h = words.code[ids[ids > 1]]
+                else:
+                    ok, h = frequent_pairs(words, ids, bits[1])
+                    if size == 3:
+                        ok, h = frequent_triples(words, ids, ok, h, None) if len(ids) > 2 else (ok[:0], h[:0])
+                    h = h[ok]
+                slots, n = np.unique(h >> np.uint64(32), return_counts=True)
+                held.append((slots, n))
+                many += len(slots)
+                if many > HELD_SLOTS:
+                    held = [merged()]
+                    many = len(held[0][0])
+                    if many > HELD_SLOTS // 2:
+                        yield from send()
+                        held, many = [], 0
+        if held:
+            yield from send()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held, many = -1, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            slots, at = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+            return slots, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def done() -> pa.RecordBatch:
+            slots, n = merged()
+            bits = np.zeros(ROW_SLOTS // SLOTS_A_BIT, dtype=np.uint8)
+            bits[slots[n >= least] // SLOTS_A_BIT] = 1
+            return pa.RecordBatch.from_arrays([pa.array([row]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["row", "bits"])
+
+        for batch in batches:
+            for r, n, steps, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if r != row:
+                    if row >= 0:
+                        yield done()
+                    row, held, many = r, [], 0
+                held.append((np.cumsum(unpacked(steps, n)), unpacked(counts, n)))
+                many += n
+                if many > HELD_SLOTS:
+                    held = [merged()]
+                    many = len(held[0][0]) // 2  # a row has ROW_SLOTS slots at most
+        if row >= 0:
+            yield done()
+
+    counted = rows.mapInArrow(count, "row long, n long, steps binary, counts binary")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = counted.repartition(tasks, "row").sortWithinPartitions("row").mapInArrow(add, "row long, bits binary")
+    width = ROW_SLOTS // SLOTS_A_BIT // 8
+    out = bytearray((1 << 32) // SLOTS_A_BIT // 8)
+    for r in sums.toLocalIterator():
+        out[r["row"] * width : (r["row"] + 1) * width] = r["bits"]
+    return bytes(out)
+
+
+def count_phrases(rows: DataFrame, filters: list, most: int) -> DataFrame:
+    """``(lang, phrase, n, before, behind)``: counts of each task's shards, for words and phrases that may be frequent.
 
-        def take(self, lang: str, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-            code = lang_code(lang)
-            for text in texts:
-                flat = [w for w in tokens(text) if w]
-                codes = np.fromiter(map(self.seen.__getitem__, flat), dtype=np.uint64, count=len(flat))
-                if len(codes) < 2:
+    ``before`` and ``behind`` are the word on that side of all of a shard's occurrences, if it
+    is one and may make a frequent phrase. The empty phrase has the number of all words.
+    """
+
+    class Language:
+        """What a task holds of a language: its words, their counts, pairs in no run, and an automaton."""
+
+        def __init__(self, lang: str):
+            self.lang, self.words = lang, Numbers(lang, filters[0].value)
+            self.total, self.single = 0, np.zeros(0, dtype=np.int64)
+            self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            self.automaton = Automaton()
+
+        def take(self, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+            words = self.words
+            ids = words.read(texts)
+            self.total += int((ids > 1).sum())
+            found = np.bincount(ids, minlength=len(words.names))
+            found[: len(self.single)] += self.single
+            self.single = found
+            both, h = frequent_pairs(words, ids, filters[1].value)
+            three = frequent_triples(words, ids, both, h, filters[2].value)[0] if len(ids) > 2 else both[:0]
+            # a run is where every three neighbours may be frequent; other pairs stand alone
+            inside = np.zeros(len(both) + 1, dtype=bool)
+            inside[: len(three)] |= three
+            inside[1 : len(three) + 1] |= three
+            alone = np.flatnonzero(both & ~inside[: len(both)])
+            if len(alone):
+                self.pairs.append(np.unique(ids[alone] << 32 | ids[alone + 1], return_counts=True))
+                if sum(len(p) for p, _ in self.pairs) > HELD_SLOTS:
+                    yield from self.send_pairs()
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], three.astype(np.int8), [0]])))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                run = ids[lo : hi + 2].tolist()
+                if len(run) > SHARD_WORDS:
+                    for at in range(0, len(run), SHARD_WORDS):
+                        yield from self.send(direct(run, at, min(len(run), at + SHARD_WORDS), most))
                     continue
-                own = np.full(len(codes), code)
-                ok = (codes != 0) & passes(words.value, mixed(own, codes))
-                join = ok[:-1] & ok[1:]
-                join[join] = passes(pairs.value, mixed(own[:-1][join], mixed(codes[:-1][join], codes[1:][join])))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], join.astype(np.int8), [0]])))
-                for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                    yield from self.add(lang, flat[lo : hi + 1])
-
-        def add(self, lang: str, run: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if len(run) > SHARD_WORDS:
-                number = {w: i for i, w in enumerate(dict.fromkeys(run))}
-                ids = [number[w] for w in run]
-                for lo in range(0, len(ids), SHARD_WORDS):
-                    yield from self.send(lang, list(number), direct(ids, lo, min(len(ids), lo + SHARD_WORDS), most))
-                return
-            number, automaton = self.shards.setdefault(lang, ({}, Automaton()))
-            automaton.add([number.setdefault(w, len(number)) for w in run])
-            self.held += len(run)
-            if self.held >= SHARD_WORDS:
-                yield from self.close(max(self.shards, key=lambda x: len(self.shards[x][1].text)))
-
-        def close(self, lang: str) -> Iterator[pa.RecordBatch]:
-            number, automaton = self.shards.pop(lang)
-            self.held -= len(automaton.text)
-            yield from self.send(lang, list(number), automaton.substrings(most))
-
-        def send(self, lang: str, names: list[bytes | None], found: Iterator[tuple[tuple[int, ...], int, int, int]]) -> Iterator[pa.RecordBatch]:
-            names = [*names, None]
+                self.automaton.add(run)
+                if len(self.automaton.text) >= SHARD_WORDS:
+                    yield from self.close()
+
+        def close(self) -> Iterator[pa.RecordBatch]:
+            automaton, self.automaton = self.automaton, Automaton()
+            yield from self.send(automaton.substrings(most))
+
+        def send_pairs(self) -> Iterator[pa.RecordBatch]:
+            if self.pairs:
+                keys, at = np.unique(np.concatenate([p for p, _ in self.pairs]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([n for _, n in self.pairs])).astype(np.int64)
+                self.pairs = []
+                yield from self.send(((k >> 32, k & 0xFFFFFFFF), c, -1, -1) for k, c in zip(keys.tolist(), n.tolist()))
+
+        def rest(self) -> Iterator[pa.RecordBatch]:
+            yield from self.send_pairs()
+            yield from self.close()
+            some = np.flatnonzero(self.words.often[: len(self.single)] & (self.single > 0))
+            yield from self.send(((i,), n, -1, -1) for i, n in zip(some.tolist(), self.single[some].tolist()))
+            yield from self.send(iter([((0,), self.total, -1, -1)]))
+
+        def send(self, found: Iterator[tuple[tuple[int, ...], int, int, int]]) -> Iterator[pa.RecordBatch]:
+            names = self.words.names
+            name = lambda i: None if i < 0 else names[i]
             while part := list(islice(found, 50_000)):
                 columns = [
-                    pa.array([lang] * len(part)), pa.array([b" ".join([names[i] for i in w]) for w, *_ in part], type=pa.binary()), pa.array([n for _, n, _, _ in part]),
-                    pa.array([names[b] for _, _, b, _ in part], type=pa.binary()), pa.array([names[b] for *_, b in part], type=pa.binary()),
+                    pa.array([self.lang] * len(part)), pa.array([b" ".join([names[i] for i in w]) for w, *_ in part], type=pa.binary()), pa.array([n for _, n, _, _ in part]),
+                    pa.array([name(b) for _, _, b, _ in part], type=pa.binary()), pa.array([name(b) for *_, b in part], type=pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "before", "behind"])
 
-        def rest(self) -> Iterator[pa.RecordBatch]:
-            for lang in list(self.shards):
-                yield from self.close(lang)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Language] = {}
+        for batch in batches:
+            for lang, texts in by_language(batch):
+                if lang not in known:
+                    known[lang] = Language(lang)
+                yield from known[lang].take(texts)
+                if len(known[lang].words) > HELD:
+                    yield from known.pop(lang).rest()
+                # all automata of a task together are bounded
+                while sum(len(x.automaton.text) for x in known.values()) >= SHARD_WORDS:
+                    yield from max(known.values(), key=lambda x: len(x.automaton.text)).close()
+        for held in known.values():
+            yield from held.rest()
 
-    return sums(rows, 200, "lang string, phrase binary, n long, before binary, behind binary", Work)
+    return rows.mapInArrow(run, "lang string, phrase binary, n long, before binary, behind binary")
 
 
 def collocations(rows: DataFrame, least: int = LEAST, most: int = WORDS, top: int = TOP, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -360,26 +412,19 @@ def collocations(rows: DataFrame, least: int = LEAST, most: int = WORDS, top: in
         raise ValueError(f"the language column cannot be called {lang}")
     context = rows.sparkSession.sparkContext
     plain = rows.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text"))
-    counted = settle(count_words(plain))
-    often = counted.where(F.col("n") >= least)
-    size = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array([lang_code(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
-            codes = np.array([max(2, xxhash.xxh64_intdigest(w)) for w in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(langs, codes).view(np.int64))], names=["h"])
-
-    words = context.broadcast(bitmap(often.select("lang", "word").mapInArrow(hashed, "h long")))
-    pairs = context.broadcast(bitmap(count_pairs(plain, words).where(F.col("n") >= least)))
+    filters: list = []
+    for size in (1, 2, 3):
+        filters.append(context.broadcast(bitmap(plain, size, filters, least)))
 
     def same(name: str) -> Column:
         """The word that all shards name, if they do."""
         return F.when((F.count(F.lit(1)) == F.count(name)) & (F.min(name) == F.max(name)), F.min(name)).alias(name)
 
-    phrases = count_phrases(plain, words, pairs, most).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), same("before"), same("behind")).where(F.col("n") >= least)
-    phrases = settle(phrases.withColumn("ws", F.split(F.col("phrase").cast("string"), " ")))
-    known = phrases.select("lang", "phrase", F.col("n").alias("f")).unionByName(often.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")))
+    counted = count_phrases(plain, filters, most).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), same("before"), same("behind"))
+    counted = settle(counted.where((F.col("n") >= least) | (F.col("phrase") == b"")).withColumn("ws", F.split(F.col("phrase").cast("string"), " ")))
+    size = counted.where(F.col("phrase") == b"").select("lang", F.col("n").alias("total"))
+    known = counted.select("lang", "phrase", F.col("n").alias("f"))
+    phrases = counted.where(F.size("ws") > 1)
     open_ = phrases.where((F.size("ws") == most) | F.col("before").isNull() & F.col("behind").isNull())
     cuts = open_.select("lang", "phrase", F.col("n").alias("a"), "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - 1)).alias("k"))
     first, rest = F.array_join(F.slice("ws", F.lit(1), F.col("k")), " "), F.array_join(F.slice("ws", F.col("k") + 1, F.size("ws") - F.col("k")), " ")
