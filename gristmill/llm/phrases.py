@@ -19,7 +19,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import documents, settle, slices
@@ -307,18 +307,70 @@ def bitmap(rows: DataFrame, size: int, filters: list, least: int) -> bytes:
     return bytes(out)
 
 
+class Counts(dict):
+    """(lang, phrase) -> [n, before, behind], added up; a side is a word only while all agree on it."""
+
+    def add(self, found: Iterator[tuple]) -> None:
+        get = self.get
+        for lang, phrase, n, before, behind in found:
+            known = get((lang, phrase))
+            if known is None:
+                self[lang, phrase] = [n, before, behind]
+            else:
+                known[0] += n
+                if known[1] != before:
+                    known[1] = None
+                if known[2] != behind:
+                    known[2] = None
+
+    def batch(self, keys: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.binary()), pa.array([self[k][0] for k in keys], type=pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([self[k][i] for k in keys], type=pa.binary()) for i in (1, 2))], names=list(COUNTED))
+
+
+COUNTED = ("lang", "phrase", "n", "before", "behind")
+
+
+def summed(sent: DataFrame, least: int) -> DataFrame:
+    """``COUNTED`` of all phrases that occur ``least`` times, and of empty ones, from what tasks sent by row.
+
+    A task adds up one row after another.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, total = -1, Counts()
+
+        def done() -> pa.RecordBatch:
+            return total.batch([k for k, v in total.items() if v[0] >= least or not k[1]])
+
+        for batch in batches:
+            for part in slices(batch, 1):
+                r = part.column(0)[0].as_py()
+                if r != row:
+                    yield done()
+                    row, total = r, Counts()
+                with pa.ipc.open_stream(part.column(1)[0].as_buffer()) as reader:
+                    for held in reader:
+                        total.add(zip(*(held.column(i).to_pylist() for i in range(5))))
+        yield done()
+
+    tasks = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(tasks, "row").sortWithinPartitions("row").mapInArrow(add, "lang string, phrase binary, n long, before binary, behind binary")
+
+
 def count_phrases(rows: DataFrame, filters: list, most: int) -> DataFrame:
-    """``(lang, phrase, n, before, behind)``: counts of each task's shards, for words and phrases that may be frequent.
+    """``(row, counts)``: counts of each task's shards, for words and phrases that may be frequent, packed by a hash of the phrase.
 
     ``before`` and ``behind`` are the word on that side of all of a shard's occurrences, if it
     is one and may make a frequent phrase. The empty phrase has the number of all words.
     """
+    ranges = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     class Language:
         """What a task holds of a language: its words, their counts, pairs in no run, and an automaton."""
 
-        def __init__(self, lang: str):
-            self.lang, self.words = lang, Numbers(lang, filters[0].value)
+        def __init__(self, lang: str, counts: Counts):
+            self.lang, self.words, self.counts = lang, Numbers(lang, filters[0].value), counts
             self.total, self.single = 0, np.zeros(0, dtype=np.int64)
             self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
             self.automaton = Automaton()
@@ -374,18 +426,30 @@ def count_phrases(rows: DataFrame, filters: list, most: int) -> DataFrame:
             names = self.words.names
             name = lambda i: None if i < 0 else names[i]
             while part := list(islice(found, 50_000)):
-                columns = [
-                    pa.array([self.lang] * len(part)), pa.array([b" ".join([names[i] for i in w]) for w, *_ in part], type=pa.binary()), pa.array([n for _, n, _, _ in part]),
-                    pa.array([name(b) for _, _, b, _ in part], type=pa.binary()), pa.array([name(b) for *_, b in part], type=pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "before", "behind"])
+                self.counts.add((self.lang, b" ".join([names[i] for i in w]), n, name(b), name(e)) for w, n, b, e in part)
+                if len(self.counts) > HELD:
+                    yield from sent(self.counts)
+
+    def sent(counts: Counts) -> Iterator[pa.RecordBatch]:
+        """All counts by row, each row's compressed; none are left."""
+        by: dict[int, list[tuple[str, bytes]]] = {}
+        for key in counts:
+            by.setdefault(xxhash.xxh32_intdigest(key[1], 5) % ranges, []).append(key)
+        for row, keys in by.items():
+            sink = pa.BufferOutputStream()
+            batch = counts.batch(sorted(keys))
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([row], type=pa.int64()), pa.array([sink.getvalue().to_pybytes()], type=pa.binary())], names=["row", "counts"])
+        counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Language] = {}
+        counts = Counts()
         for batch in batches:
             for lang, texts in by_language(batch):
                 if lang not in known:
-                    known[lang] = Language(lang)
+                    known[lang] = Language(lang, counts)
                 yield from known[lang].take(texts)
                 if len(known[lang].words) > HELD:
                     yield from known.pop(lang).rest()
@@ -394,8 +458,9 @@ def count_phrases(rows: DataFrame, filters: list, most: int) -> DataFrame:
                     yield from max(known.values(), key=lambda x: len(x.automaton.text)).close()
         for held in known.values():
             yield from held.rest()
+        yield from sent(counts)
 
-    return rows.mapInArrow(run, "lang string, phrase binary, n long, before binary, behind binary")
+    return rows.mapInArrow(run, "row long, counts binary")
 
 
 def collocations(rows: DataFrame, least: int = LEAST, most: int = WORDS, top: int = TOP, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -416,12 +481,7 @@ def collocations(rows: DataFrame, least: int = LEAST, most: int = WORDS, top: in
     for size in (1, 2, 3):
         filters.append(context.broadcast(bitmap(plain, size, filters, least)))
 
-    def same(name: str) -> Column:
-        """The word that all shards name, if they do."""
-        return F.when((F.count(F.lit(1)) == F.count(name)) & (F.min(name) == F.max(name)), F.min(name)).alias(name)
-
-    counted = count_phrases(plain, filters, most).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), same("before"), same("behind"))
-    counted = settle(counted.where((F.col("n") >= least) | (F.col("phrase") == b"")).withColumn("ws", F.split(F.col("phrase").cast("string"), " ")))
+    counted = settle(summed(count_phrases(plain, filters, most), least).withColumn("ws", F.split(F.col("phrase").cast("string"), " ")))
     size = counted.where(F.col("phrase") == b"").select("lang", F.col("n").alias("total"))
     known = counted.select("lang", "phrase", F.col("n").alias("f"))
     phrases = counted.where(F.size("ws") > 1)
