@@ -33,6 +33,10 @@ WINDOW, SEED, BLOCK_WORDS = 20, 6, 256
 VOLUME_BYTES, SUSPECT_WINDOWS, SHARD_SEEDS, SEED_BYTES = 8 << 20, 2048, 1 << 19, 48
 #: Suspects of a reference block that one task compares, about.
 SHARE = 4096
+#: Effort of compressing texts, which are written once and travel twice.
+LEVEL = 6
+#: Places in a text that a seed's value is told apart by, among equal ones.
+PLACES = np.uint64((1 << 20) - 1)
 #: Distinct words whose hashes a task remembers.
 HELD = 1 << 19
 #: A null key comes after all others.
@@ -54,21 +58,24 @@ def runs_hashed(codes: np.ndarray, words: int) -> np.ndarray:
     n = len(codes) - words + 1
     h = codes[:n].copy()
     for j in range(1, words):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
-        h ^= h >> np.uint64(29)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[j : j + n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
-    """For every ``width`` neighbours of ``h`` the place of the least, the first of equal ones."""
-    value, place, size = h, np.arange(len(h)), 1
+    """For every ``width`` neighbours of ``h`` the place of the least, by its first 44 bits, then by place."""
+    place = np.arange(len(h), dtype=np.uint64)
+    value, size = h & ~PLACES | place & PLACES, 1
     while size < width:
         step = min(size, width - size)
-        right = value[step:] < value[:-step]
-        value, place = np.where(right, value[step:], value[:-step]), np.where(right, place[step:], place[:-step])
+        value = np.minimum(value[:-step], value[step:])
         size += step
-    return place
+    first = place[: len(value)]
+    return (first + ((value - first) & PLACES)).astype(np.int64)
 
 
 def seeds(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +93,33 @@ def hashed(words: list[bytes], known: Codes) -> np.ndarray:
 
 def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
     """Texts compressed together, and their sizes."""
-    return pa.compress(b"".join(texts), codec="zstd", asbytes=True), np.array([len(t) for t in texts], dtype="<i8").tobytes()
+    return pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(texts), asbytes=True), np.array([len(t) for t in texts], dtype="<i8").tobytes()
 
 
 def unpack_texts(blob: bytes, sizes: bytes) -> list[bytes]:
     ends = np.cumsum(np.frombuffer(sizes, dtype="<i8")).tolist()
-    whole = pa.decompress(blob, ends[-1], codec="zstd", asbytes=True)
-    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    joined = pa.decompress(blob, ends[-1], codec="zstd", asbytes=True)
+    return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def whole(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def steps(h: np.ndarray) -> np.ndarray:
+    """Ascending hashes as differences."""
+    return np.diff(h, prepend=np.uint64(0)).view(np.int64)
+
+
+def hashes(steps_: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps_.view(np.uint64), dtype=np.uint64)
 
 
 def volumes(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,8 +134,8 @@ def volumes(rows: DataFrame, key: str, text: str) -> DataFrame:
             blob, sizes = pack_texts(texts)
             return pa.RecordBatch.from_arrays([pa.array([np.array(keys, dtype="<i8").tobytes()]), pa.array([blob]), pa.array([sizes]), pa.array([held])], names=["keys", "blob", "sizes", "bytes"])
 
-        for whole in batches:
-            for batch in slices(whole, 200):
+        for many in batches:
+            for batch in slices(many, 200):
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     keys.append(LAST if k is None else k)
                     texts.append((t or "").encode("utf-8", "replace"))
@@ -125,14 +152,14 @@ def volumes(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def _volumes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, list[bytes]]]:
     """Each volume of a task by itself: its row, keys and texts."""
-    for whole in batches:
-        for batch in slices(whole, 1):
+    for many in batches:
+        for batch in slices(many, 1):
             row = batch.to_pylist()[0]
             yield row, np.frombuffer(row["keys"], dtype="<i8"), unpack_texts(row["blob"], row["sizes"])
 
 
 def questions(stored: DataFrame, shards: int, window: int) -> DataFrame:
-    """``(shard, v, h, key, doc, at, n)``: for each volume and shard the distinct seeds, ascending, with their first place there and the texts' number."""
+    """``(shard, v, size, h, key, doc, at, n)``: for each volume and shard the distinct seeds, ascending, with their first place there and the texts' number."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Codes()
@@ -158,43 +185,37 @@ def questions(stored: DataFrame, shards: int, window: int) -> DataFrame:
             h, doc, at = h[start], doc[start], at[start]
             edges = [*np.searchsorted(h, np.array([((s << 32) // shards) << 32 for s in range(shards)], dtype=np.uint64)).tolist(), len(h)]
             out = [(s, lo, hi) for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([s for s, *_ in out], type=pa.int64()), pa.array([row["v"]] * len(out), type=pa.int64()),
-                    pa.array([h[lo:hi].tobytes() for _, lo, hi in out], type=pa.binary()), pa.array([keys[doc[lo:hi]].astype("<i8").tobytes() for _, lo, hi in out], type=pa.binary()),
-                    *[pa.array([x[lo:hi].astype("<i4").tobytes() for _, lo, hi in out], type=pa.binary()) for x in (doc, at, n)],
-                ],
-                names=["shard", "v", "h", "key", "doc", "at", "n"],
-            )
+            columns = [pa.array(x, type=pa.int64()) for x in ([s for s, *_ in out], [row["v"]] * len(out), [hi - lo for _, lo, hi in out])]
+            columns += [pa.array([squeezed(steps(x[lo:hi]) if x is h else x[lo:hi]) for _, lo, hi in out], type=pa.binary()) for x in (h, keys[doc], doc, at, n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "v", "size", *ASKED])
 
-    return stored.select("v", "keys", "blob", "sizes").mapInArrow(ask, "shard long, v long, h binary, key binary, doc binary, at binary, n binary")
+    return stored.select("v", "keys", "blob", "sizes").mapInArrow(ask, "shard long, v long, size long, " + ", ".join(f"{c} binary" for c in ASKED))
 
 
+ASKED = ("h", "key", "doc", "at", "n")
 ANSWER = ("h", "rkey", "rv", "rdoc", "rat", "n")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """``(v, h, rkey, rv, rdoc, rat, n)``: of each volume's seeds those that stand in several places, with their first place and the number of texts.
+    """``(v, size, h, rkey, rv, rdoc, rat, n)``: of each volume's seeds those that stand in several places, with their first place and the number of texts.
 
     A shard has SHARD_SEEDS or so of them, one for each volume that holds a seed.
     """
 
     def answer(keys: tuple, table: pa.Table) -> pa.Table:
         vs = np.asarray(table.column("v"))
-        parts = {c: [np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()] for c, t in (("h", "<u8"), ("key", "<i8"), ("doc", "<i4"), ("at", "<i4"), ("n", "<i4"))}
-        lengths = [len(x) for x in parts["h"]]
-        h, key, doc, at, n = (np.concatenate(parts[c]) for c in ("h", "key", "doc", "at", "n"))
-        del parts
+        lengths = table.column("size").to_pylist()
+        h, key, doc, at, n = (np.concatenate([hashes(whole(x, m)) if c == "h" else whole(x, m) for x, m in zip(table.column(c).to_pylist(), lengths)]) for c in ASKED)
         asker = np.repeat(np.arange(len(vs)), lengths)
         order = np.lexsort((asker, at, key, h))
         sorted_ = h[order]
         start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        total = np.add.reduceat(n[order].astype(np.int64), start)
+        total = np.add.reduceat(n[order], start)
         group = np.empty(len(h), dtype=np.int64)
         group[order] = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(h)]])))
         first = order[start][group]
         many = total[group] > 1
-        columns: dict[str, list] = {"v": []} | {c: [] for c in ANSWER}
+        columns: dict[str, list] = {"v": [], "size": []} | {c: [] for c in ANSWER}
         ends = np.cumsum(lengths)
         for i, (lo, hi) in enumerate(zip(ends - lengths, ends)):
             mine = lo + np.flatnonzero(many[lo:hi])
@@ -202,11 +223,12 @@ def answers(asked: DataFrame) -> DataFrame:
                 continue
             f = first[mine]
             columns["v"].append(vs[i])
-            for c, x in zip(ANSWER, (h[mine], key[f], vs[asker[f]], doc[f], at[f], np.minimum(total[group[mine]], (1 << 31) - 1).astype("<i4"))):
-                columns[c].append(x.tobytes())
-        return pa.table({"v": pa.array(columns["v"], type=pa.int64())} | {c: pa.array(columns[c], type=pa.binary()) for c in ANSWER})
+            columns["size"].append(len(mine))
+            for c, x in zip(ANSWER, (steps(h[mine]), key[f], vs[asker[f]], doc[f], at[f], total[group[mine]])):
+                columns[c].append(squeezed(x))
+        return pa.table({c: pa.array(columns[c], type=pa.int64()) for c in ("v", "size")} | {c: pa.array(columns[c], type=pa.binary()) for c in ANSWER})
 
-    return asked.groupBy("shard").applyInArrow(answer, "v long, " + ", ".join(f"{c} binary" for c in ANSWER))
+    return asked.groupBy("shard").applyInArrow(answer, "v long, size long, " + ", ".join(f"{c} binary" for c in ANSWER))
 
 
 def cut(stored: DataFrame, answered: DataFrame, window: int) -> DataFrame:
@@ -223,11 +245,11 @@ def cut(stored: DataFrame, answered: DataFrame, window: int) -> DataFrame:
         names = ["rv", "rdoc", "block", "salt", "kind", "v", "doc", "key", "start", "words"]
         kinds = [pa.int64()] * 9 + [pa.binary()]
         for row, keys, texts in _volumes_of(batches):
-            found = [np.concatenate([np.frombuffer(a[c], dtype=t) for a in row["answers"]]) for c, t in zip(ANSWER, ("<u8", "<i8", "<i8", "<i4", "<i4", "<i4"))]
+            found = [np.concatenate([hashes(whole(a[c], a["size"])) if c == "h" else whole(a[c], a["size"]) for a in row["answers"]]) for c in ANSWER]
             order = np.argsort(found[0])
             h, rkey, rv, rdoc, rat, total = (x[order] for x in found)
-            salts = np.maximum(1, -(-total.astype(np.int64) // SHARE))
-            block = rat.astype(np.int64) // BLOCK_WORDS
+            salts = np.maximum(1, -(-total // SHARE))
+            block = rat // BLOCK_WORDS
             out: list[tuple] = []
             for d, text in enumerate(texts):
                 words = text.split()
@@ -260,7 +282,7 @@ def cut(stored: DataFrame, answered: DataFrame, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    gathered = answered.groupBy("v").agg(F.collect_list(F.struct(*ANSWER)).alias("answers"))
+    gathered = answered.groupBy("v").agg(F.collect_list(F.struct("size", *ANSWER)).alias("answers"))
     full = stored.select("v", "keys", "blob", "sizes").join(gathered, "v")
     return full.mapInArrow(find, "rv long, rdoc long, block long, salt long, kind long, v long, doc long, key long, start long, words binary")
 
@@ -331,8 +353,8 @@ def parsed(pieces: DataFrame, window: int) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = None
         names, kinds = ["v", "doc", "start", "stop", "key", "w1", "w2"], [pa.int64()] * 7
-        for whole in batches:
-            for batch in slices(whole):
+        for many in batches:
+            for batch in slices(many):
                 out: list[tuple] = []
                 for row in batch.to_pylist():
                     words = row["words"].split(b" ")
@@ -419,8 +441,8 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-    p AS (SELECT row, doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
-    w AS (SELECT row, doc_id, i, CASE WHEN i + {WINDOW - 1} <= len(ws) THEN sha256(array_to_string(ws[i : i + {WINDOW - 1}], ' ')) END AS h, ws[i] AS word FROM p),
+    p AS (SELECT row, doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), lambda j: sha256(array_to_string(ws[j : j + {WINDOW - 1}], ' ')))) AS h FROM d),
+    w AS (SELECT row, doc_id, i, h, word FROM p),
     f AS (SELECT h, min((coalesce(doc_id, {LAST}), i)) AS first FROM w WHERE h IS NOT NULL GROUP BY h),
     m AS (SELECT w.row, w.i, w.word, coalesce((coalesce(w.doc_id, {LAST}), w.i) > f.first, false) AS again FROM w LEFT JOIN f USING (h)),
     k AS (SELECT row, i, word, bool_or(again) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM m),
