@@ -8,11 +8,14 @@ from gristmill.functions.text import CODE_SHAPE
 from gristmill.plans.ir import Plan
 
 # Parts of column names whose values can be what a conversation is about; words
-# that point back at a subject; words that ask to confirm an answer.
+# that point back at a subject.
 SUBJECT_COLUMNS = ("name", "company", "customer", "client", "supplier", "vendor", "bank", "account", "entity", "partner", "counterparty", "branch", "plant", "site", "debtor", "creditor", "επωνυμ", "ονομα", "πελατ", "προμηθευτ", "τραπεζ")
 POINTING = re.compile(r"\b(?:what about|how about|and (?:for )?(?:this|that|them|it|those)|same (?:for|question for)|for (?:this|that|it|them|those)(?: one)?|and (?:their|its|the))\b", re.I)
 BARE = re.compile(r"(?:what about|how about|and)\s+(?:this|that|them|it|those)(?: one)?", re.I)
-DOUBT = re.compile(r"\b(?:are (?:yo)?u sure|you sure|is (?:that|this|it) (?:correct|right|accurate)|is it correct|double.?check|verify (?:that|this|it)|can you confirm|prove it|how did you get)\b|\breally\?", re.I)
+# Words that ask to confirm an answer; words that take something out of a result, and a place in it.
+DOUBT = re.compile(r"\b(?:are (?:you|u) sure|sure about (?:that|this|it)|is (?:that|this|it) (?:correct|right|accurate|true)|double.?check|verify (?:that|this|it)|can you confirm|prove it|how did you get)\b|\breally\?", re.I)
+TAKE_OUT = re.compile(r"\b(?:delete|remove|drop|hide|exclude|omit|strike|take out|leave out|get rid of)\b", re.I)
+PLACE = re.compile(r"\b(?:first|second|third|last|final|top|bottom|\d+(?:st|nd|rd|th))\s+(?:\w+\s+)?(?:row|line|record|entry|entries|result)s?\b|\b(?:row|line)s?\s+(?:number\s+)?\d+\b", re.I)
 
 
 def subject_of(plan: Plan | None) -> str:
@@ -44,3 +47,8 @@ def with_subject(question: str, last: str, subject: str) -> str:
 
 def in_doubt(question: str) -> bool:
     return bool(DOUBT.search(question))
+
+
+def edits_by_place(question: str) -> bool:
+    """Whether rows of the last answer are to be taken out by where they stand; "the total row" names a value."""
+    return bool(TAKE_OUT.search(question)) and bool(PLACE.search(question))

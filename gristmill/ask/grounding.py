@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from datetime import date
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from gristmill.catalog import Catalog
 from gristmill.functions.text import plain, tokens_of
 from gristmill.operators import values as V
@@ -18,6 +20,8 @@ MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m}
 CUES = re.compile(r"\b(as at|as of|at the end of|end of|by the end of|on)\b")
 STOP = frozenset("a an and are as at by each for from give how i in is it list many me much of on or per please show tell that the their there this to was were what when where which who with".split())
 NAME_SCORE, VALUE_SCORE, CAPABILITY = 4, 3, 12
+#: Likeness of a typed word and a stored one that it may stand for.
+MEANT = 0.75
 
 
 @dataclass
@@ -79,8 +83,9 @@ def ground(question: str, catalog: Catalog) -> Evidence:
     out = Evidence(question, day=as_at_day(question))
     out.years = sorted({int(y) for y in re.findall(r"(?<![\d.])((?:19|20)\d{2})(?!\d)", question)})
     out.hits = [Hit(*(r[c] for c in ("table", "column", "norm", "display", "count", "score", "kind"))) for r in V.value_hits(catalog.index(), question).collect()]
-    out.hits = without_noise(out.hits)
     words = [w for w in tokens_of(question) if w not in STOP and len(w) >= 3]
+    if len(out.hits) > 1:
+        out.hits = without_noise(out.hits, words, word_spread(out.hits, words, catalog))
     scores = dict.fromkeys(catalog.tables, 0.0)
     for name, table in catalog.tables.items():
         capability = 0.0
@@ -96,14 +101,40 @@ def ground(question: str, catalog: Catalog) -> Evidence:
     return out
 
 
-def without_noise(hits: list[Hit]) -> list[Hit]:
-    """Hits without words that merely describe: where a value is named whole, another column in
-    which a part of the question fits several values says nothing."""
-    named = {(h.table, h.column) for h in hits if h.kind == "whole"}
+def word_spread(hits: list[Hit], words: list[str], catalog: Catalog) -> dict[tuple[str, str, str], int]:
+    """(table, column, word) -> how many stored values of the column have the word as a token."""
+    places = {(h.table, h.column) for h in hits if h.kind != "whole"}
+    out: dict[tuple[str, str, str], int] = {}
+    for table in {t for t, _ in places}:
+        rows = catalog.tokens_of(table)
+        some = rows.where(F.col("token").isin(words) & F.col("column").isin([c for t, c in places if t == table])) if rows is not None and words else None
+        if some is not None:
+            out |= {(table, r["column"], r["token"]): r["n"] for r in some.groupBy("column", "token").agg(F.count_distinct("norm").alias("n")).collect()}
+    return out
+
+
+def without_noise(hits: list[Hit], words: list[str], spread: dict[tuple[str, str, str], int]) -> list[Hit]:
+    """Hits without words that merely describe.
+
+    A name is a value of several words that the question names by itself, or by a word that
+    no other value of its column has. Beside a name, a word that several values of another
+    column have says what kind of thing is meant, not which.
+    """
+
+    def met(h: Hit) -> list[str]:
+        tokens = tokens_of(h.norm)
+        return [w for w in words if w in tokens]
+
+    def is_name(h: Hit) -> bool:
+        if len(tokens_of(h.norm)) < 2:
+            return False
+        return h.kind == "whole" or any(len(w) >= 4 and spread.get((h.table, h.column, w), 1) <= 1 for w in met(h))
+
+    named = {(h.table, h.column) for h in hits if is_name(h)}
     if not named:
         return hits
-    loose = [(h.table, h.column) for h in hits if h.kind != "whole"]
-    return [h for h in hits if h.kind == "whole" or (h.table, h.column) in named or loose.count((h.table, h.column)) < 2]
+    kept = [h for h in hits if (h.table, h.column) in named or h.kind == "whole" or not met(h) or max(spread.get((h.table, h.column, w), 1) for w in met(h)) < 2]
+    return kept or hits
 
 
 def missing_conditions(evidence: Evidence, filters: list) -> list[str]:
@@ -113,21 +144,22 @@ def missing_conditions(evidence: Evidence, filters: list) -> list[str]:
 
 
 def did_you_mean(question: str, catalog: Catalog, most: int = 3, ignored: Collection[str] = ()) -> list[tuple[str, str]]:
-    """(typed word, stored value) for words of no column or value that resemble a value."""
+    """(typed word, stored value) for words of no column or value that resemble a value.
+
+    Looked up in the index for misspelt words: a column that has the word itself knows it;
+    of the others come the values whose tokens are most like the word.
+    """
     known = {t for table in catalog.tables.values() for c in table.columns for t in tokens_of(c)}
-    found = []
-    for word in tokens_of(question):
-        if len(word) < 4 or word in known or word in STOP or word in ignored:
-            continue
-        for table in catalog.tables.values():
-            for column, p in table.profile.items():
-                if p.kind == "text" and p.role in ("dimension", "identifier"):
-                    for norm, shown in catalog.domain(table.name, column).items():
-                        if word in tokens_of(norm):
-                            break
-                        if any(t[0] == word[0] and t != word and SequenceMatcher(None, word, t).ratio() >= 0.75 for t in tokens_of(norm)):
-                            found.append((word, shown[0]))
-    return list(dict.fromkeys(found))[:most]
+    words = [w for w in dict.fromkeys(tokens_of(question)) if len(w) >= 4 and w not in known and w not in STOP and w not in ignored]
+    tokens = catalog.tokens(("dimension", "identifier")) if words else None
+    if tokens is None:
+        return []
+    near = V.like(tokens, words, MEANT)
+    met = tokens.join(near, "token").select("table", "column", "display", "count", "token", "word", "ratio")
+    here = met.where(F.col("token") == F.col("word")).select("table", "column", "word").distinct()
+    others = met.where(F.col("token") != F.col("word")).join(here, ["table", "column", "word"], "left_anti")
+    best = others.groupBy("word", "display").agg(F.max("ratio").alias("ratio"), F.sum("count").alias("count")).orderBy(F.desc("ratio"), F.desc("count"), "word", "display")
+    return [(r["word"], r["display"]) for r in best.limit(most).collect()]
 
 
 def readings(evidence: Evidence, catalog: Catalog) -> list[dict]:

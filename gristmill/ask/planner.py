@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
-from gristmill.ask.continuity import carries_over, in_doubt, subject_of, with_subject
+from gristmill.ask.continuity import carries_over, edits_by_place, in_doubt, subject_of, with_subject
 from gristmill.ask.grounding import STOP, Evidence, did_you_mean, ground, likeness, missing_conditions, own_or_converted, places_of, readings
 from gristmill.ask.routing import acronyms, names_for_codes, tables_for, without_column
 from gristmill.catalog import Catalog
@@ -145,7 +145,7 @@ def told_apart(catalog: Catalog, name: str) -> str:
     spans = [f"{c} {p.least}..{p.most}" for c, p in t.profile.items() if p.role in ("date", "year") and p.least]
     few = [c for c, p in t.profile.items() if p.role == "dimension" and p.kind == "text" and p.distinct <= 12][:2]
     shown = [f"{c}: " + ", ".join(s[0] for s in list(catalog.domain(name, c).values())[:4]) for c in few]
-    return "; ".join([f"{t.df.count()} rows", *spans[:1], *shown])
+    return "; ".join([f"{t.rows} rows", *spans[:1], *shown])
 
 
 def schema_text(catalog: Catalog, tables: list[str], values: int = 8, detail: bool = False) -> str:
@@ -284,6 +284,11 @@ class Conversation:
         except (OSError, ValueError, AttributeError):
             pass
 
+    def clear(self) -> None:
+        """Forget the conversation; plans that were made stay."""
+        self.last, self.last_question, self.last_answer = None, "", None
+        self.pending, self.pending_question = [], ""
+
     def ask(self, question: str) -> Answer:
         answer = self._ask(question)
         if answer.kind == "rows":
@@ -294,7 +299,7 @@ class Conversation:
         chosen = self._choice(question)
         if chosen is not None:
             return chosen
-        if re.search(r"\b(delete|remove|drop|hide)\b.*\b(row|line)s?\b\s*\d*", plain(question)):
+        if edits_by_place(question):
             return Answer("none", text="Rows of an answer cannot be taken out by position; name what to leave out.")
         if in_doubt(question) and self.last_answer is not None:
             return self._explained()
@@ -306,11 +311,17 @@ class Conversation:
         if plan is not None:
             return self._run(plan, "follow-up", None, question)
         with stage("grounding"):
-            question = names_for_codes(question, self.catalog)
+            question, names = names_for_codes(question, self.catalog)
+            if names:
+                return self._offer(names, question, "The data have no company of exactly this name. Is this one meant?" if len(names) == 1 else "The data have several companies of nearly this name. Which is meant?")
             evidence = ground(question, self.catalog)
         cached = self.plans.get(self.catalog.version(), {}).get(plain(question))
         if cached:
-            return self._run(Plan.from_dict(cached), "cache", evidence.day, question)
+            answer = self._run(Plan.from_dict(cached), "cache", evidence.day, question)
+            if answer.kind == "rows":
+                return answer
+            # a plan that does not bind any more is made anew
+            self.plans[self.catalog.version()].pop(plain(question), None)
         with stage("ambiguity"):
             ways = self._ways(evidence)
         if len(ways) > 1:

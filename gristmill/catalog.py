@@ -124,6 +124,11 @@ class Table:
         """Whether any row is marked as a total; looked up once, so that plans over tables without leave the mark out."""
         return not self.df.where(F.col(IS_SUMMARY)).select(F.lit(1)).isEmpty()
 
+    @cached_property
+    def rows(self) -> int:
+        """The number of rows, total rows included; of Parquet files their footers tell it."""
+        return (self.df if self.raw is None else self.raw).count()
+
     @cached_property
     def profile(self) -> dict[str, ColumnProfile]:
         """Profiles by column, computed once by one aggregate over the table, distinct counts sketched."""
@@ -160,12 +165,15 @@ class Catalog:
         self.spark = spark
         self.tables: dict[str, Table] = {}
         self.links: list[Relationship] = []
+        self.chunk_count = 0  # of the documents beside the tables
         self._domains: dict[tuple[str, str], dict[str, list[str]]] = {}
         self._values: dict[str, DataFrame] = {}
+        self._tokens: dict[str, DataFrame] = {}
 
     def add(self, name: str, df: DataFrame, card: Card | None = None) -> Table:
         """Register a table. A table with years in its column names also gets its long view ``name#long``."""
         clean = prepared(df)
+        self.tables.pop(f"{name}#long", None)
         self.tables[name] = Table(name, clean, card or Card(), raw=df)
         if year_columns(visible(clean)):
             self.tables[f"{name}#long"] = Table(f"{name}#long", self._long(clean), card or Card(), long_of=name)
@@ -175,6 +183,7 @@ class Catalog:
     def _forget(self, name: str) -> None:
         self._domains = {k: v for k, v in self._domains.items() if k[0] != name}
         self._values.pop(name, None)
+        self._tokens.pop(name, None)
 
     @staticmethod
     def _long(df: DataFrame) -> DataFrame:
@@ -225,6 +234,33 @@ class Catalog:
         names = [r["table"] for r in index.select("table").distinct().collect()]
         self._values |= {n: index.where(F.col("table") == n) for n in names if n in self.tables}
 
+    def values_of(self, name: str) -> DataFrame | None:
+        """A table's part of the value index, if it has text columns; counted if it is not there yet."""
+        self.index()
+        return self._values.get(name)
+
+    def take_values(self, name: str, values: DataFrame, tokens: DataFrame | None = None) -> None:
+        self._values[name] = values
+        if tokens is not None:
+            self._tokens[name] = tokens
+
+    def tokens_of(self, name: str) -> DataFrame | None:
+        """A table's part of the index for misspelt words, written once like the value index."""
+        values = self.values_of(name)
+        if values is not None and name not in self._tokens:
+            self._tokens[name] = stored(V.token_table(values).orderBy("initial", "size", "token"))
+        return self._tokens.get(name)
+
+    def tokens(self, roles: Sequence[str]) -> DataFrame | None:
+        """The index for misspelt words over all text columns that play one of the roles."""
+        parts = []
+        for name, t in self.tables.items():
+            columns = [c for c, p in t.profile.items() if p.kind == "text" and p.role in roles] if t.long_of is None else []
+            rows = self.tokens_of(name) if columns else None
+            if rows is not None:
+                parts.append(rows.where(F.col("column").isin(columns)))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
     def columns_holding(self, table: str, value: str) -> list[tuple[str, int]]:
         return [(r["column"], r["count"]) for r in V.value_rebind(self.index(), table, plain(value)).collect()]
 
@@ -243,22 +279,33 @@ class Catalog:
         return any((k.child_table, k.child_column, k.parent_table, k.parent_column) in (forward, back) for k in self.links)
 
     def version(self) -> str:
-        """Changes when a table, its columns or their types do."""
-        text = json.dumps([[n, self.tables[n].df.select(*[qcol(c) for c in self.tables[n].columns]).schema.simpleString()] for n in sorted(self.tables)])
-        return hashlib.sha1(text.encode()).hexdigest()
-
-    def save_metadata(self, path: str) -> None:
-        """Profiles, cards and relationships as one JSON file beside the tables."""
-        body = {
-            "profiles": {n: {c: asdict(p) for c, p in t.profile.items()} for n, t in self.tables.items() if "profile" in t.__dict__},
-            "cards": {n: asdict(t.card) for n, t in self.tables.items()},
-            "links": [asdict(k) for k in self.links],
-            "totals": {n: t.has_totals for n, t in self.tables.items() if "has_totals" in t.__dict__},
-        }
-        Path(path).write_text(json.dumps(body, ensure_ascii=False, default=str), encoding="utf-8")
+        """Changes when a table, its rows' number, its columns or their types do, or the number of chunks."""
+        shapes = [[n, t.rows, t.df.select(*[qcol(c) for c in t.columns]).schema.simpleString()] for n, t in sorted(self.tables.items()) if t.long_of is None]
+        return hashlib.sha1(json.dumps([shapes, self.chunk_count]).encode()).hexdigest()
+
+    def metadata(self, name: str) -> dict:
+        """What is known of a table besides its rows, ready for JSON."""
+        t = self.tables[name]
+        known = t.__dict__
+        return {
+            "card": asdict(t.card), "profile": {c: asdict(p) for c, p in t.profile.items()} if "profile" in known else None,
+            "totals": t.has_totals if "has_totals" in known else None, "rows": t.rows,
+        }
+
+    def take_metadata(self, name: str, body: dict) -> None:
+        """Take up what ``metadata`` gave; what does not fit the table's columns is left."""
+        t = self.tables[name]
+        card = body.get("card")
+        if card:
+            t.card = Card(**{**card, "validity": tuple(card["validity"]) if card["validity"] else None})
+        if body.get("profile") and set(body["profile"]) == set(t.columns):
+            t.__dict__["profile"] = {c: ColumnProfile(**p) for c, p in body["profile"].items()}
+        for key, kept in (("totals", "has_totals"), ("rows", "rows")):
+            if body.get(key) is not None:
+                t.__dict__[kept] = body[key]
 
     def load_metadata(self, path: str) -> bool:
-        """Take up saved metadata; a missing or damaged file is a plain miss."""
+        """Take up the metadata of a store without versions; a missing or damaged file is a plain miss."""
         try:
             body = json.loads(Path(path).read_text(encoding="utf-8"))
             for n, columns in body["profiles"].items():

@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     rules, scores = HouseRules(args.rules) if args.rules else None, f"{args.store}/scores.json"
     engine, audit = Engine(session(), rules=rules), Audit(f"{args.store}/audit")
     if args.command == "index":
+        engine.open(args.store)  # what is indexed stays
         print("\n".join(engine.load(args.paths) + [f"warning: {w}" for w in engine.warnings]))
         engine.catalog.discover_links()
         engine.describe()

@@ -58,6 +58,50 @@ def token_index(index: DataFrame, least: int = 4, bucket: int = BUCKET) -> DataF
     return each.withColumn("_r", place).where(F.col("_r") <= bucket).drop("_r")
 
 
+def token_table(index: DataFrame) -> DataFrame:
+    """``(table, column, norm, display, count, token, initial, size)``: a row for each distinct token of each value.
+
+    The index for misspelt words: sorted by initial and size when it is stored, so a word
+    reads the tokens of its own initial and of lengths that can be like it.
+    """
+    each = index.select(*[c for c in ("table", "column", "norm", "display", "count")], F.explode(F.array_distinct(tokenize(F.col("norm")))).alias("token"))
+    return each.withColumns({"initial": F.substring("token", 1, 1), "size": F.length("token")})
+
+
+def likeness_bound(token: Column, word: str) -> Column:
+    """No less than ``similarity_ratio``: matching blocks hold no letter oftener than both have it."""
+    size = F.length(token)
+    shared = F.lit(0)
+    for letter in sorted(set(word)):
+        shared = shared + F.least(F.lit(word.count(letter)), size - F.length(F.replace(token, F.lit(letter), F.lit(""))))
+    return F.lit(2.0) * shared / (size + len(word))
+
+
+def may_be_like(token: Column, word: str, ratio: float) -> Column:
+    """Whether a token can have the ratio: by its length, its letters, and the edits that part it
+    from the word. All compiled; what matches is a common subsequence, and what is left over of
+    both is no less than the edit distance."""
+    size, n = F.length(token), len(word)
+    edits = F.levenshtein(token, F.lit(word))
+    return size.between(F.lit(n * ratio / (2 - ratio) - 1e-9), F.lit(n * (2 - ratio) / ratio + 1e-9)) & (likeness_bound(token, word) >= ratio - 1e-9) & (edits <= (1 - ratio) * (size + n) + 1e-9)
+
+
+def like_candidates(tokens: DataFrame, words: Sequence[str], ratio: float, initial: bool = True) -> DataFrame:
+    """``(token, word)``: the pairs of distinct tokens and words whose similarity must be worked out."""
+    words = list(dict.fromkeys(words))
+    some = tokens.select("token").distinct()
+    if initial:
+        some = tokens.where(F.substring("token", 1, 1).isin(sorted({w[0] for w in words}))).select("token").distinct()
+    fits = [F.when(may_be_like(F.col("token"), w, ratio) & (F.startswith("token", F.lit(w[0])) if initial else F.lit(True)), F.lit(w)) for w in words]
+    return some.select("token", F.explode(F.array_compact(F.array(*fits))).alias("word")) if words else some.select("token", F.lit("").alias("word")).limit(0)
+
+
+def like(tokens: DataFrame, words: Sequence[str], ratio: float, initial: bool = True) -> DataFrame:
+    """``(token, word, ratio)`` of the pairs that reach the similarity; only those that can reach the function."""
+    scored = like_candidates(tokens, words, ratio, initial).withColumn("ratio", similarity_ratio("token", "word"))
+    return scored.where(F.col("ratio") >= ratio)
+
+
 def value_hits(index: DataFrame, question: str, most: int = HITS, per_column: int = HITS_PER_COLUMN, typos: bool = True) -> DataFrame:
     """``(table, column, norm, display, count, score, kind)`` of the values that a question names.
 
@@ -88,12 +132,10 @@ def value_hits(index: DataFrame, question: str, most: int = HITS, per_column: in
     if long or typos:
         # only tokens that begin like a word are looked at; the index is by token, so this filter goes below it
         tokens = token_index(index).where(F.col("token").isin(*long) if not typos else F.substring("token", 1, 1).isin(*sorted({w[0] for w in words})))
-        pairs = tokens.select("norm", "token", F.explode(F.array(*[F.lit(w) for w in dict.fromkeys(words)])).alias("word")).where(F.substring("token", 1, 1) == F.substring("word", 1, 1))
-        exact = pairs.where((F.col("token") == F.col("word")) & (F.length("word") >= 4)).select("norm", F.struct((4 + F.least(F.length("word"), F.lit(20)) / 20).alias("score"), F.lit("token").alias("kind")).alias("hit"))
-        near = exact
+        near = tokens.where(F.col("token").isin(*long)).select("norm", F.struct((4 + F.least(F.length("token"), F.lit(20)) / 20).alias("score"), F.lit("token").alias("kind")).alias("hit"))
         if typos:
-            alike = pairs.select("norm", similarity_ratio("token", "word").alias("ratio")).where(F.col("ratio") >= FUZZY)
-            near = exact.unionByName(alike.select("norm", F.struct((6 + F.col("ratio")).alias("score"), F.lit("typo").alias("kind")).alias("hit")))
+            alike = tokens.join(like(tokens, words, FUZZY), "token")
+            near = near.unionByName(alike.select("norm", F.struct((6 + F.col("ratio")).alias("score"), F.lit("typo").alias("kind")).alias("hit")))
     near = near.groupBy("norm").agg(F.max("hit").alias("hit"))
     both = direct.unionByName(index.join(near, "norm").select(*direct.columns))
     found = both.groupBy("table", "column", "norm", "display", "count").agg(F.max("hit").alias("hit"))
@@ -144,15 +186,15 @@ def resolve_fuzzy(domain: DataFrame, phrase: str, ratio: float = FUZZY) -> DataF
     tokens = domain.select("norm", tokenize(F.col("norm")).alias("tokens"))
     for initial in sorted({w[0] for w in words}):
         tokens = tokens.where(_has_initial("tokens", initial))
-    pairs = tokens.select("norm", F.explode("tokens").alias("token"), F.array(*[F.lit(w) for w in words]).alias("words")).select("norm", "token", F.explode("words").alias("word"))
-    near = pairs.where(F.substring("token", 1, 1) == F.substring("word", 1, 1)).withColumn("ratio", similarity_ratio("token", "word")).where(F.col("ratio") >= ratio)
+    each = tokens.select("norm", F.explode("tokens").alias("token"))
+    near = each.join(like(each, words, ratio), "token")
     best = near.groupBy("norm", "word").agg(F.max("ratio").alias("ratio"))
     return best.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("ratio")).where(F.col("n") == len(words)).select("norm", F.round("ratio", 6).alias("ratio"))
 
 
 def close_matches(domain: DataFrame, value: str, n: int = 3, cutoff: float = FUZZY) -> DataFrame:
     """The n values of a domain most similar to ``value``, at ``cutoff`` or above."""
-    scored = domain.select("norm", similarity_ratio("norm", F.lit(plain(value))).alias("ratio"))
+    scored = domain.where(may_be_like(F.col("norm"), plain(value), cutoff)).select("norm", similarity_ratio("norm", F.lit(plain(value))).alias("ratio"))
     return scored.where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc("norm")).limit(n)
 
 

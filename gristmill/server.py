@@ -56,7 +56,7 @@ class Service:
                 file.write(str(body.get("text", ""))[: self.rules.most])
             return 200, {"rules": self.rules.rules()}
         if path == "/clear_history":
-            self.engine.conversation.last, self.engine.conversation.pending = None, []
+            self.engine.conversation.clear()
             return 200, {"ok": True}
         return 404, {"error": "no such path"}
 

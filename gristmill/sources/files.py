@@ -46,20 +46,18 @@ def read_file(spark: SparkSession, path: str, split: bool = False) -> dict[str,
     if low.endswith((".parquet", ".json", ".orc")):
         return {name: spark.read.format(low.rsplit(".", 1)[-1]).load(path)}
     if low.endswith(TEXTS):
-        return {name: spark.read.text(path, wholetext=True).select(F.lit(name).alias("source"), F.lit("1").alias("location"), F.col("value").alias("text"))}
+        return {name: read_texts(spark, [path])}
     raise ValueError(f"{name} is of no kind that is read")
 
 
-def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet in a folder of its own, with a list of their names.
-
-    Marks in names that paths do not take are written as hexadecimal codes.
-    """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{encode_name(name)}")
+def read_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(source, location, text)`` of text files, each whole, under its name; one scan for all of them."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return spark.read.text(list(paths), wholetext=True).select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source"), F.lit("1").alias("location"), F.col("value").alias("text"))
 
 
 def encode_name(name: str) -> str:
+    """Marks in names that paths do not take, as hexadecimal codes."""
     return re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):x}%", name)
 
 
@@ -74,7 +72,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Tables that ``save_tables`` wrote; a folder that is not there has none."""
+    """Tables of a store without versions, one in each folder; a folder that is not there has none."""
     if not exists(spark, folder):
         return {}
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

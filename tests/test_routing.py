@@ -39,7 +39,7 @@ def test_kinds_of_questions(catalog):
 
 
 def test_codes_acronyms_and_hints(catalog):
-    assert R.names_for_codes("funds of CY02 and CY99", catalog) == "funds of Blue Lake Foods and CY99"
+    assert R.names_for_codes("funds of CY02 and CY99", catalog) == ("funds of Blue Lake Foods and CY99", [])
     assert ("nst", "North Sea Traders") in R.acronyms("loans of nst", catalog)
     plan = Plan(table="firms.xlsx:F", filters=[Filter("COMPANY_CODE", "eq", "alpha bank")])
     assert "loans 31-12-2022.xlsx:L.LENDER" in R.empty_hint(plan, catalog)
