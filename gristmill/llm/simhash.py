@@ -8,13 +8,14 @@ Texts with the same fingerprint are one class before any join, so copies of any
 number cost one row there.
 
 Few bits apart is close to a copy. For texts that share a given part of their shingles,
-``similar_texts`` takes the same variants of a longer fingerprint, so that some segment
-differs in one bit at most with high probability, and verifies the shingles themselves.
+``similar_texts`` takes the same variants of a fingerprint whose letters are least hashes of
+the shingles in place of bits: two texts agree in a letter as often as their shingles do,
+wherever the edits are, so some segment differs in one letter at most with high probability.
+The shingles themselves are then verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -31,14 +32,11 @@ BITS = 64
 SEED = 42
 #: Similar texts: Jaccard coefficient of the sets of shingles of so many words.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Their fingerprints: segments and bits of each, over the set of shingles of PRINT_WORDS words,
-#: which fewer edits reach. Texts of the wanted similarity are about a tenth of the bits
-#: apart, which leaves a segment one bit apart at most in 97 cases of 100; REACH bits bound the rest.
-SEGMENTS, SEGMENT_BITS, PRINT_WORDS = 8, 24, 2
-#: Bits of the first CHECK_BITS and of all that candidates may be apart (unrelated texts: about half).
-CHECK_BITS, CHECK_REACH, REACH = 48, 14, 40
-#: Centres of a bucket of variants that its texts meet, and those of one component, the nearest, that a text is compared with.
-CENTRES, NEAREST = 3, 3
+#: Their fingerprints: segments and letters of each. Of texts of the wanted similarity 0.74 of the
+#: segments are one letter apart at most, so 0.995 of such texts meet; of texts half as similar, few.
+SEGMENTS, LETTERS = 4, 5
+#: Rounds in which the texts of a bucket that are still apart meet another of its texts.
+ROUNDS = 8
 #: A node with more than one in HUBS of all links (and HUB_LINKS, or HUB_TEXTS pairs, at least) is spread over SPREAD tasks.
 HUBS, HUB_LINKS, HUB_TEXTS, SPREAD = 1000, 50_000, 1_000, 64
 
@@ -186,49 +184,34 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def long_print(text: str | None) -> np.ndarray:
-    """SimHash of SEGMENTS * SEGMENT_BITS bits over the set of shingles, as 64-bit words."""
-    hashed, words = shingles(text, PRINT_WORDS), []
-    for _ in range(SEGMENTS * SEGMENT_BITS // 64):
-        ones = np.zeros(64, dtype=np.int64)
-        big = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
-        for lo in range(0, len(big), 1 << 16):
-            ones += np.unpackbits(big[lo : lo + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-        words.append(np.packbits(2 * ones > len(hashed)).view(">u8")[0])
-        # the next word's bits: another hash of the same shingles
-        hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        hashed = (hashed ^ (hashed >> np.uint64(35))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        hashed ^= hashed >> np.uint64(28)
-    return np.array(words, dtype=np.uint64)
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, size=n, dtype=np.uint64) | np.uint64(1)
 
 
-def segments_of(print_: np.ndarray) -> np.ndarray:
-    """The segments of a long fingerprint as numbers."""
-    bits = np.unpackbits(print_.astype(">u8").view(np.uint8)).reshape(SEGMENTS, SEGMENT_BITS)
-    return bits @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
+_TIMES, _PLUS = _odd(SEGMENTS * LETTERS, 1), _odd(SEGMENTS * LETTERS, 2)
 
 
-def whole_segments(print_: np.ndarray) -> np.ndarray:
-    """Keys of the segments as they are: the segment's place and its bits in one number."""
-    return np.arange(SEGMENTS) << SEGMENT_BITS | segments_of(print_)
+def letters(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """SEGMENTS * LETTERS letters: the least of as many hashes over the set of shingles; zeros without any."""
+    hashed, out = shingles(text, words), np.zeros(SEGMENTS * LETTERS, dtype=np.uint64)
+    for i in range(len(out) if len(hashed) else 0):
+        h = hashed * _TIMES[i] + _PLUS[i]
+        out[i] = ((h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)).min()
+    return out
 
 
 def variants(print_: np.ndarray) -> np.ndarray:
-    """Keys of all one-wildcard variants: the segment's place, its wiped bit and its other bits in one number."""
-    bit = np.arange(SEGMENT_BITS, dtype=np.int64)
-    rest = segments_of(print_)[:, None] & ~(1 << bit)[None]
-    return ((np.arange(SEGMENTS)[:, None] * SEGMENT_BITS + bit[None]) << SEGMENT_BITS | rest).ravel()
-
-
-def _apart(a: str, b: str, words: list[str]) -> Column:
-    out = F.lit(0)
-    for w in words:
-        out = out + F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
-    return out
+    """Keys of all one-wildcard variants: a hash of the segment's place, its wiped letter's place and its other letters."""
+    keys = []
+    for segment, part in enumerate(print_.reshape(SEGMENTS, LETTERS)):
+        for wiped in range(LETTERS):
+            rest = np.delete(part, wiped).astype("<u8").tobytes()
+            keys.append(xxhash.xxh64_intdigest(rest, segment * LETTERS + wiped))
+    return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of ids of ``texts`` (h, text) whose texts share enough shingles.
+    """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose texts share enough shingles.
 
     Only texts of some pair travel, and one of equal ones; a text of many pairs is spread.
     """
@@ -238,12 +221,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         return lambda left, right: {"alike": [jaccard(known(x), known(y)) >= similarity for x, y in zip(left, right)]}
 
     total = pairs.count()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    some = texts.join(ends, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = texts.join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
     def with_text(rows: DataFrame, end: str, as_: str) -> DataFrame:
         often = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        stars = often.join(some, often[end] == some["h"]).select(F.col(end).alias("u"), F.col("text").alias(as_), "n")
+        stars = often.join(some, often[end] == some["id"]).select(F.col(end).alias("u"), F.col("text").alias(as_), "n")
         other = "b" if end == "a" else "a"
         return spread(rows.withColumnsRenamed({end: "u", other: "v"}), stars, total, HUB_TEXTS).drop("n").withColumnsRenamed({"u": end, "v": other})
 
@@ -252,82 +235,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(key, h, component_id)``: one row per row of ``rows``; ``h`` is a hash of its text.
+    """``(key, text_class, component_id)``: one row per row of ``rows``; ``text_class`` numbers the distinct texts.
 
     ``component_id`` is the least ``key`` among all rows reachable over texts whose sets of
     shingles of ``words`` words have a Jaccard coefficient of ``similarity`` or more, as far
-    as the variants of their long fingerprints bring them together. Equal texts are one
-    class from the start (told by a 64-bit hash). Texts of fewer words are one shingle; null,
+    as the variants of their fingerprints bring them together. Equal texts are one class
+    from the start (told by two 64-bit hashes). Texts of fewer words are one shingle; null,
     empty and wordless texts are alike. Rows with a null key take part but never name a
     component unless all its keys are null. Texts of any length are read whole. Other
     columns are not read; a key column called like a result column is an error. An empty
     table gives no rows.
 
-    A text is compared with one text of each bucket that it is in, a centre, first over
-    buckets of equal segments, then with centres of those over all variants, chosen anew:
-    the NEAREST of every other component that it meets so. Two near copies are a bucket's
-    only texts as a rule, so they meet; in a group of many, each meets many centres, and a
-    chain of links suffices. So the comparisons of a text are bounded, and no group is
-    expanded into all its pairs. Two texts of crowded buckets that are alike to each other
-    but to none of those centres stay apart.
+    The texts of a bucket are compared with one of them, its centre, which is the one whose
+    buckets are the fullest: in a family of copies the text that the others were made from.
+    What is alike is settled. In buckets of several components, texts meet another centre in
+    each further round, any one of the bucket's texts that is of another component, until all
+    are of one component, two rounds find no new likeness, or after ROUNDS rounds. So a text is
+    compared with one centre a bucket and round, and no group is expanded into all its pairs.
+    What stays apart are texts alike only to few of a crowded bucket's texts.
     """
-    if key.lower() in ("h", "component_id"):
+    if key.lower() in ("text_class", "component_id"):
         raise ValueError(f"the key column cannot be called {key}")
     body = F.col(f"`{text}`")
-    plain = rows.select(F.col(f"`{key}`").alias("key"), F.when(body.rlike(r"[^\x20\x09-\x0D]"), body).alias("text")).withColumn("h", F.xxhash64("text"))
-    ps = [f"p{i}" for i in range(SEGMENTS * SEGMENT_BITS // 64)]
+    plain = rows.select(F.col(f"`{key}`").alias("key"), F.when(body.rlike(r"[^\x20\x09-\x0D]"), body).alias("text"))
+    plain = plain.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
 
     def start():
-        def work(texts):
-            prints = np.array([long_print(t) for t in texts], dtype=np.uint64).reshape(-1, len(ps)).view(np.int64)
-            return {p: prints[:, i] for i, p in enumerate(ps)}
-
-        return work
-
-    def keyed(rows: DataFrame, keep: list[str], keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        def start():
-            return lambda *columns: {"keys": [keys_of(p) for p in np.array(columns, dtype=np.int64).T.copy().view(np.uint64)]}
-
-        return map_columns(rows, ps, keep, {"keys": pa.list_(pa.int64())}, start).select(*keep, F.explode("keys").alias("k"))
-
-    prints = settle(map_columns(plain, ["text"], ["key", "h"], {p: pa.int64() for p in ps}, start))
-    texts = plain.select("h", "text")
-    classes = settle(prints.groupBy("h").agg(F.min("key").alias("least"), *[F.first(p).alias(p) for p in ps]))
-
-    def met(rows: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], choices: range) -> DataFrame:
-        """``(mine, centre)``: a text and a centre of one of its buckets, of different components.
-
-        Beside its id, a text's rows have one number: some bits of its fingerprint, which
-        sort out chance meetings, and 16 bits of a hash of its component.
-        """
-        low = (1 << CHECK_BITS) - 1
-        mark = F.col("p0").bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(F.xxhash64("root"), CHECK_BITS))
-        marked = keyed(rows.withColumn("mark", mark), ["h", "mark"], keys_of)
-        bucket = Window.partitionBy("k")
-        centres = F.array(*[F.min_by(F.struct("h", "mark"), F.xxhash64("h", F.lit(c))).over(bucket) for c in choices])
-        pairs = marked.withColumn("cs", F.array_distinct(centres)).withColumn("c", F.explode("cs"))
-        apart = F.col("mark").bitwiseXOR(F.col("c.mark"))
-        near = (F.shiftright(apart, CHECK_BITS) != 0) & (F.bit_count(apart.bitwiseAND(F.lit(low))) <= CHECK_REACH)
-        return pairs.where(near).select(F.col("h").alias("mine"), F.col("c.h").alias("centre")).distinct()
-
-    def close(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The ``pairs`` near by their whole fingerprints; of a component's centres a text's NEAREST."""
-        one, two = roots.alias("one"), roots.alias("two")
-        joined = pairs.join(one, F.col("mine") == F.col("one.h")).join(two, F.col("centre") == F.col("two.h"))
-        joined = joined.select("mine", "centre", F.col("two.root").alias("root"), _apart("one", "two", ps).alias("apart")).where(F.col("apart") <= REACH)
-        # a text meets a bounded number of centres: CENTRES for each of its variants
-        best = joined.groupBy("mine", "root").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "centre"))), 1, NEAREST).alias("best"))
-        each = best.select("mine", F.explode("best.centre").alias("centre"))
-        return each.select(F.greatest("mine", "centre").alias("a"), F.least("mine", "centre").alias("b")).distinct()
-
-    alone = classes.select("h", *ps, F.col("h").alias("root"))
-    tried = settle(close(met(alone, whole_segments, range(1)), alone))
-    links_ = settle(_verified(tried, texts, words, similarity))
-    found = components(links_)
-    placed = settle(classes.join(found, classes["h"] == found["node"], "left").select("h", *ps, F.coalesce("root", "h").alias("root")))
-    rest = settle(close(met(placed, variants, range(1, 1 + CENTRES)), placed).join(tried, ["a", "b"], "left_anti"))
-    found = components(links_.unionByName(_verified(rest, texts, words, similarity)))
-    return _members(prints, classes, found, "h", key)
+        return lambda texts: {"keys": [variants(letters(t, words)) for t in texts]}
+
+    prints = settle(map_columns(plain, ["text"], ["key", "h1", "h2"], {"keys": pa.list_(pa.int64())}, start))
+    classes = settle(prints.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.first("keys").alias("keys"))).withColumn("id", F.monotonically_increasing_id())
+    numbers = classes.select("h1", "h2", "id", "least")
+    texts = plain.join(numbers, ["h1", "h2"]).select("id", "text")
+
+    keyed = classes.select("id", F.explode("keys").alias("k"))
+    crowded = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = settle(keyed.join(crowded, "k"))
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    apart = settle(shared.select("id", "k").join(weight, "id").withColumns({"root": F.col("id"), "used": F.lit(False)}))
+    links_: DataFrame | None = None
+    tried: DataFrame | None = None
+    found = components(numbers.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    idle = 0
+    for turn in range(ROUNDS):
+        # the fullest buckets first, and now and then any text that was no centre yet
+        first = F.struct(~F.col("used"), F.lit(0).cast("long") if turn % 3 == 2 else F.col("w"), F.xxhash64("id", F.lit(turn)))
+        centres = apart.groupBy("k").agg(F.max_by(F.struct("id", "root"), first).alias("c"))
+        met = settle(apart.join(centres, "k"))
+        pairs = met.where(F.col("root") != F.col("c.root")).select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
+        new = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        alike = settle(_verified(new, texts, words, similarity))
+        tried = new if tried is None else tried.unionByName(new)
+        apart = met.select("id", "k", "w", "root", (F.col("used") | (F.col("id") == F.col("c.id"))).alias("used"))
+        idle = idle + 1 if alike.isEmpty() else 0
+        if idle == 2:
+            break
+        if not idle:
+            links_ = alike if links_ is None else links_.unionByName(alike)
+            found = components(links_)
+            placed = apart.drop("root").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            several = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+            apart = settle(placed.join(several, "k", "left_semi"))
+            if apart.isEmpty():
+                break
+    return _members(prints.join(numbers, ["h1", "h2"]).select("key", F.col("id").alias("text_class")), classes.select(F.col("id").alias("text_class"), "least"), found, "text_class", key)
 
 
 def _members(prints: DataFrame, classes: DataFrame, found: DataFrame, code: str, key: str) -> DataFrame:
