@@ -46,8 +46,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document of the least id.
 
-    Near-duplicates share 0.8 or more of their shingles of five words, found by variants of
-    SimHash fingerprints and verified. Texts that are null, empty or without words are one
+    Near-duplicates share 0.8 or more of their shingles of five words, found by one-wildcard
+    variants of fingerprints' segments and verified. Texts that are null, empty or without words are one
     group; texts of any length are compared whole. Rows without an id belong to groups
     like all others, and repeated rows of the kept id are told apart by a number, so exactly
     one row of a group stays.
