@@ -161,9 +161,11 @@ def words_of(text: str) -> list[str]:
 
 def find_licenses(rows: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``rows`` with ``license`` and ``license_dice`` (the best match, ties to the first name), ``n_licenses``
-    and ``licenses``: every template that matches as name:first word:Dice in ten-thousandths, comma-joined.
+    and ``licenses``: every match as name:first word:Dice in ten-thousandths, comma-joined.
 
-    A template's match is its best window, of equal ones the first; words count from 0. Columns
+    A template's match is its best window, of equal ones the first; words count from 0. Of
+    matches that overlap the one of the highest Dice counts, of equal ones the first name, so
+    a notice is one licence. Columns
     of these names give way. Null, empty and unmatched texts have null, null, 0 and the
     empty string. Repeated rows are scanned each. Work stays inside each row: no shuffle,
     no join, no limit on a text's length.
@@ -212,11 +214,15 @@ def find_licenses(rows: DataFrame, text: str = "text", templates: dict[str, str]
         def dice(p: Column) -> Column:
             window = F.array_distinct(F.slice(pairs, p + 1, t["span"]))
             within = (F.size(window) * factor >= t["size"]) & (F.size(window) <= t["size"] * factor)
-            return F.when(within, F.struct((F.lit(-2.0) * F.size(F.array_intersect(window, t["pairs"])) / (F.size(window) + t["size"])).alias("minus"), t["name"].alias("name"), p.alias("at")))
+            return F.when(within, F.struct((F.lit(-2.0) * F.size(F.array_intersect(window, t["pairs"])) / (F.size(window) + t["size"])).alias("minus"), t["name"].alias("name"), p.alias("at"), t["span"].alias("span")))
 
         return F.array_min(F.filter(F.transform(starts, dice), lambda d: d["minus"] <= -threshold))
 
-    done = seen.withColumn(found, F.array_sort(F.filter(F.transform(near, best), lambda d: d.isNotNull())))
+    # of matches that overlap the best counts: one after the other, best first, each that none before it overlaps
+    meets = lambda a, b: (a["at"] <= b["at"] + b["span"]) & (b["at"] <= a["at"] + a["span"])
+    sorted_ = F.array_sort(F.filter(F.transform(near, best), lambda d: d.isNotNull()))
+    kept = F.aggregate(sorted_, F.slice(sorted_, 1, 0), lambda held, d: F.when(F.exists(held, lambda h: meets(h, d)), held).otherwise(F.concat(held, F.array(d))))
+    done = seen.withColumn(found, kept)
     some = F.coalesce(F.size(found), F.lit(0)) > 0
     first = F.get(found, F.lit(0))
     shown = F.transform(F.array_sort(F.transform(found, lambda d: F.struct(d["name"], d["at"], d["minus"]))), lambda d: F.concat_ws(":", d["name"], d["at"], F.round(d["minus"] * -10_000).cast("int")))
@@ -241,8 +247,9 @@ def oracle() -> str:
     values = ", ".join(f"({quote(name)}, {len(words_of(body)) - 1}, [{', '.join(map(quote, bigrams(body)))}])" for name, body in sorted(TEMPLATES.items()))
     return f"""
 WITH template(name, span, pairs) AS (VALUES {values}),
-worded AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
-paired AS (SELECT row_number() OVER () AS r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM worded WHERE len(w) > 1),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+worded AS (SELECT r, doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM numbered WHERE text IS NOT NULL),
+paired AS (SELECT r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM worded WHERE len(w) > 1),
 placed AS (SELECT r, unnest(b) AS pair, unnest(range(len(b))) AS pos FROM paired),
 hit AS (SELECT p.r, t.name, t.span, t.size, p.pos, p.pair FROM placed AS p JOIN (SELECT name, span, len(pairs) AS size, unnest(pairs) AS pair FROM template) AS t ON p.pair = t.pair),
 win AS (
@@ -252,11 +259,14 @@ win AS (
 ),
 scored AS (SELECT w.r, name, pos, 2.0::DOUBLE * shared / (len(list_distinct(p.b[pos + 1 : pos + span])) + size) AS dice FROM win AS w JOIN paired AS p ON w.r = p.r),
 best AS (SELECT r, name, arg_min(pos, (-dice, pos)) AS pos, max(dice) AS dice FROM scored WHERE dice >= {THRESHOLD} GROUP BY r, name),
+listed AS (SELECT r, list([{{'m': -dice, 'name': name, 'at': pos, 'till': pos + span}}] ORDER BY -dice, name, pos) AS ms FROM best JOIN template USING (name) GROUP BY r),
+alone AS (SELECT r, unnest(list_reduce(ms, lambda held, d: CASE WHEN len(list_filter(held, lambda h: h.at <= d[1].till AND d[1].at <= h.till)) > 0 THEN held ELSE list_concat(held, d) END)) AS d FROM listed),
+one AS (SELECT r, d.name AS name, d.at AS pos, -d.m AS dice FROM alone),
 per_doc AS (
   SELECT doc_id, r, count(*) AS n, arg_min(name, (-dice, name)) AS license, max(dice) AS dice,
     string_agg(name || ':' || pos || ':' || round(dice * 10000)::INT, ',' ORDER BY name) AS names
-  FROM best JOIN paired USING (r) GROUP BY doc_id, r
+  FROM one JOIN paired USING (r) GROUP BY doc_id, r
 )
 SELECT d.doc_id, license, h.dice AS license_dice, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses
-FROM documents AS d LEFT JOIN per_doc AS h ON d.doc_id = h.doc_id
+FROM numbered AS d LEFT JOIN per_doc AS h ON d.r = h.r
 """

@@ -15,7 +15,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gristmill.llm import bpe, langid, quality, secrets
+from gristmill.llm import bpe, langid, licenses, quality, secrets
 
 from tests.llm.conftest import WORDS, prose
 
@@ -289,3 +289,15 @@ def test_secrets_behind_words_and_of_one_case():
     assert not secrets.random_spans("internal_service_account_production x_i_j_k_l_m_n_o_p_q", tokens)
     for harmless in ("/var/lib/550e8400-e29b-41d4-a716-446655440000/data", "/archive/2024/01/02/12345678/index", "/var/lib/d41d8cd98f00b204e9800998ecf8427e"):
         assert not secrets.dense_groups(harmless, tokens)
+
+
+def test_a_notice_is_one_licence(spark):
+    """Every template's own text matches templates of near wording too; only the best of overlapping matches counts."""
+    rows = [(i, f"words before it {body} and words behind", name) for i, (name, body) in enumerate(sorted(licenses.TEMPLATES.items()))]
+    both = f"{licenses.TEMPLATES['mit']} {'filler ' * 40} {licenses.TEMPLATES['gpl-3.0-notice']}"
+    frame = spark.createDataFrame([*rows, (900, both, "")], "doc_id long, text string, name string")
+    got = {r["doc_id"]: r for r in licenses.find_licenses(frame).collect()}
+    assert [got[i]["n_licenses"] for i, _, _ in rows] == [1] * len(rows)
+    # a notice that holds a shorter template word for word ties with it, and the first name counts
+    assert {(got[i]["license"], name) for i, _, name in rows if got[i]["license"] != name} <= {("apache-2.0-line", "apache-2.0-notice")}
+    assert got[900]["n_licenses"] == 2 and [x.split(":")[0] for x in got[900]["licenses"].split(",")] == ["gpl-3.0-notice", "mit"]
