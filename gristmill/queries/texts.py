@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from gristmill.columns import qcol
 from gristmill.functions import text as X
+from gristmill.operators import cells as C
+from gristmill.operators import postings as P
 from gristmill.operators import retrieval as H
 from gristmill.queries import query, table
+from gristmill.session import stored
 
 WORDS = "the reonth of password"
 
@@ -80,6 +83,13 @@ def bm25_topk(spark, sf):
     return H.bm25_topk(table(spark, sf, "documents"), WORDS)
 
 
+@query(bm25_sql(20))
+def bm25_indexed(spark, sf):
+    """The same from an inverted index of all documents, of which the question reads its own terms."""
+    docs = stored(table(spark, sf, "documents").select("doc_id", "text").withColumn("n", F.col("doc_id")))
+    return P.bm25_topk([P.Part(stored(P.postings(docs, "doc_id", "text")), *P.sizes(docs, "text"))], WORDS)
+
+
 DENSE = "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20"
 
 
@@ -92,6 +102,15 @@ def dense_topk(spark, sf):
     return H.dense_topk(table(spark, sf, "embeddings"), first_vector(spark, sf))
 
 
+@query(DENSE)
+def dense_cells(spark, sf):
+    """The same from cells, of which the triangle inequality leaves most unread where vectors lie in clusters."""
+    rows = table(spark, sf, "embeddings")
+    centres = C.fit(rows)
+    placed = stored(C.placed(rows, centres))
+    return C.exact_topk(placed, centres, [tuple(r) for r in C.summary(placed).collect()], first_vector(spark, sf))
+
+
 FUSED = f"""
 WITH d AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({DENSE})), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({bm25_sql(20)}))
 SELECT id, round(sum(w), 6) AS score FROM (SELECT id, 0.8 / (60 + r) AS w FROM d UNION ALL SELECT id, 0.2 / (60 + r) FROM b) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5

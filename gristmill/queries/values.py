@@ -80,6 +80,30 @@ def value_typos(spark, sf):
     return V.value_hits(stored(index(spark, sf)), "all the bulding parts, larg brushd stel")
 
 
+MISSPELT = ("furnitre", "agreemnt", "straße", "machiner", "paymnt")
+ASCII = tuple(w for w in MISSPELT if w.isascii())
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT token, '{w}' AS word FROM t WHERE left(token, 1) = '{w[0]}' AND length(token) BETWEEN {len(w)} * 0.75 / 1.25 - 1e-9 AND {len(w)} * 1.25 / 0.75 + 1e-9 AND levenshtein(token, '{w}') <= 0.25 * (length(token) + {len(w)}) + 1e-9"
+        f" AND 2.0 * ({' + '.join(f'least({w.count(c)}, length(token) - length(replace(token, $${c}$$, $$$$)))' for c in sorted(set(w)))}) / (length(token) + {len(w)}) >= 0.75 - 1e-9"
+        for w in ASCII
+    ).replace("SELECT", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) SELECT", 1)
+)
+def typo_candidates(spark, sf):
+    """ASCII words of all documents that may be as like as 0.75 to misspelt ones, by bounds of the similarity."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))
+    return V.like_candidates(words, ASCII, 0.75)
+
+
+@query()
+def misspelt_words(spark, sf):
+    """Words of all documents like misspelt ones; similarity by matching blocks has no SQL."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))).alias("token"))
+    return V.like(words, MISSPELT, 0.75)
+
+
 @query("SELECT 'p_brand' AS \"column\", count(*) AS count, 'Brand#12' AS spellings FROM part WHERE p_brand = 'Brand#12'")
 def value_rebind(spark, sf):
     return V.value_rebind(index(spark, sf), "part", "BRAND#12").select("column", "count", F.array_join("spellings", "|").alias("spellings"))
