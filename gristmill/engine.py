@@ -118,8 +118,20 @@ class Engine:
 
     def ask(self, question: str) -> Answer:
         """An answer in rows, as a chart, or from documents, or options to choose from; with the
-        seconds of each step, and a hint where nothing was found."""
+        seconds of each step, and a hint where nothing was found. All of it together keeps to the
+        engine's time limit; the rows of an answer are fetched later, under a limit of their own."""
         timing.snapshot(clear=True)
+        with self.limit() as limit:
+            try:
+                answer = self._answer(question)
+            except Exception:
+                if not limit.expired:
+                    raise
+                answer = Answer("none", text=f"The question took more than {self.seconds:g} seconds and was stopped.", tier="stopped")
+        answer.seconds = timing.snapshot(clear=True)
+        return answer
+
+    def _answer(self, question: str) -> Answer:
         way = "analyze" if self.conversation.pending else route(question, self.catalog, self.documents.count > 0)
         if way == "chat":
             answer = Answer("chat", text="Ask about the tables or the documents that are loaded.")
@@ -134,7 +146,6 @@ class Engine:
                 answer.hint = self._hint(answer)
             with timing.stage("phrasing"):
                 answer.text = answer.text or self._phrased(question, answer)
-        answer.seconds = timing.snapshot(clear=True)
         return answer
 
     def _as_chart(self, answer: Answer, question: str) -> Answer:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from gristmill.columns import all_of, is_date, is_number, is_text, number, qcol, visible
 from gristmill.operators.filters import COMPARE
 from gristmill.operators.quantiles import exact_quantiles
+from gristmill.session import stored
 
 #: Rows up to which exact quartiles come from one aggregation buffer a column.
 ONE_PASS_ROWS = 5_000_000
@@ -74,23 +77,56 @@ def aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -
     return out.select(*[qcol(n).alias(k) for k, n in zip(keys, named)], *[qcol(m.alias) for m in measures])
 
 
-def group_medians(df: DataFrame, keys: Sequence[str], measure: Measure, named: Sequence[str]) -> DataFrame:
+#: Distinct values of a group that are ranked in one sorted stream, and cells that a longer range is cut into.
+FEW, CELLS = 50_000, 1024
+HUGE = sys.float_info.max
+
+
+def group_medians(df: DataFrame, keys: Sequence[str], measure: Measure, named: Sequence[str], few: int = FEW) -> DataFrame:
     """The exact median of each group with a value, interpolated; its keys are called ``named``.
 
-    Values are counted, then ranked in a sorted stream within their group, so that memory is
-    bounded however many a group has.
+    Values are counted. As long as a group has more than ``few`` of them, its range is cut
+    into CELLS cells, the cells are counted, which every task does for its own rows, and the
+    one that holds the rank is kept. So no group is sorted in one task beyond ``few`` values.
     """
     column = (number(qcol(measure.column)) if measure.coerce else qcol(measure.column)).cast("double")
     values = df.select(*[qcol(k).alias(n) for k, n in zip(keys, named)], column.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    counted = values.groupBy(*named, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    sizes = counted.groupBy(*named).agg(F.sum("__c").alias("__all"))
-    running = Window.partitionBy(*named).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__upto", F.sum("__c").over(running))
-    same = [ranked[n].eqNullSafe(sizes[n]) for n in named]
-    ranked = ranked.join(sizes, all_of(same)).drop(*[sizes[n] for n in named])
-    at = lambda rank: F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__v")))
-    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
-    return ranked.groupBy(*named).agg(((at(low) + at(high)) / 2).alias(measure.alias))
+    counted = stored(values.groupBy(*named, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    # a search for each of the two middle ranks: of what lies from lo to hi, the value with so many before it
+    sizes = counted.groupBy(*named).agg(F.sum("__c").alias("__all"), F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)))
+    open_ = stored(sizes.withColumn("__rank", F.explode(ranks)).withColumns({"__before": F.lit(0).cast("long")}).drop("__all"))
+    done: list[DataFrame] = []
+    while True:
+        wide = (F.col("__n") > few) & (F.col("__lo") < F.col("__hi"))
+        done.append(_middle(_inside(counted, open_.where(~wide), named), named))
+        open_ = open_.where(wide)
+        if open_.isEmpty():
+            break
+        rows = _inside(counted, open_, named)
+        # halves keep the width of the range of doubles finite; a cell is never the whole range, for lo and hi lie apart
+        half = lambda c: F.least(F.greatest(F.col(c), F.lit(-HUGE)), F.lit(HUGE)) / 2
+        cell = F.least(F.floor(F.coalesce(F.try_divide(half("__v") - half("__lo"), half("__hi") - half("__lo")), F.lit(0.0)) * CELLS), F.lit(CELLS - 1))
+        cells = rows.groupBy(*named, "__rank", "__before", cell.alias("__cell")).agg(F.sum("__c").alias("__c"), F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*named, "__rank").orderBy("__cell"))
+        held = cells.withColumn("__upto", upto).where((F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__c") <= F.col("__rank")))
+        open_ = stored(held.select(*named, "__n", "__lo", "__hi", "__rank", (F.col("__upto") - F.col("__c")).alias("__before")))
+    return reduce(DataFrame.unionByName, done).groupBy(*named).agg(F.avg("__value").alias(measure.alias))
+
+
+def _inside(counted: DataFrame, searches: DataFrame, named: Sequence[str]) -> DataFrame:
+    """The values from ``lo`` to ``hi`` of each search."""
+    mine = searches.withColumnsRenamed({n: f"{n}_" for n in named})
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in named]
+    return counted.join(mine.drop("__n"), all_of([*same, F.col("__v").between(F.col("__lo"), F.col("__hi"))])).drop(*[f"{n}_" for n in named])
+
+
+def _middle(rows: DataFrame, named: Sequence[str]) -> DataFrame:
+    """The value of each search's rank, from its values in order."""
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*named, "__rank").orderBy("__v"))
+    ranked = rows.withColumn("__upto", upto)
+    at = (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__c") <= F.col("__rank"))
+    return ranked.where(at).select(*named, F.col("__v").alias("__value"))
 
 
 def having(df: DataFrame, conditions: Sequence[tuple[str, str, object]]) -> DataFrame:
@@ -207,7 +243,6 @@ def stripped_upper(name: str) -> Column:
 
 def funds_by_type(tables: dict[str, DataFrame], company: str, day: str, rates: dict[str, float], company_column: str, group: str, amount: str, currency: str, start: str, end: str) -> DataFrame:
     """Funds of a company valid on a day, converted and summed per type, over all tables that have the columns."""
-    from functools import reduce
 
     from gristmill.operators.filters import filter_as_at
 
@@ -225,7 +260,6 @@ def funds_by_type(tables: dict[str, DataFrame], company: str, day: str, rates: d
 
 def headline_amount(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """The table whose amount column has the largest absolute total."""
-    from functools import reduce
 
     parts = [df.agg(F.coalesce(F.sum(qcol(c)), F.lit(0.0)).alias("total")).select(F.lit(name).alias("table"), F.lit(c).alias("column"), "total") for name, (df, c) in sorted(tables.items())]
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc(F.abs("total")), "table").limit(1)
@@ -233,7 +267,6 @@ def headline_amount(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns of every table."""
-    from functools import reduce
 
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows", F.lit(len(visible(df))).alias("columns")) for n, df in sorted(tables.items())])
 

@@ -239,23 +239,40 @@ def typed_if_all_numeric(df: DataFrame) -> DataFrame:
     return df.select(*[value(c).alias(c) if c in good else qcol(c) for c in df.columns])
 
 
+#: Rows of a range, and ranges that are put in order in one place.
+RANGE, RANGES = 65_536, 4096
+
+
 def regions(df: DataFrame, order: str, blank: Column, blanks: int = 2) -> DataFrame:
     """Rows with the number of their region; ``blanks`` or more blank rows begin a new one.
 
     A cumulative count over the whole order would put every row in one task. Instead
-    ranges of ``order`` are counted first, and each row adds its range's offset, so only
-    one small row per range meets in one place. ``order`` must be dense integers, as a sheet's
-    row numbers are: a gap of ``blanks`` or more missing or blank rows ends a region.
+    ranges of ``order`` are counted first, ranges of ranges on top of them, and so on up to
+    a single one; each row adds what its ranges have before them, so no window is over more
+    than RANGE rows. ``order`` must be dense integers, as a sheet's row numbers are: a gap of
+    ``blanks`` or more missing or blank rows ends a region.
     """
     filled = df.where(~blank)
-    span = 65_536
-    part = F.floor(qcol(order) / span)
+    least, most = filled.agg(F.min(qcol(order)), F.max(qcol(order))).first()
+    part = F.floor((qcol(order) - F.lit(least or 0)) / RANGE)
     inside = Window.partitionBy(part).orderBy(qcol(order))
     marked = filled.withColumn("_p", part).withColumn("_gap", (qcol(order) - F.lag(qcol(order)).over(inside) > blanks).cast("long"))
     ends = marked.groupBy("_p").agg(F.min(qcol(order)).alias("lo"), F.max(qcol(order)).alias("hi"), F.sum(F.coalesce("_gap", F.lit(0))).alias("n"))
-    chain = Window.orderBy("_p")
-    starts = ends.withColumn("jump", F.coalesce((F.col("lo") - F.lag("hi").over(chain) > blanks).cast("long"), F.lit(0)))
-    offset = starts.withColumn("prior", F.coalesce(F.lag("n").over(chain), F.lit(0))).select("_p", F.sum(F.col("jump") + F.col("prior")).over(chain).alias("_before"))
+    before = _before(ends, blanks, ((most or 0) - (least or 0)) // RANGE)
     inner = Window.partitionBy("_p").orderBy(qcol(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = marked.withColumn("_in", F.sum(F.coalesce("_gap", F.lit(0))).over(inner)).join(offset, "_p")
+    numbered = marked.withColumn("_in", F.sum(F.coalesce("_gap", F.lit(0))).over(inner)).join(before, "_p")
     return numbered.withColumn("region", F.col("_before") + F.col("_in")).drop("_p", "_gap", "_in", "_before")
+
+
+def _before(ends: DataFrame, blanks: int, most: int) -> DataFrame:
+    """``(_p, _before)``: the regions begun before each range from 0 to ``most``, at its first row
+    included; of a range ``lo`` and ``hi`` are the first and last row, ``n`` what begins inside."""
+    near = Window.partitionBy("_q").orderBy("_p")
+    placed = ends.withColumn("_q", F.floor(F.col("_p") / RANGES))
+    jump = F.coalesce((F.col("lo") - F.lag("hi").over(near) > blanks).cast("long"), F.lit(0))
+    placed = placed.withColumn("_step", jump + F.coalesce(F.lag("n").over(near), F.lit(0))).withColumn("_here", F.sum("_step").over(near))
+    if most < RANGES:
+        return placed.select("_p", F.col("_here").alias("_before"))
+    above = placed.groupBy("_q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.max_by("_here", "_p") + F.max_by("n", "_p")).alias("n"))
+    outer = _before(above.withColumnRenamed("_q", "_p"), blanks, most // RANGES).withColumnsRenamed({"_p": "_q", "_before": "_outer"})
+    return placed.join(outer, "_q").select("_p", (F.col("_here") + F.col("_outer")).alias("_before"))

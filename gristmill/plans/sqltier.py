@@ -157,23 +157,31 @@ def _mentioned(plan) -> set[str]:
 
 
 class TimeLimit:
-    """Cancels the jobs started inside after ``seconds``; other threads' jobs go on."""
+    """Cancels the jobs started inside after ``seconds``, and every later one, until it is left; other threads' jobs go on.
+
+    ``expired`` tells whether that happened.
+    """
+
+    AGAIN = 0.2  # seconds after which jobs that began since are cancelled too
 
     def __init__(self, catalog: Catalog, seconds: float):
         self.context, self.seconds, self.tag = catalog.spark.sparkContext, seconds, f"gristmill-{uuid.uuid4().hex}"
         self.expired = False
+        self.left = threading.Event()
 
     def __enter__(self) -> TimeLimit:
         self.context.addJobTag(self.tag)
-        self.timer = threading.Timer(self.seconds, self._stop)
-        self.timer.daemon = True
-        self.timer.start()
+        self.watch = threading.Thread(target=self._watch, daemon=True)
+        self.watch.start()
         return self
 
-    def _stop(self) -> None:
-        self.expired = True
-        self.context.cancelJobsWithTag(self.tag)
+    def _watch(self) -> None:
+        wait = self.seconds
+        while not self.left.wait(wait):
+            self.expired, wait = True, self.AGAIN
+            self.context.cancelJobsWithTag(self.tag)
 
     def __exit__(self, *_) -> None:
-        self.timer.cancel()
+        self.left.set()
+        self.watch.join()
         self.context.removeJobTag(self.tag)

@@ -6,8 +6,10 @@ import hmac
 import json
 import threading
 import time
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from gristmill.ask.planner import Answer
 from gristmill.engine import Engine, as_html
 from gristmill.plans.ir import PlanError
 from gristmill.sources.files import Audit, HouseRules, read_scores, report_payload
@@ -24,7 +26,20 @@ class Service:
         if rules is not None:
             engine.conversation.rules = rules
 
+    def limited(self, work: Callable[[], tuple[int, object]]) -> tuple[int, object]:
+        """What ``work`` gives within the engine's time limit."""
+        with self.engine.limit() as limit:
+            try:
+                return work()
+            except Exception:
+                if not limit.expired:
+                    raise
+                return 503, {"error": f"stopped after {self.engine.seconds:g} seconds"}
+
     def get(self, path: str) -> tuple[int, object]:
+        return self.limited(lambda: self._get(path))
+
+    def _get(self, path: str) -> tuple[int, object]:
         if path in ("/", "/health"):
             return 200, {"ok": True}
         if path == "/status":
@@ -48,9 +63,7 @@ class Service:
             with self.lock:
                 return self.ask(str(body.get("question", "")))
         if path == "/report":
-            make = self.engine.reports().get(str(body.get("id", "")))
-            df = make() if make else None
-            return (200, report_payload(df)) if df is not None else (404, {"error": "no such report"})
+            return self.limited(lambda: self._report(str(body.get("id", ""))))
         if path == "/rules" and self.rules:
             with open(self.rules.path, "w", encoding="utf-8") as file:
                 file.write(str(body.get("text", ""))[: self.rules.most])
@@ -60,19 +73,28 @@ class Service:
             return 200, {"ok": True}
         return 404, {"error": "no such path"}
 
+    def _report(self, name: str) -> tuple[int, object]:
+        make = self.engine.reports().get(name)
+        df = make() if make else None
+        return (200, report_payload(df)) if df is not None else (404, {"error": "no such report"})
+
     def ask(self, question: str) -> tuple[int, object]:
+        """The answer to a question and then its rows, each within the time limit."""
         began = time.time()
         answer = self.engine.ask(question)
+        code, out = self.limited(lambda: (200, self._shown(answer)))
+        self.audit.log(question, answer.kind, time.time() - began, out.get("sources", ()))
+        return code, out
+
+    def _shown(self, answer: Answer) -> dict:
         out = {"type": answer.kind, "text": answer.text, "options": answer.options or [], "tool": answer.tier, "hint": answer.hint, "seconds": answer.seconds}
         if answer.chart is not None:
             out["chart"] = {k: v for k, v in answer.chart.items() if k != "data"} | report_payload(answer.chart["data"])
         if answer.docs is not None:
             out |= {"confidence": answer.confidence, "documents": report_payload(answer.docs.select("source", "location", "chunk", "score"))}
         if answer.compiled is not None:
-            with self.engine.limit():
-                out |= {"table_html": as_html(answer.compiled.df), "provenance": answer.compiled.explain, "sources": answer.compiled.tables_used, "notes": answer.compiled.notes}
-        self.audit.log(question, answer.kind, time.time() - began, out.get("sources", ()))
-        return 200, out
+            out |= {"table_html": as_html(answer.compiled.df), "provenance": answer.compiled.explain, "sources": answer.compiled.tables_used, "notes": answer.compiled.notes}
+        return out
 
 
 def handler(service: Service) -> type[BaseHTTPRequestHandler]:

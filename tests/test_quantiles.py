@@ -50,3 +50,35 @@ def test_medians_of_groups(spark):
     empty = aggregate(df.limit(0), [], [Measure("median", "v", "m"), Measure("count", None, "n")]).collect()
     assert [tuple(r) for r in empty] == [(None, 0)] and aggregate(df.limit(0), ["k"], measures).count() == 0
     assert aggregate(df, ["k"], [Measure("median", "v", "k")]).columns == ["k", "k"]
+
+
+@pytest.mark.parametrize("few", [5, 100_000])
+def test_medians_of_a_group_with_most_rows(spark, few):
+    """One group has 90 of 100 rows, with outliers, ties and infinities; its range is cut until few values are left."""
+    from gristmill.operators.aggregates import Measure, group_medians
+
+    rng = np.random.default_rng(7)
+    big = [*rng.exponential(size=2000) ** 9, *rng.normal(size=1600), 1e300, -1e300, float("inf"), float("-inf")] + [0.5] * 50
+    rows = [("big", float(v)) for v in big] + [(f"g{i % 30}", float(v)) for i, v in enumerate(rng.normal(size=400))] + [(None, 1.0), (None, 4.0), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r["__k0"]: r["m"] for r in group_medians(df, ["k"], Measure("median", "v", "m"), ["__k0"], few).collect()}
+    assert got == {k: float(np.median([v for g, v in rows if g == k])) for k in {r[0] for r in rows}}
+
+
+def test_no_group_is_ranked_whole(spark):
+    from gristmill.operators import aggregates as A
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("k"), F.sqrt("id").alias("v"))
+    seen = []
+    real = A._middle
+
+    def counting(rows, named):
+        seen.append(rows.groupBy(*named, "__rank").count().agg(F.max("count")).first()[0] or 0)
+        return real(rows, named)
+
+    A._middle = counting
+    try:
+        got = {r["__k0"]: r["m"] for r in A.group_medians(df, ["k"], A.Measure("median", "v", "m"), ["__k0"], 100).collect()}
+    finally:
+        A._middle = real
+    assert max(seen) <= 100 and set(got) == {"a", "b"}

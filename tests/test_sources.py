@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import io
 import json
 import zipfile
@@ -199,3 +200,27 @@ def test_files_audit_and_rules(spark, tmp_path):
     assert files.record_score(str(tmp_path / "s.json"), "k", {"n": 1})["k"]["n"] == 1
     payload = files.report_payload(spark.createDataFrame([(float("inf"), None)], "a double, b string"))
     assert payload == {"columns": ["a", "b"], "rows": [[None, None]], "truncated": False} and json.dumps(payload)
+
+
+def test_regions_over_many_ranges(spark, monkeypatch):
+    """Ranges of ranges give what one walk over all rows gives."""
+    from pyspark.sql import functions as F
+
+    from gristmill.operators import profiling as R
+
+    monkeypatch.setattr(R, "RANGE", 8)
+    monkeypatch.setattr(R, "RANGES", 4)
+    rng = random.Random(4)
+    for start in (0, -70, 1000):
+        rows = [(start + i, rng.random() < 0.45) for i in range(900) if rng.random() < 0.95]
+        want, region, last = {}, 0, None
+        for at, blank in rows:
+            if not blank:
+                region += last is not None and at - last > 2
+                want[at] = region
+                last = at
+        got = R.regions(spark.createDataFrame(rows, "at long, blank boolean").repartition(4), "at", F.col("blank"))
+        assert {r["at"]: r["region"] for r in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(_q" in plan and "windowspecdefinition(_p ASC" not in plan.replace("#", " ")
+    assert R.regions(spark.createDataFrame([], "at long, blank boolean"), "at", F.col("blank")).collect() == []

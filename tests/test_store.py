@@ -310,3 +310,35 @@ def test_parts_are_written_together(spark, monkeypatch, tmp_path):
     last = Engine(spark)
     last.open(str(tmp_path / "s"))
     assert sources(last) == ["s1", "s2"] and last.documents.count == 2
+
+
+def test_the_limit_holds_for_a_whole_question(spark, monkeypatch):
+    """A slow step of any kind is cut off, and so is what is begun after that."""
+    import time
+
+    from gristmill import engine as E
+    from gristmill.server import Service
+    from gristmill.sources.files import Audit
+
+    engine = Engine(spark, seconds=1.0)
+    engine.add("t", spark.createDataFrame([("ALPHA", 1.0)], "NAME string, AMOUNT double"))
+
+    def slow(*args, **kwargs):
+        for _ in range(3):
+            try:
+                spark.range(0, 1 << 40, 1, 4).selectExpr("sum(hash(id))").collect()
+            except Exception:  # noqa: BLE001, S112
+                continue
+        return spark.range(5).count()
+
+    for name in ("route",):
+        with monkeypatch.context() as m:
+            m.setattr(E, name, slow)
+            began = time.time()
+            answer = engine.ask("total amount")
+            assert answer.kind == "none" and answer.tier == "stopped" and time.time() - began < 20
+    with monkeypatch.context() as m:
+        m.setattr(Engine, "charts", slow)
+        assert Service(engine, Audit("unused")).get("/charts")[0] == 503
+    engine.seconds = 60.0
+    assert engine.ask("total amount").kind == "rows"
