@@ -4,11 +4,12 @@ Cells have centroids that are sums: a coarse centroid and, in large tables, a fi
 all coarse cells share, so their number grows with the table while what is fitted stays
 small. Centroids and the codebooks of the residuals are fitted in numpy on a bounded sample;
 every vector is indexed under its cell with the codes of its residual. A query probes the
-cells whose centroids are nearest, ranks their vectors by asymmetric distance tables, and
-takes the exact inner product of the best and of all that the quantisation error leaves in
-reach, so nothing in a probed cell is lost. How many cells are probed is measured: some
-sampled queries are held against every vector by brute force, and the share TARGET of their
-true neighbours must lie in the probed cells.
+cells whose centroids are nearest and works out the products of their vectors by asymmetric
+distance tables, from the codes alone. Exact products are taken of those only that these
+place within reach of the best. How many cells are probed, and what is within reach, is
+measured: some sampled queries are held against every vector by brute force; the share
+TARGET of their true neighbours must lie in the probed cells, and the share KEPT must have
+products that the codes do not put lower than the reach.
 
 Vectors stay where they are indexed; queries travel to the shards that they probe.
 Of equal vectors only as many as a result has places can be among the nearest, those
@@ -37,13 +38,14 @@ MOST_COARSE, MOST_FINE = 2048, 1024
 CELL_ROWS = 400
 SUBSPACES, CODES = 16, 256
 ROUNDS = 8
-#: Share of true neighbours that the probed cells must hold, and the queries that it is measured by.
-TARGET = 0.98
+#: Share of true neighbours that the probed cells must hold, share whose products the codes may not
+#: underrate beyond the reach, and the queries that both are measured by.
+TARGET, KEPT = 0.96, 0.98
 TRIAL_QUERIES = 200
-#: Candidates of a cell whose exact product is taken first; all others that the quantisation error leaves in reach follow.
-RERANK = 48
+#: Candidates of a query in a shard whose exact product is taken first, for a mark.
+RERANK = 32
 #: Vectors of a shard, up to the evenness of a hash; queries of a shard that one task takes, and queries searched at once.
-SHARD_ROWS, TASK_QUERIES, BLOCK = 8192, 32_768, 1024
+SHARD_ROWS, TASK_QUERIES, BLOCK = 8192, 32_768, 256
 
 
 @dataclass
@@ -54,6 +56,7 @@ class Quantiser:
     fine: np.ndarray  # J x dim
     codebooks: np.ndarray  # SUBSPACES x CODES x (dim / SUBSPACES)
     probes: int
+    reach: float = np.inf  # what the codes may underrate a product by, for a query of length 1
 
     @property
     def size(self) -> int:
@@ -70,12 +73,13 @@ class Quantiser:
         rest = _split(x - self.centroids(cells))
         return np.stack([_nearest(rest[:, m], self.codebooks[m]) for m in range(SUBSPACES)], axis=1).astype(np.uint8)
 
-    def error(self, x: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Length of what the codes leave of each vector."""
-        rest = _split(x - self.centroids(cells))
+    def products(self, queries: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """queries x vectors: the products that cells and codes give."""
+        out = queries @ self.centroids(cells).T
+        tables = self.tables(queries)
         for m in range(SUBSPACES):
-            rest[:, m] -= self.codebooks[m][codes[:, m]]
-        return np.sqrt((rest**2).sum(axis=(1, 2)))
+            out += tables[:, m][:, codes[:, m]]
+        return out
 
     def order(self, queries: np.ndarray, most: int | None = None) -> np.ndarray:
         """Cells of each query to probe, the nearest centroids, in the order of their numbers.
@@ -164,65 +168,54 @@ def probes_for(quantiser: Quantiser, queries: np.ndarray, found: list[np.ndarray
     return quantiser.size if not len(depth) else int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1
 
 
-def slack(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """For each query, more than rounding can change a product with any of ``vectors``."""
-    return 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+def reach_for(quantiser: Quantiser, queries: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kept: float = KEPT) -> float:
+    """What the codes underrate the products of all but ``1 - kept`` of the true neighbours by, at most.
+
+    ``found`` are cells, codes and exact products of each query's true neighbours.
+    """
+    under = [(s - quantiser.products(q[None], cells, codes)[0]) / np.linalg.norm(q) for q, (cells, codes, s) in zip(queries, found) if len(s)]
+    return float(np.quantile(np.concatenate(under), kept)) if under else np.inf
 
 
 def search(quantiser: Quantiser, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, exact score) of up to ``nearest`` found for each query among these vectors."""
+    """(query id, id, exact score) of up to ``nearest`` found for each query among these vectors.
+
+    The codes alone say whose exact products are taken.
+    """
     order = np.argsort(cells, kind="stable")
     ids, cells, codes, vectors = ids[order], cells[order], codes[order], vectors[order]
-    error = quantiser.error(vectors, cells, codes)
     here, starts = np.unique(cells, return_index=True)
     starts = np.append(starts, len(cells))
     probed = quantiser.order(queries)
     place = np.searchsorted(here, probed)
     mine = (place < len(here)) & (here[np.minimum(place, len(here) - 1)] == probed)
     asks, asked = np.nonzero(mine)[0], place[mine]
+    approx = np.full((len(queries), len(cells)), -np.inf)
     by_cell = np.argsort(asked, kind="stable")
-    asks = asks[by_cell]
     edges = np.searchsorted(asked[by_cell], np.arange(len(here) + 1))
-    found_q, found_v, found_s = [], [], []
-    tables = quantiser.tables(queries)
-    centres = quantiser.centroids(here)
     for cell in range(len(here)):
-        lo, hi = starts[cell], starts[cell + 1]
-        who = asks[edges[cell] : edges[cell + 1]]
-        for at in range(0, len(who), 256):
-            part = who[at : at + 256]
-            approx = np.zeros((len(part), hi - lo))
-            for m in range(SUBSPACES):
-                approx += tables[part, m][:, codes[lo:hi, m]]
-            mine, these = queries[part], vectors[lo:hi]
-            close = np.ones_like(approx, dtype=bool)
-            first = max(RERANK, nearest)
-            if hi - lo > first:
-                # by Cauchy-Schwarz, no product exceeds its approximation by more than both lengths allow
-                best = np.argpartition(-approx, first, axis=1)[:, :first]
-                sure = np.einsum("qd,qvd->qv", mine, these[best])
-                limit = np.partition(sure, first - nearest, axis=1)[:, first - nearest]
-                reach = approx + (mine @ centres[cell])[:, None] + np.linalg.norm(mine, axis=1)[:, None] * error[lo:hi]
-                close = reach >= (limit - slack(mine, these))[:, None]
-            if hi - lo > nearest:
-                # equal vectors must tie, so products by blocks only say which ones are taken singly
-                near = np.where(close, mine @ these.T, -np.inf)
-                limit = np.partition(near, hi - lo - nearest, axis=1)[:, hi - lo - nearest]
-                close &= near >= (limit - slack(mine, these))[:, None]
-            q, v = np.nonzero(close)
-            exact = np.empty(len(q))
-            for a in range(0, len(q), 1 << 15):
-                exact[a : a + (1 << 15)] = (vectors[lo:hi][v[a : a + (1 << 15)]] * queries[part][q[a : a + (1 << 15)]]).sum(axis=1)
-            found_q.append(part[q])
-            found_v.append(ids[lo:hi][v])
-            found_s.append(exact)
+        who = asks[by_cell[edges[cell] : edges[cell + 1]]]
+        if len(who):
+            lo, hi = starts[cell], starts[cell + 1]
+            approx[who, lo:hi] = quantiser.products(queries[who], cells[lo:hi], codes[lo:hi])
+    lengths = np.linalg.norm(queries, axis=1)
+    found_q, found_v, found_s = [], [], []
+    for q in range(len(queries)):
+        some = np.flatnonzero(np.isfinite(approx[q]))
+        mark = -np.inf
+        if len(some) > max(RERANK, nearest):
+            first = some[np.argpartition(-approx[q, some], RERANK)[:RERANK]]
+            if len(first) >= nearest:
+                mark = np.sort((vectors[first] * queries[q]).sum(axis=1))[-nearest]
+            some = some[approx[q, some] >= mark - quantiser.reach * lengths[q] - 1e-9 * lengths[q]] if np.isfinite(quantiser.reach) else some
+            some = np.union1d(some, first)
+        exact = (vectors[some] * queries[q]).sum(axis=1)
+        best = np.lexsort((ids[some], -exact))[:nearest]
+        found_q.append(np.full(len(best), q))
+        found_v.append(ids[some][best])
+        found_s.append(exact[best])
     none = np.zeros(0, dtype=np.int64)
-    q, v, s = np.concatenate([none, *found_q]), np.concatenate([none, *found_v]), np.concatenate([none.astype(float), *found_s])
-    order = np.lexsort((v, -s, q))
-    q, v, s = q[order], v[order], s[order]
-    first = np.searchsorted(q, np.arange(len(queries)))
-    keep = np.arange(len(q)) - first[q] < nearest
-    return query_ids[q[keep]], v[keep], s[keep]
+    return query_ids[np.concatenate([none, *found_q])], np.concatenate([none, *found_v]), np.concatenate([none.astype(float), *found_s])
 
 
 def usable(vector: Column) -> Column:
@@ -231,8 +224,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & F.forall(vector, number) & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def exact_neighbours(vectors: DataFrame, keys: np.ndarray, queries: np.ndarray, nearest: int) -> list[np.ndarray]:
-    """The cells of the ``nearest`` vectors of each query among all rows of ``vectors`` (v, x, cell), by brute force.
+def exact_neighbours(vectors: DataFrame, keys: np.ndarray, queries: np.ndarray, nearest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cells, codes and products of the ``nearest`` vectors of each query among all rows of ``vectors`` (v, x, cell, codes), by brute force.
 
     A task keeps the best of what it reads, so it gives ``nearest`` rows a query at most.
     """
@@ -240,25 +233,28 @@ def exact_neighbours(vectors: DataFrame, keys: np.ndarray, queries: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, asked = shared.value
-        none = np.zeros((len(asked), 0))
-        score, key, cell = none, none.astype(np.int64), none.astype(np.int64)
+        score = np.zeros((len(asked), 0))
+        key, cell, code = score.astype(np.int64), score.astype(np.int64), np.zeros((len(asked), 0, SUBSPACES), dtype=np.uint8)
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, asked.shape[1])
-            v = batch.column(0).to_numpy()
+            v, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SUBSPACES)
             new = np.where(v[None] == own[:, None], -np.inf, asked @ x.T)
-            score = np.concatenate([score, new], axis=1)
-            key = np.concatenate([key, np.broadcast_to(v, new.shape)], axis=1)
-            cell = np.concatenate([cell, np.broadcast_to(batch.column(2).to_numpy(), new.shape)], axis=1)
+            at = np.argsort(-new, axis=1, kind="stable")[:, :nearest]
+            score = np.concatenate([score, np.take_along_axis(new, at, axis=1)], axis=1)
+            key, cell, code = np.concatenate([key, v[at]], axis=1), np.concatenate([cell, c[at]], axis=1), np.concatenate([code, codes[at]], axis=1)
             best = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
             score, key, cell = (np.take_along_axis(a, best, axis=1) for a in (score, key, cell))
+            code = np.take_along_axis(code, best[:, :, None], axis=1)
         q, at = np.nonzero(np.isfinite(score))
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key[q, at]), pa.array(score[q, at]), pa.array(cell[q, at])], names=["q", "v", "s", "cell"])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(key[q, at]), pa.array(score[q, at]), pa.array(cell[q, at]), pa.array([c.tobytes() for c in code[q, at]], type=pa.binary())], names=["q", "v", "s", "cell", "codes"])
 
-    each = vectors.select("v", "x", "cell").mapInArrow(run, "q long, v long, s double, cell long")
+    each = vectors.select("v", "x", "cell", "codes").mapInArrow(run, "q long, v long, s double, cell long, codes binary")
     best = each.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).where(F.col("_r") <= nearest)
-    found = best.select("q", "cell").toPandas()
-    cells = found["cell"].to_numpy()
-    return [cells[found["q"].to_numpy() == q] for q in range(len(queries))]
+    found = best.select("q", "cell", "codes", "s").toPandas()
+    at = [np.flatnonzero(found["q"].to_numpy() == q) for q in range(len(queries))]
+    codes = np.frombuffer(b"".join(found["codes"]), dtype=np.uint8).reshape(-1, SUBSPACES)
+    return [(found["cell"].to_numpy()[i], codes[i], found["s"].to_numpy()[i]) for i in at]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST) -> DataFrame:
@@ -303,7 +299,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
 
     indexed = settle(map_columns(once, ["x"], ["v", "x"], {"cell": pa.int64(), "codes": pa.binary()}, start))
     trial = np.random.default_rng(1).permutation(len(sample))[:TRIAL_QUERIES]
-    quantiser.probes = probes_for(quantiser, sample[trial], exact_neighbours(indexed, taken["v"].to_numpy()[trial], sample[trial], nearest))
+    true = exact_neighbours(indexed, taken["v"].to_numpy()[trial], sample[trial], nearest)
+    quantiser.probes = probes_for(quantiser, sample[trial], [cells for cells, _, _ in true])
+    quantiser.reach = reach_for(quantiser, sample[trial], true)
     shared = spark.sparkContext.broadcast(quantiser)
 
     # cells go to shards of even size; large ones are split by a hash. There are at most MOST_COARSE * MOST_FINE cells

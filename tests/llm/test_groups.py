@@ -297,6 +297,29 @@ def test_nearest_search_is_exact_among_near_copies():
     assert all(set(v[q == k]) == set(w.tolist()) for k, w in zip(asked.tolist(), want))
 
 
+@pytest.mark.parametrize("spread", [0.3, 9.0])
+def test_codes_decide_which_products_are_taken(monkeypatch, spread):
+    """Fitted codes find the true neighbours with few exact products; random codes in their place lose them."""
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(80, 32))[rng.integers(80, size=6000)] + spread * rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index, asked = ann.fit(x, len(x)), np.arange(0, 6000, 20)
+    cells, exact = index.cells(x), x[asked] @ x.T
+    codes, true = index.codes(x, cells), np.argsort(-exact, axis=1)[:, :20]
+    index.probes = ann.probes_for(index, x[asked], [cells[t] for t in true])
+    index.reach = ann.reach_for(index, x[asked], [(cells[t], codes[t], exact[i, t]) for i, t in enumerate(true)])
+
+    def recall(codes):
+        q, v, s = ann.search(index, np.arange(len(x)), cells, codes, x, asked, x[asked], 20)
+        assert np.allclose(s, (x[q] * x[v]).sum(axis=1))
+        return np.mean([len(set(v[q == k].tolist()) & set(t.tolist())) / 20 for k, t in zip(asked.tolist(), true)])
+
+    assert recall(codes) >= 0.93 and recall(rng.integers(0, 256, codes.shape).astype(np.uint8)) < recall(codes) - 0.005
+    near = index.products(x[asked], cells, codes)
+    mark = np.sort(exact, axis=1)[:, -20] - index.reach
+    assert np.mean(near >= mark[:, None]) < 0.2  # of all vectors, the share whose products are taken
+
+
 def test_cells_of_two_centroids_are_ordered_like_all_sums(monkeypatch):
     monkeypatch.setattr(ann, "MOST_COARSE", 8)
     rng = np.random.default_rng(22)
