@@ -1,7 +1,7 @@
 """Excel workbooks, read and written with the standard library.
 
-Files come through Spark's binary reader, so any store that Spark knows will do, and
-each is taken apart by the task that read it. Cells arrive as text (numbers in plain
+Files come through Spark's binary reader, so any store that Spark knows will do; each is
+taken apart by the task that read it, and each of its sheets is parsed by a task of its own. Cells arrive as text (numbers in plain
 notation, dates in ISO form); types are settled afterwards over whole columns.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
@@ -124,27 +124,58 @@ def sheet_rows(z: zipfile.ZipFile, part: str, shared: list[str], dates: set[int]
             return
 
 
-def parse(content: bytes, most: int = MAX_ROWS) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row, cells) of all sheets that hold data."""
+def _opened(content: bytes) -> zipfile.ZipFile:
     try:
-        z = zipfile.ZipFile(io.BytesIO(content))
+        return zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
         raise ValueError("not an .xlsx workbook; older formats are not supported") from e
-    shared, dates = _shared(z), _date_styles(z)
+
+
+def parse(content: bytes, most: int = MAX_ROWS) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row, cells) of all sheets that hold data."""
+    for name, part, own in sheets_of(content):
+        for row, cells in rows_of(own, part, most):
+            yield name, row, cells
+
+
+def sheets_of(content: bytes, only: Sequence[str] | None = None) -> Iterator[tuple[str, str, bytes]]:
+    """(sheet, part, archive) of the sheets that hold data, of those in ``only`` if it is given: each
+    with the strings and styles that it needs and no other sheet. The others are not unpacked."""
+    z = _opened(content)
+    shared = [n for n in ("xl/sharedStrings.xml", "xl/styles.xml") if n in z.namelist()]
     for name, part in _sheets(z):
-        if not skip_sheet(name) and part in z.namelist():
-            for row, cells in sheet_rows(z, part, shared, dates, most):
-                yield name, row, cells
+        if not skip_sheet(name) and part in z.namelist() and (only is None or name in only):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as own:
+                for n in (*shared, part):
+                    own.writestr(n, z.read(n))
+            yield name, part, out.getvalue()
 
 
-def read_grids(spark: SparkSession, paths: list[str] | str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``(file, sheet, row, cells)`` of workbooks; one task takes a file apart, sheet by sheet."""
+def rows_of(archive: bytes, part: str, most: int = MAX_ROWS) -> Iterator[tuple[int, list[str | None]]]:
+    """(row, cells) of one sheet's archive."""
+    z = _opened(archive)
+    yield from sheet_rows(z, part, _shared(z), _date_styles(z), most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_grids(spark: SparkSession, paths: list[str] | str, max_rows: int = MAX_ROWS, only: Sequence[str] | None = None) -> DataFrame:
+    """``(file, sheet, row, cells)`` of workbooks, ``max_rows`` of a sheet at most (0: all).
+
+    A file is taken apart where it is read, and its sheets are dealt out, so that each is
+    parsed by itself; sheets that hold no data or are not in ``only`` are not unpacked.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                file, rows = path.rsplit("/", 1)[-1], []
-                for sheet, row, cells in parse(content.as_py(), max_rows):
+                for name, part, archive in sheets_of(content.as_py(), only):
+                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([name]), pa.array([part]), pa.array([archive], pa.binary())], names=["file", "sheet", "part", "archive"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, sheet, part, archive in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                rows = []
+                for row, cells in rows_of(archive.as_py(), part, max_rows):
                     rows.append((file, sheet, row, cells))
                     if len(rows) >= 5000:
                         yield _batch(rows)
@@ -152,7 +183,9 @@ def read_grids(spark: SparkSession, paths: list[str] | str, max_rows: int = MAX_
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, GRID)
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    sheets = files.mapInArrow(split, "file string, sheet string, part string, archive binary")
+    return sheets.repartition("file", "sheet").mapInArrow(run, GRID)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

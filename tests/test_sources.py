@@ -224,3 +224,24 @@ def test_regions_over_many_ranges(spark, monkeypatch):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "windowspecdefinition(_q" in plan and "windowspecdefinition(_p ASC" not in plan.replace("#", " ")
     assert R.regions(spark.createDataFrame([], "at long, blank boolean"), "at", F.col("blank")).collect() == []
+
+
+def test_sheets_are_parsed_apart_and_others_not_opened(spark, tmp_path, monkeypatch):
+    main = workbook.MAIN[1:-1]
+    head = f'<workbook xmlns="{main}" xmlns:r="{workbook.LINK[1:].split("}")[0]}"><sheets>'
+    names = ["One", "Two", "pivot", "Broken"]
+    path = tmp_path / "b.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", head + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(4)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>shared</t></si></sst>')
+        for i in range(2):
+            cells = "".join(f'<row r="{r}"><c r="A{r}" t="s"><v>0</v></c><c r="B{r}"><v>{i * 100 + r}</v></c></row>' for r in range(1, 7))
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+        z.writestr("xl/worksheets/s3.xml", "<not xml")
+    got = workbook.read_grids(spark, str(path), only=["One", "Two"])
+    assert sorted((r["sheet"], r["row"], r["cells"]) for r in got.collect()) == [(n, r, ["shared", str(i * 100 + r + 1)]) for i, n in enumerate(["One", "Two"]) for r in range(6)]
+    assert workbook.read_grids(spark, str(path), 2, ["Two"]).count() == 2
+    assert [n for n, *_ in workbook.sheets_of(path.read_bytes())] == ["One", "Two", "Broken"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file" in plan
