@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gristmill.catalog import Catalog
@@ -27,45 +28,49 @@ class Compiled:
     tables_used: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
     steps: list[tuple[str, DataFrame]] = field(default_factory=list)
+    watches: list[tuple[str, Observation]] | None = None  # of each step, if they are watched
+    again: Callable[[], Compiled] | None = None  # the same, watched
 
     def provenance(self) -> list[tuple[str, int]]:
-        """Rows after every step, each counted by a job of its own."""
-        return [(name, df.count()) for name, df in self.steps]
+        """Rows after every step, counted as the plan runs once: each step is watched where its rows pass.
 
+        A watched plan is compiled apart, for what watches rows also keeps filters from the scan.
+        """
+        if self.again is None:
+            return [(name, df.count()) for name, df in self.steps]
+        watched = self.again()
+        watched.df.write.format("noop").mode("overwrite").save()
+        return [(name, o.get["n"]) for name, o in watched.watches or ()]
 
-def compile_plan(plan: Plan | dict, catalog: Catalog, as_at: date | None = None) -> Compiled:
+
+def compile_plan(plan: Plan | dict, catalog: Catalog, as_at: date | None = None, watched: bool = False) -> Compiled:
     """Bind and compile a plan; PlanError if it cannot be."""
     plan = Plan.from_dict(plan) if isinstance(plan, dict) else plan
     binder = Binder(catalog, as_at)
     if plan.compare is not None:
         return _compare(plan.compare, catalog, binder)
     bound = binder.bind(plan)
-    out = Compiled(catalog.spark.range(0), tables_used=[bound.table], notes=list(bound.notes))
-    df = _source(bound, catalog, out)
-    _step(out, "source", df)
+    out = Compiled(catalog.spark.range(0), tables_used=[bound.table], notes=list(bound.notes), watches=[] if watched else None)
+    out.again = None if watched else lambda: compile_plan(plan, catalog, as_at, True)
+    df = _step(out, "source", _source(bound, catalog, out))
     tables = [catalog.tables[n] for n in (bound.table, *bound.union)]
     totals = bool(bound.measures) and any(t.has_totals for t in tables)
     kept = lambda rows: rows.where(~F.col(IS_SUMMARY)) if totals else rows
     if totals:
-        df = kept(df)
-        _step(out, "without totals", df)
+        df = _step(out, "without totals", kept(df))
     # filters on the table's own columns come before the join, at the scan
     own = [f for f in bound.filters if not bound.union and f.column in tables[0].columns]
     for i, f in enumerate(own):
-        df = kept(tables[0].frame(own[: i + 1]))
-        _step(out, _name(f), df)
+        # what is watched must pass step by step
+        df = _step(out, _name(f), df.where(f.condition()) if watched else kept(tables[0].frame(own[: i + 1])))
     if bound.join:
         right, left_key, right_key = bound.join
-        df = J.left_join(df, catalog.tables[right].df, left_key, right_key)
         out.tables_used.append(right)
-        _step(out, f"joined {right}", df)
+        df = _step(out, f"joined {right}", J.left_join(df, catalog.tables[right].df, left_key, right_key))
     for f in bound.filters:
         if f not in own:
-            df = df.where(f.condition())
-            _step(out, _name(f), df)
-    df = _summarise(df, bound) if bound.measures else _list(df, bound)
-    _step(out, "result", df)
-    out.df = df
+            df = _step(out, _name(f), df.where(f.condition()))
+    out.df = _step(out, "result", _summarise(df, bound) if bound.measures else _list(df, bound))
     return out
 
 
@@ -73,9 +78,14 @@ def _name(f: P.BoundFilter) -> str:
     return f"{f.column} {f.op if f.kind in ('number', 'date') else f.kind} {f.values}"
 
 
-def _step(out: Compiled, name: str, df: DataFrame) -> None:
+def _step(out: Compiled, name: str, df: DataFrame) -> DataFrame:
+    if out.watches is not None:
+        watch = Observation()
+        df = df.observe(watch, F.count(F.lit(1)).alias("n"))
+        out.watches.append((name, watch))
     out.explain.append(name)
     out.steps.append((name, df))
+    return df
 
 
 def _source(bound: Bound, catalog: Catalog, out: Compiled) -> DataFrame:

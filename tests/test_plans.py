@@ -8,7 +8,7 @@ import pytest
 
 from gristmill.ask.grounding import as_at_day
 from gristmill.ask.planner import Conversation
-from gristmill.catalog import Card, Catalog, unit_of
+from gristmill.catalog import Card, Catalog, Relationship, unit_of
 from gristmill.engine import Engine, as_html, as_text, condensed
 from gristmill.plans.compiler import compile_plan
 from gristmill.plans.ir import Plan, PlanError
@@ -236,3 +236,25 @@ def test_charts_and_embeddings(spark, catalog):
     chunks = spark.createDataFrame([("f", "abc"), ("g", None)], "source string, chunk string")
     got = embed(chunks, lambda texts: [[3.0, 4.0 * len(t)] for t in texts], batch=1).collect()
     assert got[0]["embedding"][0] == pytest.approx(3 / (9 + 28**2) ** 0.5)
+
+
+def test_provenance_is_counted_in_one_run(spark, monkeypatch):
+    """The counts of a watched run are those of counting each step by itself, with joins, totals, medians and limits."""
+    from pyspark.sql import DataFrame
+
+    catalog = Catalog(spark)
+    catalog.add("a", spark.createDataFrame([(i % 7, i, float(i % 5), "Total" if i == 3 else "x") for i in range(50)], "K int, N int, V double, LABEL string"))
+    catalog.add("b", spark.createDataFrame([(i, f"n{i}") for i in range(5)], "K int, NAME string"))
+    catalog.links = [Relationship("a", "K", "b", "K", 1.0)]
+    plans = [
+        {"table": "a", "filters": [{"column": "V", "op": "ge", "value": 2}, {"column": "N", "op": "lt", "value": 40}], "select": ["K"], "limit": 3},
+        {"table": "a", "join": {"right_table": "b", "left_column": "K", "right_column": "K"}, "filters": [{"column": "NAME", "op": "ne", "value": "n1"}], "group_by": ["NAME"], "aggregations": [{"fn": "median", "column": "V", "alias": "m"}]},
+        {"table": "a", "filters": [{"column": "N", "op": "gt", "value": 1000}], "aggregations": [{"fn": "sum", "column": "V", "alias": "t"}]},
+    ]
+    for plan in plans:
+        compiled = compile_plan(plan, catalog)
+        want = [(name, df.count()) for name, df in compiled.steps]
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "count", lambda self: pytest.fail("no step is counted by itself"))
+            got = compiled.provenance()
+        assert got == want
