@@ -213,7 +213,7 @@ def variants(print_: np.ndarray) -> np.ndarray:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose texts share enough shingles.
 
-    Only texts of some pair travel, and one of equal ones; a text of many pairs is spread.
+    ``texts`` has each id once. Only texts of some pair travel; a text of many pairs is spread.
     """
 
     def start():
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     total = pairs.count()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = texts.join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    some = texts.join(ends, "id", "left_semi")
 
     def with_text(rows: DataFrame, end: str, as_: str) -> DataFrame:
         often = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
@@ -266,13 +266,16 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     prints = settle(map_columns(plain, ["text"], ["key", "h1", "h2"], {"keys": pa.list_(pa.int64())}, start))
     classes = settle(prints.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.first("keys").alias("keys"))).withColumn("id", F.monotonically_increasing_id())
     numbers = classes.select("h1", "h2", "id", "least")
-    texts = plain.join(numbers, ["h1", "h2"]).select("id", "text")
 
     keyed = classes.select("id", F.explode("keys").alias("k"))
     crowded = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(keyed.join(crowded, "k"))
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     apart = settle(shared.select("id", "k").join(weight, "id").withColumns({"root": F.col("id"), "used": F.lit(False)}))
+    # texts travel once, and only those that share a bucket: one row of each class
+    some = numbers.join(apart.select("id").distinct(), "id", "left_semi")
+    own = plain.join(some, ["h1", "h2"]).where(F.col("key").eqNullSafe(F.col("least")))
+    texts = settle(own.groupBy("id").agg(F.first("text").alias("text")))
     links_: DataFrame | None = None
     tried: DataFrame | None = None
     found = components(numbers.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
