@@ -36,7 +36,7 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: segments are one letter apart at most, so 0.995 of such texts meet; of texts half as similar, few.
 SEGMENTS, LETTERS = 4, 5
 #: Rounds in which the texts of a bucket that are still apart meet another of its texts.
-ROUNDS = 8
+ROUNDS = 4
 #: A node with more than one in HUBS of all links (and HUB_LINKS, or HUB_TEXTS pairs, at least) is spread over SPREAD tasks.
 HUBS, HUB_LINKS, HUB_TEXTS, SPREAD = 1000, 50_000, 1_000, 64
 
@@ -248,10 +248,10 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
 
     The texts of a bucket are compared with one of them, its centre, which is the one whose
     buckets are the fullest: in a family of copies the text that the others were made from.
-    What is alike is settled. In buckets of several components, texts meet another centre in
-    each further round, any one of the bucket's texts that is of another component, until all
-    are of one component, two rounds find no new likeness, or after ROUNDS rounds. So a text is
-    compared with one centre a bucket and round, and no group is expanded into all its pairs.
+    What is alike is settled. In buckets of several components, texts meet two more centres in
+    each further round, those of them that are of another component, until all are of one
+    component, a round finds no new likeness, or after ROUNDS rounds. So a text is compared
+    with two centres a bucket and round at most, and no group is expanded into all its pairs.
     What stays apart are texts alike only to few of a crowded bucket's texts.
     """
     if key.lower() in ("text_class", "component_id"):
@@ -279,28 +279,27 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     links_: DataFrame | None = None
     tried: DataFrame | None = None
     found = components(numbers.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
-    idle = 0
     for turn in range(ROUNDS):
-        # the fullest buckets first, and now and then any text that was no centre yet
-        first = F.struct(~F.col("used"), F.lit(0).cast("long") if turn % 3 == 2 else F.col("w"), F.xxhash64("id", F.lit(turn)))
-        centres = apart.groupBy("k").agg(F.max_by(F.struct("id", "root"), first).alias("c"))
+        # the fullest buckets first; after that another one of these, and any text that was no centre yet
+        fresh_ = F.struct("id", "root")
+        orders = [F.struct(~F.col("used"), F.col("w"), F.xxhash64("id", F.lit(turn))), F.struct(~F.col("used"), F.xxhash64("id", F.lit(~turn)))][: 1 + (turn > 0)]
+        centres = apart.groupBy("k").agg(F.array_distinct(F.array(*[F.max_by(fresh_, o) for o in orders])).alias("cs"))
         met = settle(apart.join(centres, "k"))
-        pairs = met.where(F.col("root") != F.col("c.root")).select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
+        each = met.withColumn("c", F.explode("cs")).where(F.col("root") != F.col("c.root"))
+        pairs = each.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
         new = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         alike = settle(_verified(new, texts, words, similarity))
+        if alike.isEmpty():
+            break
         tried = new if tried is None else tried.unionByName(new)
-        apart = met.select("id", "k", "w", "root", (F.col("used") | (F.col("id") == F.col("c.id"))).alias("used"))
-        idle = idle + 1 if alike.isEmpty() else 0
-        if idle == 2:
+        links_ = alike if links_ is None else links_.unionByName(alike)
+        found = components(links_)
+        placed = met.select("id", "k", "w", (F.col("used") | F.exists("cs", lambda c: c["id"] == F.col("id"))).alias("used"))
+        placed = placed.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+        apart = settle(placed.join(several, "k", "left_semi"))
+        if apart.isEmpty():
             break
-        if not idle:
-            links_ = alike if links_ is None else links_.unionByName(alike)
-            found = components(links_)
-            placed = apart.drop("root").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            several = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-            apart = settle(placed.join(several, "k", "left_semi"))
-            if apart.isEmpty():
-                break
     return _members(prints.join(numbers, ["h1", "h2"]).select("key", F.col("id").alias("text_class")), classes.select(F.col("id").alias("text_class"), "least"), found, "text_class", key)
 
 
