@@ -265,12 +265,12 @@ class Catalog:
         return [(r["column"], r["count"]) for r in V.value_rebind(self.index(), table, plain(value)).collect()]
 
     def discover_links(self, columns: dict[str, list[str]] | None = None) -> list[Relationship]:
-        """Verify key relationships between the tables' identifier-like columns and keep them."""
+        """Verify key relationships between the tables' identifier-like columns, of any number of values, and keep them."""
         if columns is None:
             columns = {n: [c for c, p in t.profile.items() if p.role in ("identifier", "dimension") or c.lower().endswith(("key", "id", "code"))] for n, t in self.tables.items() if t.long_of is None}
             columns = {n: cs for n, cs in columns.items() if cs}
         if len(columns) > 1:
-            found = relationships({n: self.tables[n].df for n in columns}, columns)
+            found = relationships({n: self.tables[n].df for n in columns}, columns, most=None)
             self.links = [Relationship(*r) for r in found.collect()]
         return self.links
 

@@ -103,19 +103,20 @@ def _pairs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, shared
 
 
-def relationships(tables: dict[str, DataFrame], columns: dict[str, list[str]], rows: dict[str, int] | None = None) -> DataFrame:
+def relationships(tables: dict[str, DataFrame], columns: dict[str, list[str]], rows: dict[str, int] | None = None, most: int | None = MOST_DISTINCT) -> DataFrame:
     """``(child_table, child_column, parent_table, parent_column, coverage)``: the child's values lie in the parent's.
 
     The parent is unique to PARENT_UNIQUE, the coverage at least COVERAGE, both have
-    LEAST_DISTINCT to MOST_DISTINCT values. Of several parents of a child column in one
-    table the best covering (then first named) stays.
+    LEAST_DISTINCT to ``most`` values (None: or more). Of several parents of a child column in
+    one table the best covering (then first named) stays.
     """
     sizes, shared = _pairs(column_values(tables, columns))
     filled = reduce(
         DataFrame.unionByName,
         [df.agg(*[F.count(qcol(c)).alias(c) for c in columns[t]]).unpivot([], [qcol(c) for c in columns[t]], "column", "filled").select(F.lit(t).alias("table"), "column", "filled") for t, df in sorted(tables.items())],
     )
-    known = sizes.join(filled, ["table", "column"]).where(F.col("distinct").between(LEAST_DISTINCT, MOST_DISTINCT))
+    known = sizes.join(filled, ["table", "column"]).where(F.col("distinct") >= LEAST_DISTINCT)
+    known = known if most is None else known.where(F.col("distinct") <= most)
     child = known.select(F.col("table").alias("ct"), F.col("column").alias("cc"), F.col("distinct").alias("cd"))
     parent = known.where(F.col("distinct") >= PARENT_UNIQUE * F.col("filled")).select(F.col("table").alias("pt"), F.col("column").alias("pc"))
     found = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.ask.grounding import as_at_day
 from gristmill.ask.planner import Conversation
@@ -258,3 +259,17 @@ def test_provenance_is_counted_in_one_run(spark, monkeypatch):
             m.setattr(DataFrame, "count", lambda self: pytest.fail("no step is counted by itself"))
             got = compiled.provenance()
         assert got == want
+
+
+def test_keys_of_many_values_are_verified_too(spark):
+    """Links of named columns do not end at the number of values up to which keys are looked for in a report."""
+    from gristmill.operators.profiling import MOST_DISTINCT
+
+    n = MOST_DISTINCT + 1000
+    tables = Catalog(spark)
+    tables.add("people", spark.range(n).select(F.col("id").alias("person"), (F.col("id") % 2).cast("string").alias("side")))
+    tables.add("sales", spark.range(2 * n).select((F.col("id") % n).alias("buyer"), F.lit(1.0).alias("paid")))
+    tables.discover_links({"people": ["person"], "sales": ["buyer"]})
+    assert tables.linked("sales", "buyer", "people", "person")
+    plan = {"table": "sales", "join": {"right_table": "people", "left_column": "buyer", "right_column": "person"}, "group_by": ["side"], "aggregations": [{"fn": "sum", "column": "paid", "alias": "s"}], "sort": {"by": "side", "desc": False}}
+    assert rows(plan, tables) == [("0", float(n)), ("1", float(n))]
