@@ -1,94 +1,115 @@
 """Exact quantiles without gathering a column's values in one task.
 
-A built-in exact percentile keeps every distinct value of its group in one buffer. Here
-each pass over the column counts how many values lie below and inside a bracket around
-each wanted rank; brackets come from a sketch and shrink by a large factor per pass, until
-what lies inside is few enough to sort.
+A built-in exact percentile keeps every distinct value of its group in one buffer. Here the
+range around each wanted rank is cut into cells, which every task counts for its own rows, and
+the one that holds the rank is cut again, until it has one value or few enough to sort. All
+columns and ranks go together: a pass is one grouping by cell.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.columns import qcol
 
-FEW = 50_000
-MARGIN, ACCURACY = 0.004, 2000
+#: Values of a range that are sorted in one place, and cells that a longer range is cut into.
+FEW, CELLS = 50_000, 1024
+HUGE = sys.float_info.max
 
 
-@dataclass
-class _Search:
-    """Looking for the value of ``rank`` (from 0) in a column; all below ``low`` are ``below`` in number."""
+@dataclass(frozen=True)
+class _Range:
+    """The values of a column from ``low`` to ``high``, ``inside`` in number; ``below`` are less than ``low``."""
 
-    column: str
-    rank: int
+    column: int
     low: float
     high: float
-    below: int = 0
-    inside: int = 0
-    value: float | None = None
+    below: int
+    inside: int
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], few: int = FEW) -> dict[str, list[float | None]]:
     """Interpolated quantiles of numeric columns; None for a column without values.
 
-    Missing values and NaN do not count. Every pass aggregates all columns together and
-    returns a few numbers for each.
+    Missing values and NaN do not count. A pass brings a bounded number of cells for each
+    wanted rank to the driver, whatever the number of rows.
     """
     clean = df.select(*[F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    name = {c: f"c{i}" for i, c in enumerate(columns)}
-    parts = [f(F.col(name[c])).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    parts = [f(F.col(f"c{i}")).alias(f"{k}{i}") for i in range(len(columns)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     first = clean.agg(*parts).first()
-    total = {c: first[f"n{i}"] for i, c in enumerate(columns)}
-    places = {c: [s * (total[c] - 1) for s in shares] for c in columns if total[c]}
-    ends = {c: (first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(columns)}
-    found: dict[tuple[str, int], _Search] = {}
-    for c, ranks in places.items():
-        for r in {f(x) for x in ranks for f in (math.floor, math.ceil)}:
-            found[c, r] = _Search(c, r, *ends[c], inside=total[c])
-    open_ = [s for s in found.values() if not _settled(s)]
-    while open_:
-        small = [s for s in open_ if s.inside <= few]
-        wide = [s for s in open_ if s.inside > few]
-        inside = lambda s: F.when(F.col(name[s.column]).between(s.low, s.high), F.col(name[s.column]))
-        parts = [F.sort_array(F.collect_list(inside(s))).alias(f"v{i}") for i, s in enumerate(small)]
-        for i, s in enumerate(wide):
-            share = (s.rank - s.below) / s.inside
-            parts.append(F.percentile_approx(inside(s), [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], ACCURACY).alias(f"b{i}"))
-        row = clean.agg(*parts).first()
-        for i, s in enumerate(small):
-            s.value = row[f"v{i}"][s.rank - s.below]
-        if wide:
-            brackets = [tuple(row[f"b{i}"]) for i in range(len(wide))]
-            counts = []
-            for i, (s, (a, b)) in enumerate(zip(wide, brackets)):
-                v = inside(s)
-                counts += [F.count_if(v < a).alias(f"l{i}"), F.count_if(v.between(a, b)).alias(f"m{i}"), F.max(F.when(v < a, v)).alias(f"p{i}"), F.min(F.when(v > b, v)).alias(f"q{i}")]
-            row = clean.agg(*counts).first()
-            for i, (s, (a, b)) in enumerate(zip(wide, brackets)):
-                left, middle = row[f"l{i}"], row[f"m{i}"]
-                at = s.rank - s.below
-                if at < left:  # the sketch missed: the rank lies on one side of the bracket
-                    s.high, s.inside = row[f"p{i}"], left
-                elif at >= left + middle:
-                    s.low, s.below, s.inside = row[f"q{i}"], s.below + left + middle, s.inside - left - middle
-                else:
-                    s.low, s.high, s.below, s.inside = a, b, s.below + left, middle
-        open_ = [s for s in wide if not _settled(s)]
+    places = {i: [s * (first[f"n{i}"] - 1) for s in shares] for i in range(len(columns)) if first[f"n{i}"]}
+    held = {(i, f(x)): _Range(i, first[f"lo{i}"], first[f"hi{i}"], 0, first[f"n{i}"]) for i, xs in places.items() for x in xs for f in (math.floor, math.ceil)}
+    values = clean.unpivot([], list(clean.columns), "column", "v").where("v is not null")
+    found: dict[tuple[int, int], float] = {}
+    while held:
+        found |= {s: r.low for s, r in held.items() if r.low == r.high}
+        small = {s: r for s, r in held.items() if r.low < r.high and r.inside <= few}
+        found |= _sorted(values, small)
+        wide = {s: r for s, r in held.items() if r.low < r.high and r.inside > few}
+        held = _cut(values, wide)
     out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
-    for c, ranks in places.items():
+    for i, ranks in places.items():
         for k, x in enumerate(ranks):
-            a, b = found[c, math.floor(x)].value, found[c, math.ceil(x)].value
-            out[c][k] = a + (b - a) * (x - math.floor(x))
+            a, b = found[i, math.floor(x)], found[i, math.ceil(x)]
+            out[columns[i]][k] = a if a == b else a + (b - a) * (x - math.floor(x))
     return out
 
 
-def _settled(s: _Search) -> bool:
-    if s.value is None and s.low == s.high:
-        s.value = s.low
-    return s.value is not None
+def _by_range(ranges: Sequence[_Range], value: Sequence[Column]) -> Column:
+    """Of each row the value of the range that it lies in; null in none. Ranges of a column are apart."""
+    out = None
+    for i in sorted({r.column for r in ranges}):
+        mine = [(F.col("v").between(r.low, r.high), x) for r, x in zip(ranges, value) if r.column == i]
+        inner = reduce(lambda c, w: c.when(*w), mine[1:], F.when(*mine[0]))
+        at = F.col("column") == f"c{i}"
+        out = F.when(at, inner) if out is None else out.when(at, inner)
+    return out
+
+
+def _sorted(values: DataFrame, searches: dict[tuple[int, int], _Range]) -> dict[tuple[int, int], float]:
+    """The values of the ranks of short ranges."""
+    if not searches:
+        return {}
+    ranges = list(dict.fromkeys(searches.values()))
+    wanted = [[rank for (_, rank), r in searches.items() if r == one] for one in ranges]
+    places = reduce(lambda c, j: c.when(F.col("r") == j, F.array(*[F.lit(rank - ranges[j].below) for rank in wanted[j]])), range(1, len(ranges)), F.when(F.col("r") == 0, F.array(*[F.lit(rank - ranges[0].below) for rank in wanted[0]])))
+    lists = values.select(_by_range(ranges, [F.lit(j) for j in range(len(ranges))]).alias("r"), "v").where("r is not null").groupBy("r").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    rows = lists.select("r", F.transform(places, lambda k: F.get("vs", k.cast("int"))).alias("vs")).collect()
+    return {(ranges[row["r"]].column, rank): v for row in rows for rank, v in zip(wanted[row["r"]], row["vs"])}
+
+
+def _cut(values: DataFrame, searches: dict[tuple[int, int], _Range]) -> dict[tuple[int, int], _Range]:
+    """For each rank, the range of the values in the cell that holds it. The ends of a range are
+    cells of their own, so what is left gets shorter whatever the values are."""
+    if not searches:
+        return {}
+    ranges = list(dict.fromkeys(searches.values()))
+    cells = CELLS + 2
+
+    def code(j: int, r: _Range) -> Column:
+        # halves keep the width of the range of doubles finite
+        low, high = (min(max(x, -HUGE), HUGE) / 2 for x in (r.low, r.high))
+        v = F.least(F.greatest(F.col("v"), F.lit(-HUGE)), F.lit(HUGE)) / 2
+        inner = F.least(F.floor((v - low) / (high - low) * CELLS), F.lit(CELLS - 1)) if high > low else F.lit(0).cast("long")
+        cell = F.when(F.col("v") == r.low, 0).when(F.col("v") == r.high, cells - 1).otherwise(inner + 1)
+        return F.lit(j * cells).cast("long") + cell
+
+    coded = values.select(_by_range(ranges, [code(j, r) for j, r in enumerate(ranges)]).alias("code"), "v").where("code is not null")
+    counted = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    out: dict[tuple[int, int], _Range] = {}
+    before = {j: r.below for j, r in enumerate(ranges)}
+    of = [[s for s, r in searches.items() if r == one] for one in ranges]
+    for row in sorted(counted, key=lambda x: x["code"]):
+        j = row["code"] // cells
+        for s in of[j]:
+            if before[j] <= s[1] < before[j] + row["n"]:
+                out[s] = _Range(s[0], row["lo"], row["hi"], before[j], row["n"])
+        before[j] += row["n"]
+    return out

@@ -82,3 +82,28 @@ def test_no_group_is_ranked_whole(spark):
     finally:
         A._middle = real
     assert max(seen) <= 100 and set(got) == {"a", "b"}
+
+
+@pytest.mark.parametrize("few", [5, 100_000])
+def test_quantiles_of_ends_that_repeat(spark, few):
+    """Infinities and the largest doubles, each many times, and outliers far from all else."""
+    data = [float("-inf")] * 40 + [-1.7976931348623157e308] * 40 + [1e300, -1e300, 5e-324, 0.0] + [float(x) for x in np.random.default_rng(3).normal(size=500)] + [float("inf")] * 30
+    df = spark.createDataFrame([(v, 1.0) for v in data] + [(float("nan"), None), (None, None)], "a double, same double").repartition(4)
+    got = exact_quantiles(df, ["a", "same"], [0.0, 0.03, 0.1, 0.5, 1.0], few)
+    ordered = sorted(data)
+    assert got["a"][0] == ordered[0] and got["a"][-1] == ordered[-1] and got["a"][3] == pytest.approx(float(np.median(data)), rel=1e-12)
+    assert got["a"][1] == float("-inf") and got["a"][2] == -1.7976931348623157e308
+    assert got["same"] == [1.0] * 5
+
+
+def test_a_pass_for_all_ranks_is_one_grouping(spark):
+    """Passes do not aggregate each rank of each column apart, which grows with both."""
+    df = spark.range(30_000).select(*[F.sqrt(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(4)])
+    seen = []
+    kind, real = type(df), type(df).agg
+    kind.agg = lambda self, *parts: (seen.append(len(parts)), real(self, *parts))[1]
+    try:
+        exact_quantiles(df, df.columns, [0.25, 0.5, 0.75], 100)
+    finally:
+        kind.agg = real
+    assert max(seen) <= 3 * len(df.columns)
