@@ -10,10 +10,12 @@ the k-th best. What is left out cannot be among the best, so the result is that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,22 @@ def postings(rows: DataFrame, key: str = "chunk_id", text: str = "chunk", number
     ``number`` counts the rows; which rows share a span is up to it. Rows without tokens have no postings.
     """
     cut = rows.select(qcol(key).alias("id"), F.expr(f"`{number}` div {SPAN}").alias("span"), tokenize(F.coalesce(qcol(text), F.lit(""))).alias("tokens"))
-    each = cut.select("id", "span", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    counted = each.groupBy("term", "span", "id", "size").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    kind = dict(cut.dtypes)["id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of each term of each text: terms are counted where their text is, so they travel counted, once."""
+        for batch in batches:
+            tokens = batch.column("tokens")
+            terms = pa.table({"row": pc.list_parent_indices(tokens), "term": tokens.flatten()})
+            found = terms.group_by(["row", "term"], use_threads=False).aggregate([("term", "count")])
+            held = pa.table({"id": batch.column("id"), "span": batch.column("span"), "size": pc.list_value_length(tokens)}).take(found["row"])
+            out = pa.table({"term": found["term"], "span": held["span"], "id": held["id"], "tf": found["term_count"].cast(pa.int32()), "size": held["size"]})
+            yield from out.combine_chunks().to_batches(max_chunksize=65_536)
+
+    counted = cut.mapInArrow(count, f"term string, span long, id {kind}, tf int, size int").repartition("term", "span")
     # a span has SPAN rows at most, so a list does
     return counted.groupBy("term", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").alias("least"), F.array_sort(F.collect_list(F.struct("id", "tf", "size"))).alias("docs")
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").alias("least"), F.sort_array(F.collect_list(F.struct("id", "tf", "size"))).alias("docs")
     )
 
 
@@ -60,6 +73,11 @@ def sizes(rows: DataFrame, text: str = "chunk") -> tuple[int, int]:
     return n, total or 0
 
 
+def tokens_in(index: DataFrame) -> int:
+    """The tokens of all rows of an index, from its counts, without reading texts again."""
+    return index.select(F.explode("docs.tf").alias("tf")).agg(F.sum("tf")).first()[0] or 0
+
+
 def write(index: DataFrame, path: str) -> None:
     """Postings as Parquet, by term, in row groups small enough to be skipped; a filter of terms for each."""
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -86,8 +86,10 @@ def bm25_topk(spark, sf):
 @query(bm25_sql(20))
 def bm25_indexed(spark, sf):
     """The same from an inverted index of all documents, of which the question reads its own terms."""
-    docs = stored(table(spark, sf, "documents").select("doc_id", "text").withColumn("n", F.col("doc_id")))
-    return P.bm25_topk([P.Part(stored(P.postings(docs, "doc_id", "text")), *P.sizes(docs, "text"))], WORDS)
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("doc_id").alias("n"))
+    index = stored(P.postings(docs, "doc_id", "text"))
+    own = stored(index.where(F.col("term").isin(X.tokens_of(WORDS))))
+    return P.bm25_topk([P.Part(own, docs.count(), P.tokens_in(index))], WORDS)
 
 
 DENSE = "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20"

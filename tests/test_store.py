@@ -342,3 +342,16 @@ def test_the_limit_holds_for_a_whole_question(spark, monkeypatch):
         assert Service(engine, Audit("unused")).get("/charts")[0] == 503
     engine.seconds = 60.0
     assert engine.ask("total amount").kind == "rows"
+
+
+def test_terms_travel_counted_and_once(spark):
+    """One exchange builds the index, and its counts tell the tokens."""
+    rows = [*rows_of(4, 500), (900, None), (901, "w1 w1 W1 é")]
+    frame = spark.createDataFrame(rows, "chunk_id long, chunk string").withColumn("n", F.col("chunk_id"))
+    index = P.postings(frame)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert (len(rows), P.tokens_in(index)) == P.sizes(frame)
+    got = {(r["term"], d["id"], d["tf"], d["size"]) for r in index.collect() for d in r["docs"]}
+    assert ("w1", 901, 3, 4) in got and ("é", 901, 1, 4) in got and not [g for g in got if g[1] == 900]
+    assert P.tokens_in(P.postings(frame.limit(0))) == 0
