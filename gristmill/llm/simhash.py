@@ -16,7 +16,8 @@ The shingles themselves are then verified.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Their fingerprints: segments and letters of each. Of texts of the wanted similarity 0.74 of the
 #: segments are one letter apart at most, so 0.995 of such texts meet; of texts half as similar, few.
 SEGMENTS, LETTERS = 4, 5
-#: Rounds in which the texts of a bucket that are still apart meet another of its texts.
-ROUNDS = 4
+#: Rounds in which the texts of a bucket that are still apart meet another of its texts, before all that are left meet.
+ROUNDS = 2
+#: Longs of a text's map of shingles, which bounds what two texts share, and tasks that a bucket's pairs are dealt over.
+MAP_LONGS, DEAL = 16, 16
 #: A node with more than one in HUBS of all links (and HUB_LINKS, or HUB_TEXTS pairs, at least) is spread over SPREAD tasks.
 HUBS, HUB_LINKS, HUB_TEXTS, SPREAD = 1000, 50_000, 1_000, 64
 
@@ -193,7 +196,12 @@ _TIMES, _PLUS = _odd(SEGMENTS * LETTERS, 1), _odd(SEGMENTS * LETTERS, 2)
 
 def letters(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
     """SEGMENTS * LETTERS letters: the least of as many hashes over the set of shingles; zeros without any."""
-    hashed, out = shingles(text, words), np.zeros(SEGMENTS * LETTERS, dtype=np.uint64)
+    return least(shingles(text, words))
+
+
+def least(hashed: np.ndarray) -> np.ndarray:
+    """The letters of a set of shingles."""
+    out = np.zeros(SEGMENTS * LETTERS, dtype=np.uint64)
     for i in range(len(out) if len(hashed) else 0):
         h = hashed * _TIMES[i] + _PLUS[i]
         out[i] = ((h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)).min()
@@ -210,6 +218,35 @@ def variants(print_: np.ndarray) -> np.ndarray:
     return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
+def shingle_map(hashed: np.ndarray) -> np.ndarray:
+    """MAP_LONGS longs in which each shingle sets a bit."""
+    bits = np.zeros(64 * MAP_LONGS, dtype=np.uint8)
+    bits[(hashed >> np.uint64(20)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two texts can share enough shingles, by their numbers and maps: a bit that only
+    one has is a shingle, at least, that the other lacks. No alike pair is left out."""
+    only = lambda x, y: reduce(add, [F.bit_count(F.col(f"{x}.m{i}").bitwiseAND(F.bitwise_not(f"{y}.m{i}"))) for i in range(MAP_LONGS)])
+    most = F.least(F.col(f"{a}.size") - only(a, b), F.col(f"{b}.size") - only(b, a))
+    return most * (1 + similarity) >= similarity * (F.col(f"{a}.size") + F.col(f"{b}.size")) - 1e-6
+
+
+def _left_over(apart: DataFrame, traits: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b), a > b, of ids that share a bucket, lie in different components and may be alike, each once.
+
+    A bucket's pairs are dealt over DEAL tasks and streamed; what passes the bound is kept.
+    """
+    rows = apart.select("id", "k", "root").join(traits, "id")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(DEAL))).alias("a")
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long")))).alias("b")
+    close = (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6) & _may_be_alike("a", "b", similarity)
+    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part"))
+    met = left.join(right.hint("merge"), same & (F.col("a.id") > F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & close)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose texts share enough shingles.
 
@@ -246,13 +283,13 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     columns are not read; a key column called like a result column is an error. An empty
     table gives no rows.
 
-    The texts of a bucket are compared with one of them, its centre, which is the one whose
+    The texts of a bucket are first compared with one of them, its centre, which is the one whose
     buckets are the fullest: in a family of copies the text that the others were made from.
     What is alike is settled. In buckets of several components, texts meet two more centres in
-    each further round, those of them that are of another component, until all are of one
-    component, a round finds no new likeness, or after ROUNDS rounds. So a text is compared
-    with two centres a bucket and round at most, and no group is expanded into all its pairs.
-    What stays apart are texts alike only to few of a crowded bucket's texts.
+    a further round. Then every two texts of a bucket that are still of different components
+    meet, so no link between texts that share a variant is lost. Pairs that cannot be alike, by the
+    numbers and maps of their shingles, go before texts travel; this step alone grows with the
+    square of what is left of a bucket, streamed over DEAL tasks.
     """
     if key.lower() in ("text_class", "component_id"):
         raise ValueError(f"the key column cannot be called {key}")
@@ -261,10 +298,14 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     plain = plain.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
 
     def start():
-        return lambda texts: {"keys": [variants(letters(t, words)) for t in texts]}
+        def work(texts: list[str | None]) -> dict[str, object]:
+            sets = [shingles(t, words) for t in texts]
+            return {"keys": [variants(least(h)) for h in sets], "size": [len(h) for h in sets], "map": [shingle_map(h) for h in sets]}
+
+        return work
 
-    prints = settle(map_columns(plain, ["text"], ["key", "h1", "h2"], {"keys": pa.list_(pa.int64())}, start))
-    classes = settle(prints.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.first("keys").alias("keys"))).withColumn("id", F.monotonically_increasing_id())
+    prints = settle(map_columns(plain, ["text"], ["key", "h1", "h2"], {"keys": pa.list_(pa.int64()), "size": pa.int64(), "map": pa.list_(pa.int64())}, start))
+    classes = settle(prints.groupBy("h1", "h2").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("keys", "size", "map")])).withColumn("id", F.monotonically_increasing_id())
     numbers = classes.select("h1", "h2", "id", "least")
 
     keyed = classes.select("id", F.explode("keys").alias("k"))
@@ -289,8 +330,6 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
         pairs = each.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
         new = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         alike = settle(_verified(new, texts, words, similarity))
-        if alike.isEmpty():
-            break
         tried = new if tried is None else tried.unionByName(new)
         links_ = alike if links_ is None else links_.unionByName(alike)
         found = components(links_)
@@ -300,6 +339,12 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
         apart = settle(placed.join(several, "k", "left_semi"))
         if apart.isEmpty():
             break
+    else:
+        traits = classes.select("id", "size", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP_LONGS)])
+        rest = settle(_left_over(apart, traits, similarity).join(tried, ["a", "b"], "left_anti"))
+        alike = settle(_verified(rest, texts, words, similarity))
+        if not alike.isEmpty():
+            found = components(links_.unionByName(alike))
     return _members(prints.join(numbers, ["h1", "h2"]).select("key", F.col("id").alias("text_class")), classes.select(F.col("id").alias("text_class"), "least"), found, "text_class", key)
 
 

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from tokenizers import Tokenizer
 
@@ -649,3 +650,45 @@ def test_likeness_does_not_jump_with_the_length_of_a_text():
     for a, b in ((text, less), (cyrillic, "ещё одно " + cyrillic)):
         mine, theirs = iblt.digests(a), iblt.digests(b)
         assert iblt.likeness(len(mine), len(theirs), len(np.setxor1d(mine, theirs))) > 0.8
+
+
+def test_no_link_of_a_crowded_bucket_is_lost(tables):
+    """Sixty pairs in shared buckets, alike within the pair only: every alike pair that shares a variant is linked."""
+    rng = random.Random(77)
+    base = ["b" + str(i) for i in range(160)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(5, 155), 4):
+            words[at] = f"x{i}.{at}"
+        other = list(words)
+        other[rng.randrange(5, 155)] = f"y{i}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = [simhash.shingles(t) for _, t in rows]
+    keys = [set(simhash.variants(simhash.least(s)).tolist()) for s in sets]
+    root = list(range(len(rows)))
+    crowded = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if keys[i] & keys[j]:
+                crowded += 1
+                if simhash.jaccard(sets[i], sets[j]) >= 0.8:
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(tables(rows)).collect()}
+    assert crowded > 500 and len(set(root)) > 20
+    assert got == dict(enumerate(root))
+
+
+def test_the_bound_leaves_out_no_alike_pair(spark):
+    rng = random.Random(5)
+    rows, want = [], []
+    for i in range(200):
+        words = ["v" + str(rng.randrange(100_000)) for _ in range(rng.choice((4, 30, 300, 3000)))]
+        other = [w if rng.random() > 0.03 * (i % 8) else "z" for w in words]
+        a, b = (simhash.shingles(" ".join(x)) for x in (words, other))
+        rows.append((i, len(a), simhash.shingle_map(a).tolist(), len(b), simhash.shingle_map(b).tolist()))
+        want.append(simhash.jaccard(a, b))
+    df = spark.createDataFrame(rows, "i long, n long, p array<long>, m long, q array<long>")
+    side = lambda n, p: F.struct(F.col(n).alias("size"), *[F.col(p)[j].alias(f"m{j}") for j in range(simhash.MAP_LONGS)])
+    kept = {r["i"] for r in df.select("i", side("n", "p").alias("a"), side("m", "q").alias("b")).where(simhash._may_be_alike("a", "b", 0.8)).collect()}
+    assert {i for i, w in enumerate(want) if w >= 0.8} <= kept and len(kept) < 160
