@@ -1,33 +1,43 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 Every text gets a vector of its whole content: some shape features, and the counts of its
-words and of its byte 4-grams, hashed into HASHED places with signs. From labelled rows,
-preference pairs (a good text against a poor one) are drawn; a linear score is learnt
-by logistic loss on the pairs' feature differences. A score becomes a number between
-0 and 1 whose acceptance mark sits at a quantile of the training scores: the share of
-poor texts among the labelled rows.
+words and of its byte 4-grams, hashed into HASHED places with signs. All labelled rows are
+dealt into blocks, where each meets rows of the other class in preference pairs (a good
+text against a poor one); a linear score is learnt by logistic loss on the pairs' feature
+differences. A score becomes a number between 0 and 1 whose acceptance mark sits at a
+quantile of the training scores: the share of poor texts among the labelled rows.
+
+Training is a number of passes over the blocks. Each pass sums some arrays (counts, moments,
+the loss with its derivatives) over them, where they are; only the sums come to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import hashed_share, id_crc, map_columns
-
-#: Labelled rows read for training at most (in expectation), and preference pairs drawn.
-TRAIN_ROWS = 4000
-PAIRS = 10_000
-STEPS = 250
-#: Pairs of one step, and how strongly weights are drawn to 0.
-BATCH, DECAY = 1024, 1e-3
+from gristmill.llm.common import id_crc, map_columns, settle, slices
+
+#: Labelled rows of a block (in expectation), and its preference pairs at least.
+BLOCK_ROWS, PAIRS = 4096, 2048
+#: Newton steps at most, and the decrement that ends them.
+STEPS, SETTLED = 40, 1e-6
+#: How strongly weights are drawn to 0; rows of the matrix of second derivatives that are summed in one place.
+DECAY, PANEL = 1e-3, 64
+#: Labels whose side of a join is broadcast at most, and bits of the map that stands for more of them: for each, and in all.
+BROADCAST_LABELS, LABEL_BITS, MOST_BITS = 250_000, 16, 1 << 27
+#: Bits of a value that each pass of a search for its rank settles.
+RADIX = (11, 11, 10)
 ACCEPT = 0.7
 #: Places that words and 4-grams are hashed to, and their share in a vector's scale beside shape features.
 HASHED, CONTENT = 512, 0.25
@@ -141,58 +151,192 @@ def gradient(gap: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return -(loss @ gap) / len(gap) + DECAY * weights
 
 
-def train(x: np.ndarray, good: np.ndarray, seed: int = 0) -> Ranker:
-    """Learn strengths from pairs. With one class only (or none) all weights are 0 and
-    the mark accepts everything if that class is the good one or there is no label.
+def curvature(gap: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Second derivatives of the mean logistic loss of feature differences and of the decay."""
+    loss = 1 / (1 + np.exp(np.clip(gap @ weights, -40, 40)))
+    bowed = gap * np.sqrt(loss * (1 - loss)).astype(gap.dtype)[:, None]
+    return (bowed.T @ bowed).astype(np.float64) / len(gap) + DECAY * np.eye(len(weights))
 
-    Scores that tie at the mark are accepted."""
+
+#: What a pass computes of a block (vectors, and which are good): arrays by number.
+Work = Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]
+#: A pass: the sums of the arrays of each number over all blocks.
+Passes = Callable[[Work], dict[int, np.ndarray]]
+
+
+def summed(found: Iterator[tuple[int, np.ndarray]], into: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    for number, part in found:
+        into[number] = into[number] + part if number in into else part.astype(np.float64)
+    return into
+
+
+def pairs_of(good: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(better, worse, turns): each row of the larger class meets a row of the other one in each of ``turns``
+    turns, whose rows take turns. A class without rows has the place behind all rows."""
     rng = np.random.default_rng(seed)
-    if not len(x):
-        x, good = np.zeros((1, len(FEATURES) + HASHED)), np.ones(1, dtype=bool)
-    knots = np.quantile(x[:, : len(FEATURES)], KNOTS, axis=0).T
-    ranker = Ranker(knots, np.zeros(1), np.ones(1), np.zeros(1), 0.0, 1.0)
-    raw = bent(x, knots)
-    spread = raw.std(axis=0, dtype=np.float64)
-    ranker.mean, ranker.scale = raw.mean(axis=0, dtype=np.float64).astype(np.float32), np.where(spread > 1e-6, spread, 1.0).astype(np.float32)
+    better, worse = (np.flatnonzero(g) if g.any() else np.array([len(good)]) for g in (good, ~good))
+    each = max(len(better), len(worse))
+    turns = -(-PAIRS // each)
+    ends = [np.concatenate([np.resize(rng.permutation(side), each) for _ in range(turns)]) for side in (better, worse)]
+    return ends[0], ends[1], turns
+
+
+def by_rank(passes: Passes, values: Callable[[np.ndarray], np.ndarray], columns: int, places: Callable[[int], Sequence[float]]) -> np.ndarray:
+    """Values at ``places(n)`` (from 0; between two ranks: interpolated) of each of ``columns`` sorted columns of
+    n float32 ``values``, exactly: the bits of a value are settled from the highest on by counting."""
+    left, shift = {}, 32
+    targets = [(c, 0) for c in range(columns)]
+    for bits in RADIX:
+        shift -= bits
+
+        def work(x, good, targets=targets, shift=shift, bits=bits):
+            raw = (values(x).astype(np.float32) + np.float32(0)).view(np.uint32).astype(np.int64)
+            code = np.where(raw >> 31, raw ^ 0xFFFFFFFF, raw | 1 << 31)
+            for j, (c, high) in enumerate(targets):
+                mine = code[:, c]
+                yield j, np.bincount(mine[mine >> (shift + bits) == high] >> shift & (1 << bits) - 1, minlength=1 << bits)
+
+        below = [np.cumsum(n) for _, n in sorted(passes(work).items())]
+        if not left:
+            at = places(int(below[0][-1]))
+            left = {(c, rank): (0, rank) for c in range(columns) for p in at for rank in (math.floor(p), math.ceil(p))}
+        for (c, rank), (high, rest) in left.items():
+            sums = below[targets.index((c, high))]
+            cell = int(np.searchsorted(sums, rest, side="right"))
+            left[c, rank] = (high << bits | cell, rest - int(sums[cell - 1] if cell else 0))
+        targets = sorted({(c, high) for (c, _), (high, _) in left.items()})
+
+    def value(c: int, rank: int) -> float:
+        code = left[c, rank][0]
+        return float(np.uint32(code & 0x7FFFFFFF if code >> 31 else code ^ 0xFFFFFFFF).view(np.float32))
+
+    return np.array([[value(c, math.floor(p)) + (value(c, math.ceil(p)) - value(c, math.floor(p))) * (p - math.floor(p)) for p in at] for c in range(columns)])
+
+
+def learn(passes: Passes, seed: int = 0) -> Ranker:
+    """Learn strengths from the pairs of all blocks, of which at least one has a row. With one class
+    only all weights are 0 and the mark accepts everything if that class is the good one.
+
+    Scores that tie at the mark are accepted."""
+    knots = by_rank(passes, lambda x: x[:, : len(FEATURES)], len(FEATURES), lambda n: [q * (n - 1) for q in KNOTS])
+
+    def moments(x, good):
+        raw = bent(x, knots).astype(np.float64)
+        yield 0, np.array([len(raw), good.sum()])
+        yield 1, raw.sum(axis=0)
+        yield 2, (raw * raw).sum(axis=0)
+        yield 3, raw[good].sum(axis=0)
+
+    found = passes(moments)
+    (n, n_good), mean = found[0], found[1] / found[0][0]
+    spread = np.sqrt(np.maximum(found[2] / n - mean * mean, 0))
+    ranker = Ranker(knots, mean.astype(np.float32), np.where(spread > 1e-6, spread, 1.0).astype(np.float32), np.zeros(len(mean)), 0.0, 1.0)
     ranker.scale[-HASHED:] /= CONTENT
-    ranker.weights = np.zeros(raw.shape[1])
-    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-    if not len(better) or not len(worse):
-        ranker.mark = 0.0 if len(better) else 1.0
+    if n_good in (0, n):
+        ranker.mark = 0.0 if n_good else 1.0
         return ranker
-    z = ranker.scaled(raw)
-    better_of, worse_of = rng.choice(better, PAIRS), rng.choice(worse, PAIRS)
-    first, second = np.zeros_like(ranker.weights), np.zeros_like(ranker.weights)
-    for step in range(1, STEPS + 1):
-        pick = rng.integers(0, PAIRS, BATCH)
-        # sums differ in their last digits from run to run; rankers should not
-        grad = gradient(z[better_of[pick]] - z[worse_of[pick]], ranker.weights).astype(np.float32)
-        first += 0.1 * (grad - first)
-        second += 0.01 * (grad * grad - second)
-        ranker.weights = ranker.weights - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    strength = (z @ ranker.weights.astype(np.float32)).astype(np.float64)
-    poor = len(worse) / len(x)
-    ordered = np.sort(strength)
-    at = min(len(ordered) - 1, max(1, round(poor * len(ordered))))
-    ranker.mark = float((ordered[at - 1] + ordered[at]) / 2)
-    ranker.spread = max(1e-6, float(strength.std()) / 2)
+    means = ranker.scaled(np.array([found[3] / n_good, (found[1] - found[3]) / (n - n_good)], dtype=np.float32))
+
+    def derived(x, good, weights):
+        # the place behind all rows: a class that has none in the block is there by its mean
+        z = np.concatenate([ranker.expand(x), means[[int(good.all())]] if good.all() or not good.any() else means[:0]])
+        better, worse, turns = pairs_of(good, seed)
+        gap, share = z[better] - z[worse], len(better) / turns
+        yield -1, share * gradient(gap, weights)
+        yield -2, share * np.array([1.0, np.logaddexp(0, -(gap @ weights)).mean() + DECAY / 2 * weights @ weights])
+        bow = share * curvature(gap, weights)
+        for at in range(0, len(bow), PANEL):
+            yield at, bow[at : at + PANEL]
+
+    weights, best, step = ranker.weights, math.inf, ranker.weights
+    for _ in range(STEPS):
+        got = passes(lambda x, good, weights=weights: derived(x, good, weights))
+        total, loss = got.pop(-2)
+        if loss / total > best:
+            step = step / 2  # too far
+        else:
+            ranker.weights, best, grad = weights, loss / total, got.pop(-1) / total
+            step = np.linalg.solve(np.concatenate([got[at] for at in sorted(got) if at >= 0]) / total, grad)
+            if grad @ step < SETTLED:
+                break
+        weights = ranker.weights - step
+    strengths = lambda x: ranker.strength(x)[:, None]
+    at = min(n - 1, max(1, round(n - n_good)))
+    ranker.mark = float(by_rank(passes, strengths, 1, lambda _: [at - 0.5])[0, 0])
+
+    def widths(x, good):
+        yield 0, np.array([(strengths(x) - ranker.mark).sum(), ((strengths(x) - ranker.mark) ** 2).sum()]) / n
+
+    first, second = passes(widths)[0]
+    ranker.spread = max(1e-6, math.sqrt(max(0.0, second - first * first)) / 2)
     return ranker
 
 
-def fit(rows: DataFrame, text: str = "text", good: str = "quality", key: str = "doc_id", bound: int = TRAIN_ROWS) -> Ranker:
-    """Train on about ``bound`` labelled rows at most, chosen by hash of ``key`` and text; only
-    their distinct vectors come to the driver."""
-    labelled_ = rows.where(F.col(good).isNotNull()).select(key, text, F.col(good).cast("int").alias("good"))
+def train(x: np.ndarray, good: np.ndarray, seed: int = 0) -> Ranker:
+    """Learn from vectors in one place; without any, everything is accepted."""
+    if not len(x):
+        x, good = np.zeros((1, len(FEATURES) + HASHED), dtype=np.float32), np.ones(1, dtype=bool)
+    return learn(lambda work: summed(work(x, good), {}), seed)
 
-    def start():
-        return lambda texts: {"x": [vector(t).tobytes() for t in texts]}
 
-    sample = hashed_share(labelled_, F.xxhash64(key, text), bound).select(F.col(text).alias("text"), "good")
-    seen = map_columns(sample, ["text"], ["good"], {"x": pa.binary()}, start).distinct().orderBy("x", "good").toPandas()
-    x = np.empty((len(seen), len(FEATURES) + HASHED), dtype=np.float32)
-    for i, raw in enumerate(seen.pop("x")):
-        x[i] = np.frombuffer(raw, dtype=np.float32)
-    return train(x, seen["good"].to_numpy() == 1)
+def blocks_of(rows: DataFrame, text: str, good: str) -> DataFrame:
+    """The distinct vectors of ``rows`` and whether they are good, dealt by hash into blocks: a row each."""
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for whole in batches:
+            for batch in slices(whole):
+                kept = []
+                for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    x = vector(t).tobytes()
+                    digest = hashlib.blake2b(x, digest_size=16).digest()
+                    if digest + bytes([g]) not in seen:
+                        seen.add(digest + bytes([g]))
+                        kept.append((int.from_bytes(digest[:8], "big") % blocks, x, g))
+                columns = list(zip(*kept)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.bool_()))], names=["block", "x", "good"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["x", "good"]).sort_values(["x", "good"])
+        return pd.DataFrame({"x": [b"".join(pdf["x"])], "good": [bytes(pdf["good"].tolist())]})
+
+    plain = rows.select(F.col(text).alias("text"), (F.col(good) == 1).alias("good"))
+    dealt = plain.mapInArrow(run, "block long, x binary, good boolean").repartition(blocks, "block")
+    return settle(dealt.groupBy("block").applyInPandas(gather, "x binary, good binary"))
+
+
+def passes_over(blocks: DataFrame) -> Passes:
+    """Passes over stored blocks. A task sums what its blocks give; the tasks' sums are added number by number."""
+
+    def one(work: Work) -> dict[int, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    x = np.frombuffer(batch.column(0)[i].as_buffer(), dtype=np.float32).reshape(-1, len(FEATURES) + HASHED)
+                    total = summed(work(x, np.frombuffer(batch.column(1)[i].as_buffer(), dtype=bool)), total)
+            shapes = {k: list(v.shape) for k, v in total.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int64()), pa.array(list(shapes.values()), type=pa.list_(pa.int64())), pa.array([v.tobytes() for v in total.values()], type=pa.binary())], names=["number", "shape", "part"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(p, dtype=np.float64) for p in sorted(pdf["part"]))
+            return pd.DataFrame({"number": pdf["number"][:1], "shape": pdf["shape"][:1], "part": [total.tobytes()]})
+
+        schema = "number long, shape array<long>, part binary"
+        found = blocks.mapInArrow(run, schema).groupBy("number").applyInPandas(add, schema).collect()
+        return {r["number"]: np.frombuffer(r["part"], dtype=np.float64).reshape(r["shape"]) for r in found}
+
+    return one
+
+
+def fit(rows: DataFrame, text: str = "text", good: str = "quality") -> Ranker:
+    """Train on all rows with a label; of equal vectors with equal labels one counts.
+
+    The driver holds sums only: of weights, second derivatives and counts, whatever the number of rows.
+    """
+    blocks = blocks_of(rows.where(F.col(good).isNotNull()), text, good)
+    return train(np.zeros((0, 0)), np.zeros(0, dtype=bool)) if blocks.isEmpty() else learn(passes_over(blocks))
 
 
 def rate(rows: DataFrame, ranker: Ranker, text: str = "text", keep: list[str] | None = None, score: str = "score") -> DataFrame:
@@ -209,23 +353,36 @@ def rate(rows: DataFrame, ranker: Ranker, text: str = "text", keep: list[str] |
 
 
 def labelled(spark, sf_dir: str) -> DataFrame:
-    """Documents of the ids with a quality label that training may see.
+    """Documents of all ids with a quality label that training may see.
 
-    Repeated labels of an id count once, by their mean. About TRAIN_ROWS ids are chosen at
-    most, which bounds the broadcast side of the join; all rows of a chosen id take part.
+    Repeated labels of an id count once, by their mean; all rows of an id take part. Up to
+    BROADCAST_LABELS labels go to the documents. With more of them, documents whose id has no bit in a
+    map of labelled ids (bounded, so with very many labels it tells fewer apart) go, and the rest are joined by a shuffle.
     """
     seen = F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(seen & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     marks = marks.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("quality"))
-    chosen = hashed_share(marks, F.col("doc_id"), TRAIN_ROWS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.join(F.broadcast(chosen), "doc_id")
+    many = marks.count()
+    if many <= BROADCAST_LABELS:
+        return docs.join(F.broadcast(marks), "doc_id")
+    return mapped(docs, marks, min(MOST_BITS, many * LABEL_BITS)).join(marks, "doc_id")
+
+
+def mapped(docs: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``docs`` whose id has its bit in a map of ``bits`` bits of the ids of ``marks``: all that are there, and few others."""
+    place = (F.pmod(id_crc(F.col("doc_id")), F.lit(bits)) + 1).alias("place")
+    part, bit = F.bitmap_bucket_number("place"), F.bitmap_bit_position("place")
+    map_ = marks.select(place).groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    placed = docs.select("*", place).withColumn("part", part).join(F.broadcast(map_), "part")
+    return placed.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*docs.columns)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of a quarter of the ids are never read.
 
-    The broadcast side of the training join holds at most about ``TRAIN_ROWS`` labels.
+    All other labels are learnt from.
     """
     held = F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2
     ranker = fit(labelled(spark, sf_dir))

@@ -135,6 +135,53 @@ def test_quality_tells_texts_apart_by_their_words():
     assert ((score >= quality.ACCEPT) == np.array([g for _, g in unseen])).mean() > 0.95
 
 
+def test_quality_learns_from_every_label(tables, monkeypatch):
+    """Of 4,600 rows in several blocks the mark accepts exactly as many as are good, copies left aside."""
+    rnd = random.Random(14)
+    rows = [(i, prose(rnd, "en", 12), 1) if i % 9 else (i, junk(rnd) + f" {i}", 0) for i in range(4600)]
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 1200)
+    marked = tables(rows + rows[:300], "doc_id long, text string, quality int").repartition(5)
+    assert quality.blocks_of(marked, "text", "quality").count() > 1
+    ranker = quality.fit(marked)
+    x = quality.matrix([t for _, t, _ in rows])
+    seen = {(v.tobytes(), g) for v, (*_, g) in zip(x, rows)}
+    distinct, good = np.array([np.frombuffer(v, dtype=np.float32) for v, _ in seen]), np.array([g == 1 for _, g in seen])
+    assert (ranker.score(distinct) >= quality.ACCEPT).sum() == good.sum()
+    assert np.allclose(ranker.knots, np.quantile(distinct[:, : len(quality.FEATURES)], quality.KNOTS, axis=0).T, atol=1e-6)
+    assert ((ranker.score(distinct) >= quality.ACCEPT) == good).mean() > 0.98
+
+
+def test_quality_curvature_and_a_block_of_one_class():
+    rng = np.random.default_rng(15)
+    gap, weights = rng.normal(size=(40, 6)), rng.normal(size=6)
+    step = 1e-6 * np.eye(6)
+    numeric = [(quality.gradient(gap, weights + d) - quality.gradient(gap, weights - d)) / 2e-6 for d in step]
+    assert np.allclose(quality.curvature(gap, weights), numeric, atol=1e-6)
+    rnd = random.Random(16)
+    good, poor = quality.matrix([prose(rnd, "en", 60) for _ in range(60)]), quality.matrix([junk(rnd) for _ in range(40)])
+    blocks = [(good, np.ones(60, dtype=bool)), (poor, np.zeros(40, dtype=bool))]
+
+    def passes(work):
+        out = {}
+        for block in blocks:
+            quality.summed(work(*block), out)
+        return out
+
+    ranker = quality.learn(passes)
+    assert (ranker.score(good) >= quality.ACCEPT).all() and (ranker.score(poor) < quality.ACCEPT).all()
+
+
+def test_quality_labels_beyond_a_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i % 900 if i % 7 else None, f"text {i}") for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 950, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    few = sorted(map(tuple, quality.labelled(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", 0)
+    assert sorted(map(tuple, quality.labelled(spark, str(tmp_path)).collect())) == few and len(few) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert quality.mapped(docs, spark.createDataFrame([(5,), (11,)], "doc_id long"), 1 << 20).count() == sum(d in (5, 11) for d, _ in rows)
+
+
 RANKS = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
 CODEC = bpe.Codec(RANKS, P.PATTERN)
 TIKTOKEN = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
