@@ -319,7 +319,7 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
     texts = settle(own.groupBy("id").agg(F.first("text").alias("text")))
     links_: DataFrame | None = None
     tried: DataFrame | None = None
-    found = components(numbers.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    found: DataFrame | None = None
     for turn in range(ROUNDS):
         # the fullest buckets first; after that another one of these, and any text that was no centre yet
         fresh_ = F.struct("id", "root")
@@ -332,7 +332,8 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
         alike = settle(_verified(new, texts, words, similarity))
         tried = new if tried is None else tried.unionByName(new)
         links_ = alike if links_ is None else links_.unionByName(alike)
-        found = components(links_)
+        if found is None or not alike.isEmpty():
+            found = components(links_)
         placed = met.select("id", "k", "w", (F.col("used") | F.exists("cs", lambda c: c["id"] == F.col("id"))).alias("used"))
         placed = placed.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         several = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")

@@ -93,6 +93,17 @@ def copies_of(rng, text, count, edits):
     return out
 
 
+def test_similar_texts_seek_components_of_new_links_only(tables, monkeypatch):
+    """Components are found anew only when a round has linked something: each search is many jobs of the driver."""
+    asked = []
+    plain = simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges, *ends: asked.append(1) or plain(edges, *ends))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (3, "something else entirely")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(tables(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and len(asked) == 1
+
+
 def test_similar_texts_against_all_pairs(tables, corpus, odd):
     rng = random.Random(41)
     rows = [(d, t) for d, t, _ in corpus if d < 60] + [(None if d is None else d + 1000, t) for d, t in odd if len(t or "") < 1000]
