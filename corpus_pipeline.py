@@ -56,8 +56,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     keyed = numbered.select(F.col(row).alias("row"), "text", "doc_id")
     groups = simhash.similar_texts(keyed, key="row")
-    first = groups.join(keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row))
-    return numbered.join(first.select(row), row, "left_semi").drop(row)
+    first = simhash.merged(groups, keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row))
+    return simhash.merged(numbered, first.select(row), row, "left_semi").drop(row)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

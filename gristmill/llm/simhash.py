@@ -16,6 +16,7 @@ The shingles themselves are then verified.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import add
 
@@ -42,6 +43,8 @@ ROUNDS = 2
 MAP_LONGS, DEAL = 16, 16
 #: A node with more than one in HUBS of all links (and HUB_LINKS, or HUB_TEXTS pairs, at least) is spread over SPREAD tasks.
 HUBS, HUB_LINKS, HUB_TEXTS, SPREAD = 1000, 50_000, 1_000, 64
+#: Links at most that one task joins to components; more of them take rounds of stars until so many are left, or to the end.
+LINKS_AT_ONCE = 200_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -109,6 +112,11 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``left`` JOIN ``right``, sorted on both sides: a small side would pass through the driver to be broadcast, once for each join."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def spread(links_: DataFrame, stars: DataFrame, total: int, least: int = HUB_LINKS) -> DataFrame:
     """``links_`` (u, v) JOIN ``stars`` (u, m, n) on u, where n is the number of links of u.
 
@@ -116,25 +124,59 @@ def spread(links_: DataFrame, stars: DataFrame, total: int, least: int = HUB_LIN
     are HUBS at most and come to the driver, and their links are dealt over SPREAD tasks.
     """
     most = max(least, total // HUBS)
-    hubs = [r["u"] for r in stars.where(F.col("n") > most).select("u").collect()] if total > most else []
+    return dealt(links_, stars, [r["u"] for r in stars.where(F.col("n") > most).select("u").collect()] if total > most else [])
+
+
+def dealt(links_: DataFrame, stars: DataFrame, hubs: list[int]) -> DataFrame:
+    """``links_`` (u, v) JOIN ``stars`` (u, ...) on u, the links of each of ``hubs`` dealt over SPREAD tasks."""
     if not hubs:
-        return links_.join(stars, "u")
+        return merged(links_, stars, "u")
     hub = F.col("u").isin(*hubs)
     salted = links_.withColumn("salt", F.when(hub, F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
     every = F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))
-    return salted.join(stars.withColumn("salt", F.explode(F.when(hub, every).otherwise(F.array(F.lit(0).cast("long"))))), ["u", "salt"]).drop("salt")
+    return merged(salted, stars.withColumn("salt", F.explode(F.when(hub, every).otherwise(F.array(F.lit(0).cast("long"))))), ["u", "salt"]).drop("salt")
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the links (u, v), ascending, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        new, low = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return nodes, nodes[root]
+        root = new
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """``(node, root)`` of links (u, v) that one task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(i).to_numpy() for i in (0, 1)] for batch in batches]
+        if parts:
+            nodes, roots = least_reached(*map(np.concatenate, zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+    return settle(pairs.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(run, "node long, root long"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of an edge, root being the least node it reaches.
 
-    Alternating large-star and small-star rounds; each round is written to the shared
-    checkpoint folder, and only counts, a sum and the hubs come to the driver. A node's
-    neighbours are never gathered: the stars need their minimum only.
+    Nodes are whole numbers. Up to LINKS_AT_ONCE links are joined in one task. Of more,
+    alternating large-star and small-star rounds are taken, until so many are left or
+    nothing changes; each round is written to the shared checkpoint folder, and only
+    counts, a sum and the hubs come to the driver. A node's neighbours are never gathered
+    there: the stars need their minimum only.
     """
     pairs = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before, total = None, 2 * pairs.count()
-    while True:
+    while total > 2 * LINKS_AT_ONCE:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large-star: larger neighbours of u point to the least node of its star
@@ -148,6 +190,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
+    return _joined(pairs)
 
 
 def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -238,7 +281,7 @@ def _left_over(apart: DataFrame, traits: DataFrame, similarity: float) -> DataFr
 
     A bucket's pairs are dealt over DEAL tasks and streamed; what passes the bound is kept.
     """
-    rows = apart.select("id", "k", "root").join(traits, "id")
+    rows = merged(apart.select("id", "k", "root"), traits, "id")
     left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(DEAL))).alias("a")
     right = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long")))).alias("b")
     close = (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6) & _may_be_alike("a", "b", similarity)
@@ -250,7 +293,7 @@ def _left_over(apart: DataFrame, traits: DataFrame, similarity: float) -> DataFr
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose texts share enough shingles.
 
-    ``texts`` has each id once. Only texts of some pair travel; a text of many pairs is spread.
+    ``texts`` has each id once, and only ids that can stand in a pair. A text of many pairs is spread.
     """
 
     def start():
@@ -258,14 +301,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         return lambda left, right: {"alike": [jaccard(known(x), known(y)) >= similarity for x, y in zip(left, right)]}
 
     total = pairs.count()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = texts.join(ends, "id", "left_semi")
+    if not total:
+        return pairs
+    most = max(HUB_TEXTS, total // HUBS)
 
     def with_text(rows: DataFrame, end: str, as_: str) -> DataFrame:
-        often = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        stars = often.join(some, often[end] == some["id"]).select(F.col(end).alias("u"), F.col("text").alias(as_), "n")
+        often = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        hubs = [r[end] for r in often.collect()] if total > most else []
         other = "b" if end == "a" else "a"
-        return spread(rows.withColumnsRenamed({end: "u", other: "v"}), stars, total, HUB_TEXTS).drop("n").withColumnsRenamed({"u": end, "v": other})
+        full = dealt(rows.withColumnsRenamed({end: "u", other: "v"}), texts.select(F.col("id").alias("u"), F.col("text").alias(as_)), hubs)
+        return full.withColumnsRenamed({"u": end, "v": other})
 
     full = with_text(with_text(pairs, "a", "x"), "b", "y")
     return map_columns(full, ["x", "y"], ["a", "b"], {"alike": pa.bool_()}, start).where("alike").select("a", "b")
@@ -310,12 +355,12 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
 
     keyed = classes.select("id", F.explode("keys").alias("k"))
     crowded = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = settle(keyed.join(crowded, "k"))
+    shared = settle(merged(keyed, crowded, "k"))
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    apart = settle(shared.select("id", "k").join(weight, "id").withColumns({"root": F.col("id"), "used": F.lit(False)}))
+    apart = settle(merged(shared.select("id", "k"), weight, "id").withColumns({"root": F.col("id"), "used": F.lit(False)}))
     # texts travel once, and only those that share a bucket: one row of each class
-    some = numbers.join(apart.select("id").distinct(), "id", "left_semi")
-    own = plain.join(some, ["h1", "h2"]).where(F.col("key").eqNullSafe(F.col("least")))
+    some = merged(numbers, apart.select("id").distinct(), "id", "left_semi")
+    own = merged(plain, some, ["h1", "h2"]).where(F.col("key").eqNullSafe(F.col("least")))
     texts = settle(own.groupBy("id").agg(F.first("text").alias("text")))
     links_: DataFrame | None = None
     tried: DataFrame | None = None
@@ -325,36 +370,36 @@ def similar_texts(rows: DataFrame, text: str = "text", key: str = "doc_id", word
         fresh_ = F.struct("id", "root")
         orders = [F.struct(~F.col("used"), F.col("w"), F.xxhash64("id", F.lit(turn))), F.struct(~F.col("used"), F.xxhash64("id", F.lit(~turn)))][: 1 + (turn > 0)]
         centres = apart.groupBy("k").agg(F.array_distinct(F.array(*[F.max_by(fresh_, o) for o in orders])).alias("cs"))
-        met = settle(apart.join(centres, "k"))
+        met = settle(merged(apart, centres, "k"))
         each = met.withColumn("c", F.explode("cs")).where(F.col("root") != F.col("c.root"))
         pairs = each.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
-        new = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        new = settle(pairs if tried is None else merged(pairs, tried, ["a", "b"], "left_anti"))
         alike = settle(_verified(new, texts, words, similarity))
         tried = new if tried is None else tried.unionByName(new)
         links_ = alike if links_ is None else links_.unionByName(alike)
         if found is None or not alike.isEmpty():
             found = components(links_)
         placed = met.select("id", "k", "w", (F.col("used") | F.exists("cs", lambda c: c["id"] == F.col("id"))).alias("used"))
-        placed = placed.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = merged(placed, found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         several = placed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-        apart = settle(placed.join(several, "k", "left_semi"))
+        apart = settle(merged(placed, several, "k", "left_semi"))
         if apart.isEmpty():
             break
     else:
         traits = classes.select("id", "size", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP_LONGS)])
-        rest = settle(_left_over(apart, traits, similarity).join(tried, ["a", "b"], "left_anti"))
+        rest = settle(merged(_left_over(apart, traits, similarity), tried, ["a", "b"], "left_anti"))
         alike = settle(_verified(rest, texts, words, similarity))
         if not alike.isEmpty():
             found = components(links_.unionByName(alike))
-    return _members(prints.join(numbers, ["h1", "h2"]).select("key", F.col("id").alias("text_class")), classes.select(F.col("id").alias("text_class"), "least"), found, "text_class", key)
+    return _members(merged(prints, numbers, ["h1", "h2"]).select("key", F.col("id").alias("text_class")), classes.select(F.col("id").alias("text_class"), "least"), found, "text_class", key)
 
 
 def _members(prints: DataFrame, classes: DataFrame, found: DataFrame, code: str, key: str) -> DataFrame:
     """``(key, code, component_id)`` of all ``prints``, from the classes' least keys and the components ``found``."""
-    reached = settle(classes.join(found, classes[code] == found["node"], "left").select(code, "least", F.coalesce("root", code).alias("u")))
+    reached = settle(merged(classes, found.withColumnRenamed("node", code), code, "left").select(code, "least", F.coalesce("root", code).alias("u")))
     named = reached.groupBy("u").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     member = spread(reached.select("u", F.col(code).alias("v")), named, reached.count()).select(F.col("v").alias(code), "component_id")
-    return prints.join(member, code).select(F.col("key").alias(key), code, "component_id")
+    return merged(prints, member, code).select(F.col("key").alias(key), code, "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

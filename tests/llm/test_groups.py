@@ -188,6 +188,41 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 150, 1000])
+def test_components_in_one_task_and_in_rounds_agree(spark, monkeypatch, at_once):
+    """Rounds to the end, rounds until so many links are left, and one task at once."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(-i, -i - 1) for i in range(1, 40)] + [(1 << 40, 399)] + [(500, 501 + i) for i in range(90)]
+    want = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    monkeypatch.setattr(simhash, "LINKS_AT_ONCE", at_once)
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Each round of stars is a dozen jobs, which the driver keeps in memory; a chain took six rounds."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        simhash.components(edges).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_similar_texts_broadcast_nothing(tables):
+    """Small sides of joins are not collected to be sent about: each such table passes through the driver."""
+    text = " ".join(f"w{i}" for i in range(60))
+    found = simhash.similar_texts(tables([(1, text), (2, text + " end"), (3, "something else entirely")]))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(10, 24))
