@@ -76,7 +76,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
 
     A pair meets under one key for each segment with one differing bit and under every
     key of an equal segment. It is accepted only in its first such segment, at its
-    differing bit or at bit 0, so no pass to remove repeats is needed.
+    differing bit or at bit 0, so no pass to remove repeats is needed. Spark takes the keys
+    for no larger than ``fps``, which has one row for BITS of them, so none are broadcast.
     """
     if not 1 <= distance <= 14:
         raise ValueError("distance must lie in 1..14")
@@ -101,7 +102,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
         for earlier in range(s):
             first &= F.bit_count(apart.bitwiseAND(F.lit(signed[earlier]))) > 1
         chosen |= mine & (differs | (F.col("a.bit") == edges[s])) & first
-    found = a.join(
+    found = merged(
+        a,
         b,
         (F.col("a.bit") == F.col("b.bit"))
         & (F.col("a.rest") == F.col("b.rest"))
@@ -113,7 +115,7 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """``left`` JOIN ``right``, sorted on both sides: a small side would pass through the driver to be broadcast, once for each join."""
+    """``left`` JOIN ``right``, sorted on both sides: a side that is small, or taken for small, would pass through the driver to be broadcast, once for each join."""
     return left.join(right.hint("merge"), on, how)
 
 

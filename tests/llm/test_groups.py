@@ -223,6 +223,15 @@ def test_similar_texts_broadcast_nothing(tables):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_links_broadcast_nothing(spark):
+    """Each fingerprint has 64 keys, which the join took for as small as the fingerprints and sent through the driver."""
+    base = [b << 20 for b in range(1, 200)]
+    found = simhash.links(spark.createDataFrame([(b ^ x,) for b in base for x in (0, 1)], "fp long").distinct())
+    assert {(b, b ^ 1) for b in base} <= {tuple(r) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(10, 24))
